@@ -42,3 +42,19 @@ def to_double(c: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.BooleanType):
         return c.cast("double")
     return nan_to_null(c.cast("double"))
+
+
+def round_to(c: Column, places: int = 6) -> Column:
+    """numpy-style ``round(c, places)``: scale, round half to even, unscale.
+
+    Unlike ``F.round`` (half-up on the shortest decimal string), this is the
+    same IEEE computation in every engine, so equal inputs give equal outputs.
+    """
+    c = F.col(c) if isinstance(c, str) else c
+    f = float(10**places)
+    return F.rint(c * F.lit(f)) / F.lit(f)
+
+
+def r6(c) -> Column:
+    """Output rounding used for every computed double column."""
+    return round_to(F.col(c) if isinstance(c, str) else c, 6)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema as S
-from ..functions.numeric import to_double
+from ..functions.numeric import round_to, to_double
 
 
 def fill_defaults(df: DataFrame) -> DataFrame:
@@ -190,11 +190,11 @@ def signal_columns() -> dict[str, Column]:
     c = F.col
     return {
         "ai_mentor_messages": c("ai_mentor_total_messages"),
-        "ai_mentor_recency_score": F.round(c("ai_mentor_recency_weight"), 2),
+        "ai_mentor_recency_score": round_to(c("ai_mentor_recency_weight"), 2),
         "pricing_page_visits": c("pricing_page_visits"),
         "cart_items": c("cart_items_count"),
-        "community_depth_score": F.round(c("community_depth"), 2),
-        "mock_test_commitment": F.round(c("mock_commitment"), 2),
+        "community_depth_score": round_to(c("community_depth"), 2),
+        "mock_test_commitment": round_to(c("mock_commitment"), 2),
         "current_streak_days": c("current_streak_days"),
         "days_since_login": c("last_login_days_ago"),
     }

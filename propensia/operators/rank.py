@@ -24,6 +24,8 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+
+from ..functions.numeric import round_to
 from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
@@ -167,9 +169,9 @@ def decile_table(
         "decile",
         F.coalesce(F.col("students"), F.lit(0)).cast("long").alias("students"),
         F.coalesce(F.col("actual_buyers"), F.lit(0)).cast("long").alias("actual_buyers"),
-        F.round("conversion_rate", 6).alias("conversion_rate"),
-        F.round("avg_probability", 6).alias("avg_probability"),
-        F.round(F.col("conversion_rate") / (F.col("_base") + F.lit(1e-9)), 6).alias("lift"),
+        round_to("conversion_rate", 6).alias("conversion_rate"),
+        round_to("avg_probability", 6).alias("avg_probability"),
+        round_to(F.col("conversion_rate") / (F.col("_base") + F.lit(1e-9)), 6).alias("lift"),
     )
 
 
@@ -214,11 +216,11 @@ def lift_at(
     return long.select(
         "fraction",
         "n_top",
-        F.round(F.col("_top_pos") / (F.col("_pos") + F.lit(1e-9)), 6).alias("buyers_captured"),
-        F.round(
+        round_to(F.col("_top_pos") / (F.col("_pos") + F.lit(1e-9)), 6).alias("buyers_captured"),
+        round_to(
             (F.col("_top_pos") / F.col("n_top")) / (F.col("_pos") / F.col("_n") + F.lit(1e-9)), 6
         ).alias("lift"),
-        F.round(F.col("_top_pos") / F.col("n_top"), 6).alias("top_conversion_rate"),
+        round_to(F.col("_top_pos") / F.col("n_top"), 6).alias("top_conversion_rate"),
     )
 
 
@@ -239,8 +241,8 @@ def gains_curve(
         F.col(key_col),
         F.col("rank"),
         F.col("cum_buyers").cast("long").alias("cum_buyers"),
-        F.round(F.col("rank") / F.col("_n") * 100, 6).alias("pct_contacted"),
-        F.round(F.col("cum_buyers") / (F.col("_pos") + F.lit(1e-9)) * 100, 6).alias("pct_captured"),
+        round_to(F.col("rank") / F.col("_n") * 100, 6).alias("pct_contacted"),
+        round_to(F.col("cum_buyers") / (F.col("_pos") + F.lit(1e-9)) * 100, 6).alias("pct_captured"),
     )
 
 

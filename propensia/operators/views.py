@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numeric import round_to
+
 from .. import schema as S
 from ..functions.labels import probability_pct, tier_by_capacity, tier_by_threshold, top_signal
 from .features import signal_columns
@@ -216,8 +218,18 @@ def dashboard_summary(scored: DataFrame) -> DataFrame:
     return scored.agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(F.col("tier") == "HIGH").alias("high_conversion"),
-        F.coalesce(F.avg(F.coalesce(F.col("purchase_probability"), F.lit(0.0))), F.lit(0.0)).alias("avg_prob"),
-    ).select("total", "high_conversion", F.round("avg_prob", 6).alias("avg_prob"))
+        _mean_pct().alias("avg_prob"),
+    ).select("total", "high_conversion", round_to(F.coalesce("avg_prob", F.lit(0.0)), 6).alias("avg_prob"))
+
+
+def _mean_pct():
+    """Mean of one-decimal percentages, summed exactly as integer tenths.
+
+    The percentages are multiples of 0.1, so the sum is exact whatever the
+    summation order (no task-order float noise before the final rounding).
+    """
+    tenths = F.rint(F.coalesce(F.col("purchase_probability"), F.lit(0.0)) * F.lit(10.0)).cast("long")
+    return F.sum(tenths) / (F.count(F.lit(1)) * F.lit(10.0))
 
 
 # FIXED VALUES: dashboard probability buckets (percent, right-closed upper edges).
@@ -246,7 +258,7 @@ def recency_decay(scored: DataFrame) -> DataFrame:
     return (
         scored.where(F.col("days_since_login").isNotNull())
         .groupBy(F.col("days_since_login").cast("long").alias("days_since_login"))
-        .agg(F.round(F.avg(F.coalesce(F.col("purchase_probability"), F.lit(0.0))), 2).alias("avg_prob"))
+        .agg(round_to(_mean_pct(), 2).alias("avg_prob"))
         .orderBy("days_since_login")
     )
 
@@ -280,8 +292,8 @@ def score_histogram(df: DataFrame, score_col: str, bins: int, by_class: bool = T
     out = counts.select(
         *(["label"] if by_class else []),
         "bin",
-        F.round(F.col("bin") * F.lit(width), 6).alias("bin_start"),
+        round_to(F.col("bin") * F.lit(width), 6).alias("bin_start"),
         "students",
-        F.round(F.col("students") / (F.col("_class_n") * F.lit(width)), 6).alias("density"),
+        round_to(F.col("students") / (F.col("_class_n") * F.lit(width)), 6).alias("density"),
     )
     return out

@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.numeric import round_to
+
 from .. import schema as S
 from ..operators import features as FE
 from ..operators import views as V
@@ -36,7 +38,7 @@ def q_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filled inputs and the ten derived features per student."""
     df = FE.engineer(TB.leads(spark, sf_dir))
     cols = [S.ID_COLUMN] + [c for c in S.DERIVED_INPUT_DEFAULTS] + S.DERIVED_FEATURE_COLUMNS
-    return df.select(*[F.round(c, 6).alias(c) if c in S.DERIVED_FEATURE_COLUMNS and c != "effective_call_flag" else F.col(c)
+    return df.select(*[round_to(c, 6).alias(c) if c in S.DERIVED_FEATURE_COLUMNS and c != "effective_call_flag" else F.col(c)
                        for c in cols])
 
 
@@ -52,3 +54,209 @@ QUERIES: dict[str, Query] = {
     "features": q_features,
     "sales_sheet": q_sales_sheet,
 }
+
+
+# ---------------------------------------------------------------------------
+# validation, ranking, metrics, thresholds, views
+# ---------------------------------------------------------------------------
+
+from ..operators import metrics as M  # noqa: E402
+from ..operators import rank as R  # noqa: E402
+from ..operators import thresholds as TH  # noqa: E402
+from ..operators import validate as VA  # noqa: E402
+from ..functions.labels import tier_action  # noqa: E402
+
+SCORE = "score"
+TIED = "score_tied"
+Y = S.TARGET_COLUMN
+ID = S.ID_COLUMN
+SUMMARY_THRESHOLDS = [TH.break_even_rate(), 0.3, 0.5, 0.6, 0.8]
+
+
+def _scored(spark, sf_dir):
+    return TB.scored_leads(spark, sf_dir)
+
+
+def q_validation_report(spark, sf_dir):
+    """One row per rule with its bad-row count, over the whole table."""
+    return VA.validation_report(TB.leads(spark, sf_dir), require_target=True)
+
+
+def q_decile_table(spark, sf_dir):
+    return R.decile_table(_scored(spark, sf_dir), TIED, Y, ID)
+
+
+def q_lift(spark, sf_dir):
+    return R.lift_at(_scored(spark, sf_dir), TIED, Y, ID, (0.10, 0.20))
+
+
+def q_gains_curve(spark, sf_dir):
+    return R.gains_curve(_scored(spark, sf_dir), TIED, Y, ID)
+
+
+def q_global_rank(spark, sf_dir):
+    """Rank of every student under (score DESC, id ASC)."""
+    df = _scored(spark, sf_dir).select(ID, TIED)
+    return R.global_rank(df, R.score_order(TIED, ID))
+
+
+def q_ranking_metrics(spark, sf_dir):
+    return M.ranking_metrics(_scored(spark, sf_dir), TIED, Y)
+
+
+def q_ranking_metrics_raw(spark, sf_dir):
+    """E1-E4 on the untied score (every score distinct)."""
+    return M.ranking_metrics(_scored(spark, sf_dir), SCORE, Y)
+
+
+def q_roc_points(spark, sf_dir):
+    return M.roc_points(_scored(spark, sf_dir), TIED, Y)
+
+
+def q_pr_points(spark, sf_dir):
+    return M.pr_points(_scored(spark, sf_dir), TIED, Y)
+
+
+def q_calibration_bins(spark, sf_dir):
+    return M.calibration_bins(_scored(spark, sf_dir), SCORE, Y, 10)
+
+
+def q_confusion(spark, sf_dir):
+    return M.confusion(_scored(spark, sf_dir), TIED, Y, VIEW_HIGH)
+
+
+def q_threshold_summary(spark, sf_dir):
+    return M.threshold_summary(_scored(spark, sf_dir), TIED, Y, SUMMARY_THRESHOLDS)
+
+
+def q_threshold_candidates(spark, sf_dir):
+    return TH.candidates(_scored(spark, sf_dir), SCORE)
+
+
+def _rounded_sweep(df):
+    return df.select(
+        "threshold",
+        *[round_to(c, 6).alias(c) for c in ("precision", "recall", "coverage")],
+        "profit", "true_positive", "false_positive", "false_negative",
+    )
+
+
+def q_threshold_sweep(spark, sf_dir):
+    return _rounded_sweep(TH.sweep(_scored(spark, sf_dir), SCORE, Y))
+
+
+def q_learned_policy(spark, sf_dir):
+    pol = TH.learn_policy(_scored(spark, sf_dir), SCORE, Y)
+    return pol.select("policy", *_rounded_sweep(pol).columns)
+
+
+def q_tier_counts(spark, sf_dir):
+    return V.tier_counts(_scored(spark, sf_dir), SCORE, VIEW_HIGH, VIEW_OUTREACH)
+
+
+def q_tier_actions(spark, sf_dir):
+    """T7 + T10: every student's tier and recommended action."""
+    from ..functions.labels import tier_by_threshold
+    df = _scored(spark, sf_dir)
+    t = tier_by_threshold(F.col(SCORE), VIEW_HIGH, VIEW_OUTREACH)
+    return df.select(F.col(ID), t.alias("tier"), tier_action(t).alias("action"))
+
+
+def q_prediction_table(spark, sf_dir):
+    return V.prediction_table(_scored(spark, sf_dir), SCORE, VIEW_HIGH, VIEW_OUTREACH, show="Wrong only",
+                              tiers=("HIGH", "MID", "LOW"))
+
+
+def q_full_scored(spark, sf_dir):
+    return V.full_scored(_scored(spark, sf_dir), SCORE, VIEW_HIGH, VIEW_OUTREACH)
+
+
+def q_full_preview(spark, sf_dir):
+    """Top-100 preview of the full scored set (the limit is the feature)."""
+    return V.full_scored(_scored(spark, sf_dir), SCORE, VIEW_HIGH, VIEW_OUTREACH).limit(100)
+
+
+def q_full_totals(spark, sf_dir):
+    return V.full_totals(_scored(spark, sf_dir), SCORE, VIEW_HIGH)
+
+
+def q_course_options(spark, sf_dir):
+    return V.course_options(_scored(spark, sf_dir))
+
+
+def q_student_cards(spark, sf_dir):
+    return V.student_cards(_scored(spark, sf_dir), SCORE, VIEW_HIGH, VIEW_OUTREACH)
+
+
+def q_id_search(spark, sf_dir):
+    return V.id_search(_scored(spark, sf_dir), SCORE, VIEW_HIGH, VIEW_OUTREACH, query="7", status="MID",
+                       sort_key="days_since_login", ascending=True)
+
+
+def _dashboard_view(spark, sf_dir):
+    df = _scored(spark, sf_dir)
+    from ..functions.labels import probability_pct, tier_by_threshold
+    return df.select(
+        F.col(ID).alias("student_id"),
+        probability_pct(F.col(SCORE)).alias("purchase_probability"),
+        tier_by_threshold(F.col(SCORE), VIEW_HIGH, VIEW_OUTREACH).alias("tier"),
+        F.col("last_login_days_ago").alias("days_since_login"),
+    )
+
+
+def q_dashboard_summary(spark, sf_dir):
+    return V.dashboard_summary(_dashboard_view(spark, sf_dir))
+
+
+def q_probability_buckets(spark, sf_dir):
+    return V.probability_buckets(_dashboard_view(spark, sf_dir))
+
+
+def q_recency_decay(spark, sf_dir):
+    return V.recency_decay(_dashboard_view(spark, sf_dir))
+
+
+def q_recency_scatter(spark, sf_dir):
+    return V.recency_scatter(_dashboard_view(spark, sf_dir))
+
+
+def q_score_histogram(spark, sf_dir):
+    return V.score_histogram(_scored(spark, sf_dir), SCORE, 40, by_class=True)
+
+
+def q_holdout_histogram(spark, sf_dir):
+    return V.score_histogram(_scored(spark, sf_dir), SCORE, 30, by_class=False)
+
+
+QUERIES.update({
+    "validation_report": q_validation_report,
+    "global_rank": q_global_rank,
+    "decile_table": q_decile_table,
+    "lift": q_lift,
+    "gains_curve": q_gains_curve,
+    "ranking_metrics": q_ranking_metrics,
+    "ranking_metrics_raw": q_ranking_metrics_raw,
+    "roc_points": q_roc_points,
+    "pr_points": q_pr_points,
+    "calibration_bins": q_calibration_bins,
+    "confusion": q_confusion,
+    "threshold_summary": q_threshold_summary,
+    "threshold_candidates": q_threshold_candidates,
+    "threshold_sweep": q_threshold_sweep,
+    "learned_policy": q_learned_policy,
+    "tier_counts": q_tier_counts,
+    "tier_actions": q_tier_actions,
+    "prediction_table": q_prediction_table,
+    "full_scored": q_full_scored,
+    "full_preview": q_full_preview,
+    "full_totals": q_full_totals,
+    "course_options": q_course_options,
+    "student_cards": q_student_cards,
+    "id_search": q_id_search,
+    "dashboard_summary": q_dashboard_summary,
+    "probability_buckets": q_probability_buckets,
+    "recency_decay": q_recency_decay,
+    "recency_scatter": q_recency_scatter,
+    "score_histogram": q_score_histogram,
+    "holdout_histogram": q_holdout_histogram,
+})

@@ -40,3 +40,356 @@ ORACLES: dict[str, str] = {
     "features": _features_sql(),
     "sales_sheet": _SALES_SQL,
 }
+
+
+# ---------------------------------------------------------------------------
+# validation, ranking, metrics, thresholds, views
+# ---------------------------------------------------------------------------
+
+from ..operators.metrics import calibration_edges  # noqa: E402
+from .catalog import SUMMARY_THRESHOLDS, VIEW_HIGH, VIEW_OUTREACH  # noqa: E402
+
+
+def r6(expr: str) -> str:
+    """Same rounding as the Spark side: scale, half-even, unscale."""
+    return f"round_even(({expr}) * 1000000.0::DOUBLE, 0) / 1000000.0::DOUBLE"
+
+
+def r2(expr: str) -> str:
+    return f"round_even(({expr}) * 100.0::DOUBLE, 0) / 100.0::DOUBLE"
+
+
+def dbl(x: float) -> str:
+    return f"{float(x)!r}::DOUBLE"
+
+
+def _validation_sql() -> str:
+    rules = [("V5", "student_id", "student_id IS NULL OR trim(student_id) = ''",
+              "Blank or missing student_id values detected.")]
+    rules.append(("V7", S.TARGET_COLUMN, f"{S.TARGET_COLUMN} IS NOT NULL AND {S.TARGET_COLUMN} NOT IN (0, 1)",
+                  "Target column must contain only 0/1 values."))
+    for c in S.BINARY_COLUMNS:
+        rules.append(("V8", c, f"{c} IS NOT NULL AND {c} NOT IN (0, 1)", f"Column '{c}' must contain only 0/1 values."))
+    for c in S.NON_NEGATIVE_COLUMNS:
+        rules.append(("V9", c, f"{c} < 0", f"Column '{c}' contains negative values."))
+    for c, (lo, hi) in S.RANGE_RULES.items():
+        rules.append(("V10", c, f"{c} < {lo} OR {c} > {hi}", f"Column '{c}' must stay between {lo} and {hi}."))
+    counts = ",\n    ".join(f"count(*) FILTER (WHERE {pred}) AS r{i}" for i, (_, _, pred, _) in enumerate(rules))
+    parts = [
+        "SELECT 1 AS seq, 'V3' AS rule, CAST(NULL AS VARCHAR) AS \"column\", 'error' AS severity, "
+        "CAST(CASE WHEN n = 0 THEN 1 ELSE 0 END AS BIGINT) AS bad_rows, n = 0 AS failed, "
+        "'Dataset is empty.' AS message FROM agg",
+        "SELECT 2, 'V4', 'student_id', 'error', dup_rows, dup_rows > 0, "
+        "'Duplicate student_id values detected.' FROM dup",
+    ]
+    seq = 2
+    for i, (rule, col, _, msg) in enumerate(rules):
+        seq += 1
+        m = msg.replace("'", "''")
+        parts.append(f"SELECT {seq}, '{rule}', '{col}', 'error', CAST(r{i} AS BIGINT), r{i} > 0, '{m}' FROM agg")
+    seq += 1
+    parts.append(f"SELECT {seq}, 'V11', 'course_interest', 'warning', CAST(courses AS BIGINT), courses < 2, "
+                 "'course_interest has fewer than 2 unique values in this file.' FROM agg")
+    seq += 1
+    parts.append(f"SELECT {seq}, 'V12', '{S.TARGET_COLUMN}', 'warning', CAST(0 AS BIGINT), "
+                 "rate < 0.02::DOUBLE OR rate > 0.80::DOUBLE, "
+                 "printf('Target positive rate looks unusual at %.1f%%.', rate * 100) FROM agg")
+    ctes = f"""agg AS (
+  SELECT count(*) AS n,
+    {counts},
+    count(DISTINCT course_interest) AS courses,
+    avg(CAST({S.TARGET_COLUMN} AS DOUBLE)) AS rate
+  FROM leads
+),
+dup AS (
+  SELECT CAST(coalesce(sum(c), 0) AS BIGINT) AS dup_rows
+  FROM (SELECT student_id, count(*) AS c FROM leads GROUP BY student_id) WHERE c > 1
+)"""
+    return with_leads("SELECT CAST(seq AS INTEGER) AS seq, * EXCLUDE (seq) FROM (\n" + "\nUNION ALL\n".join(parts) + "\n)", ctes)
+
+
+_RANKED = """rk AS (
+  SELECT student_id, score_tied AS s, purchased_paid_course AS y,
+    row_number() OVER (ORDER BY score_tied DESC, student_id ASC) AS rank,
+    count(*) OVER () AS n,
+    avg(CAST(purchased_paid_course AS DOUBLE)) OVER () AS base,
+    sum(CAST(purchased_paid_course AS DOUBLE)) OVER () AS pos_total
+  FROM scored2
+)"""
+
+_DECILE_SQL = with_leads(f"""
+SELECT CAST(g.decile AS INTEGER) AS decile,
+  CAST(count(d.y) AS BIGINT) AS students,
+  CAST(coalesce(sum(d.y), 0) AS BIGINT) AS actual_buyers,
+  {r6('avg(CAST(d.y AS DOUBLE))')} AS conversion_rate,
+  {r6('avg(d.s)')} AS avg_probability,
+  {r6('avg(CAST(d.y AS DOUBLE)) / (max(t.base) + 1e-9::DOUBLE)')} AS lift
+FROM (SELECT range AS decile FROM range(1, 11)) g
+CROSS JOIN (SELECT avg(CAST(purchased_paid_course AS DOUBLE)) AS base FROM scored2) t
+LEFT JOIN (SELECT CAST(floor((10 * rank - 1) / n) AS INTEGER) + 1 AS decile, y, s FROM rk) d ON d.decile = g.decile
+GROUP BY g.decile""", _RANKED)
+
+_LIFT_SQL = with_leads(f"""
+SELECT fraction, n_top,
+  {r6('sum(CAST(y AS DOUBLE)) / (max(pos_total) + 1e-9::DOUBLE)')} AS buyers_captured,
+  {r6('(sum(CAST(y AS DOUBLE)) / n_top) / (max(pos_total) / max(n) + 1e-9::DOUBLE)')} AS lift,
+  {r6('sum(CAST(y AS DOUBLE)) / n_top')} AS top_conversion_rate
+FROM (SELECT fraction, CAST(greatest(1, ceil((SELECT count(*) FROM scored2) * fraction)) AS BIGINT) AS n_top
+      FROM (VALUES (0.1::DOUBLE), (0.2::DOUBLE)) f(fraction)) c
+JOIN rk ON rk.rank <= c.n_top
+GROUP BY fraction, n_top""", _RANKED)
+
+_GAINS_SQL = with_leads(f"""
+SELECT student_id, CAST(rank AS BIGINT) AS rank,
+  CAST(sum(y) OVER (ORDER BY rank ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cum_buyers,
+  {r6('rank / n * 100')} AS pct_contacted,
+  {r6('sum(CAST(y AS DOUBLE)) OVER (ORDER BY rank ROWS UNBOUNDED PRECEDING) / (pos_total + 1e-9::DOUBLE) * 100')} AS pct_captured
+FROM rk""", _RANKED)
+
+_GLOBAL_RANK_SQL = with_leads("""
+SELECT student_id, score_tied, CAST(row_number() OVER (ORDER BY score_tied DESC, student_id) AS BIGINT) AS rank
+FROM scored2""")
+
+
+def _curve_ctes(score: str) -> str:
+    return f"""c AS (
+  SELECT {score} AS s, sum(CAST(purchased_paid_course AS BIGINT)) AS pos, sum(1 - CAST(purchased_paid_course AS BIGINT)) AS neg
+  FROM scored2 GROUP BY {score}
+),
+cc AS (
+  SELECT s, pos, neg,
+    row_number() OVER (ORDER BY s DESC) AS k,
+    CAST(sum(pos) OVER (ORDER BY s DESC ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS tp,
+    CAST(sum(neg) OVER (ORDER BY s DESC ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS fp,
+    CAST(sum(pos) OVER () AS DOUBLE) AS P,
+    CAST(sum(neg) OVER () AS DOUBLE) AS N
+  FROM c
+),
+pts AS (
+  SELECT *, tp / (tp + fp) AS prec, tp / P AS rec, fp / N AS fpr, tp / P AS tpr FROM cc
+),
+lagged AS (
+  SELECT *,
+    coalesce(lag(prec) OVER (ORDER BY s DESC), 1.0::DOUBLE) AS prev_prec,
+    coalesce(lag(rec) OVER (ORDER BY s DESC), 0.0::DOUBLE) AS prev_rec,
+    coalesce(lag(fpr) OVER (ORDER BY s DESC), 0.0::DOUBLE) AS prev_fpr,
+    coalesce(lag(tpr) OVER (ORDER BY s DESC), 0.0::DOUBLE) AS prev_tpr,
+    lead(pos) OVER (ORDER BY s DESC) AS next_pos,
+    lead(neg) OVER (ORDER BY s DESC) AS next_neg,
+    max(k) OVER () AS kmax
+  FROM pts
+)"""
+
+
+def _metrics_sql(score: str) -> str:
+    return with_leads(f"""
+SELECT {r6('sum((fpr - prev_fpr) * (tpr + prev_tpr) / 2)')} AS roc_auc,
+  {r6('sum((rec - prev_rec) * prec)')} AS average_precision,
+  {r6('sum((rec - prev_rec) * (prec + prev_prec) / 2)')} AS pr_auc,
+  (SELECT {r6(f'avg(pow({score} - CAST(purchased_paid_course AS DOUBLE), 2))')} FROM scored2) AS brier_score
+FROM lagged""", _curve_ctes(score))
+
+
+_ROC_SQL = with_leads(f"""
+SELECT CAST(0 AS BIGINT) AS point, CAST(NULL AS DOUBLE) AS threshold, 0.0::DOUBLE AS fpr, 0.0::DOUBLE AS tpr
+UNION ALL
+SELECT CAST(k AS BIGINT), s, {r6('fp / N')}, {r6('tp / P')}
+FROM lagged WHERE k = 1 OR k = kmax OR next_pos <> pos OR next_neg <> neg""", _curve_ctes("score_tied"))
+
+_PR_SQL = with_leads(f"""
+SELECT CAST(k AS BIGINT) AS point, s AS threshold, {r6('prec')} AS precision, {r6('rec')} AS recall FROM lagged
+UNION ALL
+SELECT CAST(max(k) + 1 AS BIGINT), CAST(NULL AS DOUBLE), 1.0::DOUBLE, 0.0::DOUBLE FROM lagged""",
+                     _curve_ctes("score_tied"))
+
+_EDGE_SUM = " + ".join(f"CAST(score > {e!r}::DOUBLE AS INTEGER)" for e in calibration_edges(10))
+_CALIB_SQL = with_leads(f"""
+SELECT bin, count(*) AS students, {r6('avg(CAST(purchased_paid_course AS DOUBLE))')} AS prob_true,
+  {r6('avg(score)')} AS prob_pred
+FROM (SELECT ({_EDGE_SUM}) AS bin, purchased_paid_course, score FROM scored2)
+GROUP BY bin""")
+
+_CONFUSION_SQL = with_leads(f"""
+SELECT a.actual, p.predicted,
+  (SELECT count(*) FROM scored2 WHERE purchased_paid_course = a.actual
+     AND CAST(score_tied >= {dbl(VIEW_HIGH)} AS INTEGER) = p.predicted) AS students
+FROM (VALUES (0), (1)) a(actual), (VALUES (0), (1)) p(predicted)""")
+
+
+def _summary_select(tp: str, fp: str, n: str, P: str) -> str:
+    return f"""{r6(f'{tp} / ({tp} + {fp} + 1e-9::DOUBLE)')} AS precision,
+  {r6(f'{tp} / ({tp} + ({P} - {tp}) + 1e-9::DOUBLE)')} AS recall,
+  {r6(f'({tp} + {fp}) / {n}')} AS coverage,
+  CAST({S.COURSE_PRICE_INR} * {tp} - {S.CALL_COST_INR} * ({tp} + {fp}) AS BIGINT) AS profit,
+  CAST({tp} AS BIGINT) AS true_positive, CAST({fp} AS BIGINT) AS false_positive,
+  CAST({P} - {tp} AS BIGINT) AS false_negative"""
+
+
+_THRESHOLDS_VALUES = ", ".join(f"({dbl(t)})" for t in SUMMARY_THRESHOLDS)
+_SUMMARY_SQL = with_leads(f"""
+SELECT threshold, {_summary_select('tp', 'fp', 'n', 'P')}
+FROM (
+  SELECT t.threshold,
+    CAST(count(*) FILTER (WHERE s.score_tied >= t.threshold AND s.purchased_paid_course = 1) AS DOUBLE) AS tp,
+    CAST(count(*) FILTER (WHERE s.score_tied >= t.threshold AND s.purchased_paid_course = 0) AS DOUBLE) AS fp,
+    CAST(count(*) AS DOUBLE) AS n,
+    CAST(sum(s.purchased_paid_course) AS DOUBLE) AS P
+  FROM (VALUES {_THRESHOLDS_VALUES}) t(threshold) CROSS JOIN scored2 s
+  GROUP BY t.threshold
+)""")
+
+_ANCHORS = ", ".join(f"({dbl(a)})" for a in S.THRESHOLD_ANCHORS)
+_CAND_CTE = f"""cand AS (
+  SELECT DISTINCT least(greatest(t, {dbl(S.THRESHOLD_CLIP[0])}), {dbl(S.THRESHOLD_CLIP[1])}) AS threshold
+  FROM (SELECT round_even(score * 10000.0::DOUBLE, 0) / 10000.0::DOUBLE AS t FROM scored2
+        UNION ALL SELECT * FROM (VALUES {_ANCHORS}) a(t))
+),
+sw_raw AS (
+  SELECT c.threshold,
+    CAST(count(*) FILTER (WHERE s.score >= c.threshold AND s.purchased_paid_course = 1) AS DOUBLE) AS tp,
+    CAST(count(*) FILTER (WHERE s.score >= c.threshold AND s.purchased_paid_course = 0) AS DOUBLE) AS fp
+  FROM cand c CROSS JOIN scored2 s GROUP BY c.threshold
+),
+tot AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum(purchased_paid_course) AS DOUBLE) AS P FROM scored2),
+sw AS (
+  SELECT threshold, tp, fp, n, P,
+    tp / (tp + fp + 1e-9::DOUBLE) AS prec_raw,
+    tp / (tp + (P - tp) + 1e-9::DOUBLE) AS rec_raw
+  FROM sw_raw CROSS JOIN tot
+)"""
+
+_CAND_SQL = with_leads("SELECT threshold FROM cand", _CAND_CTE.split(",\nsw_raw AS")[0])
+_SWEEP_SQL = with_leads(f"SELECT threshold, {_summary_select('tp', 'fp', 'n', 'P')} FROM sw", _CAND_CTE)
+_POLICY_SQL = with_leads(f"""
+SELECT policy, threshold, {_summary_select('tp', 'fp', 'n', 'P')}
+FROM (
+  SELECT 'outreach' AS policy, * FROM o
+  UNION ALL
+  SELECT 'high', * FROM (SELECT CASE WHEN h.threshold < o.threshold THEN o.threshold ELSE h.threshold END AS threshold,
+      CASE WHEN h.threshold < o.threshold THEN o.tp ELSE h.tp END AS tp,
+      CASE WHEN h.threshold < o.threshold THEN o.fp ELSE h.fp END AS fp,
+      h.n, h.P
+    FROM h CROSS JOIN o)
+)""", _CAND_CTE + """,
+o AS (SELECT threshold, tp, fp, n, P FROM sw ORDER BY (4999 * tp - 150 * (tp + fp)) DESC, prec_raw DESC, rec_raw DESC, threshold ASC LIMIT 1),
+valid AS (SELECT * FROM sw WHERE tp > 0 AND prec_raw >= 0.8::DOUBLE),
+h AS (
+  SELECT threshold, tp, fp, n, P FROM valid ORDER BY rec_raw DESC, prec_raw DESC, threshold ASC LIMIT 1
+),
+h2 AS (SELECT 1)""".replace("""h AS (
+  SELECT threshold, tp, fp, n, P FROM valid ORDER BY rec_raw DESC, prec_raw DESC, threshold ASC LIMIT 1
+),
+h2 AS (SELECT 1)""", """h AS (
+  SELECT threshold, tp, fp, n, P FROM (
+    SELECT *, 0 AS grp, rec_raw AS key1 FROM valid
+    UNION ALL
+    SELECT *, 1 AS grp, (1.25::DOUBLE * prec_raw * rec_raw) / (0.25::DOUBLE * prec_raw + rec_raw + 1e-9::DOUBLE) AS key1
+    FROM sw WHERE NOT EXISTS (SELECT 1 FROM valid)
+  ) ORDER BY grp, key1 DESC, prec_raw DESC, threshold ASC LIMIT 1
+)"""))
+
+_TIER = f"CASE WHEN score >= {dbl(VIEW_HIGH)} THEN 'HIGH' WHEN score >= {dbl(VIEW_OUTREACH)} THEN 'MID' ELSE 'LOW' END"
+_PCT = pct_sql("score")
+
+_TIER_COUNTS_SQL = with_leads(f"""
+SELECT tier, count(s.student_id) AS students
+FROM (VALUES ('HIGH'), ('MID'), ('LOW')) t(tier) LEFT JOIN (SELECT student_id, {_TIER} AS tr FROM scored2) s ON s.tr = t.tier
+GROUP BY tier""")
+
+_ACTIONS = {k: v.replace("'", "''") for k, v in S.TIER_ACTIONS.items()}
+_TIER_ACTIONS_SQL = with_leads(f"""
+SELECT student_id, tier,
+  CASE tier WHEN 'HIGH' THEN '{_ACTIONS['HIGH']}' WHEN 'MID' THEN '{_ACTIONS['MID']}' WHEN 'LOW' THEN '{_ACTIONS['LOW']}' END AS action
+FROM (SELECT student_id, {_TIER} AS tier FROM scored2)""")
+
+_PRED_SQL = with_leads(f"""
+SELECT student_id, purchase_probability, predicted_tier, actual_purchased, correct FROM (
+  SELECT student_id, {_PCT} AS purchase_probability, {_TIER} AS predicted_tier,
+    CAST(purchased_paid_course AS INTEGER) AS actual_purchased,
+    CAST(CAST(score >= {dbl(VIEW_HIGH)} AS INTEGER) = purchased_paid_course AS INTEGER) AS correct, score
+  FROM scored2)
+WHERE predicted_tier IN ('HIGH', 'MID', 'LOW') AND correct = 0
+ORDER BY score DESC, student_id""")
+
+_FULL_SQL = f"""SELECT student_id, {_PCT} AS purchase_probability, {_TIER} AS predicted_tier,
+  CAST(purchased_paid_course AS INTEGER) AS actual_purchased, course_interest, last_login_days_ago AS days_since_login
+FROM scored2 ORDER BY score DESC, student_id"""
+
+_SIGNALS = f"""ai_mentor_total_messages AS ai_mentor_messages,
+  {r2('ai_mentor_recency_weight')} AS ai_mentor_recency_score,
+  pricing_page_visits, cart_items_count AS cart_items,
+  {r2('community_depth')} AS community_depth_score,
+  {r2('mock_commitment')} AS mock_test_commitment,
+  current_streak_days, last_login_days_ago AS days_since_login"""
+
+_DASH = f"""dv AS (
+  SELECT student_id, {_PCT} AS purchase_probability, {_TIER} AS tier, last_login_days_ago AS days_since_login FROM scored2
+)"""
+
+_BUCKET = """CASE WHEN p <= 20 THEN '0-20%' WHEN p <= 40 THEN '20-40%' WHEN p <= 60 THEN '40-60%'
+  WHEN p <= 80 THEN '60-80%' ELSE '80-100%' END"""
+
+
+def _hist_sql(bins: int, by_class: bool) -> str:
+    width = 1.0 / bins
+    b = f"CAST(least(floor(score * {dbl(bins)}), {bins - 1}) AS INTEGER)"
+    if by_class:
+        return with_leads(f"""
+SELECT label, bin, {r6(f'bin * {dbl(width)}')} AS bin_start, students,
+  {r6(f'students / (class_n * {dbl(width)})')} AS density
+FROM (SELECT CAST(purchased_paid_course AS INTEGER) AS label, {b} AS bin, count(*) AS students FROM scored2 GROUP BY 1, 2) h
+JOIN (SELECT CAST(purchased_paid_course AS INTEGER) AS label, count(*) AS class_n FROM scored2 GROUP BY 1) c USING (label)""")
+    return with_leads(f"""
+SELECT bin, {r6(f'bin * {dbl(width)}')} AS bin_start, students,
+  {r6(f'students / ((SELECT count(*) FROM scored2) * {dbl(width)})')} AS density
+FROM (SELECT {b} AS bin, count(*) AS students FROM scored2 GROUP BY 1)""")
+
+
+ORACLES.update({
+    "validation_report": _validation_sql(),
+    "global_rank": _GLOBAL_RANK_SQL,
+    "decile_table": _DECILE_SQL,
+    "lift": _LIFT_SQL,
+    "gains_curve": _GAINS_SQL,
+    "ranking_metrics": _metrics_sql("score_tied"),
+    "ranking_metrics_raw": _metrics_sql("score"),
+    "roc_points": _ROC_SQL,
+    "pr_points": _PR_SQL,
+    "calibration_bins": _CALIB_SQL,
+    "confusion": _CONFUSION_SQL,
+    "threshold_summary": _SUMMARY_SQL,
+    "threshold_candidates": _CAND_SQL,
+    "threshold_sweep": _SWEEP_SQL,
+    "learned_policy": _POLICY_SQL,
+    "tier_counts": _TIER_COUNTS_SQL,
+    "tier_actions": _TIER_ACTIONS_SQL,
+    "prediction_table": _PRED_SQL,
+    "full_scored": with_leads(_FULL_SQL),
+    "full_preview": with_leads(_FULL_SQL + "\nLIMIT 100"),
+    "full_totals": with_leads(f"""SELECT count(*) AS total_students,
+  CAST(sum(purchased_paid_course) AS BIGINT) AS actual_buyers,
+  count(*) FILTER (WHERE score >= {dbl(VIEW_HIGH)}) AS high_tier_count FROM scored2"""),
+    "course_options": with_leads("""SELECT DISTINCT course_interest FROM scored2 WHERE purchased_paid_course = 0
+ORDER BY course_interest NULLS FIRST"""),
+    "student_cards": with_leads(f"""SELECT student_id, score, {_TIER} AS tier, {_SIGNALS}, {TOP_SIGNAL_SQL} AS top_signal
+FROM scored2"""),
+    "id_search": with_leads(f"""SELECT * FROM (
+  SELECT student_id, {_PCT} AS purchase_probability, {_TIER} AS tier, course_interest,
+    last_login_days_ago AS days_since_login FROM scored2)
+WHERE contains(lower(student_id), '7') AND tier = 'MID'
+ORDER BY days_since_login ASC NULLS FIRST, student_id"""),
+    "dashboard_summary": with_leads(f"""SELECT count(*) AS total, count(*) FILTER (WHERE tier = 'HIGH') AS high_conversion,
+  {r6('coalesce(sum(CAST(round_even(coalesce(purchase_probability, 0.0::DOUBLE) * 10.0::DOUBLE, 0) AS BIGINT)) / (count(*) * 10.0::DOUBLE), 0.0::DOUBLE)')} AS avg_prob FROM dv""", _DASH),
+    "probability_buckets": with_leads(f"""SELECT CAST(b.pos AS INTEGER) AS pos, b.bucket, count(x.bucket) AS students
+FROM (VALUES (0, '0-20%'), (1, '20-40%'), (2, '40-60%'), (3, '60-80%'), (4, '80-100%')) b(pos, bucket)
+LEFT JOIN (SELECT {_BUCKET} AS bucket FROM (SELECT coalesce(purchase_probability, 0.0::DOUBLE) AS p FROM dv)) x
+  ON x.bucket = b.bucket
+GROUP BY b.pos, b.bucket""", _DASH),
+    "recency_decay": with_leads(f"""SELECT CAST(days_since_login AS BIGINT) AS days_since_login,
+  {r2('sum(CAST(round_even(coalesce(purchase_probability, 0.0::DOUBLE) * 10.0::DOUBLE, 0) AS BIGINT)) / (count(*) * 10.0::DOUBLE)')} AS avg_prob
+FROM dv WHERE days_since_login IS NOT NULL GROUP BY 1 ORDER BY 1""", _DASH),
+    "recency_scatter": with_leads("""SELECT student_id, days_since_login, purchase_probability,
+  coalesce(purchase_probability, 0.0::DOUBLE) > 50 AS above_50 FROM dv""", _DASH),
+    "score_histogram": _hist_sql(40, True),
+    "holdout_histogram": _hist_sql(30, False),
+})
