@@ -249,3 +249,26 @@ def gains_curve(
 def ceil_fraction(n: int, f: float) -> int:
     """Python twin of ``max(1, ceil(n*f))`` for tests."""
     return max(1, int(math.ceil(n * f)))
+
+
+def rank_within_groups(
+    df: DataFrame,
+    group_col: str,
+    order: Sequence[Column],
+    rank_col: str = "rank",
+    num_partitions: int | None = None,
+) -> DataFrame:
+    """1-based rank inside each group, without a per-group window.
+
+    One global rank over ``(group, order...)``; the rank of a group's first
+    row is then subtracted.  The per-group minimum table has one row per
+    group, so it is broadcast only for small group sets (class labels, column
+    names): callers must not use this with an unbounded grouping key.
+    """
+    ranked = global_rank(df, [F.col(group_col).asc_nulls_first(), *order], rank_col="_g_rank",
+                         num_partitions=num_partitions)
+    starts = ranked.groupBy(group_col).agg(
+        F.min("_g_rank").alias("_g_start"), F.count(F.lit(1)).alias("_g_n")
+    )
+    out = ranked.join(F.broadcast(starts), group_col, "inner")
+    return out.withColumn(rank_col, F.col("_g_rank") - F.col("_g_start") + 1).drop("_g_rank", "_g_start")
