@@ -260,3 +260,78 @@ QUERIES.update({
     "score_histogram": q_score_histogram,
     "holdout_histogram": q_holdout_histogram,
 })
+
+
+# ---------------------------------------------------------------------------
+# splits, preprocessing, model
+# ---------------------------------------------------------------------------
+
+from ..operators import split as SP  # noqa: E402
+from ..operators.prep import LeadEncoder, split_column_kinds  # noqa: E402
+
+
+def _assigned(spark, sf_dir):
+    return SP.assign_splits(FE.engineer(TB.leads(spark, sf_dir)))
+
+
+def q_split_assignment(spark, sf_dir):
+    """Split and fold of every student."""
+    return _assigned(spark, sf_dir).select(ID, Y, "split", "fold")
+
+
+def q_split_counts(spark, sf_dir):
+    """Students per split and class."""
+    return SP.class_counts(_assigned(spark, sf_dir))
+
+
+def q_scale_pos_weight(spark, sf_dir):
+    """Negatives / positives on the training split."""
+    return SP.scale_pos_weight(_assigned(spark, sf_dir).where(F.col("split") == "train")).select(
+        round_to("scale_pos_weight", 6).alias("scale_pos_weight")
+    )
+
+
+def q_holdout_lookup(spark, sf_dir):
+    """Re-select the holdout students from the raw table by saved id."""
+    ids = _assigned(spark, sf_dir).where(F.col("split") == "holdout").select(ID)
+    return SP.select_ids(TB.leads(spark, sf_dir), ids).select(ID, Y, "course_interest")
+
+
+def model_columns(df):
+    """F11 + F12: model frame columns (id, target, leaks and split tags removed)."""
+    dropped = S.leak_columns(df.columns)
+    return [c for c in df.columns if c not in {ID, Y, "split", "fold", *dropped}]
+
+
+def _fitted_encoder(spark, sf_dir):
+    assigned = _assigned(spark, sf_dir)
+    train = assigned.where(F.col("split") == "train")
+    cols = model_columns(assigned)
+    cat, num = split_column_kinds(train.select(*cols), exclude=[])
+    return LeadEncoder(cat, num).fit(train)
+
+
+def q_impute_stats(spark, sf_dir):
+    """P2 + P3: training-split median of every numeric and mode of every categorical column."""
+    enc = _fitted_encoder(spark, sf_dir)
+    rows = [(c, "median", float(v), None) for c, v in enc.medians.items()]
+    rows += [(c, "mode", None, v) for c, v in enc.modes.items()]
+    df = spark.createDataFrame(rows, "column string, kind string, number double, text string")
+    return df.select("column", "kind", round_to("number", 6).alias("number"), "text")
+
+
+def q_category_codes(spark, sf_dir):
+    """Ordinal code of every training category value (sorted, 0-based)."""
+    enc = _fitted_encoder(spark, sf_dir)
+    rows = [(c, v, i) for c, vals in enc.categories.items() for i, v in enumerate(vals)]
+    return spark.createDataFrame(rows, "column string, value string, code int")
+
+
+QUERIES.update({
+    "split_assignment": q_split_assignment,
+    "split_counts": q_split_counts,
+    "scale_pos_weight": q_scale_pos_weight,
+    "holdout_lookup": q_holdout_lookup,
+    "impute_stats": q_impute_stats,
+    "category_codes": q_category_codes,
+})

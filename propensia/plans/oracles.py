@@ -393,3 +393,56 @@ FROM dv WHERE days_since_login IS NOT NULL GROUP BY 1 ORDER BY 1""", _DASH),
     "score_histogram": _hist_sql(40, True),
     "holdout_histogram": _hist_sql(30, False),
 })
+
+
+# ---------------------------------------------------------------------------
+# splits and preprocessing
+# ---------------------------------------------------------------------------
+
+_SPLIT_CTE = f"""sp0 AS (
+  SELECT student_id, purchased_paid_course,
+    row_number() OVER (PARTITION BY purchased_paid_course ORDER BY md5('{S.RANDOM_STATE}|split|' || student_id), student_id) AS pos,
+    count(*) OVER (PARTITION BY purchased_paid_course) AS n
+  FROM feat
+),
+sp1 AS (SELECT *, CAST(floor(n * {dbl(S.TEST_SIZE)} + 0.5::DOUBLE) AS BIGINT) AS qh FROM sp0),
+sp2 AS (SELECT *, CAST(floor((n - qh) * {dbl(S.CALIBRATION_SIZE)} + 0.5::DOUBLE) AS BIGINT) AS qc FROM sp1),
+sp AS (
+  SELECT student_id, purchased_paid_course,
+    CASE WHEN pos <= qh THEN 'holdout' WHEN pos <= qh + qc THEN 'calibration' ELSE 'train' END AS split,
+    CASE WHEN pos > qh + qc THEN CAST((pos - qh - qc - 1) % {S.CV_FOLDS} AS INTEGER) END AS fold
+  FROM sp2
+),
+tr AS (SELECT f.* FROM feat f JOIN sp USING (student_id) WHERE sp.split = 'train')"""
+
+
+def _model_cols():
+    cols = [c for c in S.MODEL_SCHEMA_COLUMNS + S.DERIVED_FEATURE_COLUMNS
+            if c not in {S.ID_COLUMN, S.TARGET_COLUMN, *S.LEAKY_COLUMNS}]
+    cat = [c for c in cols if c in S.STRING_COLUMNS]
+    num = [c for c in cols if c not in S.STRING_COLUMNS]
+    return cat, num
+
+
+_CAT, _NUM = _model_cols()
+_UNPIVOT_NUM = f"(UNPIVOT (SELECT {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in _NUM)} FROM tr) ON COLUMNS(*) INTO NAME name VALUE v)"
+_UNPIVOT_CAT = f"(UNPIVOT (SELECT {', '.join(_CAT)} FROM tr) ON COLUMNS(*) INTO NAME name VALUE v)"
+
+ORACLES.update({
+    "split_assignment": with_leads("SELECT student_id, purchased_paid_course, split, fold FROM sp", _SPLIT_CTE),
+    "split_counts": with_leads("""SELECT split, CAST(purchased_paid_course AS INTEGER) AS label, count(*) AS students
+FROM sp GROUP BY 1, 2""", _SPLIT_CTE),
+    "scale_pos_weight": with_leads(f"""SELECT {r6('sum(1 - purchased_paid_course) / sum(purchased_paid_course)')} AS scale_pos_weight
+FROM sp WHERE split = 'train'""", _SPLIT_CTE),
+    "holdout_lookup": with_leads("""SELECT l.student_id, l.purchased_paid_course, l.course_interest
+FROM leads l JOIN sp USING (student_id) WHERE sp.split = 'holdout'""", _SPLIT_CTE),
+    "impute_stats": with_leads(f"""SELECT name AS "column", 'median' AS kind, {r6('median(v)')} AS number, CAST(NULL AS VARCHAR) AS text
+FROM {_UNPIVOT_NUM} GROUP BY name
+UNION ALL
+SELECT name, 'mode', CAST(NULL AS DOUBLE), v FROM (
+  SELECT name, v, row_number() OVER (PARTITION BY name ORDER BY count(*) DESC, v ASC) AS rn
+  FROM {_UNPIVOT_CAT} GROUP BY name, v) WHERE rn = 1""", _SPLIT_CTE),
+    "category_codes": with_leads(f"""SELECT name AS "column", v AS value,
+  CAST(dense_rank() OVER (PARTITION BY name ORDER BY v) - 1 AS INTEGER) AS code
+FROM (SELECT DISTINCT name, v FROM {_UNPIVOT_CAT})""", _SPLIT_CTE),
+})
