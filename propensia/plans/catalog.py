@@ -335,3 +335,34 @@ QUERIES.update({
     "impute_stats": q_impute_stats,
     "category_codes": q_category_codes,
 })
+
+
+def q_sparse_profiles(spark, sf_dir):
+    """F14 + F15: short behaviour profiles (from the leads) expanded to full rows."""
+    leads = TB.leads(spark, sf_dir)
+    short = leads.select(ID, *[c for c in FE.PROFILE_INPUTS if c in leads.columns])
+    return FE.expand_profiles(short)
+
+
+def q_model_holdout_report(spark, sf_dir):
+    """M1-M8 end to end (no oracle: a trained model): holdout metrics and policy.
+
+    Trains on the training split with a 10-tree budget and the first
+    candidate (cross-validation is exercised by the tests), calibrates on the
+    calibration split, learns thresholds there, and reports the holdout.
+    """
+    from .training import TrainConfig, train
+
+    art = train(spark, TB.leads(spark, sf_dir), TrainConfig(max_trees=10, run_cv=False))
+    c = art.config
+    row = {k: c[k] for k in ("test_roc_auc", "average_precision", "pr_auc", "brier_score", "top10_lift",
+                             "top10_capture", "top20_lift", "top20_capture", "high_threshold",
+                             "outreach_threshold")}
+    row.update({k: int(c[k]) for k in ("train_rows", "calibration_rows", "test_rows")})
+    return spark.createDataFrame([row])
+
+
+QUERIES.update({
+    "sparse_profiles": q_sparse_profiles,
+    "model_holdout_report": q_model_holdout_report,
+})

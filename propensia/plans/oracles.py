@@ -446,3 +446,35 @@ SELECT name, 'mode', CAST(NULL AS DOUBLE), v FROM (
   CAST(dense_rank() OVER (PARTITION BY name ORDER BY v) - 1 AS INTEGER) AS code
 FROM (SELECT DISTINCT name, v FROM {_UNPIVOT_CAT})""", _SPLIT_CTE),
 })
+
+
+def _profiles_sql() -> str:
+    from ..operators.features import PROFILE_COMPLETION_FLAGS, PROFILE_COURSE_FLAGS, PROFILE_INPUTS, PROFILE_WINDOW
+
+    cols = []
+    for c in S.MODEL_SCHEMA_COLUMNS:
+        t = S.column_type(c).simpleString()
+        sql_t = {"string": "VARCHAR", "int": "INTEGER"}.get(t, "DOUBLE")
+        if c == S.ID_COLUMN or c in PROFILE_INPUTS:
+            e = c
+        elif c in PROFILE_COURSE_FLAGS:
+            e = f"course_interest = '{PROFILE_COURSE_FLAGS[c]}'"
+        elif c in PROFILE_COMPLETION_FLAGS:
+            e = f"profile_completion_pct > {PROFILE_COMPLETION_FLAGS[c]}"
+        elif c == "most_active_time_window":
+            e = f"'{PROFILE_WINDOW}'"
+        elif c == "daily_avg_minutes":
+            e = "total_platform_minutes / greatest(active_days_30d, 1)"
+        elif c == "engagement_intensity":
+            e = "(total_platform_minutes * login_frequency_14d) / 14.0::DOUBLE"
+        elif c == "intent_score":
+            e = "pricing_page_visits * 10 + cart_items_count * 20"
+        elif c == "effective_call_minutes":
+            e = "CASE WHEN CAST(counsellor_call_picked_up AS BOOLEAN) THEN counsellor_call_duration_mins ELSE 0.0 END"
+        else:
+            e = "0"
+        cols.append(f"CAST({e} AS {sql_t}) AS {c}")
+    return with_leads("SELECT " + ",\n  ".join(cols) + "\nFROM leads")
+
+
+ORACLES["sparse_profiles"] = _profiles_sql()
