@@ -73,3 +73,27 @@ def test_entry_contract(spark):
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
     assert set(q) - set(o) == {"model_holdout_report"}
+
+
+def test_upload_stream_scores_valid_and_rejects_invalid(spark, trained):
+    import os
+    import time
+
+    from propensia.streaming.uploads import start
+
+    raw, art = trained
+    base = tempfile.mkdtemp(prefix="stream-", dir="/tmp")
+    inbox = os.path.join(base, "inbox")
+    os.makedirs(inbox)
+    pdf = raw.drop("purchased_paid_course").toPandas()
+    pdf.to_csv(os.path.join(inbox, "upload_1.csv"), index=False)
+    time.sleep(1.1)
+    bad = pdf.copy()
+    bad["coupon_code_applied"] = 7
+    bad.to_csv(os.path.join(inbox, "upload_2.csv"), index=False)
+    q = start(spark, inbox, os.path.join(base, "out"), os.path.join(base, "ckpt"), art)
+    q.awaitTermination(300)
+    scored = spark.read.option("header", True).csv(os.path.join(base, "out", "scored"))
+    assert scored.count() == len(pdf)
+    rejected = spark.read.json(os.path.join(base, "out", "rejected")).collect()
+    assert any("coupon_code_applied" in r["message"] for r in rejected)
