@@ -88,6 +88,22 @@ def category_values(df: DataFrame, cols: list[str]) -> DataFrame:
     return _stack(df, cols, "string").distinct()
 
 
+def fit_categories(df: DataFrame, cat_cols: list[str]) -> dict[str, list[str]]:
+    """Sorted distinct values per categorical column (guarded size, then collected)."""
+    cats_df = category_values(df, cat_cols).persist()
+    n_values = cats_df.count()
+    if n_values > MAX_CATEGORY_VALUES:
+        cats_df.unpersist()
+        raise ValueError(
+            f"{n_values} distinct category values exceed the inline encoder limit {MAX_CATEGORY_VALUES}"
+        )
+    categories: dict[str, list[str]] = {c: [] for c in cat_cols}
+    for r in cats_df.collect():
+        categories[cat_cols[r["c"]]].append(r["v"])
+    cats_df.unpersist()
+    return {c: sorted(v) for c, v in categories.items()}
+
+
 @dataclass
 class LeadEncoderModel:
     """Fitted imputer + ordinal encoder + assembler state."""
@@ -153,16 +169,7 @@ class LeadEncoder:
     def fit(self, df: DataFrame) -> LeadEncoderModel:
         medians = {self.num_cols[r["c"]]: r["median"] for r in exact_medians(df, self.num_cols).collect()}
         modes = {self.cat_cols[r["c"]]: r["mode"] for r in most_frequent(df, self.cat_cols).collect()}
-        cats_df = category_values(df, self.cat_cols)
-        n_values = cats_df.count()
-        if n_values > MAX_CATEGORY_VALUES:
-            raise ValueError(
-                f"{n_values} distinct category values exceed the inline encoder limit {MAX_CATEGORY_VALUES}"
-            )
-        categories: dict[str, list[str]] = {c: [] for c in self.cat_cols}
-        for r in cats_df.collect():
-            categories[self.cat_cols[r["c"]]].append(r["v"])
-        categories = {c: sorted(v) for c, v in categories.items()}
+        categories = fit_categories(df, self.cat_cols)
         dropped = [c for c in self.num_cols if c not in medians] + [c for c in self.cat_cols if c not in modes]
         return LeadEncoderModel(
             cat_cols=self.cat_cols,

@@ -321,9 +321,18 @@ def q_impute_stats(spark, sf_dir):
 
 
 def q_category_codes(spark, sf_dir):
-    """Ordinal code of every training category value (sorted, 0-based)."""
-    enc = _fitted_encoder(spark, sf_dir)
-    rows = [(c, v, i) for c, vals in enc.categories.items() for i, v in enumerate(vals)]
+    """Ordinal code of every training category value (sorted, 0-based).
+
+    Only the category lists are needed (imputing with the mode adds no new
+    value), so no median / mode job runs here.
+    """
+    from ..operators.prep import fit_categories
+
+    assigned = _assigned(spark, sf_dir)
+    train = assigned.where(F.col("split") == "train")
+    cat, _ = split_column_kinds(train.select(*model_columns(assigned)), exclude=[])
+    cats = fit_categories(train, cat)
+    rows = [(c, v, i) for c, vals in cats.items() for i, v in enumerate(vals)]
     return spark.createDataFrame(rows, "column string, value string, code int")
 
 
@@ -366,3 +375,18 @@ QUERIES.update({
     "sparse_profiles": q_sparse_profiles,
     "model_holdout_report": q_model_holdout_report,
 })
+
+
+def q_top_drivers(spark, sf_dir):
+    """M9 (no oracle: a trained model): top-10 path-attribution drivers of every student."""
+    from ..operators.explain import path_contributions, top_drivers
+    from .training import TrainConfig, train
+
+    leads = TB.leads(spark, sf_dir)
+    art = train(spark, leads, TrainConfig(max_trees=10, run_cv=False))
+    encoded = art.encoder.transform(FE.engineer(leads), keep=[ID])
+    contribs = path_contributions(encoded, art.model, ID)
+    return top_drivers(contribs, art.encoder.feature_names(), ID, k=10)
+
+
+QUERIES["top_drivers"] = q_top_drivers

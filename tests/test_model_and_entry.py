@@ -72,7 +72,7 @@ def test_entry_contract(spark):
                           "days_since_login"]
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
-    assert set(q) - set(o) == {"model_holdout_report"}
+    assert set(q) - set(o) == {"model_holdout_report", "top_drivers"}
 
 
 def test_upload_stream_scores_valid_and_rejects_invalid(spark, trained):
@@ -97,3 +97,32 @@ def test_upload_stream_scores_valid_and_rejects_invalid(spark, trained):
     assert scored.count() == len(pdf)
     rejected = spark.read.json(os.path.join(base, "out", "rejected")).collect()
     assert any("coupon_code_applied" in r["message"] for r in rejected)
+
+
+def test_path_contributions_add_up_to_margin(spark, trained):
+    import math
+
+    from pyspark.ml.functions import vector_to_array
+
+    from propensia.operators.explain import path_contributions, top_drivers
+    from propensia.operators.features import engineer
+
+    raw, art = trained
+    enc = art.encoder.transform(engineer(raw), keep=["student_id"])
+    contrib = path_contributions(enc, art.model, "student_id")
+    rows = {r["student_id"]: r for r in contrib.collect()}
+    probs = {r["student_id"]: r["p"] for r in art.model.transform(enc).select(
+        "student_id", vector_to_array("probability")[1].alias("p")).collect()}
+    for sid, r in rows.items():
+        assert r["base"] + sum(r["contributions"]) == pytest.approx(r["margin"], abs=1e-9)
+        assert 1 / (1 + math.exp(-2 * r["margin"])) == pytest.approx(probs[sid], abs=1e-9)
+    top = top_drivers(contrib, art.encoder.feature_names(), "student_id", k=10).collect()
+    per = {}
+    for t in top:
+        per.setdefault(t["student_id"], []).append(t)
+    for sid, ts in per.items():
+        assert len(ts) == 10
+        ranked = sorted(ts, key=lambda t: t["driver_rank"])
+        assert all(a["abs_contribution"] >= b["abs_contribution"] for a, b in zip(ranked, ranked[1:]))
+        best = max(abs(v) for v in rows[sid]["contributions"])
+        assert ranked[0]["abs_contribution"] == pytest.approx(best)
