@@ -390,3 +390,19 @@ def q_top_drivers(spark, sf_dir):
 
 
 QUERIES["top_drivers"] = q_top_drivers
+
+
+def q_holdout_policy_card(spark, sf_dir):
+    """B7 with T1-T6 and D1-D2: thresholds learned on the calibration split,
+    both evaluated on the holdout (precision / recall / profit per policy)."""
+    assigned = SP.assign_splits(TB.scored_leads(spark, sf_dir))
+    cal = assigned.where(F.col("split") == "calibration")
+    hold = assigned.where(F.col("split") == "holdout")
+    policy = {r["policy"]: r["threshold"] for r in TH.learn_policy(cal, SCORE, Y).collect()}  # two rows
+    # distinct thresholds: when both policies share one, each name still joins one row
+    summ = M.threshold_summary(hold, SCORE, Y, sorted({policy["high"], policy["outreach"]}))
+    names = spark.createDataFrame([(k, float(v)) for k, v in policy.items()], "policy string, threshold double")
+    return names.join(F.broadcast(summ), "threshold").select("policy", *summ.columns)
+
+
+QUERIES["holdout_policy_card"] = q_holdout_policy_card

@@ -478,3 +478,51 @@ def _profiles_sql() -> str:
 
 
 ORACLES["sparse_profiles"] = _profiles_sql()
+
+
+def policy_ctes(src: str, prefix: str) -> str:
+    """Candidates, direct sweep and both picks over relation ``src`` (brute force)."""
+    p = prefix
+    return f"""{p}cand AS (
+  SELECT DISTINCT least(greatest(t, {dbl(S.THRESHOLD_CLIP[0])}), {dbl(S.THRESHOLD_CLIP[1])}) AS threshold
+  FROM (SELECT round_even(score * 10000.0::DOUBLE, 0) / 10000.0::DOUBLE AS t FROM {src}
+        UNION ALL SELECT * FROM (VALUES {_ANCHORS}) a(t))
+),
+{p}tot AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum(purchased_paid_course) AS DOUBLE) AS P FROM {src}),
+{p}sw AS (
+  SELECT c.threshold, tp, fp, n, P, tp / (tp + fp + 1e-9::DOUBLE) AS prec_raw, tp / (tp + (P - tp) + 1e-9::DOUBLE) AS rec_raw
+  FROM (
+    SELECT c.threshold,
+      CAST(count(*) FILTER (WHERE s.score >= c.threshold AND s.purchased_paid_course = 1) AS DOUBLE) AS tp,
+      CAST(count(*) FILTER (WHERE s.score >= c.threshold AND s.purchased_paid_course = 0) AS DOUBLE) AS fp
+    FROM {p}cand c CROSS JOIN {src} s GROUP BY c.threshold
+  ) c CROSS JOIN {p}tot
+),
+{p}o AS (SELECT threshold FROM {p}sw
+  ORDER BY ({S.COURSE_PRICE_INR} * tp - {S.CALL_COST_INR} * (tp + fp)) DESC, prec_raw DESC, rec_raw DESC, threshold ASC LIMIT 1),
+{p}valid AS (SELECT * FROM {p}sw WHERE tp > 0 AND prec_raw >= {dbl(S.HIGH_PRECISION_TARGET)}),
+{p}h0 AS (
+  SELECT threshold FROM (
+    SELECT *, 0 AS grp, rec_raw AS key1 FROM {p}valid
+    UNION ALL
+    SELECT *, 1 AS grp, (1.25::DOUBLE * prec_raw * rec_raw) / (0.25::DOUBLE * prec_raw + rec_raw + 1e-9::DOUBLE)
+    FROM {p}sw WHERE NOT EXISTS (SELECT 1 FROM {p}valid)
+  ) ORDER BY grp, key1 DESC, prec_raw DESC, threshold ASC LIMIT 1
+),
+{p}h AS (SELECT CASE WHEN h.threshold < o.threshold THEN o.threshold ELSE h.threshold END AS threshold
+  FROM {p}h0 h CROSS JOIN {p}o o)"""
+
+
+_CARD_SQL = with_leads(f"""
+SELECT pol.policy, pol.threshold, {_summary_select('tp', 'fp', 'n', 'P')}
+FROM (SELECT 'high' AS policy, threshold FROM cal_h UNION ALL SELECT 'outreach', threshold FROM cal_o) pol
+CROSS JOIN LATERAL (
+  SELECT CAST(count(*) FILTER (WHERE score >= pol.threshold AND purchased_paid_course = 1) AS DOUBLE) AS tp,
+         CAST(count(*) FILTER (WHERE score >= pol.threshold AND purchased_paid_course = 0) AS DOUBLE) AS fp,
+         CAST(count(*) AS DOUBLE) AS n, CAST(sum(purchased_paid_course) AS DOUBLE) AS P
+  FROM hold) x""", _SPLIT_CTE + """,
+cal AS (SELECT s.* FROM scored2 s JOIN sp USING (student_id) WHERE sp.split = 'calibration'),
+hold AS (SELECT s.* FROM scored2 s JOIN sp USING (student_id) WHERE sp.split = 'holdout'),
+""" + policy_ctes("cal", "cal_"))
+
+ORACLES["holdout_policy_card"] = _CARD_SQL
