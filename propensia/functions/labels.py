@@ -50,8 +50,12 @@ def probability_pct(score: Column) -> Column:
 
 
 def percent_label(score: Column) -> Column:
-    """L2: display text such as ``42.1%`` (numeric columns stay the truth)."""
-    return F.format_string("%.1f%%", score * F.lit(100.0))
+    """L2: display text such as ``42.1%`` (numeric columns stay the truth).
+
+    The percentage is rounded first (half-even, as the numeric column) and
+    then printed, so the JVM formatter and C-style printf agree on every value.
+    """
+    return F.format_string("%.1f%%", probability_pct(score))
 
 
 def rint_to(x: Column, places: int) -> Column:

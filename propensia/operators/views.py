@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import round_to
 
 from .. import schema as S
-from ..functions.labels import probability_pct, tier_by_capacity, tier_by_threshold, top_signal
+from ..functions.labels import percent_label, probability_pct, tier_by_capacity, tier_by_threshold, top_signal
 from .features import signal_columns
 from .rank import attach_scalars, global_rank, score_order
 
@@ -166,6 +166,7 @@ def student_cards(df: DataFrame, score_col: str, high: float, outreach: float) -
     return df.select(
         F.col(ID).cast("string").alias("student_id"),
         F.col(score_col).alias("score"),
+        percent_label(F.col(score_col)).alias("probability_label"),
         tier_by_threshold(F.col(score_col), high, outreach).alias("tier"),
         *[e.alias(k) for k, e in signal_columns().items()],
         top_signal().alias("top_signal"),

@@ -371,7 +371,7 @@ ORACLES.update({
   count(*) FILTER (WHERE score >= {dbl(VIEW_HIGH)}) AS high_tier_count FROM scored2"""),
     "course_options": with_leads("""SELECT DISTINCT course_interest FROM scored2 WHERE purchased_paid_course = 0
 ORDER BY course_interest NULLS FIRST"""),
-    "student_cards": with_leads(f"""SELECT student_id, score, {_TIER} AS tier, {_SIGNALS}, {TOP_SIGNAL_SQL} AS top_signal
+    "student_cards": with_leads(f"""SELECT student_id, score, printf('%.1f%%', {_PCT}) AS probability_label, {_TIER} AS tier, {_SIGNALS}, {TOP_SIGNAL_SQL} AS top_signal
 FROM scored2"""),
     "id_search": with_leads(f"""SELECT * FROM (
   SELECT student_id, {_PCT} AS purchase_probability, {_TIER} AS tier, course_interest,

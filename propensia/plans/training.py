@@ -105,8 +105,17 @@ def cross_validate(train_rows: DataFrame, cols: list[str], cfg: TrainConfig) ->
             val = model.transform(_encode(enc, val_rows, [ID, Y], None))
             val = MD.raw_probability(val)
             folds.append(_metrics_row(val, "raw_score"))
-        mean = {k: sum(f[k] for f in folds) / len(folds) for k in folds[0]}
-        results.append({"name": cand["name"], "params": cand["params"], "fold_metrics": folds, "mean_metrics": mean})
+        results.append({"name": cand["name"], "params": cand["params"], "fold_metrics": folds})
+    # Per-candidate means over folds (one small DataFrame, one row per fold)
+    spark = train_rows.sparkSession
+    metric_names = list(results[0]["fold_metrics"][0])
+    folds_df = spark.createDataFrame(
+        [(r["name"], i, *[float(f[m]) for m in metric_names]) for r in results for i, f in enumerate(r["fold_metrics"])],
+        "candidate string, fold int, " + ", ".join(f"{m} double" for m in metric_names),
+    )
+    means = {r["candidate"]: r.asDict() for r in M.fold_summary(folds_df).collect()}
+    for r in results:
+        r["mean_metrics"] = {m: means[r["name"]][m] for m in metric_names}
     return MD.best_candidate(results), results
 
 

@@ -45,10 +45,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def order_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-customer order aggregates around the cut-off."""
     d = F.col("o_orderdate")
-    # orders on or after the label window's end affect no column: pushed to the scan
-    o = read_table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate").where(
-        d < F.lit(LABEL_END).cast("timestamp")
-    )
+    # No date predicate on the scan: a customer whose only orders are later
+    # still gets a profile row (zero counts), which a pushed filter would drop.
+    o = read_table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate")
     prior = d < F.lit(CUTOFF).cast("timestamp")
     in_label = (d >= F.lit(CUTOFF).cast("timestamp")) & (d < F.lit(LABEL_END).cast("timestamp"))
     recent = (d >= F.lit(RECENT_START).cast("timestamp")) & prior
