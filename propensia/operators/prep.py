@@ -73,6 +73,21 @@ def exact_medians(df: DataFrame, cols: list[str]) -> DataFrame:
     return picked.select("c", ((F.col("lo") + F.col("hi")) / F.lit(2.0)).alias("median"))
 
 
+def approx_medians(df: DataFrame, cols: list[str], relative_error: float) -> DataFrame:
+    """(column index, median) from bounded-size quantile sketches (one scan, one agg).
+
+    For very wide tables with continuous columns, where even the distinct
+    (column, value) table is large.  Not interpolated: the sketch returns an
+    observed value whose rank is within ``relative_error * n`` of the middle.
+    """
+    if not cols:
+        return df.sparkSession.createDataFrame([], "c int, median double")
+    accuracy = max(1, int(round(1.0 / relative_error)))
+    one = df.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5, accuracy).alias(f"_m{i}") for i, c in enumerate(cols)])
+    rows = F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"_m{i}").alias("median")) for i in range(len(cols))])
+    return one.select(F.explode(rows).alias("r")).select("r.*").where(F.col("median").isNotNull())
+
+
 def most_frequent(df: DataFrame, cols: list[str]) -> DataFrame:
     """(column index, mode): highest count, ties to the smallest value."""
     if not cols:
@@ -161,13 +176,17 @@ class LeadEncoderModel:
 class LeadEncoder:
     """P2-P4 estimator: most-frequent / median imputation and ordinal codes."""
 
-    def __init__(self, cat_cols: list[str], num_cols: list[str], output_col: str = "features"):
+    def __init__(self, cat_cols: list[str], num_cols: list[str], output_col: str = "features",
+                 median_error: float | None = None):
         self.cat_cols = list(cat_cols)
         self.num_cols = list(num_cols)
         self.output_col = output_col
+        self.median_error = median_error  # None: exact (the reference's behaviour)
 
     def fit(self, df: DataFrame) -> LeadEncoderModel:
-        medians = {self.num_cols[r["c"]]: r["median"] for r in exact_medians(df, self.num_cols).collect()}
+        med_df = (approx_medians(df, self.num_cols, self.median_error) if self.median_error
+                  else exact_medians(df, self.num_cols))
+        medians = {self.num_cols[r["c"]]: r["median"] for r in med_df.collect()}
         modes = {self.cat_cols[r["c"]]: r["mode"] for r in most_frequent(df, self.cat_cols).collect()}
         categories = fit_categories(df, self.cat_cols)
         dropped = [c for c in self.num_cols if c not in medians] + [c for c in self.cat_cols if c not in modes]

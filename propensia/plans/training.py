@@ -48,6 +48,7 @@ class TrainConfig:
     min_precision: float = S.HIGH_PRECISION_TARGET
     seed: int = S.RANDOM_STATE
     expected_columns: list[str] = field(default_factory=lambda: list(S.MODEL_SCHEMA_COLUMNS))
+    median_error: float | None = None  # None = exact medians; e.g. 1e-4 for sketch medians at scale
 
 
 @dataclass
@@ -85,7 +86,7 @@ def _metrics_row(df: DataFrame, score_col: str) -> dict:
 
 def _fit(train_rows: DataFrame, cols: list[str], params: dict, cfg: TrainConfig):
     cat, num = split_column_kinds(train_rows.select(*cols), exclude=[])
-    enc = LeadEncoder(cat, num).fit(train_rows)
+    enc = LeadEncoder(cat, num, median_error=cfg.median_error).fit(train_rows)
     spw = _spw(train_rows)
     data = _encode(enc, train_rows, [ID, Y], spw).persist()
     model = MD.make_classifier(params, cfg.max_trees, cfg.seed).fit(data)

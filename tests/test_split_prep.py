@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from propensia.operators.prep import LeadEncoder, exact_medians, most_frequent
+from propensia.operators.prep import LeadEncoder, approx_medians, exact_medians, most_frequent
 from propensia.operators.split import assign_splits, select_ids
 from propensia.sources.files import read_students_csv
 
@@ -75,3 +75,10 @@ def test_csv_ingest_na_tokens(spark):
     assert [r["session_depth"] for r in df] == [12.0, None, 12.0, 1000.0, None]
     assert [r["ai_mentor_topic"] for r in df] == ["none", None, None, None, None]
     assert [r["coupon_code_applied"] for r in df] == [1, 0, None, 1, None]
+
+
+def test_approx_medians_within_rank_error(spark):
+    vals = [float(i) for i in range(2001)]
+    df = spark.createDataFrame([(v,) for v in vals], "a double")
+    m = approx_medians(df, ["a"], 0.001).first()["median"]
+    assert abs(m - 1000.0) <= 0.001 * 2001 + 1
