@@ -57,7 +57,7 @@ def exact_medians(df: DataFrame, cols: list[str]) -> DataFrame:
         return df.sparkSession.createDataFrame([], "c int, median double")
     counts = _stack(df, cols, "double").groupBy("c", "v").agg(F.count(F.lit(1)).cast("double").alias("cnt"))
     ranked = global_rank(counts, [F.col("c").asc(), F.col("v").asc()], rank_col="_k", sums={"cum": "cnt"})
-    per_col = counts.groupBy("c").agg(F.sum("cnt").alias("m"))
+    per_col = ranked.groupBy("c").agg(F.sum("cnt").alias("m"))  # from the checkpointed table
     before = Window.orderBy("c").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_col.select("c", "m", F.coalesce(F.sum("m").over(before), F.lit(0.0)).alias("off"))
     j = ranked.join(F.broadcast(offsets), "c")  # one row per column
@@ -103,22 +103,39 @@ def category_values(df: DataFrame, cols: list[str]) -> DataFrame:
     return _stack(df, cols, "string").distinct()
 
 
+def _category_counts(df: DataFrame, cat_cols: list[str]) -> list:
+    """(column index, value, count) rows, collected only below the size guard."""
+    if not cat_cols:
+        return []
+    counts = _stack(df, cat_cols, "string").groupBy("c", "v").agg(F.count(F.lit(1)).alias("cnt"))
+    # one job: fetch at most guard + 1 rows, so an oversized table is detected without collecting it
+    rows = counts.limit(MAX_CATEGORY_VALUES + 1).collect()
+    if len(rows) > MAX_CATEGORY_VALUES:
+        raise ValueError(f"more than {MAX_CATEGORY_VALUES} distinct category values: use a join-based encoder")
+    return rows
+
+
 def fit_categories(df: DataFrame, cat_cols: list[str]) -> dict[str, list[str]]:
     """Sorted distinct values per categorical column (guarded size, then collected)."""
-    cats_df = category_values(df, cat_cols).persist()
-    n_values = cats_df.count()
-    if n_values > MAX_CATEGORY_VALUES:
-        cats_df.unpersist()
-        raise ValueError(
-            f"{n_values} distinct category values exceed the inline encoder limit {MAX_CATEGORY_VALUES}"
-        )
     categories: dict[str, list[str]] = {c: [] for c in cat_cols}
-    for r in cats_df.collect():
+    for r in _category_counts(df, cat_cols):
         categories[cat_cols[r["c"]]].append(r["v"])
-    cats_df.unpersist()
     return {c: sorted(v) for c, v in categories.items()}
 
 
+def _modes_and_categories(df: DataFrame, cat_cols: list[str]) -> tuple[dict, dict]:
+    """P2 + P4 from one count job: mode = highest count, ties to the smallest value."""
+    best: dict[str, tuple] = {}
+    categories: dict[str, list[str]] = {c: [] for c in cat_cols}
+    for r in _category_counts(df, cat_cols):
+        name = cat_cols[r["c"]]
+        categories[name].append(r["v"])
+        key = (-r["cnt"], r["v"])
+        if name not in best or key < best[name]:
+            best[name] = key
+    return {c: k[1] for c, k in best.items()}, {c: sorted(v) for c, v in categories.items()}
+
+
 @dataclass
 class LeadEncoderModel:
     """Fitted imputer + ordinal encoder + assembler state."""
@@ -187,8 +204,7 @@ class LeadEncoder:
         med_df = (approx_medians(df, self.num_cols, self.median_error) if self.median_error
                   else exact_medians(df, self.num_cols))
         medians = {self.num_cols[r["c"]]: r["median"] for r in med_df.collect()}
-        modes = {self.cat_cols[r["c"]]: r["mode"] for r in most_frequent(df, self.cat_cols).collect()}
-        categories = fit_categories(df, self.cat_cols)
+        modes, categories = _modes_and_categories(df, self.cat_cols)
         dropped = [c for c in self.num_cols if c not in medians] + [c for c in self.cat_cols if c not in modes]
         return LeadEncoderModel(
             cat_cols=self.cat_cols,

@@ -15,6 +15,9 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # Call-site capture costs several py4j round-trips per Column call while
+    # plans are built; error messages still name the failing expression.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # Broadcast only tables under 32 MB; every explicit broadcast in the
     # library is on a side with a proven bound (partition offsets, code tables).
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
