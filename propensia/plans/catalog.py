@@ -406,3 +406,36 @@ def q_holdout_policy_card(spark, sf_dir):
 
 
 QUERIES["holdout_policy_card"] = q_holdout_policy_card
+
+
+def _csv_copy(spark, sf_dir) -> str:
+    """S3: write the leads as a CSV directory in the shared checkpoint folder."""
+    import uuid
+
+    from ..session import shared_scratch
+    from ..sources.files import write_csv
+
+    path = shared_scratch(spark, f"csv_leads/{uuid.uuid4().hex}")
+    write_csv(TB.leads(spark, sf_dir), path)
+    return path
+
+
+def q_csv_roundtrip(spark, sf_dir):
+    """S1 + S2 + S3: leads -> CSV -> all-string read -> NA tokens / strict numbers -> declared types."""
+    from ..sources.files import read_students_csv
+
+    typed = read_students_csv(spark, _csv_copy(spark, sf_dir))
+    return typed.select(*[F.col(c).cast(S.column_type(c)).alias(c) for c in S.MODEL_SCHEMA_COLUMNS])
+
+
+def q_csv_validation_report(spark, sf_dir):
+    """V1-V16 on the raw all-string CSV frame (V16: text that is not a number)."""
+    from ..sources.files import read_csv_raw
+
+    return VA.validation_report(read_csv_raw(spark, _csv_copy(spark, sf_dir)), require_target=True)
+
+
+QUERIES.update({
+    "csv_roundtrip": q_csv_roundtrip,
+    "csv_validation_report": q_csv_validation_report,
+})

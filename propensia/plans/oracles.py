@@ -63,7 +63,7 @@ def dbl(x: float) -> str:
     return f"{float(x)!r}::DOUBLE"
 
 
-def _validation_sql() -> str:
+def _validation_sql(raw_text: bool = False) -> str:
     rules = [("V5", "student_id", "student_id IS NULL OR trim(student_id) = ''",
               "Blank or missing student_id values detected.")]
     rules.append(("V7", S.TARGET_COLUMN, f"{S.TARGET_COLUMN} IS NOT NULL AND {S.TARGET_COLUMN} NOT IN (0, 1)",
@@ -74,6 +74,12 @@ def _validation_sql() -> str:
         rules.append(("V9", c, f"{c} < 0", f"Column '{c}' contains negative values."))
     for c, (lo, hi) in S.RANGE_RULES.items():
         rules.append(("V10", c, f"{c} < {lo} OR {c} > {hi}", f"Column '{c}' must stay between {lo} and {hi}."))
+    if raw_text:
+        # every numeric column read as text: values that do not parse as a number
+        for c in S.MODEL_SCHEMA_COLUMNS:
+            if c not in S.STRING_COLUMNS:
+                rules.append(("V16", c, f"{c} IS NOT NULL AND TRY_CAST(CAST({c} AS VARCHAR) AS DOUBLE) IS NULL",
+                              f"Column '{c}' contains values that are not numbers."))
     counts = ",\n    ".join(f"count(*) FILTER (WHERE {pred}) AS r{i}" for i, (_, _, pred, _) in enumerate(rules))
     parts = [
         "SELECT 1 AS seq, 'V3' AS rule, CAST(NULL AS VARCHAR) AS \"column\", 'error' AS severity, "
@@ -526,3 +532,7 @@ hold AS (SELECT s.* FROM scored2 s JOIN sp USING (student_id) WHERE sp.split = '
 """ + policy_ctes("cal", "cal_"))
 
 ORACLES["holdout_policy_card"] = _CARD_SQL
+
+
+ORACLES["csv_roundtrip"] = with_leads("SELECT * FROM leads")
+ORACLES["csv_validation_report"] = _validation_sql(raw_text=True)
