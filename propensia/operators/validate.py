@@ -42,9 +42,29 @@ def _numeric(df: DataFrame, name: str) -> Column:
     return to_double(F.col(name), t)
 
 
+def _numeric_columns(df: DataFrame) -> list[str]:
+    return [c for c in S.MODEL_SCHEMA_COLUMNS if c in set(df.columns) and c not in S.STRING_COLUMNS]
+
+
+def _parsed(df: DataFrame) -> DataFrame:
+    """Each numeric-declared column parsed once (``__n_<col>``) beside the raw columns.
+
+    Rules then compare plain doubles; a raw text column is run through the
+    number grammar a single time per value, not once per rule.
+    """
+    return df.select("*", *[_numeric(df, c).alias(f"__n_{c}") for c in _numeric_columns(df)])
+
+
 def _rule_specs(df: DataFrame, require_target: bool) -> list[tuple[str, str, str, Column, str]]:
-    """(rule, column, severity, bad-row predicate, message) in reference order."""
+    """(rule, column, severity, bad-row predicate, message) in reference order.
+
+    ``df`` is the output of ``_parsed``.
+    """
     present = set(df.columns)
+
+    def _numeric(_df, name):  # noqa: F811 - the parsed column, not a re-parse
+        return F.col(f"__n_{name}")
+
     specs: list[tuple[str, str, str, Column, str]] = []
     idc = F.col(S.ID_COLUMN).cast("string")
     specs.append(("V5", S.ID_COLUMN, "error", idc.isNull() | (F.trim(idc) == ""),
@@ -79,17 +99,19 @@ def _rule_specs(df: DataFrame, require_target: bool) -> list[tuple[str, str, str
 def validation_report(df: DataFrame, require_target: bool = True) -> DataFrame:
     """One row per checked rule with its bad-row count (single scan + id count)."""
     spark = df.sparkSession
+    raw = df
+    df = _parsed(raw)
     specs = _rule_specs(df, require_target)
-    present = set(df.columns)
+    present = set(raw.columns)
     aggs = [F.count(F.lit(1)).alias("_n")]
     aggs += [F.count_if(pred).alias(f"_r{i}") for i, (_, _, _, pred, _) in enumerate(specs)]
     if "course_interest" in present:
         aggs.append(F.count_distinct(F.col("course_interest")).alias("_courses"))
     if require_target and S.TARGET_COLUMN in present:
-        aggs.append(F.avg(_numeric(df, S.TARGET_COLUMN)).alias("_rate"))
+        aggs.append(F.avg(F.col(f"__n_{S.TARGET_COLUMN}")).alias("_rate"))
     one = df.agg(*aggs)
 
-    ids = df.groupBy(F.col(S.ID_COLUMN).cast("string").alias("_id")).agg(F.count(F.lit(1)).alias("_c"))
+    ids = raw.groupBy(F.col(S.ID_COLUMN).cast("string").alias("_id")).agg(F.count(F.lit(1)).alias("_c"))
     dups = ids.where(F.col("_c") > 1).agg(
         F.coalesce(F.sum("_c"), F.lit(0)).cast("long").alias("_dup_rows")
     )
