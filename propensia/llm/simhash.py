@@ -197,8 +197,9 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, pair_block: int = PAIR_
     files = distinct.select("fp", F.explode(F.array(*[
         F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(mask)))) for i, mask in triples(max_bits)])).alias("file"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = written(files.repartition(parts, "file").sortWithinPartitions("file", "fp").select("file", "fp")
-                    .mapInArrow(_owner(max_bits, pair_block), "a long, b long"), "simhash_links")
+    found = files.repartition(parts, "file").sortWithinPartitions("file", "fp").select("file", "fp").mapInArrow(
+        _owner(max_bits, pair_block), "a long, b long")
+    found = written(found.coalesce(spark.sparkContext.defaultParallelism), "simhash_links")
     near = found.where("b is not null")
     hot = found.where("b is null").select(F.col("a").alias("fp")).distinct()
     return near.unionByName(ball_links(hot, max_bits)).distinct()
@@ -219,11 +220,12 @@ def star_components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, by alternating large-star and small-star rounds.
 
     Nodes without a link are not in the result.  A round is two aggregations
-    and two joins on the node; every round is written, so a lost executor
-    costs one round at most.
+    and two joins on the node; every round is written (as one file per core, the
+    rows being narrow), so a lost executor costs one round at most.
     """
-    now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(),
-                  "stars")
+    files = edges.sparkSession.sparkContext.defaultParallelism
+    now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+                  .coalesce(files), "stars")
     seen = None
     while True:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -233,7 +235,7 @@ def star_components(edges: DataFrame) -> DataFrame:
         small_of = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_of, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(
             small_of.select("u", F.col("m").alias("v"))).distinct()
-        now = written(small, "stars")
+        now = written(small.coalesce(files), "stars")
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
@@ -247,7 +249,7 @@ def _with_component(docs: DataFrame, id_col: str, text_col: str, shingle: int, m
     records = written(_fingerprinted(docs.withColumn(n["row"], F.monotonically_increasing_id()), text_col, n["fp"], shingle),
                       "simhash_records")
     distinct = records.select(F.col(n["fp"]).alias("fp")).distinct()
-    return records, written(star_components(links(distinct, max_bits, pair_block)), "simhash_components")
+    return records, star_components(links(distinct, max_bits, pair_block))
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
@@ -258,7 +260,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     fps = _fingerprinted(narrow, "text", "fp", shingle).select("doc_id", "fp")
     records = written(fps, "simhash_fingerprints")
     firsts = records.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    linked = written(star_components(links(records.select("fp").distinct(), max_bits, pair_block)), "simhash_components")
+    linked = star_components(links(records.select("fp").distinct(), max_bits, pair_block))
     group = firsts.join(linked.select(F.col("node").alias("fp"), "component"), "fp", "left").select(
         "fp", F.coalesce("component", "fp").alias("component"), "first")
     smallest = group.groupBy("component").agg(F.min("first").alias("component_id"))
