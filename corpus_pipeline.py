@@ -12,7 +12,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from propensia.llm import byte_bpe, exact_dedup, quality_classifier, simhash
+from propensia.llm import byte_bpe, exact_dedup, mixing, quality_classifier, simhash
 from propensia.llm.common import importable, table
 from propensia.llm.queries import BYTE_RANKS
 from propensia.session import shared_scratch
@@ -38,6 +38,11 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.dedup(docs)
 
 
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their rates say; clean ones stay at least once, the rest is thinned out."""
+    return mixing.resample(docs, mixing.label_domains(table(spark, sf_dir, "labels")))
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, decoded again: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     importable(spark)
@@ -49,6 +54,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("quality_classifier", quality),
     ("exact_dedup", exact),
     ("simhash_near_dedup", near),
+    ("source_mixing", mix),
     ("byte_bpe", encode),
 ]
 

@@ -6,7 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, html_extract, quality_classifier, quality_rules, simhash, token_counts, warc
+from . import (
+    byte_bpe,
+    exact_dedup,
+    html_extract,
+    mixing,
+    quality_classifier,
+    quality_rules,
+    simhash,
+    token_counts,
+    toxicity,
+    warc,
+)
 from .common import importable, table
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -14,12 +25,23 @@ BYTE_RANKS = "byte_bpe_50k.tiktoken"
 MAX_TOKENS = 2048
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    domains = mixing.label_domains(table(spark, sf_dir, "labels"))
+    return mixing.document_rates(table(spark, sf_dir, "documents"), domains)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     importable(spark)
     counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_TOKENIZER))
     return counted.withColumn("over_limit", F.col("n_tokens") > MAX_TOKENS)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     importable(spark)
     return simhash.components(table(spark, sf_dir, "documents"))
@@ -60,7 +82,9 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_source_mixing": op1_source_mixing,
     "op2_token_counts": op2_token_counts,
+    "op3_toxicity": op3_toxicity,
     "op4_simhash": op4_simhash,
     "op5_html_extraction": op5_html_extraction,
     "op6_quality_rules": op6_quality_rules,
