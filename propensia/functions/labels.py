@@ -56,9 +56,3 @@ def percent_label(score: Column) -> Column:
     then printed, so the JVM formatter and C-style printf agree on every value.
     """
     return F.format_string("%.1f%%", probability_pct(score))
-
-
-def rint_to(x: Column, places: int) -> Column:
-    """numpy ``round(x, places)``: scale, round half to even, unscale."""
-    f = float(10**places)
-    return F.rint(x * F.lit(f)) / F.lit(f)

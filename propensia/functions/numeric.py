@@ -10,9 +10,11 @@ from .. import schema as S
 
 # Spark's string -> double cast accepts what pandas.to_numeric accepts (sign,
 # digits, fraction, exponent, surrounding blanks, inf / infinity / nan) plus
-# Java's type suffixes ("12d", "12f") and hex floats ("0x1p3").  Those two
-# extras are rejected with plain string tests (no regex in the hot path).
-INF_SPELLINGS = ["inf", "+inf", "-inf"]
+# Java's type suffixes ("12d", "12f") and hex floats ("0x1p3"): those are rejected.
+JAVA_ONLY = "x|d$|[^n]f$"
+# FIXED VALUES: spellings that make a column boolean
+TRUE_TEXTS = ["True", "TRUE", "true"]
+FALSE_TEXTS = ["False", "FALSE", "false"]
 
 
 def is_na_token(c: Column) -> Column:
@@ -26,17 +28,25 @@ def nan_to_null(c: Column) -> Column:
 
 
 def parse_number(c: Column) -> Column:
-    """String -> DOUBLE with pandas ``to_numeric(errors="coerce")`` semantics."""
-    t = F.lower(F.trim(c.cast("string")))
-    java_only = (
-        t.endswith("d")
-        | (t.endswith("f") & ~t.isin(INF_SPELLINGS))
-        | t.contains("x")
-    )
-    # Every NA token either fails the cast or parses to NaN, so NULL / NaN /
-    # NA tokens all come out as NULL without a token lookup here; the lookup
-    # is only needed to tell "missing" from "not a number" (rule V16).
-    return nan_to_null(F.when(~java_only, t.try_cast("double")))
+    """String -> DOUBLE with pandas ``to_numeric(errors="coerce")`` semantics.
+
+    The trimmed text is bound once (a one-element array), so the expression
+    stays small enough to be compiled for a whole row of such columns.
+    """
+    def number(t: Column) -> Column:
+        java_only = t.rlike(JAVA_ONLY)
+        # Every NA token either fails the cast or parses to NaN, so NULL / NaN /
+        # NA tokens all come out as NULL without a token lookup here; the lookup
+        # is only needed to tell "missing" from "not a number" (rule V16).
+        v = F.when(~java_only, t.try_cast("double"))
+        return F.when(~F.isnan(v), v)
+
+    return F.transform(F.array(F.lower(F.trim(c.cast("string")))), number)[0]
+
+
+def parse_binary(c: Column) -> Column:
+    """A 0/1 column: numbers as they are, and the spellings of booleans that a reader infers."""
+    return F.when(c.cast("string").isin(TRUE_TEXTS), 1.0).when(c.cast("string").isin(FALSE_TEXTS), 0.0).otherwise(parse_number(c))
 
 
 def to_double(c: Column, dtype: T.DataType) -> Column:
@@ -57,8 +67,3 @@ def round_to(c: Column, places: int = 6) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     f = float(10**places)
     return F.rint(c * F.lit(f)) / F.lit(f)
-
-
-def r6(c) -> Column:
-    """Output rounding used for every computed double column."""
-    return round_to(F.col(c) if isinstance(c, str) else c, 6)

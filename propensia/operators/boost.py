@@ -1,0 +1,221 @@
+"""Boosted trees for logistic loss (M1): one bounded fit per task, many fits per job.
+
+MLlib grows one tree per job, so a grid of several thousand trees spends its
+time on scheduling.  Here every (candidate, fold) of the grid is one group of
+one Spark job and grows all its trees inside its task, on at most
+``max_fit_rows`` labelled rows (the documented bound of ``TrainConfig``), with
+the usual second-order histogram method: L2 leaf penalty, minimum hessian per
+child, row sampling and column sampling per tree.  Scoring and attribution are
+Arrow passes over all rows.
+
+A model is a dict of flat arrays over all nodes of all trees, so it can be
+written as one row and shipped in a closure.
+"""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .. import schema as S
+from ..session import importable
+
+MAX_BINS = 128
+NODE_FIELDS = ("feature", "threshold", "left", "right", "value")
+
+
+def _edges(col: np.ndarray) -> np.ndarray:
+    """Cut points of one column: between distinct values, or at quantiles when there are many."""
+    values = np.unique(col)
+    if len(values) > MAX_BINS:
+        values = np.unique(np.quantile(col, np.linspace(0, 1, MAX_BINS + 1), method="lower"))
+    return (values[:-1] + values[1:]) / 2
+
+
+def fit_trees(x: np.ndarray, y: np.ndarray, weight: np.ndarray, params: dict, seed: int = S.RANDOM_STATE) -> dict:
+    """Grow the candidate's own number of trees on (rows, features) ``x`` and 0/1 labels ``y``."""
+    depth, rate, trees = int(params["max_depth"]), float(params["learning_rate"]), int(params["n_estimators"])
+    ridge, least = float(params["reg_lambda"]), float(params["min_child_weight"])
+    edges = [_edges(x[:, f]) for f in range(x.shape[1])]
+    used = np.array([f for f, e in enumerate(edges) if len(e)], np.int64)      # constant columns cannot split
+    bins = max((len(edges[f]) + 1 for f in used), default=1)
+    codes = np.stack([np.searchsorted(edges[f], x[:, f], side="left") for f in used], axis=1) if len(used) else np.zeros((len(x), 0), int)
+    rng = np.random.default_rng(seed)
+    margin = np.zeros(len(x))
+    nodes = {k: [] for k in NODE_FIELDS}
+    starts = []
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-margin))
+        grad, hess = weight * (p - y), weight * p * (1 - p)
+        rows = np.flatnonzero(rng.random(len(x)) < float(params["subsample"]))
+        n_cols = max(1, round(float(params["colsample_bytree"]) * len(used))) if len(used) else 0
+        cols = np.sort(rng.choice(len(used), n_cols, replace=False)) if n_cols else np.zeros(0, np.int64)
+        tree = _grow(codes, cols, rows, grad, hess, depth, ridge, least, bins)
+        base = len(nodes["value"])
+        starts.append(base)
+        for feature, cut, left, right, value in tree:
+            f = int(used[feature]) if feature >= 0 else -1
+            nodes["feature"].append(f)
+            nodes["threshold"].append(float(edges[f][cut]) if f >= 0 else 0.0)
+            nodes["left"].append(base + left if f >= 0 else -1)
+            nodes["right"].append(base + right if f >= 0 else -1)
+            nodes["value"].append(rate * value)
+        margin += rate * _leaf_values(tree, codes)
+    return {**{k: np.array(v, np.int64 if k in ("feature", "left", "right") else np.float64) for k, v in nodes.items()},
+            "starts": np.array(starts, np.int64), "n_features": int(x.shape[1])}
+
+
+def _grow(codes, cols, rows, grad, hess, depth, ridge, least, bins) -> list[tuple]:
+    """Nodes (feature position, cut, left, right, value) of one tree, level by level."""
+    leaf = lambda g, h: -g / (h + ridge) if h + ridge > 0 else 0.0
+    tree = [(-1, 0, -1, -1, leaf(grad[rows].sum(), hess[rows].sum()))]
+    open_nodes, at = [0], np.zeros(len(rows), np.int64)
+    sub = codes[np.ix_(rows, cols)]
+    g, h = grad[rows], hess[rows]
+    for _ in range(depth):
+        live = at >= 0
+        if not len(cols) or not open_nodes or not live.any():
+            break
+        size = len(cols) * bins
+        index = (at[live, None] * size + np.arange(len(cols)) * bins + sub[live]).ravel()
+        shape = (len(open_nodes), len(cols), bins)
+        hg = np.bincount(index, np.repeat(g[live], len(cols)), len(open_nodes) * size).reshape(shape).cumsum(axis=2)
+        hh = np.bincount(index, np.repeat(h[live], len(cols)), len(open_nodes) * size).reshape(shape).cumsum(axis=2)
+        tg, th = hg[..., -1:], hh[..., -1:]
+        rg, rh = tg - hg, th - hh
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = hg**2 / (hh + ridge) + rg**2 / (rh + ridge) - tg**2 / (th + ridge)
+        gain[(hh < least) | (rh < least) | ~np.isfinite(gain)] = -np.inf
+        gain = gain[..., :-1].reshape(len(open_nodes), -1)
+        best = gain.argmax(axis=1)
+        moves, new_open = {}, []
+        for k, node in enumerate(open_nodes):
+            if gain[k, best[k]] <= 1e-12:
+                continue
+            c, cut = divmod(int(best[k]), bins - 1)
+            left = len(tree)
+            lg, lh, ag, ah = hg[k, c, cut], hh[k, c, cut], tg[k, c, 0], th[k, c, 0]
+            tree += [(-1, 0, -1, -1, leaf(lg, lh)), (-1, 0, -1, -1, leaf(ag - lg, ah - lh))]
+            tree[node] = (int(cols[c]), cut, left, left + 1, tree[node][4])
+            moves[k] = (c, cut, len(new_open))
+            new_open += [left, left + 1]
+        nxt = np.full(len(at), -1, np.int64)
+        for k, (c, cut, first) in moves.items():
+            here = np.flatnonzero(at == k)
+            nxt[here] = first + (sub[here, c] > cut)
+        at, open_nodes = nxt, new_open
+    return tree
+
+
+def _leaf_values(tree: list[tuple], codes: np.ndarray) -> np.ndarray:
+    feature, cut, left, right = (np.array([t[i] for t in tree], np.int64) for i in range(4))
+    value = np.array([t[4] for t in tree])
+    node = np.zeros(len(codes), np.int64)
+    while True:
+        inner = np.flatnonzero(feature[node] >= 0)
+        if not len(inner):
+            return value[node]
+        at = node[inner]
+        node[inner] = np.where(codes[inner, feature[at]] <= cut[at], left[at], right[at])
+
+
+def margins(model: dict, x: np.ndarray, contributions: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """Margin of each row; with ``contributions`` also the path attribution (rows, features)."""
+    total = np.zeros(len(x))
+    parts = np.zeros((len(x), model["n_features"])) if contributions else None
+    feature, threshold, left, right, value = (model[k] for k in NODE_FIELDS)
+    for start in model["starts"].tolist():
+        node = np.full(len(x), start, np.int64)
+        while True:
+            inner = np.flatnonzero(feature[node] >= 0)
+            if not len(inner):
+                break
+            at = node[inner]
+            f = feature[at]
+            child = np.where(x[inner, f] <= threshold[at], left[at], right[at])
+            if parts is not None:
+                np.add.at(parts, (inner, f), value[child] - value[at])
+            node[inner] = child
+        total += value[node]
+    return total, parts
+
+
+def base_margin(model: dict) -> float:
+    """Sum of the trees' root values: the margin before any split is followed."""
+    return float(model["value"][model["starts"]].sum())
+
+
+def importances(model: dict) -> np.ndarray:
+    """Share of each feature in the squared change of node values (sums to 1 unless there is no split)."""
+    inner = np.flatnonzero(model["feature"] >= 0)
+    value = model["value"]
+    change = (value[model["left"][inner]] - value[inner]) ** 2 + (value[model["right"][inner]] - value[inner]) ** 2
+    out = np.bincount(model["feature"][inner], change, model["n_features"])
+    return out / out.sum() if out.sum() else out
+
+
+def to_json(model: dict) -> str:
+    return json.dumps({k: v.tolist() if isinstance(v, np.ndarray) else v for k, v in model.items()})
+
+
+def from_json(text: str) -> dict:
+    raw = json.loads(text)
+    kinds = {"threshold": np.float64, "value": np.float64}
+    return {k: np.array(v, kinds.get(k, np.int64)) if isinstance(v, list) else v for k, v in raw.items()}
+
+
+def _matrix(pdf: pd.DataFrame, n_features: int) -> np.ndarray:
+    return np.vstack(pdf["_x"].to_numpy()) if len(pdf) else np.zeros((0, n_features))
+
+
+def fit_grid(jobs: DataFrame, candidates: list[dict], seed: int) -> dict[tuple[str, int], dict]:
+    """Models of every (candidate, fold): ``jobs`` holds (fold, id, features, label, weight) rows.
+
+    Each group has at most the caller's ``max_fit_rows`` rows; groups are
+    grown side by side and one row per group comes back.
+    """
+    importable(jobs.sparkSession)
+    names = [c["name"] for c in candidates]
+    params = {c["name"]: c["params"] for c in candidates}
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_id")                 # the row order is the id's, whatever the shuffle did
+        name = pdf["candidate"].iloc[0]
+        x = np.vstack(pdf["_x"].to_numpy())
+        model = fit_trees(x, pdf["label"].to_numpy(), pdf["weight"].to_numpy(), params[name], seed)
+        return pd.DataFrame({"candidate": [name], "fold": [pdf["fold"].iloc[0]], "model": [to_json(model)]})
+
+    rows = jobs.select("fold", F.col("_id"), vector_to_array("features").alias("_x"), "label", "weight",
+                       F.explode(F.array(*[F.lit(n) for n in names])).alias("candidate"))
+    fitted = rows.groupBy("candidate", "fold").applyInPandas(run, "candidate string, fold int, model string").collect()
+    return {(r["candidate"], r["fold"]): from_json(r["model"]) for r in fitted}
+
+
+def score_grid(encoded: DataFrame, models: dict[str, dict], keep: list[str]) -> DataFrame:
+    """``keep`` columns, candidate and raw_score of every row under every model."""
+    importable(encoded.sparkSession)
+    shared = encoded.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for name, model in shared.value.items():
+                out = pdf[keep].copy()
+                out["candidate"] = name
+                out["raw_score"] = 1 / (1 + np.exp(-margins(model, _matrix(pdf, model["n_features"]))[0]))
+                yield out
+
+    schema = T.StructType([*[encoded.schema[c] for c in keep], T.StructField("candidate", T.StringType()),
+                           T.StructField("raw_score", T.DoubleType())])
+    return encoded.select(*keep, vector_to_array("features").alias("_x")).mapInPandas(run, schema)
+
+
+def score_rows(encoded: DataFrame, model: dict, keep: list[str]) -> DataFrame:
+    """M4 / M7: ``keep`` columns and raw_score of every row."""
+    return score_grid(encoded, {"model": model}, keep).drop("candidate")

@@ -3,99 +3,41 @@
 Re-aims the application's per-student SHAP panel as a batch job over every
 student.  Attribution is the path (Saabas) decomposition, not Shapley
 values: along a row's path in each tree, the change of the node value at
-every split is credited to the split's feature, scaled by the tree weight.
+every split is credited to the split's feature.
 Invariant: ``base + sum(contributions) == margin`` (the pre-calibration raw
-margin; probability = 1 / (1 + exp(-2 * margin)) for MLlib's logistic loss).
+margin; probability = 1 / (1 + exp(-margin))).
 
-Tree structure is read once on the driver (bounded: at most 2^(depth+1)
-nodes per tree) and shipped with the closure; rows are walked vectorised in
-Arrow batches by ``mapInPandas``.  The top-k per student is picked in the
-JVM with ``array_sort`` on the contribution array -- no shuffle.
+Trees are flat arrays shipped with the closure; rows are walked vectorised in
+Arrow batches.  The top-k per student is picked in the JVM with ``sort_array``
+on the contribution array -- no shuffle.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassificationModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import importable
+from . import boost
 
-def tree_arrays(model: GBTClassificationModel) -> list[dict]:
-    """Flatten every tree into numpy arrays (feature, threshold, children, value)."""
-    out = []
-    for tree in model.trees:
-        feat, thr, left, right, value = [], [], [], [], []
-
-        def walk(node) -> int:
-            idx = len(value)
-            value.append(float(node.prediction()))
-            feat.append(-1)
-            thr.append(0.0)
-            left.append(-1)
-            right.append(-1)
-            if node.getClass().getSimpleName() == "InternalNode":
-                split = node.split()
-                feat[idx] = int(split.featureIndex())
-                thr[idx] = float(split.threshold())
-                left[idx] = walk(node.leftChild())
-                right[idx] = walk(node.rightChild())
-            return idx
-
-        walk(tree._java_obj.rootNode())
-        out.append({
-            "feature": np.array(feat, dtype=np.int64),
-            "threshold": np.array(thr, dtype=np.float64),
-            "left": np.array(left, dtype=np.int64),
-            "right": np.array(right, dtype=np.int64),
-            "value": np.array(value, dtype=np.float64),
-        })
-    return out
 
+def path_contributions(encoded: DataFrame, model: dict, id_col: str, features_col: str = "features") -> DataFrame:
+    """(id, base, margin, contributions array) for every row."""
+    importable(encoded.sparkSession)
+    shared = encoded.sparkSession.sparkContext.broadcast(model)
 
-def _contributions(trees: list[dict], weights: list[float], n_features: int, id_col: str):
     def run(batches):
+        trees = shared.value
+        base = boost.base_margin(trees)
         for pdf in batches:
-            x = np.vstack(pdf["_x"].to_numpy()) if len(pdf) else np.zeros((0, n_features))
-            n = x.shape[0]
-            contrib = np.zeros((n, n_features))
-            base = 0.0
-            margin = np.zeros(n)
-            rows = np.arange(n)
-            for t, w in zip(trees, weights):
-                base += w * t["value"][0]
-                node = np.zeros(n, dtype=np.int64)
-                while True:
-                    internal = t["left"][node] >= 0
-                    if not internal.any():
-                        break
-                    r = rows[internal]
-                    nd = node[internal]
-                    f = t["feature"][nd]
-                    go_left = x[r, f] <= t["threshold"][nd]
-                    child = np.where(go_left, t["left"][nd], t["right"][nd])
-                    np.add.at(contrib, (r, f), w * (t["value"][child] - t["value"][nd]))
-                    node[internal] = child
-                margin += w * t["value"][node]
-            yield pd.DataFrame({
-                id_col: pdf[id_col].to_numpy(),
-                "base": np.full(n, base),
-                "margin": margin,
-                "contributions": list(contrib),
-            })
-
-    return run
+            margin, parts = boost.margins(trees, boost._matrix(pdf, trees["n_features"]), contributions=True)
+            yield pd.DataFrame({id_col: pdf[id_col].to_numpy(), "base": np.full(len(pdf), base), "margin": margin,
+                                "contributions": list(parts)})
 
-
-def path_contributions(encoded: DataFrame, model: GBTClassificationModel, id_col: str,
-                       features_col: str = "features") -> DataFrame:
-    """(id, base, margin, contributions array) for every row."""
-    trees = tree_arrays(model)
-    weights = [float(w) for w in model.treeWeights]
-    n_features = int(model.numFeatures)
     src = encoded.select(F.col(id_col), vector_to_array(F.col(features_col)).alias("_x"))
     schema = T.StructType([
         T.StructField(id_col, encoded.schema[id_col].dataType, True),
@@ -103,21 +45,13 @@ def path_contributions(encoded: DataFrame, model: GBTClassificationModel, id_col
         T.StructField("margin", T.DoubleType(), False),
         T.StructField("contributions", T.ArrayType(T.DoubleType(), False), False),
     ])
-    return src.mapInPandas(_contributions(trees, weights, n_features, id_col), schema)
+    return src.mapInPandas(run, schema)
 
 
 def top_drivers(contribs: DataFrame, names: list[str], id_col: str, k: int = 10) -> DataFrame:
     """Top-k features per row by absolute contribution (ties: lower feature index)."""
-    c = F.col("contributions")
-    pairs = F.arrays_zip(F.sequence(F.lit(0), F.size(c) - 1).alias("i"), c.alias("v"))
-
-    def cmp(a, b):
-        aa, bb = F.abs(a["v"]), F.abs(b["v"])
-        return (
-            F.when(aa > bb, -1).when(aa < bb, 1).when(a["i"] < b["i"], -1).when(a["i"] > b["i"], 1).otherwise(0)
-        )
-
-    top = F.slice(F.array_sort(pairs, cmp), 1, k)
+    keyed = F.transform("contributions", lambda v, i: F.struct((-F.abs(v)).alias("a"), i.alias("i"), v.alias("v")))
+    top = F.slice(F.sort_array(keyed), 1, k)
     name_arr = F.array(*[F.lit(n) for n in names])
     return contribs.select(F.col(id_col), F.posexplode(top).alias("pos", "p")).select(
         F.col(id_col),

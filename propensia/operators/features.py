@@ -91,7 +91,7 @@ def model_inputs(df: DataFrame, model_input_columns: list[str], dropped: list[st
 # Expand short behaviour profiles into full student rows
 # ---------------------------------------------------------------------------
 
-# Inputs a short profile carries (everything else is constant or derived).
+# FIXED VALUES: inputs a short profile carries (everything else is constant or derived).
 PROFILE_INPUTS = [
     "acquisition_channel",
     "course_interest",
@@ -198,29 +198,3 @@ def signal_columns() -> dict[str, Column]:
         "current_streak_days": c("current_streak_days"),
         "days_since_login": c("last_login_days_ago"),
     }
-
-
-def cast_declared(df: DataFrame) -> DataFrame:
-    """Cast present schema columns to their declared types."""
-    types = {f.name: f.dataType for f in df.schema.fields}
-    out = []
-    for name in df.columns:
-        if name in S.MODEL_SCHEMA_COLUMNS and types[name] != S.column_type(name):
-            out.append(F.col(name).cast(S.column_type(name)).alias(name))
-        else:
-            out.append(F.col(name))
-    return df.select(*out)
-
-
-__all__ = [
-    "fill_defaults",
-    "derived_features",
-    "engineer",
-    "model_frame",
-    "model_inputs",
-    "expand_profiles",
-    "profile_derivations",
-    "signal_columns",
-    "cast_declared",
-    "T",
-]

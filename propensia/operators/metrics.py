@@ -14,68 +14,87 @@ so each is a single aggregate -- no lag, no single-partition window.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import round_to
-
 from .. import schema as S
+from ..functions.numeric import round_to
 from .rank import attach_scalars, global_rank
 
 
-def score_counts(df: DataFrame, score_col: str, label_col: str) -> DataFrame:
+RANK_BLOCK = 100_000      # distinct scores per window partition when neighbours are looked up
+
+
+def score_counts(df: DataFrame, score_col: str, label_col: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """Positives / negatives per distinct score (partial aggregation)."""
     y = F.col(label_col).cast("long")
-    return df.groupBy(F.col(score_col).alias("score")).agg(
+    return df.groupBy(*keys, F.col(score_col).alias("score")).agg(
         F.sum(y).alias("pos"), F.sum(F.lit(1) - y).alias("neg")
     )
 
 
-def score_curve(df: DataFrame, score_col: str, label_col: str, num_partitions: int | None = None) -> DataFrame:
-    """Distinct scores, descending, with cumulative tp / fp and totals P / N."""
-    counts = score_counts(df, score_col, label_col)
-    ranked = global_rank(
-        counts, [F.col("score").desc()], rank_col="k", sums={"tp": "pos", "fp": "neg"}, num_partitions=num_partitions
-    )
-    totals = counts.agg(F.sum("pos").cast("double").alias("P"), F.sum("neg").cast("double").alias("N"))
-    return attach_scalars(ranked, totals)
-
+def score_curve(df: DataFrame, score_col: str, label_col: str, num_partitions: int | None = None,
+                keys: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct scores, descending, with cumulative tp / fp and totals P / N (per ``keys``, if given).
 
-def ranking_metrics(df: DataFrame, score_col: str, label_col: str, num_partitions: int | None = None) -> DataFrame:
-    """E1-E4 in one row: roc_auc, average_precision, pr_auc, brier_score.
-
-    A metric that is undefined (one class only) is NULL instead of an error.
+    One pass over the input: totals and group offsets come from the ranked,
+    checkpointed table of distinct scores.
     """
-    c = score_curve(df, score_col, label_col, num_partitions)
-    prec = F.col("tp") / (F.col("tp") + F.col("fp"))
+    counts = score_counts(df, score_col, label_col, keys)
+    order = [*[F.col(k).asc_nulls_first() for k in keys], F.col("score").desc()]
+    ranked = global_rank(counts, order, rank_col="k", sums={"tp": "pos", "fp": "neg"}, num_partitions=num_partitions)
+    totals = [F.sum("pos").cast("double").alias("P"), F.sum("neg").cast("double").alias("N")]
+    if not keys:
+        return attach_scalars(ranked, ranked.agg(*totals))
+    groups = ranked.groupBy(*keys).agg(*totals, (F.min("k") - 1).alias("_k0"), F.min(F.col("tp") - F.col("pos")).alias("_tp0"),
+                                       F.min(F.col("fp") - F.col("neg")).alias("_fp0"))
+    return ranked.join(groups, list(keys)).withColumns({
+        "k": F.col("k") - F.col("_k0"), "tp": F.col("tp") - F.col("_tp0"), "fp": F.col("fp") - F.col("_fp0"),
+    }).drop("_k0", "_tp0", "_fp0")
+
+
+def ranking_metrics(df: DataFrame, score_col: str, label_col: str, num_partitions: int | None = None,
+                    keys: tuple[str, ...] = ()) -> DataFrame:
+    """roc_auc, average_precision, pr_auc, brier_score; one row, or one per ``keys`` in the same pass.
+
+    A metric that is undefined (one class only, no rows) is NULL instead of an
+    error.  Brier is exact from the score table: pos * (s - 1)^2 + neg * s^2.
+    """
+    c = score_curve(df, score_col, label_col, num_partitions, keys)
+    prec = F.try_divide(F.col("tp"), F.col("tp") + F.col("fp"))
     prev_tp = F.col("tp") - F.col("pos")
     prev_fp = F.col("fp") - F.col("neg")
-    prev_prec = F.when(prev_tp + prev_fp == 0, F.lit(1.0)).otherwise(prev_tp / (prev_tp + prev_fp))
-    curve = c.agg(
+    prev_prec = F.when(prev_tp + prev_fp == 0, F.lit(1.0)).otherwise(F.try_divide(prev_tp, prev_tp + prev_fp))
+    s = F.col("score")
+    aggs = [
         F.first("P").alias("P"),
         F.first("N").alias("N"),
         F.sum(F.col("neg") * (F.lit(2.0) * F.col("tp") - F.col("pos"))).alias("_auc_num"),
         F.sum(F.col("pos") * prec).alias("_ap_num"),
         F.sum(F.col("pos") * (prec + prev_prec) / F.lit(2.0)).alias("_pr_num"),
-    )
-    brier = df.agg(
-        F.avg(F.pow(F.col(score_col) - F.col(label_col).cast("double"), 2)).alias("brier_score")
-    )
-    both = attach_scalars(curve, brier)
-    ok_pos = F.col("P") > 0
-    return both.select(
-        round_to(F.when(ok_pos & (F.col("N") > 0), F.col("_auc_num") / (F.lit(2.0) * F.col("P") * F.col("N"))), 6)
-        .alias("roc_auc"),
-        round_to(F.when(ok_pos, F.col("_ap_num") / F.col("P")), 6).alias("average_precision"),
-        round_to(F.when(ok_pos, F.col("_pr_num") / F.col("P")), 6).alias("pr_auc"),
-        round_to("brier_score", 6).alias("brier_score"),
+        F.sum(F.col("pos") * F.pow(s - F.lit(1.0), 2) + F.col("neg") * F.pow(s, 2)).alias("_sq"),
+    ]
+    curve = c.groupBy(*keys).agg(*aggs) if keys else c.agg(*aggs)
+    return curve.select(
+        *keys,
+        round_to(F.try_divide(F.col("_auc_num"), F.lit(2.0) * F.col("P") * F.col("N")), 6).alias("roc_auc"),
+        round_to(F.try_divide(F.col("_ap_num"), F.col("P")), 6).alias("average_precision"),
+        round_to(F.try_divide(F.col("_pr_num"), F.col("P")), 6).alias("pr_auc"),
+        round_to(F.try_divide(F.col("_sq"), F.col("P") + F.col("N")), 6).alias("brier_score"),
     )
 
 
 def _with_next(curve: DataFrame) -> DataFrame:
-    """Attach the next point's increments (equi-join on rank, no window)."""
-    nxt = curve.select((F.col("k") - 1).alias("k"), F.col("pos").alias("next_pos"), F.col("neg").alias("next_neg"))
-    return curve.join(nxt, "k", "left")
+    """Attach the next point's increments: a window over blocks of the rank, and the first point of the block behind."""
+    block = F.floor((F.col("k") - 1) / RANK_BLOCK)
+    c = curve.withColumn("_block", block)
+    w = Window.partitionBy("_block").orderBy("k")
+    firsts = c.where((F.col("k") - 1) % RANK_BLOCK == 0).select(
+        (F.col("_block") - 1).alias("_block"), F.col("pos").alias("_first_pos"), F.col("neg").alias("_first_neg"))
+    led = c.withColumns({"next_pos": F.lead("pos").over(w), "next_neg": F.lead("neg").over(w)})
+    return led.join(firsts, "_block", "left").withColumns({
+        "next_pos": F.coalesce("next_pos", "_first_pos"), "next_neg": F.coalesce("next_neg", "_first_neg"),
+    }).drop("_block", "_first_pos", "_first_neg")
 
 
 def roc_points(df: DataFrame, score_col: str, label_col: str, num_partitions: int | None = None) -> DataFrame:
@@ -83,22 +102,21 @@ def roc_points(df: DataFrame, score_col: str, label_col: str, num_partitions: in
 
     A middle point is kept when its (neg, pos) increment differs from the next
     one (a nonzero second difference); the first and last are always kept.
-    The origin carries a NULL threshold.
+    The origin carries a NULL threshold; with one class only the rate of the
+    other is NULL.
     """
     c = _with_next(score_curve(df, score_col, label_col, num_partitions))
-    last = c.agg(F.max("k").alias("_kmax"))
-    c = attach_scalars(c, last)
     keep = (
         (F.col("k") == 1)
-        | (F.col("k") == F.col("_kmax"))
+        | F.col("next_pos").isNull()
         | (F.col("next_pos") != F.col("pos"))
         | (F.col("next_neg") != F.col("neg"))
     )
     pts = c.where(keep).select(
         F.col("k").alias("point"),
         F.col("score").alias("threshold"),
-        round_to(F.col("fp") / F.col("N"), 6).alias("fpr"),
-        round_to(F.col("tp") / F.col("P"), 6).alias("tpr"),
+        round_to(F.try_divide(F.col("fp"), F.col("N")), 6).alias("fpr"),
+        round_to(F.try_divide(F.col("tp"), F.col("P")), 6).alias("tpr"),
     )
     origin = df.sparkSession.createDataFrame(
         [(0, None, 0.0, 0.0)], "point long, threshold double, fpr double, tpr double"
@@ -113,10 +131,10 @@ def pr_points(df: DataFrame, score_col: str, label_col: str, num_partitions: int
     pts = c.select(
         F.col("k").alias("point"),
         F.col("score").alias("threshold"),
-        round_to(F.when(tot > 0, F.col("tp") / tot).otherwise(F.lit(0.0)), 6).alias("precision"),
-        round_to(F.when(F.col("P") > 0, F.col("tp") / F.col("P")).otherwise(F.lit(1.0)), 6).alias("recall"),
+        round_to(F.when(tot > 0, F.try_divide(F.col("tp"), tot)).otherwise(F.lit(0.0)), 6).alias("precision"),
+        round_to(F.when(F.col("P") > 0, F.try_divide(F.col("tp"), F.col("P"))).otherwise(F.lit(1.0)), 6).alias("recall"),
     )
-    end = c.agg((F.max("k") + 1).alias("point")).select(
+    end = c.agg((F.coalesce(F.max("k"), F.lit(0)) + 1).alias("point")).select(
         "point",
         F.lit(None).cast("double").alias("threshold"),
         F.lit(1.0).alias("precision"),
@@ -170,7 +188,7 @@ def summary_columns(tp, fp, n, P):
     return {
         "precision": tp / (tp + fp + F.lit(1e-9)),
         "recall": tp / (tp + fn + F.lit(1e-9)),
-        "coverage": (tp + fp) / n,
+        "coverage": F.try_divide(tp + fp, n),
         "profit": (F.lit(S.COURSE_PRICE_INR) * tp - F.lit(S.CALL_COST_INR) * (tp + fp)).cast("long"),
         "true_positive": tp.cast("long"),
         "false_positive": fp.cast("long"),

@@ -1,23 +1,17 @@
-"""Model operators (M1-M8): boosted trees, calibration, scoring, importances.
-
-The reference's booster is replaced by MLlib's ``GBTClassifier`` behind a
-factory.  Known gaps (documented, not hidden): no L2 leaf penalty
-(``reg_lambda``), ``min_child_weight`` maps to ``minInstancesPerNode`` (a row
-count, not a hessian sum), and column sampling is per node rather than per
-tree.  Tree count is a budget parameter (``max_trees``) because MLlib runs
-one distributed job per tree.
+"""Model operators (M1-M8): class weights, calibration, importances, candidate choice.
+
+The trees themselves are in ``boost``; calibration is MLlib's isotonic
+regression on distinct scores with their counts.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .. import schema as S
 from ..functions.numeric import round_to
+from . import boost
 
 
 def class_weight(label_col: str, scale_pos_weight: float) -> F.Column:
@@ -25,40 +19,17 @@ def class_weight(label_col: str, scale_pos_weight: float) -> F.Column:
     return F.when(F.col(label_col) == 1, F.lit(float(scale_pos_weight))).otherwise(F.lit(1.0))
 
 
-def make_classifier(params: dict, max_trees: int | None = None, seed: int = S.RANDOM_STATE,
-                    features_col: str = "features", label_col: str = "label",
-                    weight_col: str = "weight") -> GBTClassifier:
-    """M1: logistic boosted trees from one candidate's parameters."""
-    trees = int(params["n_estimators"])
-    if max_trees is not None:
-        trees = min(trees, int(max_trees))
-    return GBTClassifier(
-        featuresCol=features_col,
-        labelCol=label_col,
-        weightCol=weight_col,
-        maxDepth=int(params["max_depth"]),
-        maxIter=trees,
-        stepSize=float(params["learning_rate"]),
-        subsamplingRate=float(params["subsample"]),
-        featureSubsetStrategy=str(float(params["colsample_bytree"])),
-        minInstancesPerNode=max(1, int(params["min_child_weight"])),
-        maxBins=64,
-        seed=seed,
-        checkpointInterval=10,
-        cacheNodeIds=True,
-        lossType="logistic",
-    )
-
-
-def raw_probability(scored: DataFrame, out_col: str = "raw_score") -> DataFrame:
-    """M4: probability of class 1 as a plain double column."""
-    return scored.withColumn(out_col, vector_to_array(F.col("probability"))[1])
-
-
 def fit_calibrator(cal: DataFrame, raw_col: str = "raw_score", label_col: str = "label") -> IsotonicRegressionModel:
-    """M5: increasing isotonic map fitted on the calibration split only."""
-    iso = IsotonicRegression(featuresCol=raw_col, labelCol=label_col, predictionCol="calibrated", isotonic=True)
-    return iso.fit(cal.select(F.col(raw_col).cast("double"), F.col(label_col).cast("double")))
+    """M5: increasing isotonic map fitted on the calibration split only.
+
+    Equal scores are pooled first (mean label, weight = rows), which is what
+    the fit does with ties, so its input is one row per distinct score.
+    """
+    pooled = cal.groupBy(F.col(raw_col).cast("double").alias(raw_col)).agg(
+        F.avg(F.col(label_col).cast("double")).alias(label_col), F.count(F.lit(1)).cast("double").alias("_rows"))
+    iso = IsotonicRegression(featuresCol=raw_col, labelCol=label_col, weightCol="_rows", predictionCol="calibrated",
+                             isotonic=True)
+    return iso.fit(pooled)
 
 
 def calibrate(df: DataFrame, calibrator: IsotonicRegressionModel, raw_col: str = "raw_score",
@@ -72,31 +43,25 @@ def calibrate(df: DataFrame, calibrator: IsotonicRegressionModel, raw_col: str =
     )
 
 
-def feature_importance(model: GBTClassificationModel, names: list[str], spark, top: int = 15) -> DataFrame:
+def feature_importance(model: dict, names: list[str], spark, top: int = 15) -> DataFrame:
     """M8: the ``top`` largest importances, rounded to 6 places (bounded: one row per feature)."""
-    values = model.featureImportances.toArray().tolist()
+    values = boost.importances(model).tolist()
     df = spark.createDataFrame([(n, float(v)) for n, v in zip(names, values)], "feature string, importance double")
     return df.orderBy(F.col("importance").desc(), F.col("feature")).limit(top).select(
         "feature", round_to(F.col("importance"), 6).alias("importance")
     )
 
 
-def score_with(encoded: DataFrame, model: GBTClassificationModel, calibrator: IsotonicRegressionModel,
-               keep: list[str]) -> DataFrame:
+def score_with(encoded: DataFrame, model: dict, calibrator: IsotonicRegressionModel, keep: list[str]) -> DataFrame:
     """M7: encoded features -> raw probability -> calibrated, clipped score."""
-    pred = model.transform(encoded)
-    pred = raw_probability(pred).select(*keep, "raw_score")
-    return calibrate(pred, calibrator)
-
-
-def best_candidate(rows: list[dict]) -> dict:
-    """M3: max by (average precision, ROC-AUC, -Brier); first wins ties."""
-    def key(r):
-        m = r["mean_metrics"]
-        return (m["average_precision"], m["roc_auc"], -m["brier_score"])
-
-    best = None
-    for r in rows:
-        if best is None or key(r) > key(best):
-            best = r
-    return best
+    return calibrate(boost.score_rows(encoded, model, keep), calibrator)
+
+
+def candidate_order() -> list[F.Column]:
+    """M3: best first by average precision, ROC-AUC, then Brier; the first candidate wins ties."""
+    return [F.col("average_precision").desc(), F.col("roc_auc").desc(), F.col("brier_score").asc(), F.col("position").asc()]
+
+
+def choose_candidate(means: DataFrame) -> DataFrame:
+    """M3: the best row of (candidate, position, mean metrics)."""
+    return means.orderBy(*candidate_order()).limit(1)

@@ -1,31 +1,29 @@
 """Preprocessing estimator (P1-P6): impute, ordinal-encode, assemble.
 
-Fitted state is tiny and bounded -- one median or mode per column plus the
-sorted category list of each categorical column -- so it lives on the driver
-and is applied as literal expressions (no join at transform time).
-
-The statistics are distributed jobs over all columns at once: columns are
-stacked into ``(column, value)`` rows, partially aggregated to distinct
-values with counts, and the exact median positions are found with the
-global rank / running-count skeleton.  ``percentile`` (which buffers every
-value of a group in one task) is never used.
+Fitted state: one median or mode per column (bounded, literal expressions at
+transform time) and the category codes, which may be as many as there are
+rows and therefore stay a DataFrame: codes are looked up by an equi-join whose
+strategy is left to the engine's size estimate.
+
+Medians are exact without sorting a column: one scan builds a quantile sketch
+per column that brackets the middle, a second one counts the values below the
+bracket and keeps only those inside it.
 """
 
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .. import schema as S
-from .rank import global_rank
+from .rank import global_rank, rank_within_groups
 
-# Guard for the inline category lists (sklearn keeps them in memory too).
-MAX_CATEGORY_VALUES = 100_000
+CODES_SCHEMA = "c int, v string, code double"
+SKETCH_ACCURACY = 2_000     # a rank in the sketch is off by at most n / SKETCH_ACCURACY
 
 
 def split_column_kinds(df: DataFrame, exclude: list[str]) -> tuple[list[str], list[str]]:
@@ -38,102 +36,88 @@ def split_column_kinds(df: DataFrame, exclude: list[str]) -> tuple[list[str], li
     return cat, num
 
 
-def _stack(df: DataFrame, cols: list[str], cast: str | None) -> DataFrame:
-    items = [
-        F.struct(F.lit(i).alias("c"), (F.col(c).cast(cast) if cast else F.col(c)).alias("v"))
-        for i, c in enumerate(cols)
-    ]
-    return df.select(F.explode(F.array(*items)).alias("s")).select("s.c", "s.v").where(F.col("v").isNotNull())
+def _number(name: str) -> F.Column:
+    v = F.col(name).cast("double")
+    return F.when(~F.isnan(v), v)
 
 
 def exact_medians(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(column index, median) for every column with at least one non-NULL value.
+    """(column index, median) for every column with at least one number.
 
-    Interpolated like numpy: the mean of the two middle values when the count
-    is even.  Distinct (column, value) pairs are ranked globally with running
-    counts, so no task ever holds a whole column.
+    Three scans: a quantile sketch per column brackets the middle; the values
+    below and inside each bracket are counted; only values inside a bracket
+    that is not a single value are kept, and their exact ranks decide.  Ranks,
+    not the sketch, are what the result rests on: a bracket that misses the
+    middle is opened to the whole column.
     """
+    spark = df.sparkSession
+    empty = spark.createDataFrame([], "c int, median double")
     if not cols:
-        return df.sparkSession.createDataFrame([], "c int, median double")
-    counts = _stack(df, cols, "double").groupBy("c", "v").agg(F.count(F.lit(1)).cast("double").alias("cnt"))
+        return empty
+    numbers = df.select(*[_number(c).alias(f"v{i}") for i, c in enumerate(cols)])
+    around = [0.5 - 2 / SKETCH_ACCURACY, 0.5 + 2 / SKETCH_ACCURACY]
+    sketch = numbers.agg(*[F.percentile_approx(f"v{i}", around, SKETCH_ACCURACY).alias(f"q{i}") for i in range(len(cols))],
+                         *[F.count(f"v{i}").alias(f"n{i}") for i in range(len(cols))]).first()
+    brackets = {i: tuple(map(float, sketch[f"q{i}"])) for i in range(len(cols)) if sketch[f"n{i}"]}
+    if not brackets:
+        return empty
+    seen = numbers.agg(*[F.count_if(F.col(f"v{i}") < lo).alias(f"b{i}") for i, (lo, _) in brackets.items()],
+                       *[F.count_if(F.col(f"v{i}") <= hi).alias(f"e{i}") for i, (_, hi) in brackets.items()]).first()
+    settled, facts = [], []                     # (c, median); (c, lo, hi, numbers, numbers below lo)
+    for i, (lo, hi) in brackets.items():
+        n = int(sketch[f"n{i}"])
+        if not (seen[f"b{i}"] <= (n - 1) // 2 and n // 2 < seen[f"e{i}"]):
+            facts.append((i, float("-inf"), float("inf"), n, 0))
+        elif lo == hi:
+            settled.append((i, lo))
+        else:
+            facts.append((i, lo, hi, n, int(seen[f"b{i}"])))
+    known = spark.createDataFrame(settled, "c int, median double") if settled else empty
+    return known.unionByName(_bracketed_medians(numbers, facts)) if facts else known
+
+
+def _bracketed_medians(numbers: DataFrame, facts: list[tuple[int, float, float, int, int]]) -> DataFrame:
+    """Medians from the values inside each bracket (column, lo, hi, numbers, numbers below lo)."""
+    spark = numbers.sparkSession
+    items = [F.when(F.col(f"v{c}").between(F.lit(lo), F.lit(hi)), F.struct(F.lit(c).alias("c"), F.col(f"v{c}").alias("v")))
+             for c, lo, hi, _, _ in facts]
+    kept = numbers.select(F.explode(F.filter(F.array(*items), lambda s: s.isNotNull())).alias("s")).select("s.c", "s.v")
+    counts = kept.groupBy("c", "v").agg(F.count(F.lit(1)).cast("double").alias("cnt"))
     ranked = global_rank(counts, [F.col("c").asc(), F.col("v").asc()], rank_col="_k", sums={"cum": "cnt"})
-    per_col = ranked.groupBy("c").agg(F.sum("cnt").alias("m"))  # from the checkpointed table
-    before = Window.orderBy("c").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_col.select("c", "m", F.coalesce(F.sum("m").over(before), F.lit(0.0)).alias("off"))
-    j = ranked.join(F.broadcast(offsets), "c")  # one row per column
-    cum_in = F.col("cum") - F.col("off")
-    prev = cum_in - F.col("cnt")
-    p_lo = F.floor((F.col("m") - 1) / 2)
-    p_hi = F.ceil((F.col("m") - 1) / 2)
-    hit_lo = (prev <= p_lo) & (p_lo < cum_in)
-    hit_hi = (prev <= p_hi) & (p_hi < cum_in)
+    before, running = {}, 0.0
+    sizes = {r["c"]: r["m"] for r in ranked.groupBy("c").agg(F.sum("cnt").alias("m")).collect()}   # one row per column
+    for c in sorted(sizes):
+        before[c], running = running, running + sizes[c]
+    offsets = spark.createDataFrame([(c, float(n), float(low), before[c]) for c, _, _, n, low in facts],
+                                    "c int, n double, low double, off double")
+    j = ranked.join(offsets, "c")
+    upto = F.col("cum") - F.col("off") + F.col("low")
+    prev = upto - F.col("cnt")
+    p_lo, p_hi = F.floor((F.col("n") - 1) / 2), F.ceil((F.col("n") - 1) / 2)
+    hit_lo, hit_hi = (prev <= p_lo) & (p_lo < upto), (prev <= p_hi) & (p_hi < upto)
     picked = j.where(hit_lo | hit_hi).groupBy("c").agg(
-        F.max(F.when(hit_lo, F.col("v"))).alias("lo"), F.max(F.when(hit_hi, F.col("v"))).alias("hi")
-    )
+        F.max(F.when(hit_lo, F.col("v"))).alias("lo"), F.max(F.when(hit_hi, F.col("v"))).alias("hi"))
     return picked.select("c", ((F.col("lo") + F.col("hi")) / F.lit(2.0)).alias("median"))
 
 
-def approx_medians(df: DataFrame, cols: list[str], relative_error: float) -> DataFrame:
-    """(column index, median) from bounded-size quantile sketches (one scan, one agg).
-
-    For very wide tables with continuous columns, where even the distinct
-    (column, value) table is large.  Not interpolated: the sketch returns an
-    observed value whose rank is within ``relative_error * n`` of the middle.
-    """
+def category_counts(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(column index, value, rows) of every distinct category value, partially aggregated before the shuffle."""
     if not cols:
-        return df.sparkSession.createDataFrame([], "c int, median double")
-    accuracy = max(1, int(round(1.0 / relative_error)))
-    one = df.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5, accuracy).alias(f"_m{i}") for i, c in enumerate(cols)])
-    rows = F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"_m{i}").alias("median")) for i in range(len(cols))])
-    return one.select(F.explode(rows).alias("r")).select("r.*").where(F.col("median").isNotNull())
+        return df.sparkSession.createDataFrame([], "c int, v string, cnt long")
+    items = [F.struct(F.lit(i).alias("c"), F.col(c).cast("string").alias("v")) for i, c in enumerate(cols)]
+    pairs = df.select(F.explode(F.array(*items)).alias("s")).select("s.c", "s.v").where(F.col("v").isNotNull())
+    return pairs.groupBy("c", "v").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def most_frequent(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(column index, mode): highest count, ties to the smallest value."""
-    if not cols:
-        return df.sparkSession.createDataFrame([], "c int, mode string")
-    counts = _stack(df, cols, "string").groupBy("c", "v").agg(F.count(F.lit(1)).alias("cnt"))
+def most_frequent(counts: DataFrame) -> DataFrame:
+    """(column index, mode) from ``category_counts``: highest count, ties to the smallest value."""
     return counts.groupBy("c").agg(F.min_by("v", F.struct((-F.col("cnt")).alias("k"), F.col("v"))).alias("mode"))
 
 
-def category_values(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(column index, value) distinct pairs (the encoder's category lists)."""
-    if not cols:
-        return df.sparkSession.createDataFrame([], "c int, v string")
-    return _stack(df, cols, "string").distinct()
-
-
-def _category_counts(df: DataFrame, cat_cols: list[str]) -> list:
-    """(column index, value, count) rows, collected only below the size guard."""
-    if not cat_cols:
-        return []
-    counts = _stack(df, cat_cols, "string").groupBy("c", "v").agg(F.count(F.lit(1)).alias("cnt"))
-    # one job: fetch at most guard + 1 rows, so an oversized table is detected without collecting it
-    rows = counts.limit(MAX_CATEGORY_VALUES + 1).collect()
-    if len(rows) > MAX_CATEGORY_VALUES:
-        raise ValueError(f"more than {MAX_CATEGORY_VALUES} distinct category values: use a join-based encoder")
-    return rows
-
-
-def fit_categories(df: DataFrame, cat_cols: list[str]) -> dict[str, list[str]]:
-    """Sorted distinct values per categorical column (guarded size, then collected)."""
-    categories: dict[str, list[str]] = {c: [] for c in cat_cols}
-    for r in _category_counts(df, cat_cols):
-        categories[cat_cols[r["c"]]].append(r["v"])
-    return {c: sorted(v) for c, v in categories.items()}
-
-
-def _modes_and_categories(df: DataFrame, cat_cols: list[str]) -> tuple[dict, dict]:
-    """P2 + P4 from one count job: mode = highest count, ties to the smallest value."""
-    best: dict[str, tuple] = {}
-    categories: dict[str, list[str]] = {c: [] for c in cat_cols}
-    for r in _category_counts(df, cat_cols):
-        name = cat_cols[r["c"]]
-        categories[name].append(r["v"])
-        key = (-r["cnt"], r["v"])
-        if name not in best or key < best[name]:
-            best[name] = key
-    return {c: k[1] for c, k in best.items()}, {c: sorted(v) for c, v in categories.items()}
+def category_codes(counts: DataFrame) -> DataFrame:
+    """(column index, value, code): 0-based position of a value in its column's sorted values, any number of them."""
+    ranked = rank_within_groups(counts.select("c", "v"), "c", [F.col("v").asc()], rank_col="_pos")
+    return ranked.select("c", "v", (F.col("_pos") - 1).cast("double").alias("code"))
 
 
 @dataclass
@@ -144,93 +128,59 @@ class LeadEncoderModel:
     num_cols: list[str]
     modes: dict[str, str] = field(default_factory=dict)
     medians: dict[str, float] = field(default_factory=dict)
-    categories: dict[str, list[str]] = field(default_factory=dict)
-    dropped_all_null: list[str] = field(default_factory=list)
+    codes: DataFrame | None = None            # CODES_SCHEMA, c = position in cat_cols
     output_col: str = "features"
 
     @property
     def used_num_cols(self) -> list[str]:
-        return [c for c in self.num_cols if c not in self.dropped_all_null]
+        return [c for c in self.num_cols if c in self.medians]
 
     @property
     def used_cat_cols(self) -> list[str]:
-        return [c for c in self.cat_cols if c not in self.dropped_all_null]
+        return [c for c in self.cat_cols if c in self.modes]
 
     def feature_names(self) -> list[str]:
         """``cat__x`` then ``num__y``."""
         return [f"cat__{c}" for c in self.used_cat_cols] + [f"num__{c}" for c in self.used_num_cols]
 
-    def encoded_columns(self) -> dict[str, F.Column]:
-        out = {}
+    def encoded(self, df: DataFrame, keep: list[str]) -> DataFrame:
+        """``keep`` columns and one column per feature; a value that was not fitted gets -1."""
+        values = [F.coalesce(F.col(c).cast("string"), F.lit(self.modes[c])).alias(f"cat__{c}") for c in self.used_cat_cols]
+        numbers = [F.coalesce(_number(c), F.lit(float(self.medians[c]))).alias(f"num__{c}") for c in self.used_num_cols]
+        out = df.select(*keep, *values, *numbers)
         for c in self.used_cat_cols:
-            cats = self.categories.get(c, [])
-            value = F.coalesce(F.col(c).cast("string"), F.lit(self.modes[c]))
-            codes = F.create_map(*[x for i, v in enumerate(cats) for x in (F.lit(v), F.lit(float(i)))])
-            out[f"cat__{c}"] = F.coalesce(F.try_element_at(codes, value), F.lit(-1.0)) if cats else F.lit(-1.0)
-        for c in self.used_num_cols:
-            out[f"num__{c}"] = F.coalesce(
-                F.when(F.isnan(F.col(c).cast("double")), None).otherwise(F.col(c).cast("double")),
-                F.lit(float(self.medians[c])),
-            )
-        return out
+            own = self.codes.where(F.col("c") == self.cat_cols.index(c)).select(
+                F.col("v").alias(f"cat__{c}"), F.col("code").alias(f"_code_{c}"))
+            out = out.join(own, f"cat__{c}", "left").withColumn(
+                f"cat__{c}", F.coalesce(F.col(f"_code_{c}"), F.lit(-1.0))).drop(f"_code_{c}")
+        return out.select(*keep, *self.feature_names())
 
     def transform(self, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
         """Imputed, encoded columns assembled into one vector."""
         keep = [c for c in (keep or []) if c in df.columns]
-        enc = self.encoded_columns()
-        frame = df.select(*keep, *[e.alias(k) for k, e in enc.items()])
-        assembler = VectorAssembler(inputCols=list(enc), outputCol=self.output_col, handleInvalid="keep")
-        return assembler.transform(frame).select(*keep, self.output_col)
+        assembler = VectorAssembler(inputCols=self.feature_names(), outputCol=self.output_col, handleInvalid="keep")
+        return assembler.transform(self.encoded(df, keep)).select(*keep, self.output_col)
 
     def to_json(self) -> str:
-        return json.dumps(asdict(self))
+        """Everything but the codes, which are saved as a table."""
+        return json.dumps({"cat_cols": self.cat_cols, "num_cols": self.num_cols, "modes": self.modes,
+                           "medians": self.medians, "output_col": self.output_col})
 
     @classmethod
-    def from_json(cls, text: str) -> "LeadEncoderModel":
-        return cls(**json.loads(text))
+    def from_json(cls, text: str, codes: DataFrame) -> "LeadEncoderModel":
+        return cls(**json.loads(text), codes=codes)
 
 
 class LeadEncoder:
     """P2-P4 estimator: most-frequent / median imputation and ordinal codes."""
 
-    def __init__(self, cat_cols: list[str], num_cols: list[str], output_col: str = "features",
-                 median_error: float | None = None):
+    def __init__(self, cat_cols: list[str], num_cols: list[str], output_col: str = "features"):
         self.cat_cols = list(cat_cols)
         self.num_cols = list(num_cols)
         self.output_col = output_col
-        self.median_error = median_error  # None: exact (the reference's behaviour)
 
     def fit(self, df: DataFrame) -> LeadEncoderModel:
-        med_df = (approx_medians(df, self.num_cols, self.median_error) if self.median_error
-                  else exact_medians(df, self.num_cols))
-        medians = {self.num_cols[r["c"]]: r["median"] for r in med_df.collect()}
-        modes, categories = _modes_and_categories(df, self.cat_cols)
-        dropped = [c for c in self.num_cols if c not in medians] + [c for c in self.cat_cols if c not in modes]
-        return LeadEncoderModel(
-            cat_cols=self.cat_cols,
-            num_cols=self.num_cols,
-            modes=modes,
-            medians=medians,
-            categories=categories,
-            dropped_all_null=dropped,
-            output_col=self.output_col,
-        )
-
-
-def fitted_stats(model: LeadEncoderModel, spark) -> DataFrame:
-    """The fitted state as a table: (column, kind, value) for inspection / SQL checks."""
-    rows = [(c, "median", float(v), None) for c, v in model.medians.items()]
-    rows += [(c, "mode", None, v) for c, v in model.modes.items()]
-    return spark.createDataFrame(rows, "column string, kind string, number double, text string")
-
-
-__all__ = [
-    "LeadEncoder",
-    "LeadEncoderModel",
-    "split_column_kinds",
-    "exact_medians",
-    "most_frequent",
-    "category_values",
-    "fitted_stats",
-    "S",
-]
+        medians = {self.num_cols[r["c"]]: r["median"] for r in exact_medians(df, self.num_cols).collect()}
+        counts = category_counts(df, self.cat_cols)
+        modes = {self.cat_cols[r["c"]]: r["mode"] for r in most_frequent(counts).collect()}    # one row per column
+        return LeadEncoderModel(self.cat_cols, self.num_cols, modes, medians, category_codes(counts), self.output_col)

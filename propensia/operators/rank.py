@@ -150,9 +150,7 @@ def decile_table(
     ranked = global_rank(
         df.select(key_col, score_col, label_col), score_order(score_col, key_col), num_partitions=num_partitions
     )
-    totals = df.agg(
-        F.count(F.lit(1)).alias("_n"), F.avg(F.col(label_col).cast("double")).alias("_base")
-    )
+    totals = ranked.agg(F.count(F.lit(1)).alias("_n"), F.avg(F.col(label_col).cast("double")).alias("_base"))
     tagged = attach_scalars(ranked, totals).withColumn(
         "decile", decile_index(F.col("rank"), F.col("_n")) + 1
     )
@@ -190,10 +188,7 @@ def lift_at(
     ranked = global_rank(
         df.select(key_col, score_col, label_col), score_order(score_col, key_col), num_partitions=num_partitions
     )
-    totals = df.agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.sum(F.col(label_col).cast("double")).alias("_pos"),
-    )
+    totals = ranked.agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(label_col).cast("double")).alias("_pos"))
     y = F.col(label_col).cast("double")
     ntop = {
         i: F.greatest(F.lit(1).cast("long"), F.ceil(F.col("_n") * F.lit(float(f))).cast("long"))
@@ -234,9 +229,7 @@ def gains_curve(
         sums={"cum_buyers": "_y"},
         num_partitions=num_partitions,
     )
-    totals = df.agg(
-        F.count(F.lit(1)).alias("_n"), F.sum(F.col(label_col).cast("double")).alias("_pos")
-    )
+    totals = ranked.agg(F.count(F.lit(1)).alias("_n"), F.sum("_y").alias("_pos"))
     return attach_scalars(ranked, totals).select(
         F.col(key_col),
         F.col("rank"),
@@ -261,14 +254,13 @@ def rank_within_groups(
     """1-based rank inside each group, without a per-group window.
 
     One global rank over ``(group, order...)``; the rank of a group's first
-    row is then subtracted.  The per-group minimum table has one row per
-    group, so it is broadcast only for small group sets (class labels, column
-    names): callers must not use this with an unbounded grouping key.
+    row is then subtracted.  The join with the groups' first ranks is left to
+    the engine: it is broadcast only if the groups are few.
     """
     ranked = global_rank(df, [F.col(group_col).asc_nulls_first(), *order], rank_col="_g_rank",
                          num_partitions=num_partitions)
     starts = ranked.groupBy(group_col).agg(
         F.min("_g_rank").alias("_g_start"), F.count(F.lit(1)).alias("_g_n")
     )
-    out = ranked.join(F.broadcast(starts), group_col, "inner")
+    out = ranked.join(starts, group_col, "inner")
     return out.withColumn(rank_col, F.col("_g_rank") - F.col("_g_start") + 1).drop("_g_rank", "_g_start")

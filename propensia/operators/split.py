@@ -26,7 +26,7 @@ def _quota(n, fraction: float):
     return F.floor(n * F.lit(float(fraction)) + F.lit(0.5)).cast("long")
 
 
-def assign_splits(
+def split_table(
     df: DataFrame,
     label_col: str = S.TARGET_COLUMN,
     id_col: str = S.ID_COLUMN,
@@ -36,10 +36,10 @@ def assign_splits(
     seed: int = S.RANDOM_STATE,
     num_partitions: int | None = None,
 ) -> DataFrame:
-    """Add ``split`` (train / calibration / holdout) and ``fold`` (train rows only)."""
-    tagged = df.withColumn("_h", split_hash(id_col, seed))
+    """(id, label, split_hash, split, fold) of every row: nothing else is ranked and checkpointed."""
+    narrow = df.select(F.col(id_col), F.col(label_col), split_hash(id_col, seed).alias("_h"))
     ranked = rank_within_groups(
-        tagged, label_col, [F.col("_h").asc(), F.col(id_col).asc()], rank_col="_pos", num_partitions=num_partitions
+        narrow, label_col, [F.col("_h").asc(), F.col(id_col).asc()], rank_col="_pos", num_partitions=num_partitions
     )
     n = F.col("_g_n")
     q_hold = _quota(n, test_size)
@@ -47,15 +47,25 @@ def assign_splits(
     pos = F.col("_pos")
     split = F.when(pos <= q_hold, "holdout").when(pos <= q_hold + q_cal, "calibration").otherwise("train")
     fold = F.when(split == "train", ((pos - q_hold - q_cal - 1) % folds).cast("int"))
-    return ranked.withColumn("split", split).withColumn("fold", fold).drop("_h", "_pos", "_g_n")
+    return ranked.select(id_col, label_col, F.col("_h").alias("split_hash"), split.alias("split"), fold.alias("fold"))
+
+
+def assign_splits(df: DataFrame, id_col: str = S.ID_COLUMN, **kwargs) -> DataFrame:
+    """``df`` with ``split`` (train / calibration / holdout) and ``fold`` (train rows only), joined by id."""
+    tags = split_table(df, id_col=id_col, **kwargs).select(id_col, "split", "fold")
+    return df.join(tags, id_col)
+
+
+def saved_positions(tags: DataFrame, id_col: str = S.ID_COLUMN) -> DataFrame:
+    """(position, id, split) of the calibration and holdout rows; positions count from 0 within a split."""
+    saved = tags.where(F.col("split") != "train").select(F.col(id_col).cast("string").alias(id_col), "split", "split_hash")
+    ranked = rank_within_groups(saved, "split", [F.col("split_hash").asc(), F.col(id_col).asc()], rank_col="_pos")
+    return ranked.select((F.col("_pos") - 1).alias("position"), id_col, "split")
 
 
 def class_counts(assigned: DataFrame, label_col: str = S.TARGET_COLUMN) -> DataFrame:
     """Rows and rate per split and class."""
-    per = assigned.groupBy("split", F.col(label_col).cast("int").alias("label")).agg(
-        F.count(F.lit(1)).alias("students")
-    )
-    return per
+    return assigned.groupBy("split", F.col(label_col).cast("int").alias("label")).agg(F.count(F.lit(1)).alias("students"))
 
 
 def scale_pos_weight(train: DataFrame, label_col: str = S.TARGET_COLUMN) -> DataFrame:
@@ -65,14 +75,14 @@ def scale_pos_weight(train: DataFrame, label_col: str = S.TARGET_COLUMN) -> Data
 
 
 def select_ids(df: DataFrame, ids: DataFrame, id_col: str = S.ID_COLUMN) -> DataFrame:
-    """Rows whose (string) id is in ``ids``; every saved id must exist.
+    """Rows of the saved ids with their ``position``; every saved id must exist.
 
-    An equi-join on the id (Catalyst picks broadcast only when the id table is
+    An equi-join on the id (broadcast only where the engine finds the id table
     small); the anti-join check runs as one count and raises if non-zero.
     """
-    keys = ids.select(F.col(id_col).cast("string").alias("_sel_id")).distinct()
+    keys = ids.select(F.col(id_col).cast("string").alias("_sel_id"), "position")
     rows = df.withColumn("_sel_id", F.col(id_col).cast("string"))
     missing = keys.join(rows.select("_sel_id"), "_sel_id", "left_anti").limit(1).count()
     if missing:
         raise ValueError("Saved holdout ids are missing from the data.")
-    return rows.join(keys, "_sel_id", "left_semi").drop("_sel_id")
+    return rows.join(keys, "_sel_id").drop("_sel_id")

@@ -126,7 +126,7 @@ def pick_high(sweep_df: DataFrame, min_precision: float = S.HIGH_PRECISION_TARGE
 def learn_policy(df: DataFrame, score_col: str, label_col: str,
                  min_precision: float = S.HIGH_PRECISION_TARGET) -> DataFrame:
     """Outreach and high-confidence rows; high falls back to outreach if lower."""
-    sw = sweep(df, score_col, label_col).persist()
+    sw = sweep(df, score_col, label_col).checkpoint(eager=True)     # at most about 10,000 rows, used three times
     out = pick_outreach(sw).withColumn("policy", F.lit("outreach"))
     high = pick_high(sw, min_precision).withColumn("policy", F.lit("high"))
     # T6 guard, expressed as data: take outreach's row when high < outreach

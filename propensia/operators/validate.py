@@ -17,10 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema as S
-from ..functions.numeric import is_na_token, to_double
-
-REPORT_SCHEMA = "seq int, rule string, column string, severity string, bad_rows long, failed boolean, message string"
-
+from ..functions.numeric import is_na_token, parse_binary, to_double
+from ..sources.files import BAD_LINE
 
 @dataclass
 class ValidationResult:
@@ -39,6 +37,8 @@ def format_messages(messages: list[str]) -> str:
 
 def _numeric(df: DataFrame, name: str) -> Column:
     t = df.schema[name].dataType
+    if name in S.BINARY_COLUMNS and isinstance(t, T.StringType):
+        return parse_binary(F.col(name))
     return to_double(F.col(name), t)
 
 
@@ -88,6 +88,9 @@ def _rule_specs(df: DataFrame, require_target: bool) -> list[tuple[str, str, str
             v = _numeric(df, c)
             specs.append(("V10", c, "error", (v < lo) | (v > hi),
                           f"Column '{c}' must stay between {lo} and {hi}."))
+    if BAD_LINE in present:
+        specs.append(("S1", BAD_LINE, "error", F.col(BAD_LINE).isNotNull(),
+                      "Lines with too many or too few fields detected."))
     # Text that is not a number in a numeric column (raw string input only)
     for c in S.MODEL_SCHEMA_COLUMNS:
         if c in present and c not in S.STRING_COLUMNS and isinstance(df.schema[c].dataType, T.StringType):
@@ -96,10 +99,24 @@ def _rule_specs(df: DataFrame, require_target: bool) -> list[tuple[str, str, str
     return specs
 
 
-def validation_report(df: DataFrame, require_target: bool = True) -> DataFrame:
-    """One row per checked rule with its bad-row count (single scan + id count)."""
-    spark = df.sparkSession
+def validation_report(df: DataFrame, require_target: bool = True, expected_columns: list[str] | None = None) -> DataFrame:
+    """One row per checked rule with its bad-row count (single scan + id count).
+
+    V1, V2 and V6 are about the columns: their count is that of missing ones.
+    Without an id column only these three can be checked.
+    """
     raw = df
+    expected = list(expected_columns if expected_columns is not None else S.MODEL_SCHEMA_COLUMNS)
+    missing = S.missing_columns(raw.columns, expected)
+    no_id = int(S.ID_COLUMN not in raw.columns)
+    no_target = int(require_target and S.TARGET_COLUMN not in raw.columns)
+    heads = [("V1", None, len(missing), "Missing required columns: " + ", ".join(missing[:15]) if missing else None),
+             ("V2", S.ID_COLUMN, no_id, f"Missing id column: {S.ID_COLUMN}." if no_id else None),
+             ("V6", S.TARGET_COLUMN, no_target, f"Missing target column: {S.TARGET_COLUMN}." if no_target else None)]
+    if no_id:
+        return raw.sparkSession.createDataFrame(
+            [(i, r, c, "error", n, n > 0, m) for i, (r, c, n, m) in enumerate(heads, 1)],
+            "seq int, rule string, column string, severity string, bad_rows long, failed boolean, message string")
     df = _parsed(raw)
     specs = _rule_specs(df, require_target)
     present = set(raw.columns)
@@ -135,6 +152,8 @@ def validation_report(df: DataFrame, require_target: bool = True) -> DataFrame:
             )
         )
 
+    for rule, column, bad, message in heads:
+        add(rule, column, "error", F.lit(bad), F.lit(bad > 0), F.lit(message).cast("string"))
     n = F.col("_n")
     add("V3", None, "error", F.when(n == 0, 1).otherwise(0), n == 0, F.lit("Dataset is empty."))
     add("V4", S.ID_COLUMN, "error", F.col("_dup_rows"), F.col("_dup_rows") > 0,
@@ -159,25 +178,16 @@ def validate(df: DataFrame, expected_columns: list[str], require_target: bool) -
     it is safe at any data size.
     """
     result = ValidationResult()
-    missing = S.missing_columns(df.columns, expected_columns)
-    if missing:
-        result.errors.append("Missing required columns: " + ", ".join(missing[:15]))
-    if S.ID_COLUMN not in df.columns:
+    failed = [r for r in validation_report(df, require_target, expected_columns).collect() if r["failed"]]
+    result.errors += [r["message"] for r in failed if r["rule"] == "V1"]
+    if any(r["rule"] == "V2" for r in failed):
         return result
-    rows = validation_report(df, require_target).collect()
-    by_rule = [r for r in rows if r["failed"]]
-    if any(r["rule"] == "V3" for r in by_rule):
+    if any(r["rule"] == "V3" for r in failed):
         result.errors.append("Dataset is empty.")
         return result
-    order = ["V4", "V5", "V6", "V7", "V8", "V9", "V10", "V16"]
-    if require_target and S.TARGET_COLUMN not in df.columns:
-        by_rule.append({"rule": "V6", "severity": "error", "failed": True,
-                        "message": f"Missing target column: {S.TARGET_COLUMN}.", "seq": 10_000})
-    for rule in order:
-        for r in sorted((x for x in by_rule if x["rule"] == rule), key=lambda x: x["seq"]):
-            result.errors.append(r["message"])
-    for r in sorted((x for x in by_rule if x["severity"] == "warning"), key=lambda x: x["seq"]):
-        result.warnings.append(r["message"])
+    for rule in ["S1", "V4", "V5", "V6", "V7", "V8", "V9", "V10", "V16"]:
+        result.errors += [r["message"] for r in sorted(failed, key=lambda r: r["seq"]) if r["rule"] == rule]
+    result.warnings += [r["message"] for r in sorted(failed, key=lambda r: r["seq"]) if r["severity"] == "warning"]
     return result
 
 

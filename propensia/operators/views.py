@@ -11,15 +11,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import round_to
-
 from .. import schema as S
+from ..functions.numeric import round_to
 from ..functions.labels import percent_label, probability_pct, tier_by_capacity, tier_by_threshold, top_signal
 from .features import signal_columns
-from .rank import attach_scalars, global_rank, score_order
+from .rank import global_rank, score_order
 
 ID = S.ID_COLUMN
 Y = S.TARGET_COLUMN
@@ -27,20 +26,6 @@ Y = S.TARGET_COLUMN
 SORTABLE = {"student_id", "purchase_probability", "tier", "course_interest", "days_since_login"}
 
 
-def scored_view(
-    df: DataFrame, score_col: str, high: float, outreach: float, with_actual: bool = True
-) -> DataFrame:
-    """L3: id, rounded percentage, tier from the unrounded score, optional actual."""
-    cols = [
-        F.col(ID).cast("string").alias("student_id"),
-        probability_pct(F.col(score_col)).alias("purchase_probability"),
-        tier_by_threshold(F.col(score_col), high, outreach).alias("predicted_tier"),
-    ]
-    if with_actual:
-        cols.append(F.col(Y).cast("int").alias("actual_purchased"))
-    return df.select(*cols, F.col(score_col).alias("_score"))
-
-
 def correctness(df: DataFrame, score_col: str, high: float) -> DataFrame:
     """L4: per-row ``(score >= high) == actual`` as 0/1."""
     return df.withColumn(
@@ -116,10 +101,11 @@ def sales_sheet(
 ) -> DataFrame:
     """Daily sales sheet for unconverted students.
 
-    The capacity rank is computed over *all* unconverted students before the
-    tier / course / recency filters (as the page does); those filters are then
-    applied to the ranked rows.  Rank uses the distributed skeleton, so no
-    single task sees all students.
+    The capacity rank counts *all* unconverted students before the tier /
+    course / recency filters (as the page does).  Unless the LOW tier is asked
+    for, only the first 3N of the order can appear, so just those (N is the
+    feature's own parameter) are ordered and numbered; otherwise the rank comes
+    from the distributed skeleton.
     """
     unconverted = df.where(F.col(Y) == 0).select(
         F.col(ID).cast("string").alias("student_id"),
@@ -128,9 +114,13 @@ def sales_sheet(
         F.col("course_interest"),
         F.col("last_login_days_ago").alias("days_since_login"),
     )
-    if capacity and capacity > 0:
-        ranked = global_rank(unconverted, score_order("_score", "student_id"), rank_col="_rank",
-                             num_partitions=num_partitions)
+    order = score_order("_score", "student_id")
+    if capacity and capacity > 0 and "LOW" not in tiers:
+        first = unconverted.orderBy(*order).limit(3 * capacity)
+        ranked = first.withColumn("_rank", F.row_number().over(Window.orderBy(*order)))     # 3N rows
+        tier = tier_by_capacity(F.col("_rank"), capacity)
+    elif capacity and capacity > 0:
+        ranked = global_rank(unconverted, order, rank_col="_rank", num_partitions=num_partitions)
         tier = tier_by_capacity(F.col("_rank"), capacity)
     else:
         ranked = unconverted
@@ -275,26 +265,16 @@ def recency_scatter(scored: DataFrame) -> DataFrame:
 
 
 def score_histogram(df: DataFrame, score_col: str, bins: int, by_class: bool = True) -> DataFrame:
-    """Equal-width bins over [0, 1] (last bin closed); counts and density.
-
-    Density follows the per-class normalisation n_bin / (n_class * width).
-    """
+    """Equal-width bins over [0, 1] (last bin closed); counts and density (count per unit of score)."""
     width = 1.0 / bins
     b = F.least(F.floor(F.col(score_col) * F.lit(float(bins))), F.lit(bins - 1)).cast("int")
     keys = [b.alias("bin")]
     if by_class:
         keys.append(F.col(Y).cast("int").alias("label"))
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("students"))
-    if by_class:
-        class_n = df.groupBy(F.col(Y).cast("int").alias("label")).agg(F.count(F.lit(1)).alias("_class_n"))
-        counts = counts.join(F.broadcast(class_n), "label")  # two rows at most
-    else:
-        counts = attach_scalars(counts, df.agg(F.count(F.lit(1)).alias("_class_n")))
-    out = counts.select(
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("students")).select(
         *(["label"] if by_class else []),
         "bin",
         round_to(F.col("bin") * F.lit(width), 6).alias("bin_start"),
         "students",
-        round_to(F.col("students") / (F.col("_class_n") * F.lit(width)), 6).alias("density"),
+        round_to(F.col("students") / F.lit(width), 6).alias("density"),
     )
-    return out

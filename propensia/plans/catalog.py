@@ -19,6 +19,7 @@ from .. import schema as S
 from ..operators import features as FE
 from ..operators import views as V
 from ..sources import tables as TB
+from ..sources.files import BAD_LINE
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,6 +63,7 @@ QUERIES: dict[str, Query] = {
 
 from ..operators import metrics as M  # noqa: E402
 from ..operators import rank as R  # noqa: E402
+from ..operators import split as SP  # noqa: E402
 from ..operators import thresholds as TH  # noqa: E402
 from ..operators import validate as VA  # noqa: E402
 from ..functions.labels import tier_action  # noqa: E402
@@ -145,9 +147,54 @@ def q_threshold_sweep(spark, sf_dir):
     return _rounded_sweep(TH.sweep(_scored(spark, sf_dir), SCORE, Y))
 
 
+def _rounded_policy(pol):
+    return pol.select(
+        "policy", "threshold", *[round_to(c, 6).alias(c) for c in ("precision", "recall", "coverage")],
+        "profit", "true_positive", "false_positive", "false_negative",
+    )
+
+
 def q_learned_policy(spark, sf_dir):
-    pol = TH.learn_policy(_scored(spark, sf_dir), SCORE, Y)
-    return pol.select("policy", *_rounded_sweep(pol).columns)
+    return _rounded_policy(TH.learn_policy(_scored(spark, sf_dir), SCORE, Y))
+
+
+def _weak(df):
+    """A coarse score without the label: no cut reaches the target precision."""
+    u = (F.col(SCORE) - F.lit(0.45) * F.col(Y).cast("double")) / F.lit(0.55)
+    return df.withColumn("weak", F.rint(u * F.lit(5.0)) / F.lit(10.0))
+
+
+def q_policy_without_valid_cut(spark, sf_dir):
+    """T5: no candidate is precise enough, so the high cut is the best F0.5."""
+    return _rounded_policy(TH.learn_policy(_weak(_scored(spark, sf_dir)), "weak", Y))
+
+
+def _easy(df):
+    """Nearly all buyers at the top, a few among the sampled non-buyers at the bottom."""
+    n = F.col(ID).cast("long")
+    top = (F.col(Y) == 1) & (n % 500 != 0)
+    return df.where((F.col(Y) == 1) | (n % 16 == 0)).withColumn(
+        "easy", F.when(top, F.lit(0.8) + F.col(SCORE) / F.lit(10.0)).otherwise(F.lit(0.2)))
+
+
+def q_policy_high_below_outreach(spark, sf_dir):
+    """The high cut falls under the outreach cut and is replaced by it."""
+    return _rounded_policy(TH.learn_policy(_easy(_scored(spark, sf_dir)), "easy", Y))
+
+
+def q_one_class_metrics(spark, sf_dir):
+    """E1-E5, E9 on buyers only: rates of the missing class are NULL, nothing fails."""
+    one = _scored(spark, sf_dir).where(F.col(Y) == 1)
+    m = M.ranking_metrics(one, TIED, Y)
+    roc = M.roc_points(one, TIED, Y).agg(F.count(F.lit(1)).alias("roc_points"), F.max("tpr").alias("max_tpr"),
+                                         F.count("fpr").alias("known_fpr"))
+    s = M.threshold_summary(one.limit(0), TIED, Y, [0.5]).select(F.col("coverage").alias("empty_coverage"))
+    return R.attach_scalars(R.attach_scalars(m, roc), s.agg(F.max("empty_coverage").alias("empty_coverage")))
+
+
+def q_dirty_validation_report(spark, sf_dir):
+    """V1-V12 on leads with planted faults and without two columns: every rule has bad rows."""
+    return VA.validation_report(TB.dirty_leads(spark, sf_dir).drop("wishlist_count", "has_career_goals"), require_target=True)
 
 
 def q_tier_counts(spark, sf_dir):
@@ -162,9 +209,42 @@ def q_tier_actions(spark, sf_dir):
     return df.select(F.col(ID), t.alias("tier"), tier_action(t).alias("action"))
 
 
+def _holdout(spark, sf_dir):
+    """The saved holdout rows of the scored leads, by id."""
+    scored = _scored(spark, sf_dir)
+    return scored.join(SP.split_table(scored).where(F.col("split") == "holdout").select(ID), ID, "left_semi")
+
+
 def q_prediction_table(spark, sf_dir):
-    return V.prediction_table(_scored(spark, sf_dir), SCORE, VIEW_HIGH, VIEW_OUTREACH, show="Wrong only",
-                              tiers=("HIGH", "MID", "LOW"))
+    """Wrong predictions of the holdout."""
+    return V.prediction_table(_holdout(spark, sf_dir), SCORE, VIEW_HIGH, VIEW_OUTREACH, show="Wrong only")
+
+
+def _filtered(show, tiers):
+    def query(spark, sf_dir):
+        return V.prediction_table(_holdout(spark, sf_dir), SCORE, VIEW_HIGH, VIEW_OUTREACH, show=show, tiers=tiers)
+
+    query.__doc__ = f"L5: holdout predictions, filter {show!r}, tiers {tiers}."
+    return query
+
+
+def q_holdout_deciles(spark, sf_dir):
+    """R3 on the holdout."""
+    return R.decile_table(_holdout(spark, sf_dir), TIED, Y, ID)
+
+
+def q_holdout_metrics(spark, sf_dir):
+    """E1-E4 on the holdout."""
+    return M.ranking_metrics(_holdout(spark, sf_dir), SCORE, Y)
+
+
+def _searched(sort_key, ascending):
+    def query(spark, sf_dir):
+        return V.id_search(_scored(spark, sf_dir), SCORE, VIEW_HIGH, VIEW_OUTREACH, query="7", sort_key=sort_key,
+                           ascending=ascending)
+
+    query.__doc__ = f"R8: search sorted by {sort_key}, ascending={ascending}."
+    return query
 
 
 def q_full_scored(spark, sf_dir):
@@ -225,7 +305,8 @@ def q_score_histogram(spark, sf_dir):
 
 
 def q_holdout_histogram(spark, sf_dir):
-    return V.score_histogram(_scored(spark, sf_dir), SCORE, 30, by_class=False)
+    """Score histogram of the holdout."""
+    return V.score_histogram(_holdout(spark, sf_dir), SCORE, 30, by_class=False)
 
 
 QUERIES.update({
@@ -259,6 +340,18 @@ QUERIES.update({
     "recency_scatter": q_recency_scatter,
     "score_histogram": q_score_histogram,
     "holdout_histogram": q_holdout_histogram,
+    "policy_without_valid_cut": q_policy_without_valid_cut,
+    "policy_high_below_outreach": q_policy_high_below_outreach,
+    "one_class_metrics": q_one_class_metrics,
+    "dirty_validation_report": q_dirty_validation_report,
+    "holdout_deciles": q_holdout_deciles,
+    "holdout_metrics": q_holdout_metrics,
+    "predictions_all": _filtered("All", ("HIGH", "MID")),
+    "predictions_correct": _filtered("Correct only", ("HIGH", "MID", "LOW")),
+    "predictions_buyers": _filtered("Buyers only", ("LOW",)),
+    "predictions_non_buyers": _filtered("Non-buyers only", ("HIGH", "LOW")),
+    "search_by_course": _searched("course_interest", False),
+    "search_by_tier": _searched("tier", True),
 })
 
 
@@ -266,35 +359,46 @@ QUERIES.update({
 # splits, preprocessing, model
 # ---------------------------------------------------------------------------
 
-from ..operators import split as SP  # noqa: E402
-from ..operators.prep import LeadEncoder, split_column_kinds  # noqa: E402
+from ..operators import prep as P  # noqa: E402
+
+
+def _tags(spark, sf_dir):
+    return SP.split_table(TB.leads(spark, sf_dir))
 
 
-def _assigned(spark, sf_dir):
-    return SP.assign_splits(FE.engineer(TB.leads(spark, sf_dir)))
+def _training_rows(spark, sf_dir):
+    df = FE.engineer(TB.leads(spark, sf_dir))
+    return df.join(SP.split_table(df).where(F.col("split") == "train").select(ID), ID, "left_semi")
 
 
 def q_split_assignment(spark, sf_dir):
     """Split and fold of every student."""
-    return _assigned(spark, sf_dir).select(ID, Y, "split", "fold")
+    return _tags(spark, sf_dir).select(ID, Y, "split", "fold")
 
 
 def q_split_counts(spark, sf_dir):
     """Students per split and class."""
-    return SP.class_counts(_assigned(spark, sf_dir))
+    return SP.class_counts(_tags(spark, sf_dir))
 
 
 def q_scale_pos_weight(spark, sf_dir):
     """Negatives / positives on the training split."""
-    return SP.scale_pos_weight(_assigned(spark, sf_dir).where(F.col("split") == "train")).select(
+    return SP.scale_pos_weight(_tags(spark, sf_dir).where(F.col("split") == "train")).select(
         round_to("scale_pos_weight", 6).alias("scale_pos_weight")
     )
 
 
 def q_holdout_lookup(spark, sf_dir):
-    """Re-select the holdout students from the raw table by saved id."""
-    ids = _assigned(spark, sf_dir).where(F.col("split") == "holdout").select(ID)
-    return SP.select_ids(TB.leads(spark, sf_dir), ids).select(ID, Y, "course_interest")
+    """S6 + D6: save the id table, read it back, re-select the holdout students in saved order."""
+    import uuid
+
+    from ..session import shared_scratch
+    from ..sources.files import load_split_ids, save_split_ids
+
+    path = shared_scratch(spark, f"split_ids/{uuid.uuid4().hex}")
+    save_split_ids(SP.saved_positions(_tags(spark, sf_dir)), path)
+    ids = load_split_ids(spark, path, "holdout")
+    return SP.select_ids(TB.leads(spark, sf_dir), ids).select("position", ID, Y, "course_interest")
 
 
 def model_columns(df):
@@ -303,37 +407,37 @@ def model_columns(df):
     return [c for c in df.columns if c not in {ID, Y, "split", "fold", *dropped}]
 
 
-def _fitted_encoder(spark, sf_dir):
-    assigned = _assigned(spark, sf_dir)
-    train = assigned.where(F.col("split") == "train")
-    cols = model_columns(assigned)
-    cat, num = split_column_kinds(train.select(*cols), exclude=[])
-    return LeadEncoder(cat, num).fit(train)
-
-
 def q_impute_stats(spark, sf_dir):
     """P2 + P3: training-split median of every numeric and mode of every categorical column."""
-    enc = _fitted_encoder(spark, sf_dir)
-    rows = [(c, "median", float(v), None) for c, v in enc.medians.items()]
-    rows += [(c, "mode", None, v) for c, v in enc.modes.items()]
-    df = spark.createDataFrame(rows, "column string, kind string, number double, text string")
-    return df.select("column", "kind", round_to("number", 6).alias("number"), "text")
+    train = _training_rows(spark, sf_dir)
+    cat, num = P.split_column_kinds(train.select(*model_columns(train)), exclude=[])
+    names = lambda cols: F.array(*[F.lit(c) for c in cols])
+    medians = P.exact_medians(train, num).select(
+        names(num)[F.col("c")].alias("column"), F.lit("median").alias("kind"), round_to("median", 6).alias("number"),
+        F.lit(None).cast("string").alias("text"))
+    modes = P.most_frequent(P.category_counts(train, cat)).select(
+        names(cat)[F.col("c")].alias("column"), F.lit("mode").alias("kind"), F.lit(None).cast("double").alias("number"),
+        F.col("mode").alias("text"))
+    return medians.unionByName(modes)
 
 
 def q_category_codes(spark, sf_dir):
-    """Ordinal code of every training category value (sorted, 0-based).
+    """Ordinal code of every training category value (sorted, 0-based)."""
+    train = _training_rows(spark, sf_dir)
+    cat, _ = P.split_column_kinds(train.select(*model_columns(train)), exclude=[])
+    codes = P.category_codes(P.category_counts(train, cat))
+    return codes.select(F.array(*[F.lit(c) for c in cat])[F.col("c")].alias("column"), F.col("v").alias("value"),
+                        F.col("code").cast("int").alias("code"))
 
-    Only the category lists are needed (imputing with the mode adds no new
-    value), so no median / mode job runs here.
-    """
-    from ..operators.prep import fit_categories
 
-    assigned = _assigned(spark, sf_dir)
-    train = assigned.where(F.col("split") == "train")
-    cat, _ = split_column_kinds(train.select(*model_columns(assigned)), exclude=[])
-    cats = fit_categories(train, cat)
-    rows = [(c, v, i) for c, vals in cats.items() for i, v in enumerate(vals)]
-    return spark.createDataFrame(rows, "column string, value string, code int")
+def q_encoder_codes(spark, sf_dir):
+    """P4 without a limit: a column with one value per order, fitted on the training orders of odd customers,
+    applied to all orders (values that were not fitted, and NULLs filled with the mode)."""
+    o = TB.read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    tag = F.when(F.col("o_custkey") % 13 != 0, F.concat(F.lit("k"), F.col("o_orderkey").cast("string")))
+    frame = o.select(F.col("o_orderkey").cast("string").alias("id"), (F.col("o_custkey") % 2).alias("odd"), tag.alias("tag"))
+    enc = P.LeadEncoder(["tag"], []).fit(frame.where("odd = 1"))
+    return enc.encoded(frame, ["id"]).select("id", F.col("cat__tag").cast("long").alias("code"))
 
 
 QUERIES.update({
@@ -343,59 +447,157 @@ QUERIES.update({
     "holdout_lookup": q_holdout_lookup,
     "impute_stats": q_impute_stats,
     "category_codes": q_category_codes,
+    "encoder_codes": q_encoder_codes,
 })
 
 
 def q_sparse_profiles(spark, sf_dir):
     """F14 + F15: short behaviour profiles (from the leads) expanded to full rows."""
     leads = TB.leads(spark, sf_dir)
-    short = leads.select(ID, *[c for c in FE.PROFILE_INPUTS if c in leads.columns])
+    courses = F.array(*[F.lit(c) for c in ("GATE", "Placement", "GovtJobs", "Other")])
+    short = leads.select(ID, *[c for c in FE.PROFILE_INPUTS if c in leads.columns]).withColumn(
+        "course_interest", courses[(F.col(ID).cast("long") % 4).cast("int")])
     return FE.expand_profiles(short)
 
 
+def q_isotonic_calibration(spark, sf_dir):
+    """M5 + M6: isotonic map fitted on the calibration split's tied score, applied to every student."""
+    from ..operators import model as MD
+
+    scored = _scored(spark, sf_dir).select(ID, Y, TIED)
+    cal = scored.join(SP.split_table(scored).where(F.col("split") == "calibration").select(ID), ID, "left_semi")
+    fitted = MD.fit_calibrator(cal, TIED, Y)
+    return MD.calibrate(scored, fitted, TIED, "calibrated").select(ID, TIED, round_to("calibrated", 6).alias("calibrated"))
+
+
+#: Deterministic scores that stand for candidates: expressions of the two scores, best first unknown.
+CANDIDATE_SCORES = {"plain": "score", "snapped": "score_tied", "blurred": "rint(score * 4) / 4"}
+
+
+def _candidate_metrics(spark, sf_dir):
+    scored = _scored(spark, sf_dir).select(ID, Y, SCORE, TIED)
+    tags = SP.split_table(scored).where(F.col("split") == "train").select(ID, "fold")
+    long = scored.join(tags, ID).select(Y, "fold", F.explode(F.array(*[
+        F.struct(F.lit(n).alias("candidate"), F.expr(e).alias("s")) for n, e in CANDIDATE_SCORES.items()])).alias("c"))
+    return M.ranking_metrics(long.select(Y, "fold", "c.candidate", "c.s"), "s", Y, keys=("candidate", "fold"))
+
+
+def q_fold_metrics(spark, sf_dir):
+    """M2 + E1-E4 per (candidate, fold), all in one pass."""
+    return _candidate_metrics(spark, sf_dir)
+
+
+def q_fold_summary(spark, sf_dir):
+    """Mean of every metric over the folds."""
+    out = M.fold_summary(_candidate_metrics(spark, sf_dir))
+    return out.select("candidate", *[round_to(c, 6).alias(c) for c in out.columns if c != "candidate"])
+
+
+def q_candidate_choice(spark, sf_dir):
+    """M3: the candidate with the best mean metrics."""
+    from ..operators import model as MD
+    from .training import candidate_means
+
+    means = candidate_means(_candidate_metrics(spark, sf_dir), [{"name": n} for n in CANDIDATE_SCORES])
+    return MD.choose_candidate(means).select("candidate", "position", round_to("average_precision", 6).alias("average_precision"))
+
+
+_TRAINED: dict = {}
+
+
+def _trained(spark, sf_dir):
+    """One full training run (all candidates, real folds) per session and data folder, shared by the model queries."""
+    from .training import train
+
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _TRAINED:
+        _TRAINED.clear()
+        _TRAINED[key] = train(spark, TB.leads(spark, sf_dir))
+    return _TRAINED[key]
+
+
 def q_model_holdout_report(spark, sf_dir):
     """M1-M8 end to end (no oracle: a trained model): holdout metrics and policy.
 
-    Trains on the training split with a 10-tree budget and the first
-    candidate (cross-validation is exercised by the tests), calibrates on the
+    Cross-validates every candidate with its own number of trees on every
+    fold, fits the best one on the training split, calibrates on the
     calibration split, learns thresholds there, and reports the holdout.
     """
-    from .training import TrainConfig, train
-
-    art = train(spark, TB.leads(spark, sf_dir), TrainConfig(max_trees=10, run_cv=False))
-    c = art.config
+    c = _trained(spark, sf_dir).config
     row = {k: c[k] for k in ("test_roc_auc", "average_precision", "pr_auc", "brier_score", "top10_lift",
                              "top10_capture", "top20_lift", "top20_capture", "high_threshold",
                              "outreach_threshold")}
-    row.update({k: int(c[k]) for k in ("train_rows", "calibration_rows", "test_rows")})
+    row.update({k: int(c[k]) for k in ("train_rows", "calibration_rows", "test_rows", "trees_fitted")})
+    row["selected"] = c["selected_candidate"]["name"]
     return spark.createDataFrame([row])
 
 
-QUERIES.update({
-    "sparse_profiles": q_sparse_profiles,
-    "model_holdout_report": q_model_holdout_report,
-})
+def _drivers(spark, sf_dir):
+    from ..operators.explain import path_contributions
+
+    art, leads = _trained(spark, sf_dir), TB.leads(spark, sf_dir)
+    return art, path_contributions(art.encoder.transform(FE.engineer(leads), keep=[ID]), art.model, ID)
 
 
 def q_top_drivers(spark, sf_dir):
     """M9 (no oracle: a trained model): top-10 path-attribution drivers of every student."""
-    from ..operators.explain import path_contributions, top_drivers
-    from .training import TrainConfig, train
+    from ..operators.explain import top_drivers
 
-    leads = TB.leads(spark, sf_dir)
-    art = train(spark, leads, TrainConfig(max_trees=10, run_cv=False))
-    encoded = art.encoder.transform(FE.engineer(leads), keep=[ID])
-    contribs = path_contributions(encoded, art.model, ID)
+    art, contribs = _drivers(spark, sf_dir)
     return top_drivers(contribs, art.encoder.feature_names(), ID, k=10)
 
 
-QUERIES["top_drivers"] = q_top_drivers
+def q_model_invariants(spark, sf_dir):
+    """What must hold for any trained model, as (check, expected, actual) rows."""
+    from ..operators.explain import top_drivers
+
+    art, contribs = _drivers(spark, sf_dir)
+    scored = art.scored
+    n = scored.agg(F.count(F.lit(1)).cast("long").alias("actual"))
+    bad_margin = F.abs(F.col("base") + F.aggregate("contributions", F.lit(0.0), lambda a, v: a + v) - F.col("margin")) > 1e-6
+    falls = M.score_curve(scored.select("raw_score", Y), "raw_score", Y).select(F.col("score").alias("raw_score"), "k").join(
+        scored.groupBy("raw_score").agg(F.min("score").alias("lo"), F.max("score").alias("hi")), "raw_score")
+    nxt = falls.select((F.col("k") - 1).alias("k"), F.col("hi").alias("next_hi"))
+    leads = TB.leads(spark, sf_dir)
+    folds = art.cv_scores.agg(F.count(F.lit(1)).alias("actual"))
+    trees = sum(c["params"]["n_estimators"] for c in S.MODEL_CANDIDATES if c["name"] == art.config["selected_candidate"]["name"])
+    checks = [
+        ("rows_scored", leads.count(), n),
+        ("scores_outside_unit_interval", 0, scored.agg(F.count_if((F.col("score") < 0) | (F.col("score") > 1)).alias("actual"))),
+        ("calibration_falls", 0, falls.join(nxt, "k").agg(F.count_if(F.col("next_hi") > F.col("lo") + 1e-12).alias("actual"))),
+        ("drivers_per_student_not_ten", 0, top_drivers(contribs, art.encoder.feature_names(), ID).groupBy(ID).count().agg(
+            F.count_if(F.col("count") != 10).alias("actual"))),
+        ("base_plus_contributions_not_margin", 0, contribs.agg(F.count_if(bad_margin).alias("actual"))),
+        ("validation_scores", int(art.config["train_rows"]) * len(S.MODEL_CANDIDATES), folds),
+        ("holdout_rows_in_saved_order", int(art.config["test_rows"]),
+         art.saved_ids.where("split = 'holdout'").agg(F.count_distinct("position").alias("actual"))),
+        ("calibration_rows", int(art.config["calibration_rows"]), scored.where("split = 'calibration'").agg(F.count(F.lit(1)).alias("actual"))),
+    ]
+    out = spark.createDataFrame([("all_trees_of_the_chosen_candidate", 1, int(trees == art.config["trees_fitted"]))],
+                                "check string, expected long, actual long")
+    for name, expected, actual in checks:
+        out = out.unionByName(actual.select(F.lit(name).alias("check"), F.lit(int(expected)).cast("long").alias("expected"),
+                                            F.col("actual").cast("long").alias("actual")))
+    return out
+
+
+QUERIES.update({
+    "sparse_profiles": q_sparse_profiles,
+    "isotonic_calibration": q_isotonic_calibration,
+    "fold_metrics": q_fold_metrics,
+    "fold_summary": q_fold_summary,
+    "candidate_choice": q_candidate_choice,
+    "model_holdout_report": q_model_holdout_report,
+    "top_drivers": q_top_drivers,
+    "model_invariants": q_model_invariants,
+})
 
 
 def q_holdout_policy_card(spark, sf_dir):
     """B7 with T1-T6 and D1-D2: thresholds learned on the calibration split,
     both evaluated on the holdout (precision / recall / profit per policy)."""
-    assigned = SP.assign_splits(TB.scored_leads(spark, sf_dir))
+    scored = TB.scored_leads(spark, sf_dir).select(ID, Y, SCORE)
+    assigned = scored.join(SP.split_table(scored).select(ID, "split"), ID)
     cal = assigned.where(F.col("split") == "calibration")
     hold = assigned.where(F.col("split") == "holdout")
     policy = {r["policy"]: r["threshold"] for r in TH.learn_policy(cal, SCORE, Y).collect()}  # two rows
@@ -432,10 +634,54 @@ def q_csv_validation_report(spark, sf_dir):
     """V1-V16 on the raw all-string CSV frame (V16: text that is not a number)."""
     from ..sources.files import read_csv_raw
 
-    return VA.validation_report(read_csv_raw(spark, _csv_copy(spark, sf_dir)), require_target=True)
+    raw = read_csv_raw(spark, _csv_copy(spark, sf_dir))
+    return VA.validation_report(raw.drop(BAD_LINE), require_target=True)
+
+
+def _dirty_texts(leads):
+    """Raw texts of a few columns, by customer number modulo 12: quotes, commas, line breaks, NA tokens, odd numbers."""
+    m = F.col(ID).cast("long") % 12
+    n = F.col(ID).cast("long") % len(S.NA_TOKENS)
+    topic = F.when(m == 0, 'a "quoted" word').when(m == 1, "one, two").when(m == 2, "line\nbreak").when(
+        m == 3, F.array(*[F.lit(t) for t in S.NA_TOKENS])[n.cast("int")]).otherwise(F.concat(F.lit("t"), F.col(ID)))
+    depth = F.when(m == 0, "12d").when(m == 1, "1e3").when(m == 2, " 12 ").when(m == 3, "0x1p3").when(m == 4, "abc").when(
+        m == 5, "NA").when(m == 6, "-5.5").when(m == 7, "7f").otherwise(F.col(ID))
+    flag = F.when(m == 0, "True").when(m == 1, "False").when(m == 2, "1.0").when(m == 3, "2").when(m == 4, "yes").otherwise(
+        F.when(m % 2 == 0, "1").otherwise("0"))
+    return leads.select(F.col(ID), topic.alias("ai_mentor_topic"), depth.alias("session_depth"), flag.alias("coupon_code_applied"))
+
+
+def _dirty_copy(spark, sf_dir) -> str:
+    import uuid
+
+    from ..session import shared_scratch
+    from ..sources.files import write_csv
+
+    path = shared_scratch(spark, f"csv_dirty/{uuid.uuid4().hex}")
+    write_csv(_dirty_texts(TB.leads(spark, sf_dir)), path)
+    return path
+
+
+def q_dirty_csv(spark, sf_dir):
+    """S1-S3 on texts with quotes, commas, line breaks, NA tokens, odd numbers and booleans."""
+    from ..sources.files import normalise, read_csv_raw
+
+    raw = read_csv_raw(spark, _dirty_copy(spark, sf_dir))
+    bad = raw.select(ID, F.col(BAD_LINE).isNotNull().alias("bad_line"))
+    return normalise(raw, binary_as_int=False).join(bad, ID)
+
+
+def q_dirty_csv_report(spark, sf_dir):
+    """V1, V8, V16 and ragged lines on the same texts."""
+    from ..sources.files import read_csv_raw
+
+    report = VA.validation_report(read_csv_raw(spark, _dirty_copy(spark, sf_dir)), require_target=False)
+    return report.select("rule", "column", "bad_rows", "failed")
 
 
 QUERIES.update({
     "csv_roundtrip": q_csv_roundtrip,
     "csv_validation_report": q_csv_validation_report,
+    "dirty_csv": q_dirty_csv,
+    "dirty_csv_report": q_dirty_csv_report,
 })

@@ -2,28 +2,46 @@
 
 Written independently of the Spark plans: the ``leads`` recipe, the default
 fill, the derived features and the deterministic score are spelled out in
-SQL here.  Only the literal student columns are generated from the same
-constant table (they are inputs, not logic).
+SQL here; nothing is imported from the Spark side but the declared schema.
 """
 
 from __future__ import annotations
 
+import zlib
+
 from .. import schema as S
-from ..sources.tables import LEAD_LITERALS
+
+# Written out again (not imported), so that a wrong list on the other side shows.
+_TEXTS = {
+    "acquisition_channel": "['organic', 'referral', 'youtube', 'ads']",
+    "student_stage": "['student', 'graduate', 'professional', 'student']",
+    "most_active_time_window": "['morning', 'evening', 'night', 'evening']",
+    "ai_mentor_topic": "['none', 'gate', 'dsa', 'career']",
+    "gate_exam_urgency": "['low', 'medium', 'high', 'medium']",
+    "call_duration_bucket": "['none', 'short', 'long', 'short']",
+}
 
 
-def _literal_sql(name: str) -> str:
+def _drawn_sql(name: str) -> str:
+    """A column that the tables cannot supply: drawn from 24 bits of md5(id) and the checksum of the column's name."""
+    c = zlib.crc32(name.encode())
+    u = f"((c.h * {c & 0xFFFFF | 1} + {c >> 8}) & 16777215)"
+    k = f"({u} >> 4)"
     t = S.column_type(name).simpleString()
-    if name in LEAD_LITERALS:
-        v = LEAD_LITERALS[name]
-        if isinstance(v, str):
-            return f"CAST('{v}' AS VARCHAR) AS {name}"
-        return f"CAST({float(v)!r} AS DOUBLE) AS {name}"
-    if t == "string":
-        return f"CAST(NULL AS VARCHAR) AS {name}"
-    if t == "int":
-        return f"CAST(0 AS INTEGER) AS {name}"
-    return f"CAST(0 AS DOUBLE) AS {name}"
+    if name in _TEXTS:
+        value = f"{_TEXTS[name]}[({k} & 3) + 1]"
+    elif t == "int":
+        value = f"CAST({k} & 1 AS INTEGER)"
+    elif name in S.RANGE_RULES:
+        lo, hi = S.RANGE_RULES[name]
+        value = f"{float(lo)}::DOUBLE + CAST({k} & 1023 AS DOUBLE) * {(hi - lo) / 1023.0!r}::DOUBLE"
+    elif name == "engagement_intensity":
+        value = f"CAST({k} & 1023 AS DOUBLE)"
+    elif name == "counsellor_call_duration_mins":
+        value = f"CAST({k} & 15 AS DOUBLE) * 0.5::DOUBLE"
+    else:
+        value = f"CAST({k} & 31 AS DOUBLE)"
+    return f"CASE WHEN ({u} & 15) <> 0 THEN {value} END AS {name}"
 
 
 _DERIVED_SQL = {
@@ -37,8 +55,8 @@ _DERIVED_SQL = {
     "active_days_30d": "CAST(ev.active_days AS DOUBLE)",
     "last_login_days_ago": "CAST(date_diff('day', CAST(op.last_prior AS DATE), DATE '2001-01-01') AS DOUBLE)",
     "registration_days_ago": "CAST(date_diff('day', CAST(op.first_prior AS DATE), DATE '2001-01-01') AS DOUBLE)",
-    "session_depth": "CAST(op.prior_orders AS DOUBLE)",
-    "login_frequency_14d": "CAST(op.recent_orders AS DOUBLE)",
+    "session_depth": "CAST(coalesce(op.prior_orders, 0) AS DOUBLE)",
+    "login_frequency_14d": "CAST(coalesce(op.recent_orders, 0) AS DOUBLE)",
 }
 
 
@@ -48,7 +66,7 @@ def _leads_select() -> str:
         if name in _DERIVED_SQL:
             cols.append(f"{_DERIVED_SQL[name]} AS {name}")
         else:
-            cols.append(_literal_sql(name))
+            cols.append(_drawn_sql(name))
     return ",\n    ".join(cols)
 
 
@@ -91,7 +109,7 @@ ev AS (
 leads AS (
   SELECT
     {_leads_select()}
-  FROM customer c LEFT JOIN op ON op.c_custkey = c.c_custkey LEFT JOIN ev ON ev.c_custkey = c.c_custkey
+  FROM (SELECT *, ('0x' || substr(md5(c_custkey::VARCHAR), 1, 6))::BIGINT AS h FROM customer) c LEFT JOIN op ON op.c_custkey = c.c_custkey LEFT JOIN ev ON ev.c_custkey = c.c_custkey
 ),
 filled AS (
   SELECT

@@ -46,7 +46,6 @@ ORACLES: dict[str, str] = {
 # validation, ranking, metrics, thresholds, views
 # ---------------------------------------------------------------------------
 
-from ..operators.metrics import calibration_edges  # noqa: E402
 from .catalog import SUMMARY_THRESHOLDS, VIEW_HIGH, VIEW_OUTREACH  # noqa: E402
 
 
@@ -63,7 +62,7 @@ def dbl(x: float) -> str:
     return f"{float(x)!r}::DOUBLE"
 
 
-def _validation_sql(raw_text: bool = False) -> str:
+def _validation_sql(raw_text: bool = False, src: str = "leads", absent: tuple[str, ...] = (), extra_ctes: str = "") -> str:
     rules = [("V5", "student_id", "student_id IS NULL OR trim(student_id) = ''",
               "Blank or missing student_id values detected.")]
     rules.append(("V7", S.TARGET_COLUMN, f"{S.TARGET_COLUMN} IS NOT NULL AND {S.TARGET_COLUMN} NOT IN (0, 1)",
@@ -80,15 +79,19 @@ def _validation_sql(raw_text: bool = False) -> str:
             if c not in S.STRING_COLUMNS:
                 rules.append(("V16", c, f"{c} IS NOT NULL AND TRY_CAST(CAST({c} AS VARCHAR) AS DOUBLE) IS NULL",
                               f"Column '{c}' contains values that are not numbers."))
+    rules = [r for r in rules if r[1] not in absent]
     counts = ",\n    ".join(f"count(*) FILTER (WHERE {pred}) AS r{i}" for i, (_, _, pred, _) in enumerate(rules))
+    gone = f"'Missing required columns: {', '.join(absent)}'" if absent else "CAST(NULL AS VARCHAR)"
     parts = [
-        "SELECT 1 AS seq, 'V3' AS rule, CAST(NULL AS VARCHAR) AS \"column\", 'error' AS severity, "
-        "CAST(CASE WHEN n = 0 THEN 1 ELSE 0 END AS BIGINT) AS bad_rows, n = 0 AS failed, "
-        "'Dataset is empty.' AS message FROM agg",
-        "SELECT 2, 'V4', 'student_id', 'error', dup_rows, dup_rows > 0, "
+        "SELECT 1 AS seq, 'V1' AS rule, CAST(NULL AS VARCHAR) AS \"column\", 'error' AS severity, "
+        f"CAST({len(absent)} AS BIGINT) AS bad_rows, {len(absent)} > 0 AS failed, {gone} AS message",
+        "SELECT 2, 'V2', 'student_id', 'error', 0, false, NULL",
+        f"SELECT 3, 'V6', '{S.TARGET_COLUMN}', 'error', 0, false, NULL",
+        "SELECT 4, 'V3', NULL, 'error', CAST(CASE WHEN n = 0 THEN 1 ELSE 0 END AS BIGINT), n = 0, 'Dataset is empty.' FROM agg",
+        "SELECT 5, 'V4', 'student_id', 'error', dup_rows, dup_rows > 0, "
         "'Duplicate student_id values detected.' FROM dup",
     ]
-    seq = 2
+    seq = 5
     for i, (rule, col, _, msg) in enumerate(rules):
         seq += 1
         m = msg.replace("'", "''")
@@ -105,12 +108,13 @@ def _validation_sql(raw_text: bool = False) -> str:
     {counts},
     count(DISTINCT course_interest) AS courses,
     avg(CAST({S.TARGET_COLUMN} AS DOUBLE)) AS rate
-  FROM leads
+  FROM {src}
 ),
 dup AS (
   SELECT CAST(coalesce(sum(c), 0) AS BIGINT) AS dup_rows
-  FROM (SELECT student_id, count(*) AS c FROM leads GROUP BY student_id) WHERE c > 1
+  FROM (SELECT student_id, count(*) AS c FROM {src} GROUP BY student_id) WHERE c > 1
 )"""
+    ctes = extra_ctes + ctes
     return with_leads("SELECT CAST(seq AS INTEGER) AS seq, * EXCLUDE (seq) FROM (\n" + "\nUNION ALL\n".join(parts) + "\n)", ctes)
 
 
@@ -208,7 +212,7 @@ UNION ALL
 SELECT CAST(max(k) + 1 AS BIGINT), CAST(NULL AS DOUBLE), 1.0::DOUBLE, 0.0::DOUBLE FROM lagged""",
                      _curve_ctes("score_tied"))
 
-_EDGE_SUM = " + ".join(f"CAST(score > {e!r}::DOUBLE AS INTEGER)" for e in calibration_edges(10))
+_EDGE_SUM = " + ".join(f"CAST(score > {i} * 0.1::DOUBLE AS INTEGER)" for i in range(1, 10))
 _CALIB_SQL = with_leads(f"""
 SELECT bin, count(*) AS students, {r6('avg(CAST(purchased_paid_course AS DOUBLE))')} AS prob_true,
   {r6('avg(score)')} AS prob_pred
@@ -308,15 +312,6 @@ SELECT student_id, tier,
   CASE tier WHEN 'HIGH' THEN '{_ACTIONS['HIGH']}' WHEN 'MID' THEN '{_ACTIONS['MID']}' WHEN 'LOW' THEN '{_ACTIONS['LOW']}' END AS action
 FROM (SELECT student_id, {_TIER} AS tier FROM scored2)""")
 
-_PRED_SQL = with_leads(f"""
-SELECT student_id, purchase_probability, predicted_tier, actual_purchased, correct FROM (
-  SELECT student_id, {_PCT} AS purchase_probability, {_TIER} AS predicted_tier,
-    CAST(purchased_paid_course AS INTEGER) AS actual_purchased,
-    CAST(CAST(score >= {dbl(VIEW_HIGH)} AS INTEGER) = purchased_paid_course AS INTEGER) AS correct, score
-  FROM scored2)
-WHERE predicted_tier IN ('HIGH', 'MID', 'LOW') AND correct = 0
-ORDER BY score DESC, student_id""")
-
 _FULL_SQL = f"""SELECT student_id, {_PCT} AS purchase_probability, {_TIER} AS predicted_tier,
   CAST(purchased_paid_course AS INTEGER) AS actual_purchased, course_interest, last_login_days_ago AS days_since_login
 FROM scored2 ORDER BY score DESC, student_id"""
@@ -336,19 +331,14 @@ _BUCKET = """CASE WHEN p <= 20 THEN '0-20%' WHEN p <= 40 THEN '20-40%' WHEN p <=
   WHEN p <= 80 THEN '60-80%' ELSE '80-100%' END"""
 
 
-def _hist_sql(bins: int, by_class: bool) -> str:
+def _hist_sql(bins: int, by_class: bool, src: str = "scored2", ctes: str = "") -> str:
     width = 1.0 / bins
     b = f"CAST(least(floor(score * {dbl(bins)}), {bins - 1}) AS INTEGER)"
-    if by_class:
-        return with_leads(f"""
-SELECT label, bin, {r6(f'bin * {dbl(width)}')} AS bin_start, students,
-  {r6(f'students / (class_n * {dbl(width)})')} AS density
-FROM (SELECT CAST(purchased_paid_course AS INTEGER) AS label, {b} AS bin, count(*) AS students FROM scored2 GROUP BY 1, 2) h
-JOIN (SELECT CAST(purchased_paid_course AS INTEGER) AS label, count(*) AS class_n FROM scored2 GROUP BY 1) c USING (label)""")
+    label = "CAST(purchased_paid_course AS INTEGER) AS label, " if by_class else ""
+    keys = "label, " if by_class else ""
     return with_leads(f"""
-SELECT bin, {r6(f'bin * {dbl(width)}')} AS bin_start, students,
-  {r6(f'students / ((SELECT count(*) FROM scored2) * {dbl(width)})')} AS density
-FROM (SELECT {b} AS bin, count(*) AS students FROM scored2 GROUP BY 1)""")
+SELECT {keys}bin, {r6(f'bin * {dbl(width)}')} AS bin_start, students, {r6(f'students / {dbl(width)}')} AS density
+FROM (SELECT {label}{b} AS bin, count(*) AS students FROM {src} GROUP BY ALL)""", ctes)
 
 
 ORACLES.update({
@@ -369,7 +359,6 @@ ORACLES.update({
     "learned_policy": _POLICY_SQL,
     "tier_counts": _TIER_COUNTS_SQL,
     "tier_actions": _TIER_ACTIONS_SQL,
-    "prediction_table": _PRED_SQL,
     "full_scored": with_leads(_FULL_SQL),
     "full_preview": with_leads(_FULL_SQL + "\nLIMIT 100"),
     "full_totals": with_leads(f"""SELECT count(*) AS total_students,
@@ -397,7 +386,6 @@ FROM dv WHERE days_since_login IS NOT NULL GROUP BY 1 ORDER BY 1""", _DASH),
     "recency_scatter": with_leads("""SELECT student_id, days_since_login, purchase_probability,
   coalesce(purchase_probability, 0.0::DOUBLE) > 50 AS above_50 FROM dv""", _DASH),
     "score_histogram": _hist_sql(40, True),
-    "holdout_histogram": _hist_sql(30, False),
 })
 
 
@@ -440,7 +428,8 @@ ORACLES.update({
 FROM sp GROUP BY 1, 2""", _SPLIT_CTE),
     "scale_pos_weight": with_leads(f"""SELECT {r6('sum(1 - purchased_paid_course) / sum(purchased_paid_course)')} AS scale_pos_weight
 FROM sp WHERE split = 'train'""", _SPLIT_CTE),
-    "holdout_lookup": with_leads("""SELECT l.student_id, l.purchased_paid_course, l.course_interest
+    "holdout_lookup": with_leads("""SELECT row_number() OVER (ORDER BY md5('42|split|' || l.student_id), l.student_id) - 1 AS position,
+  l.student_id, l.purchased_paid_course, l.course_interest
 FROM leads l JOIN sp USING (student_id) WHERE sp.split = 'holdout'""", _SPLIT_CTE),
     "impute_stats": with_leads(f"""SELECT name AS "column", 'median' AS kind, {r6('median(v)')} AS number, CAST(NULL AS VARCHAR) AS text
 FROM {_UNPIVOT_NUM} GROUP BY name
@@ -454,33 +443,40 @@ FROM (SELECT DISTINCT name, v FROM {_UNPIVOT_CAT})""", _SPLIT_CTE),
 })
 
 
-def _profiles_sql() -> str:
-    from ..operators.features import PROFILE_COMPLETION_FLAGS, PROFILE_COURSE_FLAGS, PROFILE_INPUTS, PROFILE_WINDOW
+# Columns that a short profile leaves at zero; the other ones are its inputs or are derived below.
+_PROFILE_ZEROS = """
+    beta_mode_switched ai_mentor_image_uploaded rank_predictor_coupon_copied community_image_posted
+    chat_initiated_count study_group_joined study_group_created followers_count
+    following_count resume_uploaded standard_certificates job_notifications_enabled
+    job_alerts_clicked_count job_applications_count resume_review_requested resume_review_completed
+    mock_interview_requested mock_interview_completed question_reports_count feedback_submitted
+    platform_rating referral_program_visited successful_referrals purchased_paid_course
+    is_professional pro_intent_interaction
+""".split()
 
+
+def _profiles_sql() -> str:
+    special = {
+        "course_interest": "course",
+        "target_gate": "course = 'GATE'",
+        "target_placement": "course = 'Placement'",
+        "target_govt_jobs": "course = 'GovtJobs'",
+        "has_profile_picture": "profile_completion_pct > 40",
+        "has_education_filled": "profile_completion_pct > 60",
+        "has_career_goals": "profile_completion_pct > 70",
+        "most_active_time_window": "'evening'",
+        "daily_avg_minutes": "total_platform_minutes / greatest(active_days_30d, 1)",
+        "engagement_intensity": "(total_platform_minutes * login_frequency_14d) / 14.0::DOUBLE",
+        "intent_score": "pricing_page_visits * 10 + cart_items_count * 20",
+        "effective_call_minutes": "CASE WHEN counsellor_call_picked_up = 1 THEN counsellor_call_duration_mins ELSE 0.0 END",
+    }
     cols = []
     for c in S.MODEL_SCHEMA_COLUMNS:
-        t = S.column_type(c).simpleString()
-        sql_t = {"string": "VARCHAR", "int": "INTEGER"}.get(t, "DOUBLE")
-        if c == S.ID_COLUMN or c in PROFILE_INPUTS:
-            e = c
-        elif c in PROFILE_COURSE_FLAGS:
-            e = f"course_interest = '{PROFILE_COURSE_FLAGS[c]}'"
-        elif c in PROFILE_COMPLETION_FLAGS:
-            e = f"profile_completion_pct > {PROFILE_COMPLETION_FLAGS[c]}"
-        elif c == "most_active_time_window":
-            e = f"'{PROFILE_WINDOW}'"
-        elif c == "daily_avg_minutes":
-            e = "total_platform_minutes / greatest(active_days_30d, 1)"
-        elif c == "engagement_intensity":
-            e = "(total_platform_minutes * login_frequency_14d) / 14.0::DOUBLE"
-        elif c == "intent_score":
-            e = "pricing_page_visits * 10 + cart_items_count * 20"
-        elif c == "effective_call_minutes":
-            e = "CASE WHEN CAST(counsellor_call_picked_up AS BOOLEAN) THEN counsellor_call_duration_mins ELSE 0.0 END"
-        else:
-            e = "0"
+        sql_t = {"string": "VARCHAR", "int": "INTEGER"}.get(S.column_type(c).simpleString(), "DOUBLE")
+        e = special.get(c, "0" if c in _PROFILE_ZEROS else c)
         cols.append(f"CAST({e} AS {sql_t}) AS {c}")
-    return with_leads("SELECT " + ",\n  ".join(cols) + "\nFROM leads")
+    return with_leads("SELECT " + ",\n  ".join(cols) + """
+FROM (SELECT *, ['GATE', 'Placement', 'GovtJobs', 'Other'][CAST(student_id AS BIGINT) % 4 + 1] AS course FROM leads)""")
 
 
 ORACLES["sparse_profiles"] = _profiles_sql()
@@ -536,3 +532,183 @@ ORACLES["holdout_policy_card"] = _CARD_SQL
 
 ORACLES["csv_roundtrip"] = with_leads("SELECT * FROM leads")
 ORACLES["csv_validation_report"] = _validation_sql(raw_text=True)
+
+
+# ---------------------------------------------------------------------------
+# holdout pages, planted faults, calibration, folds
+# ---------------------------------------------------------------------------
+
+_HOLD = _SPLIT_CTE + """,
+hold AS (SELECT s.* FROM scored2 s JOIN sp USING (student_id) WHERE sp.split = 'holdout')"""
+
+
+def _predictions_sql(show: str, tiers: str) -> str:
+    return with_leads(f"""
+SELECT student_id, purchase_probability, predicted_tier, actual_purchased, correct FROM (
+  SELECT student_id, {_PCT} AS purchase_probability, {_TIER} AS predicted_tier,
+    CAST(purchased_paid_course AS INTEGER) AS actual_purchased,
+    CAST(CAST(score >= {dbl(VIEW_HIGH)} AS INTEGER) = purchased_paid_course AS INTEGER) AS correct, score
+  FROM hold)
+WHERE predicted_tier IN ({tiers}) AND {show}""", _HOLD)
+
+
+_DECILES_OF = _DECILE_SQL.split("SELECT CAST(g.decile", 1)[1]
+_DIRTY = """dirty AS (
+  SELECT * REPLACE (
+    {replaced}
+  ) FROM (SELECT *, CAST(student_id AS BIGINT) % 97 AS m FROM leads)
+),
+"""
+
+
+def _dirty_cte() -> str:
+    out = ["CASE m WHEN 1 THEN CAST(CAST(student_id AS BIGINT) - 1 AS VARCHAR) WHEN 2 THEN NULL WHEN 3 THEN '  ' ELSE student_id END AS student_id",
+           "CASE m WHEN 4 THEN 2 WHEN 5 THEN 3 ELSE purchased_paid_course END AS purchased_paid_course"]
+    out += [f"CASE WHEN m = 5 THEN 3 ELSE {c} END AS {c}" for c in S.BINARY_COLUMNS if c != S.TARGET_COLUMN]
+    out += [f"CASE WHEN m = 6 THEN -1.0::DOUBLE ELSE {c} END AS {c}" for c in S.NON_NEGATIVE_COLUMNS]
+    out += [f"CASE m WHEN 7 THEN {hi}.5::DOUBLE WHEN 8 THEN {lo}::DOUBLE - 0.5::DOUBLE ELSE {c} END AS {c}"
+            for c, (lo, hi) in S.RANGE_RULES.items()]
+    return _DIRTY.replace("{replaced}", ",\n    ".join(out))
+
+
+def _src_policy(score: str, where: str) -> str:
+    ctes = f"""src AS (SELECT student_id, purchased_paid_course, {score} AS score FROM scored2 WHERE {where}),
+""" + policy_ctes("src", "x")
+    return with_leads(f"""
+SELECT pol.policy, pol.threshold, {_summary_select('tp', 'fp', 'n', 'P')}
+FROM (SELECT 'high' AS policy, threshold FROM xh UNION ALL SELECT 'outreach', threshold FROM xo) pol
+JOIN xsw USING (threshold)""", ctes)
+
+
+_FOLD_CTES = _SPLIT_CTE + """,
+long AS (
+  SELECT 'plain' AS candidate, 0 AS position, fold, s.purchased_paid_course AS y, score AS s FROM scored2 s JOIN sp USING (student_id) WHERE split = 'train'
+  UNION ALL SELECT 'snapped', 1, fold, s.purchased_paid_course, score_tied FROM scored2 s JOIN sp USING (student_id) WHERE split = 'train'
+  UNION ALL SELECT 'blurred', 2, fold, s.purchased_paid_course, round_even(score * 4.0::DOUBLE, 0) / 4.0::DOUBLE
+    FROM scored2 s JOIN sp USING (student_id) WHERE split = 'train'
+),
+lc AS (SELECT candidate, position, fold, s, CAST(sum(y) AS DOUBLE) AS pos, CAST(sum(1 - y) AS DOUBLE) AS neg FROM long GROUP BY ALL),
+lr AS (
+  SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY candidate, fold) AS P,
+    sum(neg) OVER (PARTITION BY candidate, fold) AS N
+  FROM lc WINDOW w AS (PARTITION BY candidate, fold ORDER BY s DESC ROWS UNBOUNDED PRECEDING)
+),
+lp AS (
+  SELECT *, tp / (tp + fp) AS prec, coalesce(lag(tp / (tp + fp)) OVER (PARTITION BY candidate, fold ORDER BY s DESC), 1.0::DOUBLE) AS prev_prec
+  FROM lr
+),
+fm AS (
+  SELECT candidate, position, fold,
+    {auc} AS roc_auc, {ap} AS average_precision, {pr} AS pr_auc, {brier} AS brier_score
+  FROM lp GROUP BY candidate, position, fold
+),
+fs AS (
+  SELECT candidate, position, avg(roc_auc) AS roc_auc, avg(average_precision) AS average_precision, avg(pr_auc) AS pr_auc,
+    avg(brier_score) AS brier_score
+  FROM fm GROUP BY candidate, position
+)""".replace("{auc}", r6("sum(neg * (tp - pos) + neg * pos / 2) / (max(P) * max(N))")).replace(
+    "{ap}", r6("sum(pos * prec) / max(P)")).replace("{pr}", r6("sum(pos * (prec + prev_prec) / 2) / max(P)")).replace(
+    "{brier}", r6("sum(pos * (s - 1) * (s - 1) + neg * s * s) / (max(P) + max(N))"))
+
+_ISO_CTES = _SPLIT_CTE + """,
+pool AS (
+  SELECT s.score_tied AS x, CAST(count(*) AS DOUBLE) AS w, CAST(sum(s.purchased_paid_course) AS DOUBLE) AS y
+  FROM scored2 s JOIN sp USING (student_id) WHERE sp.split = 'calibration' GROUP BY 1
+),
+cum AS (SELECT x, row_number() OVER (ORDER BY x) AS i, sum(w) OVER (ORDER BY x) AS cw, sum(y) OVER (ORDER BY x) AS cy, w, y FROM pool),
+runs AS (SELECT a.i AS i, b.i AS k, (b.cy - a.cy + a.y) / (b.cw - a.cw + a.w) AS mean FROM cum a JOIN cum b ON b.i >= a.i),
+fit AS (
+  SELECT j.x, max(low) AS f FROM cum j JOIN (
+    SELECT j.i AS j, r.i, min(r.mean) AS low FROM cum j JOIN runs r ON r.i <= j.i AND r.k >= j.i GROUP BY j.i, r.i
+  ) m ON m.j = j.i GROUP BY j.x
+),
+ends AS (SELECT min(x) AS lo, max(x) AS hi FROM fit),
+put AS (
+  SELECT s.student_id, s.score_tied, least(greatest(s.score_tied, lo), hi) AS x FROM scored2 s CROSS JOIN ends
+),
+pts AS (
+  SELECT DISTINCT put.x, (SELECT max(x) FROM fit WHERE fit.x <= put.x) AS x1, (SELECT min(x) FROM fit WHERE fit.x >= put.x) AS x2 FROM put
+)"""
+
+ORACLES.update({
+    "prediction_table": _predictions_sql("correct = 0", "'HIGH', 'MID', 'LOW'"),
+    "predictions_all": _predictions_sql("true", "'HIGH', 'MID'"),
+    "predictions_correct": _predictions_sql("correct = 1", "'HIGH', 'MID', 'LOW'"),
+    "predictions_buyers": _predictions_sql("actual_purchased = 1", "'LOW'"),
+    "predictions_non_buyers": _predictions_sql("actual_purchased = 0", "'HIGH', 'LOW'"),
+    "holdout_histogram": _hist_sql(30, False, "hold", _HOLD),
+    "holdout_deciles": with_leads("\nSELECT CAST(g.decile" + _DECILES_OF.replace("FROM scored2", "FROM hold"),
+                                  _HOLD + ",\n" + _RANKED.replace("FROM scored2", "FROM hold")),
+    "holdout_metrics": with_leads(f"""
+SELECT {r6('sum((fpr - prev_fpr) * (tpr + prev_tpr) / 2)')} AS roc_auc,
+  {r6('sum((rec - prev_rec) * prec)')} AS average_precision,
+  {r6('sum((rec - prev_rec) * (prec + prev_prec) / 2)')} AS pr_auc,
+  (SELECT {r6('avg(pow(score - CAST(purchased_paid_course AS DOUBLE), 2))')} FROM hold) AS brier_score
+FROM lagged""", _HOLD + ",\n" + _curve_ctes("score").replace("FROM scored2", "FROM hold")),
+    "search_by_course": with_leads(f"""SELECT student_id, {_PCT} AS purchase_probability, {_TIER} AS tier, course_interest,
+  last_login_days_ago AS days_since_login FROM scored2 WHERE contains(student_id, '7') ORDER BY course_interest DESC, student_id"""),
+    "search_by_tier": with_leads(f"""SELECT student_id, {_PCT} AS purchase_probability, {_TIER} AS tier, course_interest,
+  last_login_days_ago AS days_since_login FROM scored2 WHERE contains(student_id, '7') ORDER BY tier, student_id"""),
+    "policy_without_valid_cut": _src_policy(
+        "round_even(((score - 0.45::DOUBLE * CAST(purchased_paid_course AS DOUBLE)) / 0.55::DOUBLE) * 5.0::DOUBLE, 0) / 10.0::DOUBLE", "true"),
+    "policy_high_below_outreach": _src_policy(
+        "CASE WHEN purchased_paid_course = 1 AND CAST(student_id AS BIGINT) % 500 <> 0 THEN 0.8::DOUBLE + score / 10.0::DOUBLE ELSE 0.2::DOUBLE END",
+        "purchased_paid_course = 1 OR CAST(student_id AS BIGINT) % 16 = 0"),
+    "one_class_metrics": with_leads(f"""
+SELECT CAST(NULL AS DOUBLE) AS roc_auc, 1.0::DOUBLE AS average_precision, 1.0::DOUBLE AS pr_auc,
+  (SELECT {r6('avg(pow(score_tied - 1, 2))')} FROM scored2 WHERE purchased_paid_course = 1) AS brier_score,
+  1 + count(*) FILTER (WHERE k = 1 OR k = kmax OR next_pos <> pos) AS roc_points, 1.0::DOUBLE AS max_tpr,
+  CAST(1 AS BIGINT) AS known_fpr, CAST(NULL AS DOUBLE) AS empty_coverage
+FROM (SELECT *, row_number() OVER (ORDER BY s DESC) AS k, lead(pos) OVER (ORDER BY s DESC) AS next_pos, count(*) OVER () AS kmax
+      FROM (SELECT score_tied AS s, count(*) AS pos FROM scored2 WHERE purchased_paid_course = 1 GROUP BY 1))"""),
+    "dirty_validation_report": _validation_sql(src="dirty", absent=("wishlist_count", "has_career_goals"), extra_ctes=_dirty_cte()),
+    "encoder_codes": """
+WITH o AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, o_custkey % 2 AS odd,
+                  CASE WHEN o_custkey % 13 <> 0 THEN 'k' || o_orderkey END AS tag FROM orders),
+cats AS (SELECT tag, count(*) AS n, row_number() OVER (ORDER BY tag) - 1 AS code FROM o WHERE odd = 1 AND tag IS NOT NULL GROUP BY tag),
+mode AS (SELECT tag FROM cats ORDER BY n DESC, tag LIMIT 1)
+SELECT o.id, CAST(coalesce(c.code, -1) AS BIGINT) AS code
+FROM o LEFT JOIN cats c ON c.tag = coalesce(o.tag, (SELECT tag FROM mode))""",
+    "fold_metrics": with_leads("SELECT candidate, fold, roc_auc, average_precision, pr_auc, brier_score FROM fm", _FOLD_CTES),
+    "fold_summary": with_leads(f"""SELECT candidate, {r6('roc_auc')} AS roc_auc, {r6('average_precision')} AS average_precision,
+  {r6('pr_auc')} AS pr_auc, {r6('brier_score')} AS brier_score FROM fs""", _FOLD_CTES),
+    "candidate_choice": with_leads(f"""SELECT candidate, position, {r6('average_precision')} AS average_precision
+FROM fs ORDER BY fs.average_precision DESC, roc_auc DESC, brier_score, position LIMIT 1""", _FOLD_CTES),
+    "isotonic_calibration": with_leads(f"""
+SELECT put.student_id, put.score_tied,
+  {r6('least(1.0::DOUBLE, greatest(0.0::DOUBLE, CASE WHEN pts.x1 = pts.x2 THEN a.f ELSE a.f + (b.f - a.f) * (put.x - pts.x1) / (pts.x2 - pts.x1) END))')} AS calibrated
+FROM put JOIN pts ON pts.x = put.x JOIN fit a ON a.x = pts.x1 JOIN fit b ON b.x = pts.x2""", _ISO_CTES),
+    "model_invariants": with_leads("""
+SELECT "check", CAST(v AS BIGINT) AS expected, CAST(v AS BIGINT) AS actual FROM (
+  SELECT 'rows_scored' AS "check", count(*) AS v FROM leads
+  UNION ALL SELECT 'scores_outside_unit_interval', 0
+  UNION ALL SELECT 'calibration_falls', 0
+  UNION ALL SELECT 'drivers_per_student_not_ten', 0
+  UNION ALL SELECT 'base_plus_contributions_not_margin', 0
+  UNION ALL SELECT 'validation_scores', 3 * count(*) FROM sp WHERE split = 'train'
+  UNION ALL SELECT 'holdout_rows_in_saved_order', count(*) FROM sp WHERE split = 'holdout'
+  UNION ALL SELECT 'calibration_rows', count(*) FROM sp WHERE split = 'calibration'
+  UNION ALL SELECT 'all_trees_of_the_chosen_candidate', 1)""", _SPLIT_CTE),
+    "dirty_csv": with_leads("""
+SELECT student_id,
+  CASE m WHEN 0 THEN 'a "quoted" word' WHEN 1 THEN 'one, two' WHEN 2 THEN 'line' || chr(10) || 'break' WHEN 3 THEN NULL ELSE 't' || student_id END AS ai_mentor_topic,
+  CASE m WHEN 1 THEN 1000.0 WHEN 2 THEN 12.0 WHEN 6 THEN -5.5 WHEN 0 THEN NULL WHEN 3 THEN NULL WHEN 4 THEN NULL WHEN 5 THEN NULL WHEN 7 THEN NULL
+    ELSE CAST(student_id AS DOUBLE) END::DOUBLE AS session_depth,
+  CASE m WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 2 WHEN 4 THEN NULL ELSE (m + 1) % 2 END::DOUBLE AS coupon_code_applied,
+  false AS bad_line
+FROM (SELECT student_id, CAST(student_id AS BIGINT) % 12 AS m FROM leads)"""),
+    "dirty_csv_report": with_leads("""
+SELECT rule, "column", CAST(bad_rows AS BIGINT) AS bad_rows, bad_rows > 0 AS failed FROM (
+  SELECT 'V1' AS rule, CAST(NULL AS VARCHAR) AS "column", 82 AS bad_rows
+  UNION ALL SELECT 'V2', 'student_id', 0
+  UNION ALL SELECT 'V6', 'purchased_paid_course', 0
+  UNION ALL SELECT 'V3', NULL, 0
+  UNION ALL SELECT 'V4', 'student_id', 0
+  UNION ALL SELECT 'V5', 'student_id', 0
+  UNION ALL SELECT 'S1', '_bad_line', 0
+  UNION ALL SELECT 'V8', 'coupon_code_applied', count(*) FILTER (WHERE m = 3) FROM c
+  UNION ALL SELECT 'V9', 'session_depth', count(*) FILTER (WHERE m = 6) FROM c
+  UNION ALL SELECT 'V16', 'session_depth', count(*) FILTER (WHERE m IN (0, 3, 4, 7)) FROM c
+  UNION ALL SELECT 'V16', 'coupon_code_applied', count(*) FILTER (WHERE m = 4) FROM c)""",
+                                   "c AS (SELECT CAST(student_id AS BIGINT) % 12 AS m FROM leads)"),
+})

@@ -3,9 +3,13 @@
 ``train``: validate -> features -> stratified splits -> cross-validated
 candidate choice -> fit on the training split -> isotonic calibration on the
 calibration split -> thresholds learned on calibrated calibration scores ->
-holdout evaluation -> artifacts.  Every step is a Spark job over the whole
-table; only bounded summaries (one row per metric, candidate or rule) reach
-the driver.
+holdout evaluation -> artifacts.  Statistics, encoding, scoring and metrics are
+Spark jobs over the whole table; trees are grown on at most ``max_fit_rows``
+labelled rows, every (candidate, fold) in a task of its own.  Only bounded
+summaries (one row per metric, candidate or rule) reach the driver.
+
+``holdout_bundle``: the saved holdout rows, re-selected by id in saved order
+and scored: what every evaluation page starts from.
 
 ``score_batch``: validate an upload (no target) -> features -> encoder ->
 trees -> calibration -> tiers / signal -> CSV.
@@ -14,17 +18,16 @@ trees -> calibration -> tiers / signal -> CSV.
 from __future__ import annotations
 
 import json
-import os
 from dataclasses import dataclass, field
 from datetime import datetime
 
-from pyspark.ml.classification import GBTClassificationModel
 from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.labels import probability_pct, tier_by_threshold, top_signal
+from ..operators import boost
 from ..operators import features as FE
 from ..operators import metrics as M
 from ..operators import model as MD
@@ -32,32 +35,36 @@ from ..operators import rank as R
 from ..operators import split as SP
 from ..operators import thresholds as TH
 from ..operators import validate as VA
-from ..operators.prep import LeadEncoder, LeadEncoderModel, split_column_kinds
+from ..operators.prep import CODES_SCHEMA, LeadEncoder, LeadEncoderModel, split_column_kinds
+from ..sources.files import load_split_ids, save_split_ids, write_csv
 
 ID = S.ID_COLUMN
 Y = S.TARGET_COLUMN
 SPLIT_COLS = ["split", "fold"]
+METRICS = ("roc_auc", "average_precision", "pr_auc", "brier_score")
+SHEET_INPUTS = ["ai_mentor_recency_weight", "pricing_page_visits", "cart_items_count", "engagement_intensity",
+                "current_streak_days", "course_interest"]
 
 
 @dataclass
 class TrainConfig:
     candidates: list[dict] = field(default_factory=lambda: list(S.MODEL_CANDIDATES))
-    max_trees: int | None = None  # tree budget; None = the candidates' own counts
+    max_fit_rows: int = 100_000      # labelled rows that trees are grown on: the one bound on the training cost
     cv_folds: int = S.CV_FOLDS
-    run_cv: bool = True
     min_precision: float = S.HIGH_PRECISION_TARGET
     seed: int = S.RANDOM_STATE
     expected_columns: list[str] = field(default_factory=lambda: list(S.MODEL_SCHEMA_COLUMNS))
-    median_error: float | None = None  # None = exact medians; e.g. 1e-4 for sketch medians at scale
 
 
 @dataclass
 class Artifacts:
     encoder: LeadEncoderModel
-    model: GBTClassificationModel
+    model: dict                        # flat tree arrays, see operators.boost
     calibrator: IsotonicRegressionModel
     config: dict
-    scored: DataFrame | None = None  # id, label, split, raw_score, score (all rows)
+    saved_ids: DataFrame               # (position, student_id, split) of the calibration and holdout rows
+    scored: DataFrame | None = None    # id, label, split, raw_score, score (all rows)
+    cv_scores: DataFrame | None = None  # candidate, fold, label, raw_score of the validation rows
 
 
 def _frame_columns(df: DataFrame, dropped: list[str]) -> list[str]:
@@ -65,59 +72,56 @@ def _frame_columns(df: DataFrame, dropped: list[str]) -> list[str]:
     return [c for c in df.columns if c not in exclude]
 
 
-def _encode(enc: LeadEncoderModel, df: DataFrame, keep: list[str], scale_pos_weight: float | None) -> DataFrame:
-    out = enc.transform(df, keep=keep)
-    if Y in keep:
-        out = out.withColumn("label", F.col(Y).cast("double"))
-        if scale_pos_weight is not None:
-            out = out.withColumn("weight", MD.class_weight("label", scale_pos_weight))
-    return out
-
-
 def _spw(df: DataFrame) -> float:
     row = SP.scale_pos_weight(df).first()
     return float(row["scale_pos_weight"]) if row and row["scale_pos_weight"] is not None else 1.0
 
 
-def _metrics_row(df: DataFrame, score_col: str) -> dict:
-    r = M.ranking_metrics(df, score_col, Y).first()
-    return {k: (float(r[k]) if r[k] is not None else float("nan")) for k in r.asDict()}
+def _fit_encoder(rows: DataFrame, cols: list[str]) -> LeadEncoderModel:
+    cat, num = split_column_kinds(rows.select(*cols), exclude=[])
+    return LeadEncoder(cat, num).fit(rows)
 
 
-def _fit(train_rows: DataFrame, cols: list[str], params: dict, cfg: TrainConfig):
-    cat, num = split_column_kinds(train_rows.select(*cols), exclude=[])
-    enc = LeadEncoder(cat, num, median_error=cfg.median_error).fit(train_rows)
-    spw = _spw(train_rows)
-    data = _encode(enc, train_rows, [ID, Y], spw).persist()
-    model = MD.make_classifier(params, cfg.max_trees, cfg.seed).fit(data)
-    data.unpersist()
-    return enc, model, spw
-
-
-def cross_validate(train_rows: DataFrame, cols: list[str], cfg: TrainConfig) -> tuple[dict, list[dict]]:
-    """M3: mean fold metrics per candidate (folds from the split assignment)."""
-    results = []
-    for cand in cfg.candidates:
-        folds = []
-        for f in range(cfg.cv_folds):
-            fit_rows = train_rows.where(F.col("fold") != f)
-            val_rows = train_rows.where(F.col("fold") == f)
-            enc, model, _ = _fit(fit_rows, cols, cand["params"], cfg)
-            val = model.transform(_encode(enc, val_rows, [ID, Y], None))
-            val = MD.raw_probability(val)
-            folds.append(_metrics_row(val, "raw_score"))
-        results.append({"name": cand["name"], "params": cand["params"], "fold_metrics": folds})
-    # Per-candidate means over folds (one small DataFrame, one row per fold)
-    spark = train_rows.sparkSession
-    metric_names = list(results[0]["fold_metrics"][0])
-    folds_df = spark.createDataFrame(
-        [(r["name"], i, *[float(f[m]) for m in metric_names]) for r in results for i, f in enumerate(r["fold_metrics"])],
-        "candidate string, fold int, " + ", ".join(f"{m} double" for m in metric_names),
-    )
-    means = {r["candidate"]: r.asDict() for r in M.fold_summary(folds_df).collect()}
-    for r in results:
-        r["mean_metrics"] = {m: means[r["name"]][m] for m in metric_names}
-    return MD.best_candidate(results), results
+def _fit_rows(enc: LeadEncoderModel, rows: DataFrame, fold: int, cfg: TrainConfig) -> DataFrame:
+    """(fold, id, features, label, weight) of at most ``max_fit_rows`` rows, picked by the split hash of the id."""
+    spw = _spw(rows)
+    picked = rows.orderBy(SP.split_hash(ID, cfg.seed), ID).limit(cfg.max_fit_rows)
+    out = enc.transform(picked, keep=[ID, Y])
+    label = F.col(Y).cast("double")
+    return out.select(F.lit(fold).alias("fold"), F.col(ID).alias("_id"), "features", label.alias("label"),
+                      MD.class_weight(Y, spw).alias("weight"))
+
+
+def cross_validate(train_rows: DataFrame, cols: list[str], cfg: TrainConfig) -> tuple[DataFrame, DataFrame]:
+    """M3: (validation scores, metrics) of every candidate and fold.
+
+    One encoder per fold; all fits are groups of one job; the metrics of all
+    candidates and folds come from one pass over the scores.
+    """
+    encoders = {f: _fit_encoder(train_rows.where(F.col("fold") != f), cols) for f in range(cfg.cv_folds)}
+    jobs = None
+    for f, enc in encoders.items():
+        part = _fit_rows(enc, train_rows.where(F.col("fold") != f), f, cfg)
+        jobs = part if jobs is None else jobs.unionByName(part)
+    models = boost.fit_grid(jobs, cfg.candidates, cfg.seed)
+    scores = None
+    for f, enc in encoders.items():
+        encoded = enc.transform(train_rows.where(F.col("fold") == f), keep=[Y])
+        part = boost.score_grid(encoded, {c["name"]: models[c["name"], f] for c in cfg.candidates}, [Y]).withColumn("fold", F.lit(f))
+        scores = part if scores is None else scores.unionByName(part)
+    scores = scores.select("candidate", "fold", F.col(Y).cast("int").alias("label"), "raw_score").checkpoint(eager=True)
+    return scores, M.ranking_metrics(scores, "raw_score", "label", keys=("candidate", "fold"))
+
+
+def candidate_means(fold_metrics: DataFrame, candidates: list[dict]) -> DataFrame:
+    """E10 with each candidate's position in the list (the first wins ties)."""
+    order = F.create_map(*[x for i, c in enumerate(candidates) for x in (F.lit(c["name"]), F.lit(i))])
+    return M.fold_summary(fold_metrics).withColumn("position", order[F.col("candidate")])
+
+
+def _metrics_row(df: DataFrame, score_col: str) -> dict:
+    r = M.ranking_metrics(df, score_col, Y).first()
+    return {k: (float(r[k]) if r[k] is not None else float("nan")) for k in METRICS}
 
 
 def train(spark: SparkSession, raw: DataFrame, cfg: TrainConfig | None = None) -> Artifacts:
@@ -125,20 +129,26 @@ def train(spark: SparkSession, raw: DataFrame, cfg: TrainConfig | None = None) -
     warnings = VA.require_valid(raw, cfg.expected_columns, True, "Training data").warnings
     df = FE.engineer(raw)
     dropped = S.leak_columns(df.columns)
-    assigned = SP.assign_splits(df, seed=cfg.seed).persist()
+    tags = SP.split_table(df, seed=cfg.seed, folds=cfg.cv_folds)        # narrow, checkpointed
+    saved_ids = SP.saved_positions(tags)
+    assigned = df.join(tags.select(ID, *SPLIT_COLS), ID).persist()
     cols = _frame_columns(assigned, dropped)
     train_rows = assigned.where(F.col("split") == "train")
 
-    if cfg.run_cv and len(cfg.candidates) > 1:
-        best, cv_results = cross_validate(train_rows, cols, cfg)
-    else:
-        best = {"name": cfg.candidates[0]["name"], "params": cfg.candidates[0]["params"], "mean_metrics": {}}
-        cv_results = []
+    cv_scores, fold_metrics = cross_validate(train_rows, cols, cfg)
+    folds = [r.asDict() for r in fold_metrics.collect()]                 # candidates x folds rows
+    means = candidate_means(fold_metrics, cfg.candidates)
+    mean_of = {r["candidate"]: {m: r[m] for m in METRICS} for r in means.collect()}
+    best = cfg.candidates[MD.choose_candidate(means).first()["position"]]
+    cv_results = [{"name": c["name"], "params": c["params"], "mean_metrics": mean_of[c["name"]],
+                   "fold_metrics": [{m: r[m] for m in METRICS} for r in sorted(folds, key=lambda r: r["fold"])
+                                    if r["candidate"] == c["name"]]} for c in cfg.candidates]
 
-    enc, model, spw = _fit(train_rows, cols, best["params"], cfg)
-    encoded_all = _encode(enc, assigned, [ID, Y, "split"], None)
-    raw_all = MD.raw_probability(model.transform(encoded_all)).select(ID, Y, "split", "raw_score")
-    raw_all = raw_all.withColumn("label", F.col(Y).cast("double"))
+    enc = _fit_encoder(train_rows, cols)
+    spw = _spw(train_rows)
+    model = boost.fit_grid(_fit_rows(enc, train_rows, -1, cfg), [best], cfg.seed)[best["name"], -1]
+    raw_all = boost.score_rows(enc.transform(assigned, keep=[ID, Y, "split"]), model, [ID, Y, "split"])
+    raw_all = raw_all.withColumn("label", F.col(Y).cast("double")).checkpoint(eager=True)
     calibrator = MD.fit_calibrator(raw_all.where(F.col("split") == "calibration"))
     scored = MD.calibrate(raw_all, calibrator).select(ID, Y, "split", "raw_score", "score").checkpoint(eager=True)
 
@@ -160,8 +170,9 @@ def train(spark: SparkSession, raw: DataFrame, cfg: TrainConfig | None = None) -
         return counts.get((split, 1), 0) / n if n else float("nan")
 
     test_metrics = _metrics_row(hold, "score")
+    test_profit = int(test_summ[out_t]["profit"]) if out_t in test_summ else None
     config = {
-        "model_version": "spark_gbt_calibrated_v1",
+        "model_version": "spark_boost_calibrated_v2",
         "trained_at": datetime.now().strftime("%Y-%m-%d %H:%M"),
         "random_state": cfg.seed,
         "test_size": S.TEST_SIZE,
@@ -171,6 +182,8 @@ def train(spark: SparkSession, raw: DataFrame, cfg: TrainConfig | None = None) -
         "high_precision_target": cfg.min_precision,
         "high_threshold": high_t,
         "outreach_threshold": out_t,
+        "hot_threshold": high_t,
+        "warm_threshold": out_t,
         "high_threshold_summary": policy["high"],
         "outreach_threshold_summary": policy["outreach"],
         "test_high_threshold_summary": test_summ.get(high_t),
@@ -193,23 +206,27 @@ def train(spark: SparkSession, raw: DataFrame, cfg: TrainConfig | None = None) -
         "feature_names": names,
         "top_features": top,
         "candidate_results": cv_results,
-        "selected_candidate": {"name": best["name"], "params": best["params"], "mean_metrics": best["mean_metrics"]},
+        "selected_candidate": {"name": best["name"], "params": best["params"], "mean_metrics": mean_of[best["name"]]},
+        "trees_fitted": int(len(model["starts"])),
+        "max_fit_rows": cfg.max_fit_rows,
+        "raw_test_metrics": _metrics_row(hold, "raw_score"),
+        "calibration_metrics": _metrics_row(cal, "score"),
         "test_metrics": test_metrics,
         "test_roc_auc": test_metrics["roc_auc"],
         "average_precision": test_metrics["average_precision"],
         "pr_auc": test_metrics["pr_auc"],
         "brier_score": test_metrics["brier_score"],
         "validation_profit_inr": int(policy["outreach"]["profit"]),
-        "test_profit_inr": int(test_summ[out_t]["profit"]) if out_t in test_summ else None,
+        "test_profit_inr": test_profit,
+        "max_profit_inr": test_profit,
         "top10_lift": lifts[0.1]["lift"],
         "top10_capture": lifts[0.1]["buyers_captured"],
         "top20_lift": lifts[0.2]["lift"],
         "top20_capture": lifts[0.2]["buyers_captured"],
-        "max_trees": cfg.max_trees,
         "warnings": warnings,
     }
     assigned.unpersist()
-    return Artifacts(encoder=enc, model=model, calibrator=calibrator, config=config, scored=scored)
+    return Artifacts(enc, model, calibrator, config, saved_ids, scored, cv_scores)
 
 
 # ---------------------------------------------------------------------------
@@ -217,52 +234,57 @@ def train(spark: SparkSession, raw: DataFrame, cfg: TrainConfig | None = None) -
 # ---------------------------------------------------------------------------
 
 def save(art: Artifacts, path: str) -> None:
-    """Trees and calibrator with MLlib writers, encoder + config as JSON, ids as Parquet."""
-    art.model.write().overwrite().save(f"{path}/trees")
-    art.calibrator.write().overwrite().save(f"{path}/calibrator")
-    spark = art.model.sparkSession if hasattr(art.model, "sparkSession") else SparkSession.getActiveSession()
+    """Trees, encoder and config as one JSON row; calibrator by its own writer; codes and ids as Parquet."""
+    spark = art.saved_ids.sparkSession
     meta = spark.createDataFrame(
-        [(art.encoder.to_json(), json.dumps(art.config, default=float))], "encoder string, config string"
-    )
-    meta.coalesce(1).write.mode("overwrite").json(f"{path}/meta")
-    if art.scored is not None:
-        art.scored.where(F.col("split") != "train").select(F.col(ID).cast("string"), "split").write.mode(
-            "overwrite"
-        ).partitionBy("split").parquet(f"{path}/split_ids")
+        [(art.encoder.to_json(), boost.to_json(art.model), json.dumps(art.config, default=float))],
+        "encoder string, trees string, config string")
+    meta.coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+    art.calibrator.write().overwrite().save(f"{path}/calibrator")
+    art.encoder.codes.write.mode("overwrite").parquet(f"{path}/codes")
+    save_split_ids(art.saved_ids, f"{path}/split_ids")
 
 
 def load(spark: SparkSession, path: str) -> Artifacts:
     """Read back what ``save`` wrote."""
-    meta = spark.read.json(f"{path}/meta").first()
+    meta = spark.read.parquet(f"{path}/meta").first()
     return Artifacts(
-        encoder=LeadEncoderModel.from_json(meta["encoder"]),
-        model=GBTClassificationModel.load(f"{path}/trees"),
+        encoder=LeadEncoderModel.from_json(meta["encoder"], spark.read.schema(CODES_SCHEMA).parquet(f"{path}/codes")),
+        model=boost.from_json(meta["trees"]),
         calibrator=IsotonicRegressionModel.load(f"{path}/calibrator"),
         config=json.loads(meta["config"]),
+        saved_ids=load_split_ids(spark, f"{path}/split_ids"),
     )
 
 
-def score(df: DataFrame, art: Artifacts) -> DataFrame:
-    """M7 on any frame with the raw student columns: id, label if present, raw_score, score."""
+def score(df: DataFrame, art: Artifacts, extra: tuple[str, ...] = ()) -> DataFrame:
+    """M7 on any frame with the raw student columns: id, label if present, ``extra`` columns, raw_score, score."""
     eng = FE.engineer(df)
     cfg = art.config
     FE.model_inputs(eng, cfg["model_input_columns"], cfg["dropped_training_columns"])  # F13 check
-    keep = [ID] + ([Y] if Y in eng.columns else [])
-    encoded = art.encoder.transform(eng, keep=keep)
-    return MD.score_with(encoded, art.model, art.calibrator, keep)
+    keep = [ID] + ([Y] if Y in eng.columns else []) + list(extra)
+    return MD.score_with(art.encoder.transform(eng, keep=keep), art.model, art.calibrator, keep)
+
+
+def holdout_bundle(raw: DataFrame, art: Artifacts) -> DataFrame:
+    """The saved holdout rows in saved order, scored: position, id, label, raw_score, score."""
+    ids = art.saved_ids.where(F.col("split") == "holdout")
+    return score(SP.select_ids(raw, ids), art, ("position",)).orderBy("position")
 
 
 def score_batch(spark: SparkSession, raw: DataFrame, art: Artifacts, out_path: str | None = None) -> DataFrame:
-    """Validate (no target), score, tier by threshold, top signal, course; optional CSV."""
+    """Validate (no target), score, tier by threshold, top signal, course; optional CSV.
+
+    The sheet's inputs travel through the scoring pass, so the upload is
+    engineered and read once.
+    """
     required = [ID, *art.config.get("raw_feature_columns", [])]
     missing = S.missing_columns(raw.columns, required)
     if missing:
         raise ValueError("Upload is missing required columns: " + ", ".join(missing[:15]))
     VA.require_valid(raw, required, False, "Upload")
-    eng = FE.engineer(raw)
-    scored = score(raw, art).select(ID, "score")
     high, out = art.config["high_threshold"], art.config["outreach_threshold"]
-    sheet = eng.join(scored, ID).select(
+    sheet = score(raw, art, tuple(SHEET_INPUTS)).select(
         F.col(ID).cast("string").alias("student_id"),
         probability_pct(F.col("score")).alias("purchase_probability"),
         tier_by_threshold(F.col("score"), high, out).alias("tier"),
@@ -271,14 +293,5 @@ def score_batch(spark: SparkSession, raw: DataFrame, art: Artifacts, out_path: s
         F.col("score").alias("_score"),
     ).orderBy(F.col("_score").desc(), F.col("student_id")).drop("_score")
     if out_path:
-        sheet.write.mode("overwrite").option("header", True).csv(out_path)
+        write_csv(sheet, out_path)
     return sheet
-
-
-def artifacts_dir(spark: SparkSession, name: str) -> str:
-    from ..session import shared_scratch
-
-    return shared_scratch(spark, name)
-
-
-__all__ = ["TrainConfig", "Artifacts", "train", "save", "load", "score", "score_batch", "cross_validate", "os"]

@@ -18,6 +18,8 @@ DEFAULT_CONF = {
     # Call-site capture costs several py4j round-trips per Column call while
     # plans are built; error messages still name the failing expression.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # Checkpoint files go when nothing refers to them any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Broadcast only tables under 32 MB; every explicit broadcast in the
     # library is on a side with a proven bound (partition offsets, code tables).
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
@@ -46,6 +48,14 @@ def get_session(
     return spark
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package where the driver's checkout is visible to them."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH", ""), root) if x)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint directory, setting it only if unset.
 
@@ -78,27 +88,3 @@ def shared_scratch(spark: SparkSession, name: str) -> str:
     """A sub-path of the checkpoint folder for written intermediate tables."""
     root = ensure_checkpoint_dir(spark)
     return f"{root.rstrip('/')}/tables/{name}"
-
-
-def scale_conf(shuffle_bytes: int, total_cores: int, target_partition_bytes: int = 128 * 1024 * 1024,
-               max_partitions: int = 100_000) -> dict:
-    """Shuffle / scan sizing for a cluster run (spill-aware).
-
-    ``shuffle_bytes`` is the largest shuffle expected -- here the per-student
-    table (one row per customer after partial aggregation), not the raw event
-    and order input, which is reduced map-side before any exchange.
-
-    * ``spark.sql.shuffle.partitions``: about ``target_partition_bytes`` per
-      partition, at least 3 per core, capped so map-output tracking stays
-      small; it is also the range-partition count of the rank skeleton.
-    * scans split at the same size; AQE coalesces small shuffle partitions
-      toward the advisory size and splits skewed ones.
-    """
-    parts = -(-int(shuffle_bytes) // target_partition_bytes)
-    parts = min(max_partitions, max(3 * total_cores, parts))
-    return {
-        "spark.sql.shuffle.partitions": str(parts),
-        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
-    }

@@ -12,20 +12,39 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema as S
-from ..functions.numeric import is_na_token, parse_number
+from ..functions.numeric import is_na_token, parse_binary, parse_number
 
 
-def read_csv_raw(spark: SparkSession, path: str) -> DataFrame:
-    """Header row, all columns STRING, empty fields kept as NULL."""
+#: Column of a raw frame that holds the text of a line with too many or too few fields.
+BAD_LINE = "_bad_line"
+
+
+def read_csv_raw(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """Header row, all columns STRING, empty fields NULL; columns go by the file's own header names.
+
+    Quotes are doubled inside quoted fields, which may hold line breaks; for
+    that the file is read whole by one task, which is what one upload is
+    (``columns`` of a directory of part files are taken from its first header).
+    A line with too many or too few fields is kept in ``_bad_line`` for the
+    validation to report.
+    """
+    names = columns or csv_header(spark, path)
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, BAD_LINE]])
     return (
-        spark.read.option("header", True)
-        .option("inferSchema", False)
-        .option("mode", "PERMISSIVE")
-        .option("multiLine", False)
+        spark.read.schema(schema).option("header", True).option("enforceSchema", True)
+        .option("quote", '"').option("escape", '"').option("multiLine", True)
+        .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD_LINE)
         .csv(path)
     )
 
 
+def csv_header(spark: SparkSession, path: str) -> list[str]:
+    """Field names of a CSV file's first line."""
+    first = spark.read.option("header", False).option("quote", '"').option("escape", '"').option("inferSchema", False).csv(path)
+    row = first.first()
+    return [x if x is not None else f"_c{i}" for i, x in enumerate(row)] if row is not None else []
+
+
 def normalise(raw: DataFrame, binary_as_int: bool = True) -> DataFrame:
     """NA tokens -> NULL, strict numbers, declared types for known columns.
 
@@ -35,6 +54,8 @@ def normalise(raw: DataFrame, binary_as_int: bool = True) -> DataFrame:
     """
     out = []
     for f in raw.schema.fields:
+        if f.name == BAD_LINE:
+            continue
         c = F.col(f.name)
         if not isinstance(f.dataType, T.StringType):
             out.append(c)
@@ -42,10 +63,11 @@ def normalise(raw: DataFrame, binary_as_int: bool = True) -> DataFrame:
         if f.name in S.STRING_COLUMNS or (f.name not in S.MODEL_SCHEMA_COLUMNS):
             out.append(F.when(is_na_token(c), F.lit(None).cast("string")).otherwise(c).alias(f.name))
             continue
-        num = parse_number(c)
-        if f.name in S.BINARY_COLUMNS and binary_as_int:
-            num = num.cast("int")
-        out.append(num.alias(f.name))
+        if f.name in S.BINARY_COLUMNS:
+            num = parse_binary(c)
+            out.append((num.cast("int") if binary_as_int else num).alias(f.name))
+        else:
+            out.append(parse_number(c).alias(f.name))
     return raw.select(*out)
 
 
@@ -55,23 +77,14 @@ def read_students_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """S3: CSV directory with a header (one part file per task, no coalesce(1))."""
-    df.write.mode(mode).option("header", True).csv(path)
-
-
-def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None) -> None:
-    w = df.write.mode(mode)
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
+    """S3: CSV directory with a header (one part file per task, no coalesce(1)); quotes are doubled as they are read."""
+    df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"').csv(path)
 
 
-def save_split_ids(assigned: DataFrame, path: str) -> None:
-    """Persist the (student_id, split) assignment as a Parquet table.
-
-    Partitioned by split so a holdout lookup reads only its own files.
-    """
-    write_parquet(assigned.select(F.col(S.ID_COLUMN).cast("string"), "split"), path, partition_by=["split"])
+def save_split_ids(positions: DataFrame, path: str) -> None:
+    """The saved (position, student_id, split) table, partitioned by split so a lookup reads only its own files."""
+    positions.select("position", F.col(S.ID_COLUMN).cast("string").alias(S.ID_COLUMN), "split").write.mode(
+        "overwrite").partitionBy("split").parquet(path)
 
 
 def load_split_ids(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:

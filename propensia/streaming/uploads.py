@@ -1,11 +1,12 @@
 """Upload scoring as a Structured Streaming job (lifecycle C, continuous).
 
 The application's "new data upload" page validates one uploaded CSV and, if
-it passes, scores it.  Here a folder is the upload inbox: a file source
-reads each new CSV (all columns as STRING, ``maxFilesPerTrigger=1`` so one
-micro-batch is one upload, as on the page), and ``foreachBatch``
+it passes, scores it.  Here a folder is the upload inbox: the stream only
+discovers files (``maxFilesPerTrigger=1``, so one micro-batch is one upload, as
+on the page), and ``foreachBatch`` reads each file by its own header, so columns
+may come in any order and a missing one is seen as missing.  It
 
-* validates the batch without a target (the same one-scan rule set),
+* validates the upload without a target (the same one-scan rule set),
 * writes the validation messages of a rejected upload to ``rejected/``,
 * or scores it and writes the tiered sheet to ``scored/``.
 
@@ -18,45 +19,44 @@ independent, as in the application.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import schema as S
 from ..operators.validate import validate
 from ..plans.training import Artifacts, score_batch
-from ..sources.files import normalise
+from ..sources.files import normalise, read_csv_raw, write_csv
 
 
-def upload_schema(art: Artifacts) -> T.StructType:
-    cols = [S.ID_COLUMN, *[c for c in art.config.get("raw_feature_columns", []) if c != S.ID_COLUMN]]
-    return T.StructType([T.StructField(c, T.StringType(), True) for c in cols])
-
-
-def process_upload(spark: SparkSession, batch: DataFrame, batch_id: int, art: Artifacts, out_dir: str) -> str:
-    """Validate one upload; write its scored sheet or its rejection messages."""
+def process_upload(spark: SparkSession, raw: DataFrame, batch_id: int, art: Artifacts, out_dir: str) -> str:
+    """Validate one upload (a raw, all-string frame); write its scored sheet or its rejection messages."""
     required = [S.ID_COLUMN, *art.config.get("raw_feature_columns", [])]
-    res = validate(batch, required, require_target=False)
-    if res.errors:
-        msgs = spark.createDataFrame([(int(batch_id), m) for m in res.errors], "batch_id long, message string")
-        msgs.write.mode("overwrite").json(f"{out_dir}/rejected/batch_id={batch_id}")
-        return "rejected"
-    sheet = score_batch(spark, normalise(batch), art)
-    sheet.write.mode("overwrite").option("header", True).csv(f"{out_dir}/scored/batch_id={batch_id}")
-    return "scored"
+    raw = raw.persist()
+    try:
+        res = validate(raw, required, require_target=False)
+        if res.errors:
+            msgs = spark.createDataFrame([(int(batch_id), m) for m in res.errors], "batch_id long, message string")
+            msgs.write.mode("overwrite").json(f"{out_dir}/rejected/batch_id={batch_id}")
+            return "rejected"
+        write_csv(score_batch(spark, normalise(raw), art), f"{out_dir}/scored/batch_id={batch_id}")
+        return "scored"
+    finally:
+        raw.unpersist()
 
 
 def start(spark: SparkSession, inbox: str, out_dir: str, checkpoint: str, art: Artifacts,
           available_now: bool = True):
     """Start the stream; ``available_now`` processes what is there and stops."""
     stream = (
-        spark.readStream.schema(upload_schema(art))
-        .option("header", True)
+        spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length long, content binary")
         .option("maxFilesPerTrigger", 1)
-        .csv(inbox)
+        .option("pathGlobFilter", "*.csv")
+        .load(inbox)
+        .select("path")
     )
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        process_upload(batch.sparkSession, batch.select(*[F.col(c) for c in batch.columns]), batch_id, art, out_dir)
+        for row in batch.collect():            # one path per micro-batch
+            process_upload(batch.sparkSession, read_csv_raw(batch.sparkSession, row["path"]), batch_id, art, out_dir)
 
     writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")

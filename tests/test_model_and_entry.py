@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF001
+from propensia import schema as S
 
 
 @pytest.fixture(scope="module")
@@ -14,8 +15,8 @@ def trained(spark):
     from propensia.sources.tables import leads
 
     raw = leads(spark, SF001)
-    cfg = TrainConfig(max_trees=3, candidates=__import__("propensia.schema", fromlist=["x"]).MODEL_CANDIDATES[:2])
-    return raw, train(spark, raw, cfg)
+    small = [{"name": c["name"], "params": {**c["params"], "n_estimators": 8}} for c in S.MODEL_CANDIDATES[:2]]
+    return raw, train(spark, raw, TrainConfig(candidates=small))
 
 
 def test_scores_in_unit_interval_and_splits(trained):
@@ -26,7 +27,9 @@ def test_scores_in_unit_interval_and_splits(trained):
     assert 0.0 <= mn <= mx <= 1.0
     c = art.config
     assert c["train_rows"] + c["calibration_rows"] + c["test_rows"] == raw.count()
-    assert len(c["candidate_results"]) == 2
+    assert len(c["candidate_results"]) == 2 and all(len(r["fold_metrics"]) == 3 for r in c["candidate_results"])
+    assert c["trees_fitted"] == 8 and c["selected_candidate"]["params"]["n_estimators"] == 8
+    assert {"raw_test_metrics", "calibration_metrics", "hot_threshold", "warm_threshold", "max_profit_inr"} <= set(c)
     assert c["high_threshold"] >= c["outreach_threshold"]
     assert len(c["top_features"]) <= 15
 
@@ -39,12 +42,15 @@ def test_calibration_is_monotone(trained):
 
 
 def test_save_load_same_scores(spark, trained):
-    from propensia.plans.training import load, save, score
+    from propensia.plans.training import holdout_bundle, load, save, score
 
     raw, art = trained
     d = tempfile.mkdtemp(prefix="art-", dir="/tmp")
     save(art, d)
     art2 = load(spark, d)
+    ids = [r["student_id"] for r in holdout_bundle(raw, art2).collect()]
+    saved = art.saved_ids.where("split = 'holdout'").orderBy("position").collect()
+    assert ids == [r["student_id"] for r in saved] and [r["position"] for r in saved] == list(range(len(ids)))
     a = {r["student_id"]: r["score"] for r in score(raw, art).collect()}
     b = {r["student_id"]: r["score"] for r in score(raw, art2).collect()}
     assert a == b
@@ -72,7 +78,8 @@ def test_entry_contract(spark):
                           "days_since_login"]
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
-    assert set(q) - set(o) == {"model_holdout_report", "top_drivers"}
+    core = {n for n in q if n != "pipeline" and not n.startswith("op")}
+    assert core - set(o) == {"model_holdout_report", "top_drivers"}
 
 
 def test_upload_stream_scores_valid_and_rejects_invalid(spark, trained):
@@ -91,19 +98,25 @@ def test_upload_stream_scores_valid_and_rejects_invalid(spark, trained):
     bad = pdf.copy()
     bad["coupon_code_applied"] = 7
     bad.to_csv(os.path.join(inbox, "upload_2.csv"), index=False)
+    time.sleep(1.1)
+    pdf[list(pdf.columns)[::-1]].to_csv(os.path.join(inbox, "upload_3.csv"), index=False)       # another column order
+    time.sleep(1.1)
+    pdf.drop(columns=["session_depth"]).to_csv(os.path.join(inbox, "upload_4.csv"), index=False)
     q = start(spark, inbox, os.path.join(base, "out"), os.path.join(base, "ckpt"), art)
     q.awaitTermination(300)
     scored = spark.read.option("header", True).csv(os.path.join(base, "out", "scored"))
-    assert scored.count() == len(pdf)
+    assert scored.count() == 2 * len(pdf)
+    sheets = scored.drop("batch_id").dropDuplicates()
+    assert sheets.count() == len(pdf)       # the column order of an upload changes nothing
     rejected = spark.read.json(os.path.join(base, "out", "rejected")).collect()
     assert any("coupon_code_applied" in r["message"] for r in rejected)
+    assert any(r["message"] == "Missing required columns: session_depth" for r in rejected)
 
 
 def test_path_contributions_add_up_to_margin(spark, trained):
     import math
 
-    from pyspark.ml.functions import vector_to_array
-
+    from propensia.operators import boost
     from propensia.operators.explain import path_contributions, top_drivers
     from propensia.operators.features import engineer
 
@@ -111,11 +124,10 @@ def test_path_contributions_add_up_to_margin(spark, trained):
     enc = art.encoder.transform(engineer(raw), keep=["student_id"])
     contrib = path_contributions(enc, art.model, "student_id")
     rows = {r["student_id"]: r for r in contrib.collect()}
-    probs = {r["student_id"]: r["p"] for r in art.model.transform(enc).select(
-        "student_id", vector_to_array("probability")[1].alias("p")).collect()}
+    probs = {r["student_id"]: r["raw_score"] for r in boost.score_rows(enc, art.model, ["student_id"]).collect()}
     for sid, r in rows.items():
         assert r["base"] + sum(r["contributions"]) == pytest.approx(r["margin"], abs=1e-9)
-        assert 1 / (1 + math.exp(-2 * r["margin"])) == pytest.approx(probs[sid], abs=1e-9)
+        assert 1 / (1 + math.exp(-r["margin"])) == pytest.approx(probs[sid], abs=1e-9)
     top = top_drivers(contrib, art.encoder.feature_names(), "student_id", k=10).collect()
     per = {}
     for t in top:
@@ -126,3 +138,44 @@ def test_path_contributions_add_up_to_margin(spark, trained):
         assert all(a["abs_contribution"] >= b["abs_contribution"] for a, b in zip(ranked, ranked[1:]))
         best = max(abs(v) for v in rows[sid]["contributions"])
         assert ranked[0]["abs_contribution"] == pytest.approx(best)
+
+
+def test_boosted_trees_learn_and_respect_their_limits():
+    import numpy as np
+
+    from propensia.operators import boost
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(1500, 6))
+    x[:, 5] = 1.0                                         # a constant column is never split
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.5)).astype(float)
+    params = {**S.MODEL_CANDIDATES[0]["params"], "n_estimators": 60, "learning_rate": 0.1}
+    model = boost.fit_trees(x, y, np.ones(len(y)), params)
+    margin, parts = boost.margins(model, x, contributions=True)
+    assert ((margin > 0) == (y > 0)).mean() > 0.95
+    assert np.allclose(boost.base_margin(model) + parts.sum(axis=1), margin)
+    assert len(model["starts"]) == 60 and not (model["feature"] == 5).any()
+    assert boost.importances(model)[:2].sum() > 0.8
+    again = boost.from_json(boost.to_json(model))
+    assert np.array_equal(boost.margins(again, x)[0], margin)
+    stump = boost.fit_trees(x, y, np.ones(len(y)), {**params, "min_child_weight": 1e9, "n_estimators": 3})
+    assert (stump["feature"] < 0).all()
+    assert len(boost.fit_trees(np.ones((5, 2)), np.ones(5), np.ones(5), params)["starts"]) == 60
+
+
+def test_first_split_is_the_best_by_brute_force():
+    import numpy as np
+
+    from propensia.operators import boost
+
+    rng = np.random.default_rng(1)
+    x, y = rng.integers(0, 9, size=(200, 3)).astype(float), rng.integers(0, 2, 200).astype(float)
+    params = {"max_depth": 1, "learning_rate": 1.0, "n_estimators": 1, "reg_lambda": 1.0, "min_child_weight": 3, "subsample": 1.0,
+              "colsample_bytree": 1.0}
+    model = boost.fit_trees(x, y, np.ones(200), params)
+    g, h = 0.5 - y, np.full(200, 0.25)
+    best = max(((g[m].sum() ** 2 / (h[m].sum() + 1) + g[~m].sum() ** 2 / (h[~m].sum() + 1), f, c) for f in range(3)
+                for c in np.arange(0.5, 8.5) for m in [x[:, f] <= c] if h[m].sum() >= 3 and h[~m].sum() >= 3))
+    got = x[:, model["feature"][0]] <= model["threshold"][0]
+    gain = g[got].sum() ** 2 / (h[got].sum() + 1) + g[~got].sum() ** 2 / (h[~got].sum() + 1)
+    assert gain == pytest.approx(best[0])
