@@ -31,6 +31,7 @@ import base64
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
@@ -44,9 +45,26 @@ LEAF_CHARS = 1 << 15      # a text up to this length is matched in one go
 LEAF_BYTES = 1 << 10      # a piece up to this length is merged in one go
 LOOKAHEAD = 3             # the longest alternative of fixed length in the pattern ('re)
 CACHED_PIECES = 200_000   # pieces whose ids are remembered per worker; then the memory starts anew
+CACHED_CHUNKS = 500_000   # the same for texts between two spaces
 LEAF_IDS = 1 << 15
 
 
+class Chunks(dict):
+    """Text between two single spaces -> ids of a space and that text, packed as 4-byte numbers."""
+
+    def __init__(self, codec: "Codec"):
+        super().__init__()
+        self.codec = codec
+
+    def __missing__(self, chunk: str) -> bytes:
+        if len(self) >= CACHED_CHUNKS:
+            self.clear()
+        packed = self.codec.packed(" " + chunk)
+        if len(chunk) <= 64:
+            self[chunk] = packed
+        return packed
+
+
 class Codec:
     """Ranks, pattern and the tree reductions of one vocabulary."""
 
@@ -57,6 +75,7 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self._merge = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
         self._known: dict[str, list[int]] = {}
+        self._chunks = Chunks(self)
 
     # -- inside a piece
     def merge(self, data: bytes) -> list[int]:
@@ -147,8 +166,21 @@ class Codec:
         ai += bi[k:]
         return ap, ai
 
-    def encode(self, text: str) -> list[int]:
-        return [i for ids in self._node(text)[1] for i in ids]
+    def packed(self, text: str) -> bytes:
+        """Ids of a text as 4-byte numbers."""
+        return np.array([i for ids in self._node(text)[1] for i in ids], np.int32).tobytes()
+
+    def encode(self, text: str) -> np.ndarray:
+        """Token ids of a whole text.
+
+        In a leaf whose white space is single spaces and line feeds, no match
+        runs over a space into the text before it, and none looks further than
+        the space behind it, so the text between two spaces is one unit.
+        """
+        if len(text) <= LEAF_CHARS and " ".join(text.split()) == text.replace("\n", " "):
+            first, *rest = text.split(" ")
+            return np.frombuffer(self.packed(first) + b"".join(map(self._chunks.__getitem__, rest)), np.int32)
+        return np.frombuffer(self.packed(text), np.int32)
 
     def decode(self, ids: list[int]) -> bytes:
         if len(ids) <= LEAF_IDS:
@@ -171,8 +203,9 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             texts = texts_of(b.column(1))
             for i in range(0, len(texts), 512):      # small output batches bound the worker's memory
                 ids = [c.encode(t) for t in texts[i:i + 512]]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, 512), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 512), lists], names=["doc_id", "ids"])
 
     return docs.select(q(id_col).cast("long").alias("doc_id"), q(text_col).cast("string").alias("text")).mapInArrow(
         run, "doc_id long, ids array<int>")
@@ -200,5 +233,5 @@ def digests(decoded: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of encoded and decoded documents."""
     return decoded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.transform("ids", lambda i: i.cast("string")), " "), 256).alias("ids_sha256"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
