@@ -61,9 +61,10 @@ SURE_Z = 4.0
 FILLER = "x"              # the character that disguised examples insert
 DISGUISE_COST = 0.2       # of a disguised example, in plain ones
 RIDGE = 0.05
-MAX_LABELLED = 4_000
+MAX_LABELLED = 3_000
 MAX_FIT_CHARS = 20_000
 SEED = 5
+BLOCK = 16_384            # strings compared with the landmarks at a time
 MAX_WORDS = 300_000       # strings whose matches a worker keeps; then the table starts anew
 _PART = re.compile(r"[^\W_]+")
 _PAD = -1
@@ -147,8 +148,12 @@ class Landmarks:
         self.codes = _codes(strings)
         self.norm = np.sqrt(subsequence_kernel(self.codes, self.codes))
 
-    def similarity(self, items: list[str], block: int = 8192) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def similarity(self, items: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(string number, landmark number, normalised kernel) of every pair that shares enough letter pairs."""
+        out = [self._block(items[k:k + BLOCK], k) for k in range(0, max(len(items), 1), BLOCK)]
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+    def _block(self, items: list[str], first: int, block: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         get, least = self.pairs.get, int(self.need.min())
         strings, marks = [], []
         for n, s in enumerate(items):
@@ -176,7 +181,7 @@ class Landmarks:
             a = codes[row[strings[at]]][:, : int(width[row[strings[at]]].max())]
             b = self.codes[marks[at]]
             values[at] = subsequence_kernel(a, b) / (norm[strings[at]] * self.norm[marks[at]])
-        return strings, marks, values
+        return strings + first, marks, values
 
     def matrix(self, items: list[str]) -> np.ndarray:
         """The kernel values as a dense (strings, landmarks) table."""
@@ -244,7 +249,7 @@ def disguises(string: str) -> list[str]:
     return [string[:i] + c + string[i:] for i in range(1, len(string)) for c in (FILLER, string[i - 1] * 2)]
 
 
-def associations(bags: list[set[str]], toxic: list[int]) -> dict[str, float]:
+def associations(bags: list[frozenset[str]], toxic: list[int]) -> dict[str, float]:
     """Standard errors by which a string's share of toxic texts exceeds that of other texts."""
     seen = [Counter(), Counter()]
     for bag, y in zip(bags, toxic):
@@ -259,15 +264,20 @@ def associations(bags: list[set[str]], toxic: list[int]) -> dict[str, float]:
     return {w: z(w) for w in seen[1]}
 
 
-def _machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
-    """Squared-hinge linear machine by Newton steps on the examples inside the margin."""
+def _machine(x: np.ndarray, rows: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """Squared-hinge linear machine on the examples x[rows], by Newton steps on those inside the margin."""
     w = np.zeros(x.shape[1])
     ridge = RIDGE * np.eye(x.shape[1])
     ridge[-1, -1] = 1e-6                                # the bias
     for _ in range(50):
-        active = y * (x @ w) < 1
-        xa, ca = x[active], cost[active]
-        new = np.linalg.solve(ridge + (xa * ca[:, None]).T @ xa, (xa * ca[:, None]).T @ y[active])
+        gram, rhs = ridge.copy(), np.zeros(x.shape[1])
+        for k in range(0, len(rows), 4096):             # block by block: memory does not grow with the examples
+            part, yk, ck = x[rows[k:k + 4096]].astype(np.float64), y[k:k + 4096], cost[k:k + 4096]
+            active = yk * (part @ w) < 1
+            part, yk, ck = part[active], yk[active], ck[active]
+            gram += (part * ck[:, None]).T @ part
+            rhs += (part * ck[:, None]).T @ yk
+        new = np.linalg.solve(gram, rhs)
         if np.allclose(new, w, atol=1e-8):
             break
         w = new
@@ -278,7 +288,9 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     """Train on texts and their labels."""
     if not texts or len(set(toxic)) < 2:
         return Model()
-    bags = [{p for w in words_of(t) for p in parts_of(w)} for t in texts]
+    known: dict[str, str] = {}                          # one object per distinct string
+    bags = [frozenset(known.setdefault(p, p) for w in set(words_of(t)) for p in parts_of(w)) for t in texts]
+    del known
     z = associations(bags, toxic)
     marks = [w for w in sorted(z, key=lambda w: (-z[w], w)) if z[w] > 0][:LANDMARKS]
     if not marks:
@@ -304,7 +316,9 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     np.maximum.at(like, strings, values)
     matching = [vocabulary[i] for i in np.flatnonzero(like >= FLOOR).tolist()]
     row_of = {w: k for k, w in enumerate(matching)}
-    x = np.hstack([landmarks.matrix(matching).astype(np.float64) @ root, np.ones((len(matching), 1))])
+    x = np.ones((len(matching), len(marks) + 1), np.float32)
+    for k in range(0, len(matching), BLOCK):
+        x[k:k + BLOCK, :-1] = landmarks.matrix(matching[k:k + BLOCK]) @ root.astype(np.float32)
     hidden = np.array([row_of[w] for w in made if w in row_of], np.int64)
     against = Counter(row_of[w] for bag, y in zip(bags, toxic) if not y for w in bag if w in row_of)
     negative = np.array(sorted(against), np.int64)
@@ -318,7 +332,7 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
         positive = np.array([r for rs in pick for r in rs], np.int64)
         sign = np.concatenate([np.ones(len(positive) + len(hidden)), -np.ones(len(negative))])
         weight = np.concatenate([np.ones(len(positive)), np.full(len(hidden), DISGUISE_COST), cost])
-        w = _machine(x[np.concatenate([positive, hidden, negative])], sign, weight)
+        w = _machine(x, np.concatenate([positive, hidden, negative]), sign, weight)
         f = x @ w
         pick = [sorted({max(rows, key=lambda r: f[r]), *sure.intersection(rows)}) for rows in witnesses]
     model = Model(marks, root @ w[:-1], float(w[-1]))
