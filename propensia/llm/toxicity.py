@@ -26,7 +26,7 @@ are used for fitting (the documented bound); scoring reads every whole text.
 Strings are white-space delimited words without their punctuation, the parts
 between it, and runs of single letters joined (``i d i o t``); a string longer than ``WINDOW`` is matched in overlapping
 windows.  The kernel is only worked out for a string and a landmark that share
-half of the landmark's letter pairs (a gap of one allowed in the string); it
+two thirds of the landmark's letter pairs (a gap of one allowed in the string); it
 counts as 0 for others, in training and scoring alike.
 
 Defined cases: a null or empty text has no sentence and gets the score of a
@@ -56,7 +56,7 @@ NEAR_MISSES = 200         # landmarks from the other texts
 DISGUISED = 150           # landmarks from disguised examples
 FLOOR = 0.4
 WINDOW = 24
-ROUNDS = 4
+ROUNDS = 2
 SURE_Z = 4.0
 FILLER = "x"              # the character that disguised examples insert
 DISGUISE_COST = 0.2       # of a disguised example, in plain ones
@@ -64,16 +64,17 @@ RIDGE = 0.05
 MAX_LABELLED = 3_000
 MAX_FIT_CHARS = 20_000
 SEED = 5
-BLOCK = 16_384            # strings compared with the landmarks at a time
-MAX_WORDS = 300_000       # strings whose matches a worker keeps; then the table starts anew
+BLOCK = 8_192            # strings compared with the landmarks at a time
+MAX_WORDS = 1_000_000      # strings whose matches a worker keeps; then the table starts anew
 _PART = re.compile(r"[^\W_]+")
+_EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 _PAD = -1
 
 
 # -- strings of a text
 def parts_of(word: str) -> list[str]:
     """The strings of one white-space delimited word."""
-    parts = _PART.findall(word)
+    parts = [word] if word.isalnum() else _PART.findall(word)
     if len(parts) > 1:
         parts.append("".join(parts))
     return [w for p in parts for w in windows(p) if len(w) >= ORDER]
@@ -88,7 +89,7 @@ def windows(string: str) -> list[str]:
 
 def words_of(text: str) -> list[str]:
     """Lower-case words of a whole text, and its runs of single letters as words."""
-    words = text.lower().split()
+    words = [w.strip(_EDGES) for w in text.lower().split()]
     if sum(len(w) == 1 for w in words) > 2:
         run: list[str] = []
         for w in [*words, ""]:
@@ -137,50 +138,53 @@ class Landmarks:
     """Landmark strings with the index of their letter pairs."""
 
     def __init__(self, strings: list[str]):
-        self.strings, self.pairs = strings, {}
+        self.strings = strings
         own = [{s[i:i + 2] for i in range(len(s) - 1)} for s in strings]
-        for pair in sorted(set().union(*own)):
-            self.pairs[pair] = len(self.pairs)
-        self.has = np.zeros((len(self.pairs), len(strings)), np.uint8)
-        for k, pairs in enumerate(own):
-            self.has[[self.pairs[p] for p in pairs], k] = 1
-        self.need = np.array([(len(p) + 1) // 2 for p in own])
+        pairs = {p: k for k, p in enumerate(sorted(set().union(*own)))}
+        self.letters = np.array(sorted({ord(c) for p in pairs for c in p}), np.int32)
+        known = {chr(c): i for i, c in enumerate(self.letters.tolist())}
+        # number of a letter pair, by the places of its letters; the last place stands for any other character
+        self.pair = np.full((len(known) + 1, len(known) + 1), len(pairs), np.int32)
+        for p, k in pairs.items():
+            self.pair[known[p[0]], known[p[1]]] = k
+        self.has = np.zeros((len(pairs) + 1, len(strings)), np.float32)
+        for k, ps in enumerate(own):
+            self.has[[pairs[p] for p in ps], k] = 1
+        self.need = np.array([-(-2 * len(p) // 3) for p in own], np.float32)
         self.codes = _codes(strings)
         self.norm = np.sqrt(subsequence_kernel(self.codes, self.codes))
 
+    def _candidates(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(string number, landmark number) of the pairs that share enough letter pairs, neighbours or one apart."""
+        at = np.searchsorted(self.letters, codes)
+        at[self.letters[np.minimum(at, len(self.letters) - 1)] != codes] = len(self.letters)
+        seen = np.zeros((len(codes), len(self.has)), np.float32)
+        rows = np.arange(len(codes))[:, None]
+        for gap in (1, 2):
+            if codes.shape[1] > gap:
+                seen[rows, self.pair[at[:, :-gap], at[:, gap:]]] = 1
+        seen[:, -1] = 0
+        return np.nonzero(seen @ self.has >= self.need)
+
     def similarity(self, items: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(string number, landmark number, normalised kernel) of every pair that shares enough letter pairs."""
         out = [self._block(items[k:k + BLOCK], k) for k in range(0, max(len(items), 1), BLOCK)]
         return tuple(np.concatenate(x) for x in zip(*out))
 
     def _block(self, items: list[str], first: int, block: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        get, least = self.pairs.get, int(self.need.min())
-        strings, marks = [], []
-        for n, s in enumerate(items):
-            found = {get(s[i:i + 2]) for i in range(len(s) - 1)} | {get(s[i] + s[i + 2]) for i in range(len(s) - 2)}
-            found.discard(None)
-            if len(found) >= least:
-                near = np.flatnonzero(self.has[list(found)].sum(axis=0, dtype=np.int32) >= self.need)
-                marks.append(near)
-                strings.append(np.full(len(near), n))
-        if not strings:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        strings, marks = np.concatenate(strings), np.concatenate(marks)
+        codes = _codes(items)
+        strings, marks = self._candidates(codes)
         used = np.unique(strings)
-        norm, codes = np.ones(len(items)), _codes([items[i] for i in used.tolist()])
-        row = np.zeros(len(items), np.int64)
-        row[used] = np.arange(len(used))
-        width = np.array([len(items[i]) for i in used.tolist()], np.int64)
+        norm, width = np.ones(len(items)), np.array(list(map(len, items)), np.int64)
         for k in range(0, len(used), block):
-            part = codes[k:k + block]
-            norm[used[k:k + block]] = np.sqrt(subsequence_kernel(part, part))
+            part = codes[used[k:k + block]]
+            norm[used[k:k + block]] = np.sqrt(np.maximum(subsequence_kernel(part, part), 1e-30))
         values = np.zeros(len(strings))
-        order = np.lexsort((strings, width[row[strings]]))      # little padding per block
+        order = np.argsort(width[strings], kind="stable")       # little padding per block
         for k in range(0, len(order), block):
             at = order[k:k + block]
-            a = codes[row[strings[at]]][:, : int(width[row[strings[at]]].max())]
-            b = self.codes[marks[at]]
-            values[at] = subsequence_kernel(a, b) / (norm[strings[at]] * self.norm[marks[at]])
+            a = codes[strings[at]][:, : int(width[strings[at]].max())]
+            values[at] = subsequence_kernel(a, self.codes[marks[at]]) / (norm[strings[at]] * self.norm[marks[at]])
         return strings + first, marks, values
 
     def matrix(self, items: list[str]) -> np.ndarray:
