@@ -39,13 +39,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import q, texts_of
+from .common import q, slices, texts_of
 
 LEAF_CHARS = 1 << 15      # a text up to this length is matched in one go
 LEAF_BYTES = 1 << 10      # a piece up to this length is merged in one go
 LOOKAHEAD = 3             # the longest alternative of fixed length in the pattern ('re)
-CACHED_PIECES = 200_000   # pieces whose ids are remembered per worker; then the memory starts anew
-CACHED_CHUNKS = 500_000   # the same for texts between two spaces
+CACHED_PIECES = 50_000    # pieces whose ids are remembered per worker; then the memory starts anew
+CACHED_CHUNKS = 250_000   # the same for texts between two spaces
 LEAF_IDS = 1 << 15
 
 
@@ -199,13 +199,11 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        for b in batches:
-            texts = texts_of(b.column(1))
-            for i in range(0, len(texts), 512):      # small output batches bound the worker's memory
-                ids = [c.encode(t) for t in texts[i:i + 512]]
-                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 512), lists], names=["doc_id", "ids"])
+        for b in slices(batches, 512):
+            ids = [c.encode(t) for t in texts_of(b.column(1))]
+            ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+            yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["doc_id", "ids"])
 
     return docs.select(q(id_col).cast("long").alias("doc_id"), q(text_col).cast("string").alias("text")).mapInArrow(
         run, "doc_id long, ids array<int>")
@@ -220,11 +218,9 @@ def decode(encoded: DataFrame, path: str, pattern: str, keep: list[str] | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        for b in batches:
-            for i in range(0, b.num_rows, 512):
-                part = b.slice(i, 512)
-                out = [c.decode(ids or []) for ids in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=schema.names)
+        for b in slices(batches, 512):
+            out = [c.decode(ids or []) for ids in b.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=schema.names)
 
     return chosen.mapInArrow(run, schema)
 

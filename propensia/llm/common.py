@@ -52,14 +52,22 @@ def q(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def append_columns(df: DataFrame, new: list[T.StructField], fn: Callable[[pa.RecordBatch], list]) -> DataFrame:
-    """Pass every column of ``df`` through one Arrow pass and append what ``fn`` returns per batch."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows`` rows: few texts are Python objects at a time."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
+def append_columns(df: DataFrame, new: list[T.StructField], fn: Callable[[pa.RecordBatch], list],
+                   rows: int = 1024) -> DataFrame:
+    """Pass every column of ``df`` through one Arrow pass and append what ``fn`` returns per part of ``rows`` rows."""
     fields = df.schema.fields + new
     plain = [f"c{i}" for i in range(len(fields))]      # inside the pass: names with dots do not resolve there
     schema = T.StructType([T.StructField(n, f.dataType, True) for n, f in zip(plain, fields)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, rows):
             yield pa.RecordBatch.from_arrays(list(b.columns) + list(fn(b)), names=plain)
 
     return df.toDF(*plain[: len(df.columns)]).mapInArrow(run, schema).toDF(*[f.name for f in fields])

@@ -38,6 +38,7 @@ from .common import append_columns, bytes_of, fresh, q, written
 
 DELETED = b" \t\n\x0b\x0c\r"
 BUCKET_ENTRIES = 200_000
+COLLAPSE_ROWS = 10_000    # rows among which equal texts become one index entry
 _FIRST_DEPTH = 4
 
 
@@ -89,7 +90,7 @@ def _index_rows(docs: DataFrame, id_col: str, text_col: str, key_bits: int, n: d
     kinds = [("key", "long"), ("digest", "string"), ("entry", "long"), ("count", "long"), ("chars", "long"),
              ("best", "long"), ("best_row", "long")]
     fields = [T.StructField(n[k], T.LongType() if t == "long" else T.StringType()) for k, t in kinds]
-    return append_columns(with_row, fields, columns)
+    return append_columns(with_row, fields, columns, COLLAPSE_ROWS)
 
 
 def directory(entries: DataFrame, key: str, bucket_entries: int = BUCKET_ENTRIES) -> list[tuple[int, int, int]]:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import q, texts_of
+from .common import q, slices, texts_of
 
 MAX_LABELLED = 2_000
 MIN_TAG_COST = 0.2
@@ -230,7 +230,7 @@ def extract_pages(pages: DataFrame, weights: dict | None = None, id_col: str = "
     weights = weights or learn_weights(pages, id_col, html_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts = [extract(page, weights) for page in texts_of(b.column(2))]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())],

@@ -38,10 +38,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, fresh, labelled_sample, q, texts_of, written
+from .common import append_columns, fresh, labelled_sample, q, slices, texts_of, written
 
 BUCKETS = 1 << 16
-MAX_WORDS = 300_000       # whole words whose hashes a worker keeps
+MAX_WORDS = 200_000       # whole words whose hashes a worker keeps
 PSEUDO = 2.0
 MAX_LABELLED = 20_000
 SEED = 17
@@ -92,7 +92,7 @@ def ngram_counts(docs: DataFrame, target_ids: DataFrame, id_col: str, text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-        for b in batches:
+        for b in slices(batches):
             marked = list(zip(map(buckets, texts_of(b.column(0))), b.column(1).to_pylist()))
             for counts, chosen in ((raw, marked), (target, [x for x in marked if x[1]])):
                 if chosen:

@@ -44,11 +44,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import q
+from .common import q, slices
 
 CHUNK_CHARS = 1 << 16
-MAX_STATES = 150_000      # states kept by a worker; then the table starts anew
-MAX_WORDS = 300_000       # whole words kept by a worker
+MAX_STATES = 100_000      # states kept by a worker; then the table starts anew
+MAX_WORDS = 200_000       # whole words kept by a worker
 BLOCK = 64                # chunks composed per task and level of the scan
 
 # FIXED VALUES: the contractions of the tokenizer's split pattern
@@ -425,7 +425,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(path)
-        for b in batches:
+        for b in slices(batches):
             yield result([(d, len(x.encode("utf-8")), t.count_raw(x)) for d, x in zip(*(c.to_pylist() for c in b.columns))])
 
     short = rows.where(fits).select("doc", "text")

@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, q, texts_of
+from .common import labelled_sample, q, slices, texts_of
 
 ORDER = 3
 DECAY = 0.7
@@ -65,7 +65,7 @@ MAX_LABELLED = 3_000
 MAX_FIT_CHARS = 20_000
 SEED = 5
 BLOCK = 8_192            # strings compared with the landmarks at a time
-MAX_WORDS = 1_000_000      # strings whose matches a worker keeps; then the table starts anew
+MAX_WORDS = 600_000       # strings whose matches a worker keeps; then the table starts anew
 _PART = re.compile(r"[^\W_]+")
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 _PAD = -1
@@ -387,9 +387,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = shared.value
-        for b in batches:
-            texts = texts_of(b.column(1))
-            values = [v for i in range(0, len(texts), 256) for v in machine.scores(texts[i:i + 256])]
+        for b in slices(batches, 512):
+            values = machine.scores(texts_of(b.column(1)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(values, pa.float64())], names=["doc_id", "score"])
 
     scored = docs.select(q(id_col).cast("long").alias("doc_id"), q(text_col).cast("string").alias("text")).mapInArrow(
