@@ -209,7 +209,8 @@ def ball_links(fps: DataFrame, max_bits: int) -> DataFrame:
     """Links of ``fps`` by common neighbours within half of ``max_bits``; exact and linear in the rows."""
     near, far = max_bits // 2, max_bits - max_bits // 2
     masks = lambda r: [sum(1 << i for i in c) for n in range(r + 1) for c in combinations(range(64), n)]
-    flips = lambda r: F.explode(F.array(*[F.lit(_signed(x)) for x in masks(r)]))
+    # one constant text instead of thousands of literals keeps the plan small
+    flips = lambda r: F.explode(F.split(F.lit(",".join(str(_signed(x)) for x in masks(r))), ",").cast("array<bigint>"))
     around = fps.select("fp", flips(far).alias("m")).select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("z"))
     hub = fps.select("fp", flips(near).alias("m")).groupBy(F.col("fp").bitwiseXOR(F.col("m")).alias("z")).agg(
         F.min("fp").alias("hub"))
