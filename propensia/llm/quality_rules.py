@@ -105,8 +105,10 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     again = F.filter(grams, lambda s, i: near(grams, i - 1, lambda y: y["g"] == s["g"])
                      | near(grams, i + 1, lambda y: y["g"] == s["g"]))
     covered = F.array_distinct(F.flatten(F.transform(again, lambda s: F.array(s["p"], s["p"] + 1, s["p"] + 2))))
+    # the condition always holds: it only keeps later filters from being pushed into (and repeating) the steps above
+    repeats = F.when(F.spark_partition_id() >= 0, F.size(covered).cast("long"))
     df = df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_stop_words",
-                   F.size(covered).cast("long").alias("n_repeat_words"))
+                   repeats.alias("n_repeat_words"))
     return df.select(
         "*",
         _ratio("word_chars", "n_words").alias("mean_word_chars"),

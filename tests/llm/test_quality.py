@@ -46,10 +46,9 @@ def test_threshold_table_is_compiled_without_python(spark, capsys):
 
 def test_clean_documents_pass_and_junk_fails(spark):
     docs, labels = (spark.read.parquet(f"{SF01}/{t}.parquet") for t in ("documents", "labels"))
-    rows = qr.apply_rules(docs).join(labels, "doc_id").where("NOT base_failed").groupBy("quality").agg({"*": "count", "kept": "max"})
     judged = qr.apply_rules(docs).join(labels, "doc_id").where("NOT base_failed").selectExpr("quality", "CAST(kept AS INT) AS k")
     means = {r.quality: r.m for r in judged.groupBy("quality").agg({"k": "avg"}).toDF("quality", "m").collect()}
-    assert means[1] > 0.97 and means[0] < 0.5 and rows.count() == 2
+    assert means[1] > 0.97 and means[0] < 0.5
 
 
 @pytest.mark.parametrize("values", [[1.0], [2.0] * 9, [0.1 * k for k in range(50)], [1.0, np.nextafter(1.0, 2), 2.0, 2.0, -5.0], [-1e300, 0.0, 1e300, 1e-300]])
