@@ -41,11 +41,14 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_CLASS, fresh, labelled_sample, q, written
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 18
 MAX_LABELLED = 20_000
 PSEUDO = 1.0
 MIN_COUNT = 5             # labelled documents that a bucket needs to count as evidence
+MIN_RATIO = 3.0           # log ratio that a bucket needs besides
 MIN_ERRORS = 5.0          # standard errors by which its share must differ from the domain's
+CLEAN_SHARE = 0.005       # of the labelled anchor texts, which may lean to another domain
+MARGIN = 3.0              # log odds by which the others must lean to the anchor
 STEPS = 30
 TOLERANCE = 1e-3
 HEADROOM = 1.05
@@ -91,7 +94,7 @@ def _tokenised(docs: DataFrame, text_col: str, names: dict) -> DataFrame:
 
 
 def fit_posteriors(docs: DataFrame, domains: DataFrame, names: list[str], id_col: str, text_col: str,
-                   max_labelled: int = MAX_LABELLED, seed: int = SEED) -> tuple[list[float], list[list[float]]]:
+                   max_labelled: int = MAX_LABELLED, seed: int = SEED, anchor: str = ANCHOR) -> tuple[list[float], list[list[float]]]:
     """(log prior, log ratio per bucket) of each domain, from a bounded sample of labelled rows."""
     chosen = labelled_sample(domains, F.col("domain").isNotNull(), [F.min("domain").alias("domain")], max_labelled, seed)
     narrow = docs.select(q(id_col).alias("doc_id"), q(text_col).alias("text"))
@@ -113,7 +116,17 @@ def fit_posteriors(docs: DataFrame, domains: DataFrame, names: list[str], id_col
             if spread and abs(r[d] - seen * share) >= MIN_ERRORS * spread:
                 inside = (r[d] + PSEUDO) / (totals.get(d, 0) + 2 * PSEUDO)
                 outside = (seen - r[d] + PSEUDO) / (n_all - totals.get(d, 0) + 2 * PSEUDO)
-                weights[k][r["bucket"]] = math.log(inside / outside)
+                ratio = math.log(inside / outside)
+                if abs(ratio) >= MIN_RATIO:      # weaker ones mostly tell long texts from short ones
+                    weights[k][r["bucket"]] = ratio
+    # offsets: all but CLEAN_SHARE of the labelled anchor texts must lean to the anchor, however long they are
+    base = names.index(anchor) if anchor in names else 0
+    sums = [F.aggregate("_buckets", F.lit(0.0).cast("double"), _adder(_table(w))) if any(w) else F.lit(0.0) for w in weights]
+    tails = used.where(F.col("domain") == names[base]).agg(*[
+        F.percentile_approx(sums[k] - sums[base], 1 - CLEAN_SHARE, 10_000).alias(f"q{k}") for k in range(len(names))]).first()
+    for k in range(len(names)):
+        if k != base and tails[f"q{k}"] is not None:
+            prior[k] = min(prior[k], prior[base] - tails[f"q{k}"] - MARGIN)
     return prior, weights
 
 
@@ -190,7 +203,7 @@ def _names(columns: list[str], domains: list[str]) -> dict:
 def _rated(docs: DataFrame, domains: DataFrame, weights: Mapping[str, float], anchor: str, headroom: float, id_col: str,
            text_col: str, max_labelled: int, label: str) -> tuple[DataFrame, dict]:
     names = _names(docs.columns, list(weights))
-    model = fit_posteriors(docs, domains, list(weights), id_col, text_col, max_labelled)
+    model = fit_posteriors(docs, domains, list(weights), id_col, text_col, max_labelled, anchor=anchor)
     table = written(with_posteriors(docs, model, list(weights), text_col, names), label)
     narrow = table.select(names["tokens"], *[names[d] for d in weights])
     steps, _ = fit_rates(narrow, weights, anchor, headroom, names)
@@ -203,7 +216,7 @@ def document_rates(docs: DataFrame, domains: DataFrame, weights: Mapping[str, fl
     """One row per document: doc_id, n_tokens, p_<domain>, rate, copies."""
     narrow = docs.select(q(id_col).alias("doc_id"), q(text_col).alias("text"))
     slim = _names(narrow.columns, list(weights))
-    model = fit_posteriors(narrow, domains, list(weights), "doc_id", "text", max_labelled)
+    model = fit_posteriors(narrow, domains, list(weights), "doc_id", "text", max_labelled, anchor=anchor)
     scored = with_posteriors(narrow, model, list(weights), "text", slim)
     digest = F.xxhash64(F.lit(SEED), F.col("doc_id"), F.col("text"))
     table = written(scored.withColumn("_draw", digest).drop("text"), "mixing_rates")
