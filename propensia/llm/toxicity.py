@@ -25,9 +25,8 @@ are used for fitting (the documented bound); scoring reads every whole text.
 
 Strings are white-space delimited words without their punctuation, the parts
 between it, and runs of single letters joined (``i d i o t``); a string longer than ``WINDOW`` is matched in overlapping
-windows.  The kernel is only worked out for a string and a landmark that share
-two thirds of the landmark's letter pairs (a gap of one allowed in the string); it
-counts as 0 for others, in training and scoring alike.
+windows.  The kernel is worked out for every string and landmark, without any
+screen: an index from subsequences to the landmarks that hold them gives the sums.
 
 Defined cases: a null or empty text has no sentence and gets the score of a
 text without any match; rows with a null label are not used for fitting;
@@ -41,6 +40,8 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -56,15 +57,17 @@ NEAR_MISSES = 200         # landmarks from the other texts
 DISGUISED = 150           # landmarks from disguised examples
 FLOOR = 0.4
 WINDOW = 24
-ROUNDS = 2
+ROUNDS = 4
 SURE_Z = 4.0
 FILLER = "x"              # the character that disguised examples insert
 DISGUISE_COST = 0.2       # of a disguised example, in plain ones
 RIDGE = 0.05
-MAX_LABELLED = 3_000
+MAX_LABELLED = 4_000
 MAX_FIT_CHARS = 20_000
 SEED = 5
 BLOCK = 8_192            # strings compared with the landmarks at a time
+CELLS = 1 << 18           # subsequences of strings, or shares of landmarks in them, held at a time
+TABLE = 1 << 22           # largest table of subsequence numbers; beyond it they are searched
 MAX_WORDS = 600_000       # strings whose matches a worker keeps; then the table starts anew
 _PART = re.compile(r"[^\W_]+")
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
@@ -134,64 +137,102 @@ def subsequence_kernel(a: np.ndarray, b: np.ndarray, order: int = ORDER, decay:
     return total
 
 
+@cache
+def _places(width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the subsequences of a string of ``width`` characters, and what each weighs by its span."""
+    at = np.array(list(combinations(range(width), ORDER)), np.int64).reshape(-1, ORDER)
+    return at, DECAY ** (at[:, -1] - at[:, 0] + 1.0)
+
+
 class Landmarks:
-    """Landmark strings with the index of their letter pairs."""
+    """Landmark strings with the index of their subsequences."""
 
     def __init__(self, strings: list[str]):
         self.strings = strings
-        own = [{s[i:i + 2] for i in range(len(s) - 1)} for s in strings]
-        pairs = {p: k for k, p in enumerate(sorted(set().union(*own)))}
-        self.letters = np.array(sorted({ord(c) for p in pairs for c in p}), np.int32)
-        known = {chr(c): i for i, c in enumerate(self.letters.tolist())}
-        # number of a letter pair, by the places of its letters; the last place stands for any other character
-        self.pair = np.full((len(known) + 1, len(known) + 1), len(pairs), np.int32)
-        for p, k in pairs.items():
-            self.pair[known[p[0]], known[p[1]]] = k
-        self.has = np.zeros((len(pairs) + 1, len(strings)), np.float32)
-        for k, ps in enumerate(own):
-            self.has[[pairs[p] for p in ps], k] = 1
-        self.need = np.array([-(-2 * len(p) // 3) for p in own], np.float32)
-        self.codes = _codes(strings)
-        self.norm = np.sqrt(subsequence_kernel(self.codes, self.codes))
-
-    def _candidates(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(string number, landmark number) of the pairs that share enough letter pairs, neighbours or one apart."""
-        at = np.searchsorted(self.letters, codes)
-        at[self.letters[np.minimum(at, len(self.letters) - 1)] != codes] = len(self.letters)
-        seen = np.zeros((len(codes), len(self.has)), np.float32)
-        rows = np.arange(len(codes))[:, None]
-        for gap in (1, 2):
-            if codes.shape[1] > gap:
-                seen[rows, self.pair[at[:, :-gap], at[:, gap:]]] = 1
-        seen[:, -1] = 0
-        return np.nonzero(seen @ self.has >= self.need)
-
-    def similarity(self, items: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(string number, landmark number, normalised kernel) of every pair that shares enough letter pairs."""
-        out = [self._block(items[k:k + BLOCK], k) for k in range(0, max(len(items), 1), BLOCK)]
-        return tuple(np.concatenate(x) for x in zip(*out))
-
-    def _block(self, items: list[str], first: int, block: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        codes = _codes(items)
-        strings, marks = self._candidates(codes)
-        used = np.unique(strings)
-        norm, width = np.ones(len(items)), np.array(list(map(len, items)), np.int64)
-        for k in range(0, len(used), block):
-            part = codes[used[k:k + block]]
-            norm[used[k:k + block]] = np.sqrt(np.maximum(subsequence_kernel(part, part), 1e-30))
-        values = np.zeros(len(strings))
-        order = np.argsort(width[strings], kind="stable")       # little padding per block
-        for k in range(0, len(order), block):
-            at = order[k:k + block]
-            a = codes[strings[at]][:, : int(width[strings[at]].max())]
-            values[at] = subsequence_kernel(a, self.codes[marks[at]]) / (norm[strings[at]] * self.norm[marks[at]])
-        return strings + first, marks, values
+        codes = _codes(strings)
+        norm = np.sqrt(subsequence_kernel(codes, codes))
+        self.letters = np.array(sorted({ord(c) for s in strings for c in s}), np.int32)
+        keys, marks, values = [], [], []
+        for k, s in enumerate(strings):
+            at, value = _places(len(s))
+            own, of = np.unique(self._keys(codes[k:k + 1, :len(s)], at)[0], return_inverse=True)
+            keys.append(own)
+            marks.append(np.full(len(own), k))
+            values.append(np.bincount(of, value, len(own)) / norm[k])
+        keys, marks, values = map(np.concatenate, (keys, marks, values))
+        order = np.argsort(keys, kind="stable")
+        # known subsequences, and the landmarks that hold each one: marks[first[t]:first[t + 1]]
+        self.known, first = np.unique(keys[order], return_index=True)
+        self.first = np.append(first, len(keys))
+        self.marks, self.values = marks[order], values[order]
+        size = (len(self.letters) + 1) ** ORDER
+        self.number = np.full(size, -1, np.int32) if size <= TABLE else None
+        if self.number is not None:
+            self.number[self.known] = np.arange(len(self.known))
+
+    def _keys(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """One number for each subsequence of each string; the last letter stands for any that no landmark has."""
+        letter = np.searchsorted(self.letters, codes)
+        letter[self.letters[np.minimum(letter, len(self.letters) - 1)] != codes] = len(self.letters)
+        key = np.zeros((len(codes), len(at)), np.int64)
+        for place in at.T:
+            key = key * (len(self.letters) + 1) + letter[:, place]
+        return key
+
+    def _numbers(self, keys: np.ndarray) -> np.ndarray:
+        """Numbers of known subsequences, -1 for others."""
+        if self.number is not None:
+            return self.number[keys]
+        at = np.minimum(np.searchsorted(self.known, keys), len(self.known) - 1)
+        return np.where(self.known[at] == keys, at, -1)
+
+    def blocks(self, items: list[str]) -> Iterator[tuple[slice, np.ndarray]]:
+        """Normalised kernel values of at most BLOCK strings at a time with every landmark."""
+        for k in range(0, len(items), BLOCK):
+            yield slice(k, min(k + BLOCK, len(items))), self._block(items[k:k + BLOCK])
+
+    def _block(self, items: list[str]) -> np.ndarray:
+        out = np.zeros((len(items), len(self.strings)), np.float32)
+        codes, width = _codes(items), np.array(list(map(len, items)), np.int64)
+        for length in np.unique(width[width >= ORDER]).tolist():
+            rows, (at, value) = np.flatnonzero(width == length), _places(length)
+            size = max(1, min(1024, CELLS // len(at)))
+            for k in range(0, len(rows), size):
+                part = rows[k:k + size]
+                own = codes[part, :length]
+                numbers = self._numbers(self._keys(own, at))
+                row, place = np.nonzero(numbers >= 0)
+                if len(row):
+                    norm = np.sqrt(np.maximum(subsequence_kernel(own, own), 1e-30))
+                    out[part] = self._shared(row, numbers[row, place], value[place], len(part)) / norm[:, None]
+        return out
+
+    def _shared(self, row: np.ndarray, number: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+        """Sums over the subsequences that each of ``n`` strings shares with each landmark."""
+        width = len(self.strings)
+        out = np.zeros(n * width)
+        count = self.first[number + 1] - self.first[number]
+        ends = np.cumsum(count)
+        cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, ends[-1], CELLS)), len(row)))
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            c = count[a:b]
+            at = np.arange(c.sum()) + np.repeat(self.first[number[a:b]] - (np.cumsum(c) - c), c)
+            out += np.bincount(np.repeat(row[a:b] * width, c) + self.marks[at], np.repeat(value[a:b], c) * self.values[at],
+                               len(out))
+        return out.reshape(n, width)
+
+    def nearest(self, items: list[str]) -> np.ndarray:
+        """Largest kernel value of each string with a landmark."""
+        best = np.zeros(len(items))
+        for at, values in self.blocks(items):
+            best[at] = values.max(axis=1)
+        return best
 
     def matrix(self, items: list[str]) -> np.ndarray:
         """The kernel values as a dense (strings, landmarks) table."""
         out = np.zeros((len(items), len(self.strings)), np.float32)
-        strings, marks, values = self.similarity(items)
-        out[strings, marks] = values
+        for at, values in self.blocks(items):
+            out[at] = values
         return out
 
 
@@ -214,10 +255,10 @@ class Model:
 
     def string_scores(self, items: list[str]) -> np.ndarray:
         """Machine output of each string, -1 without a match."""
-        strings, marks, values = self._marks.similarity(items)
         best, total = np.zeros(len(items)), np.full(len(items), self.bias)
-        np.maximum.at(best, strings, values)
-        np.add.at(total, strings, values * self.weights[marks])
+        for at, values in self._marks.blocks(items):
+            best[at] = values.max(axis=1)
+            total[at] += np.einsum("ij,j->i", values, self.weights)     # the same sum in any block
         return np.where(best >= FLOOR, np.maximum(total, -1.0), -1.0)
 
     def _learn(self, new: set[str]) -> None:
@@ -300,9 +341,7 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     if not marks:
         return Model()
     other = sorted({w for bag, y in zip(bags, toxic) if not y for w in bag})
-    strings, _, values = Landmarks(marks).similarity(other)
-    like = np.zeros(len(other))
-    np.maximum.at(like, strings, values)
+    like = Landmarks(marks).nearest(other)
     chosen = set(marks)
     marks += [other[i] for i in np.argsort(-like, kind="stable")[:NEAR_MISSES].tolist()
               if like[i] >= FLOOR and other[i] not in chosen]
@@ -315,9 +354,7 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
 
     vocabulary = sorted(set().union(*bags, made))
-    strings, _, values = landmarks.similarity(vocabulary)
-    like = np.zeros(len(vocabulary))
-    np.maximum.at(like, strings, values)
+    like = landmarks.nearest(vocabulary)
     matching = [vocabulary[i] for i in np.flatnonzero(like >= FLOOR).tolist()]
     row_of = {w: k for k, w in enumerate(matching)}
     x = np.ones((len(matching), len(marks) + 1), np.float32)

@@ -38,6 +38,27 @@ def test_screened_kernel_equals_the_full_one_where_pairs_are_shared():
     assert not table[3].any() and not table[5].any()
 
 
+INSULTS = ["trash", "pathetic", "worthless", "idiot", "disgusting", "loser", "scum", "clown", "moron", "stupid"]
+
+
+def test_no_kernel_value_is_screened_away():
+    marks = toxicity.Landmarks(INSULTS + [d for w in INSULTS for d in toxicity.disguises(w)])
+    missing = [w[:i] + w[i + 1:] for w in INSULTS for i in range(len(w))]
+    replaced = [w[:i] + "z" + w[i + 1:] for w in INSULTS for i in range(len(w))]
+    forms = missing + replaced + ["z" * 24, "ab", "", "naïveté", "worthlessworthlessworthle"]
+    got = marks.matrix(forms)
+    own, other = toxicity._codes(marks.strings), toxicity._codes(forms)
+    norm = np.sqrt(np.maximum(toxicity.subsequence_kernel(other, other), 1e-30))
+    for k, code in enumerate(own):
+        want = toxicity.subsequence_kernel(other, np.repeat(code[None], len(forms), axis=0)) / norm
+        assert np.allclose(got[:, k], want / np.sqrt(toxicity.subsequence_kernel(own[k:k + 1], own[k:k + 1])), atol=1e-4)
+    model = toxicity.Model(marks.strings, np.ones(len(marks.strings)), -0.5)
+    assert (model.string_scores(forms)[got.max(axis=1) >= toxicity.FLOOR] > -1).all()
+    searched = toxicity.Landmarks(INSULTS)
+    searched.number = None                              # as with too many letters for a table
+    assert (searched.matrix(forms) == toxicity.Landmarks(INSULTS).matrix(forms)).all()
+
+
 def test_strings_of_texts():
     assert toxicity.parts_of("pat.hetic!") == ["pat", "hetic", "pathetic"]
     assert toxicity.parts_of("i-d-i-o-t") == ["idiot"] and toxicity.parts_of("...") == []
