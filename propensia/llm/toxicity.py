@@ -12,8 +12,8 @@ the inverse square root of the landmarks' own kernel matrix.
 
 *Machine.*  A linear machine (squared hinge) on those vectors, trained on
 labelled sentences.  A sentence scores as its highest string and a text as its
-highest sentence, that is, as its highest string; strings whose best match is under ``FLOOR`` count as -1, the
-margin of the other side.  Labels are given per text, so the string of a toxic
+highest sentence, that is, as its highest string; a string scores -1, the margin of the other
+side, at least.  Strings whose best match is under ``FLOOR`` are no examples; their scores follow from the weights.  Labels are given per text, so the string of a toxic
 text that scores highest is its example, chosen anew in each of ``ROUNDS`` rounds, besides those
 that stand out by ``SURE_Z`` standard errors; of other texts every matching
 string is one.  Landmark strings that only toxic texts hold are also given with
@@ -254,12 +254,11 @@ class Model:
         return Model, (self.landmarks, self.weights, self.bias, self.slope, self.offset)
 
     def string_scores(self, items: list[str]) -> np.ndarray:
-        """Machine output of each string, -1 without a match."""
-        best, total = np.zeros(len(items)), np.full(len(items), self.bias)
+        """Machine output of each string, -1 at least."""
+        total = np.full(len(items), self.bias)
         for at, values in self._marks.blocks(items):
-            best[at] = values.max(axis=1)
             total[at] += np.einsum("ij,j->i", values, self.weights)     # the same sum in any block
-        return np.where(best >= FLOOR, np.maximum(total, -1.0), -1.0)
+        return np.maximum(total, -1.0)
 
     def _learn(self, new: set[str]) -> None:
         """Scores of words not met before."""

@@ -59,6 +59,15 @@ def test_no_kernel_value_is_screened_away():
     assert (searched.matrix(forms) == toxicity.Landmarks(INSULTS).matrix(forms)).all()
 
 
+def test_weights_decide_on_gaps_of_two_characters():
+    marks = INSULTS + [d for w in INSULTS for d in toxicity.disguises(w)]
+    model = toxicity.Model(marks, np.ones(len(marks)), -0.5)
+    gapped = [w[:i] + "qz" + w[i:] for w in INSULTS for i in range(1, len(w))]
+    under = toxicity.Landmarks(marks).nearest(gapped) < toxicity.FLOOR
+    assert under.any() and (model.string_scores(gapped) > -1).all()
+    assert (toxicity.Model(marks, np.ones(len(marks)), -3.0).string_scores(["zzzz", "ab", ""]) == -1).all()
+
+
 def test_strings_of_texts():
     assert toxicity.parts_of("pat.hetic!") == ["pat", "hetic", "pathetic"]
     assert toxicity.parts_of("i-d-i-o-t") == ["idiot"] and toxicity.parts_of("...") == []
