@@ -7,15 +7,19 @@
    documented bound); ``BUCKETS`` numbers per domain reach the driver.
 2. *Rates.*  Each document gets a nonnegative rate, its expected number of
    copies.  With p the posteriors and n the tokens, the expected total of domain
-   d is sum(rate * n * p_d).  Projected gradient steps on the squared distance
-   to the targets, each equation scaled by its domain's mass,
-
-       rate <- max(0, rate - sum_d p_d * (total_d - target_d) / mass_d),
-
-   are repeated until every total is within ``TOLERANCE`` of its target.  A step
-   is one aggregation over the narrow table of tokens and posteriors; only one
-   number per domain reaches the driver, and the rates are an expression over
-   the steps so far, never a collected table.
+   d is sum(rate * n * p_d).  The rates nearest to 1 (squared, each token
+   counted) whose totals are the targets are
+
+       rate = max(0, 1 - sum_d m_d * p_d)
+
+   with one dual number m_d per domain.  Newton steps on the dual, halved until
+   it falls, are repeated until every total is within ``TOLERANCE`` of its
+   target.  A step is one aggregation over the narrow table of tokens and
+   posteriors (totals, their derivatives and the dual); only these few numbers
+   reach the driver, and the rates are an expression, never a collected table.
+   Targets that no rates reach, or that ``STEPS`` aggregations do not, are
+   reported by a ``MixingResidual`` warning with the totals left; the rates are
+   the nearest that were found.
 3. *Targets.*  The anchor domain keeps ``headroom`` times its own expected
    tokens; the other domains get what their weights imply beside it.  So the
    anchor's documents have rates of at least about 1, and the mix is reached by
@@ -34,8 +38,10 @@ ignored by ``document_rates``.
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Mapping
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -165,32 +171,61 @@ def targets_for(mass: Mapping[str, float], weights: Mapping[str, float], anchor:
     return {d: mass[base] * headroom * w / live[base] for d, w in live.items()} if base else {}
 
 
-def rate_column(steps: list[dict[str, float]], names: dict) -> Column:
-    """Rates after the projected gradient steps so far, from a document's posteriors."""
-    rate = F.lit(1.0)
-    for step in steps:
-        rate = F.greatest(F.lit(0.0), rate - sum((F.lit(g) * F.col(names[d]) for d, g in step.items()), F.lit(0.0)))
-    return rate
+def rate_column(dual: Mapping[str, float], names: dict) -> Column:
+    """Rates of the dual numbers, from a document's posteriors."""
+    return F.greatest(F.lit(0.0), F.lit(1.0) - sum((F.lit(m) * F.col(names[d]) for d, m in dual.items()), F.lit(0.0)))
 
 
-def fit_rates(posteriors: DataFrame, weights: Mapping[str, float], anchor: str, headroom: float, names: dict,
-              steps: int = STEPS, tolerance: float = TOLERANCE) -> tuple[list[dict[str, float]], dict[str, float]]:
-    """(gradient steps, targets); each step is one aggregation to a number per domain."""
-    domains = list(weights)
+class MixingResidual(UserWarning):
+    """Totals that are not within the tolerance of their targets."""
 
-    def totals(rate: Column) -> dict[str, float]:
-        row = posteriors.agg(*[F.sum(rate * F.col(names["tokens"]) * F.col(names[d])).alias(f"d{k}")
-                               for k, d in enumerate(domains)]).first()
-        return {d: row[f"d{k}"] or 0.0 for k, d in enumerate(domains)}
 
-    mass = totals(F.lit(1.0))
-    targets = targets_for(mass, weights, anchor, headroom)
-    taken: list[dict[str, float]] = []
-    now = mass
-    while len(taken) < steps and any(abs(now[d] - t) > tolerance * t for d, t in targets.items()):
-        taken.append({d: (now[d] - t) / mass[d] for d, t in targets.items()})
-        now = totals(rate_column(taken, names))
-    return taken, targets
+def fit_rates(posteriors: DataFrame, weights: Mapping[str, float], anchor: str, headroom: float, names: dict,
+              steps: int = STEPS, tolerance: float = TOLERANCE) -> tuple[dict[str, float], dict[str, float]]:
+    """(dual numbers, targets); each of at most ``steps`` steps is one aggregation to a few numbers per domain."""
+    tokens, p = F.col(names["tokens"]), {d: F.col(names[d]) for d in weights}
+
+    def sums(**columns: Column) -> dict[str, float]:
+        row = posteriors.agg(*[F.sum(c).alias(k) for k, c in columns.items()]).first()
+        return {k: float(row[k] or 0.0) for k in columns}
+
+    mass = sums(**{f"d{k}": tokens * p[d] for k, d in enumerate(weights)})
+    targets = targets_for({d: mass[f"d{k}"] for k, d in enumerate(weights)}, weights, anchor, headroom)
+    if not targets:
+        return {}, {}
+    domains, target = list(targets), np.array(list(targets.values()))
+
+    def at(dual: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Totals, their derivatives (negative) and the dual function."""
+        rate = rate_column(dict(zip(domains, dual.tolist())), names)
+        slope = F.when(rate > 0, tokens).otherwise(0)
+        pairs = [(i, j) for i in range(len(domains)) for j in range(i, len(domains))]
+        row = sums(dual=tokens * rate * rate / 2, **{f"t{i}": rate * tokens * p[d] for i, d in enumerate(domains)},
+                   **{f"h{i}_{j}": slope * p[domains[i]] * p[domains[j]] for i, j in pairs})
+        curve = np.zeros((len(domains), len(domains)))
+        for i, j in pairs:
+            curve[i, j] = curve[j, i] = row[f"h{i}_{j}"]
+        return np.array([row[f"t{i}"] for i in range(len(domains))]), curve, row["dual"] + float(target @ dual)
+
+    best = np.zeros(len(domains))
+    now, curve, value = at(best)
+    step, size = None, 1.0
+    for _ in range(steps):
+        if (np.abs(now - target) <= tolerance * target).all():
+            break
+        if step is None:
+            ridge = 1e-9 * max(np.trace(curve), target.max())
+            step, size = np.linalg.solve(curve + ridge * np.eye(len(domains)), now - target), 1.0
+        found = at(best + size * step)
+        if found[2] <= value + 1e-4 * size * float((target - now) @ step):
+            best = best + size * step
+            (now, curve, value), step = found, None
+        else:
+            size /= 2
+    left = {d: float(x / t - 1) for d, x, t in zip(domains, now, target) if abs(x - t) > tolerance * t}
+    if left:
+        warnings.warn(f"mixing totals miss their targets by {left} after {steps} steps", MixingResidual, stacklevel=2)
+    return dict(zip(domains, best.tolist())), targets
 
 
 def _names(columns: list[str], domains: list[str]) -> dict:
@@ -206,8 +241,8 @@ def _rated(docs: DataFrame, domains: DataFrame, weights: Mapping[str, float], an
     model = fit_posteriors(docs, domains, list(weights), id_col, text_col, max_labelled, anchor=anchor)
     table = written(with_posteriors(docs, model, list(weights), text_col, names), label)
     narrow = table.select(names["tokens"], *[names[d] for d in weights])
-    steps, _ = fit_rates(narrow, weights, anchor, headroom, names)
-    return table.withColumn(names["rate"], rate_column(steps, names)), names
+    dual, _ = fit_rates(narrow, weights, anchor, headroom, names)
+    return table.withColumn(names["rate"], rate_column(dual, names)), names
 
 
 def document_rates(docs: DataFrame, domains: DataFrame, weights: Mapping[str, float] = TARGETS, anchor: str = ANCHOR,
@@ -220,8 +255,8 @@ def document_rates(docs: DataFrame, domains: DataFrame, weights: Mapping[str, fl
     scored = with_posteriors(narrow, model, list(weights), "text", slim)
     digest = F.xxhash64(F.lit(SEED), F.col("doc_id"), F.col("text"))
     table = written(scored.withColumn("_draw", digest).drop("text"), "mixing_rates")
-    steps, _ = fit_rates(table, weights, anchor, headroom, slim)
-    rated = table.withColumn("rate", rate_column(steps, slim))
+    dual, _ = fit_rates(table, weights, anchor, headroom, slim)
+    rated = table.withColumn("rate", rate_column(dual, slim))
     return rated.select("doc_id", F.col(slim["tokens"]).alias("n_tokens"), *[F.col(slim[d]).alias(f"p_{d}") for d in weights],
                         "rate", copies(F.col("rate"), F.col("_draw")).alias("copies"))
 

@@ -1,6 +1,7 @@
 """Toxicity and source mixing."""
 
 import itertools
+import warnings
 import zlib
 
 import numpy as np
@@ -146,6 +147,30 @@ def test_projected_steps_reach_feasible_targets_and_stay_nonnegative(spark):
     assert reached({"a": 0.5, "b": 0.49, "c": 0.01}, 30) < reached({"a": 0.5, "b": 0.49, "c": 0.01}, 5)
 
 
+def test_small_shares_are_reached_at_production_settings(spark):
+    rng = np.random.default_rng(1)
+    p = rng.dirichlet([0.3, 0.3, 0.3], 400)
+    data = [(int(n), *map(float, x)) for n, x in zip(rng.integers(1, 500, 400), p)]
+    df = spark.createDataFrame(data, "t long, a double, b double, c double")
+    names = {"tokens": "t", "a": "a", "b": "b", "c": "c"}
+
+    def totals(frame, weights):
+        dual, targets = mixing.fit_rates(frame, weights, "a", 1.0, names)
+        rows = frame.select("*", mixing.rate_column(dual, names).alias("r")).collect()
+        assert all(r.r >= 0 for r in rows)
+        return {d: sum(r.r * r.t * r[d] for r in rows) for d in targets}, targets
+
+    for weights in ({"a": 0.5, "b": 0.49, "c": 0.01}, {"a": 0.95, "b": 0.04, "c": 0.01}, {"a": 0.5, "b": 0.5, "c": 0.0}):
+        with warnings.catch_warnings():
+            warnings.simplefilter("error", mixing.MixingResidual)
+            got, targets = totals(df, weights)
+        assert got == pytest.approx(targets, rel=0.05) and got == pytest.approx(targets, rel=2 * mixing.TOLERANCE)
+    # equal posteriors allow one total only: reported, not passed over
+    with pytest.warns(mixing.MixingResidual):
+        got, _ = totals(df.selectExpr("t", "1 / 3D AS a", "1 / 3D AS b", "1 / 3D AS c"), {"a": 0.95, "b": 0.04, "c": 0.01})
+    assert all(np.isfinite(x) for x in got.values())
+
+
 def test_mixing_defined_cases(spark):
     docs = spark.createDataFrame([(1, "good words here"), (1, "good words here"), (2, None), (3, ""), (None, "x"), (4, "word " * 100_000)],
                                  "doc_id long, text string").selectExpr("*", "1 AS _rate", "2 AS copies", "3 AS `a.b`", "'s' AS _copy")
