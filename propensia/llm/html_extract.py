@@ -10,7 +10,11 @@ Labelled pages are pages whose markup names the content itself (an ``article``
 or ``main`` element); at most ``MAX_LABELLED`` of them, picked by a hash of
 page_id, are used (the documented bound).  ``SEEDS`` are pseudo-counts for the
 names that HTML defines, so the weights exist without any labelled page and
-pages without such elements are scored by what the labelled ones taught.
+pages without such elements are scored by what the labelled ones taught: words
+are also counted by the container that they stand in when ``article`` and
+``main`` are read as any other element, so a labelled page's own text teaches
+what words in unnamed elements are worth.  Unnamed words beside the named
+content have a weight of their own (``beside``).
 
 Blocks: text between block tags is one block; white space inside it becomes one
 space, blocks are trimmed, empty ones left out, the rest joined by a line feed.
@@ -66,6 +70,7 @@ _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>
 
 # Pseudo-counts (inside the content, outside it) of words by container and of tags by name.
 SEEDS = {("word", "content"): (200, 1), ("word", "boilerplate"): (1, 200), ("word", "plain"): (4, 1),
+         ("word", "beside"): (4, 1),
          ("tag", "p"): (50, 5), ("tag", "h1"): (5, 3), ("tag", "h2"): (10, 5), ("tag", "h3"): (10, 5),
          ("tag", "br"): (20, 10), ("tag", "b"): (20, 10), ("tag", "i"): (20, 10), ("tag", "em"): (20, 10),
          ("tag", "a"): (10, 30), ("tag", "li"): (10, 30), ("tag", "ul"): (5, 10), ("tag", "div"): (5, 10), ("tag", "nav"): (0, 20),
@@ -76,10 +81,11 @@ SEEDS = {("word", "content"): (200, 1), ("word", "boilerplate"): (1, 200), ("wor
 class Token:
     """One token: its score key, word count, text, and whether its text is boilerplate."""
 
-    __slots__ = ("key", "words", "text", "junk", "block", "named")
+    __slots__ = ("key", "words", "text", "junk", "block", "named", "bare")
 
-    def __init__(self, key, words=0, text="", junk=False, block=False, named=False):
+    def __init__(self, key, words=0, text="", junk=False, block=False, named=False, bare=None):
         self.key, self.words, self.text, self.junk, self.block, self.named = key, words, text, junk, block, named
+        self.bare = bare                               # container of a word if article and main named nothing
 
 
 def _names(attrs: str) -> str:
@@ -89,13 +95,13 @@ def _names(attrs: str) -> str:
 def tokens(page: str) -> list[Token]:
     """The token sequence of a page; an open-element stack gives each word its container."""
     out: list[Token] = []
-    # stack entries: (name, container key, junk, inside article or main)
-    stack: list[tuple[str, str, bool, bool]] = [("", "plain", False, False)]
+    # stack entries: (name, container key, junk, inside article or main, container key without article and main)
+    stack: list[tuple[str, str, bool, bool, str]] = [("", "plain", False, False, "plain")]
     for m in _TOKEN.finditer(page):
         if m.lastgroup == "text":
             text = entities.unescape(m["text"]) if "&" in m["text"] else m["text"]
-            _, container, junk, inside = stack[-1]
-            out.append(Token(("word", container), len(text.split()), text, junk, False, inside and not junk))
+            _, container, junk, inside, bare = stack[-1]
+            out.append(Token(("word", container), len(text.split()), text, junk, False, inside and not junk, bare))
             continue
         name = m["name"]
         if name is None:                               # comment, raw element or declaration
@@ -103,7 +109,7 @@ def tokens(page: str) -> list[Token]:
                 out.append(Token(("tag", m["raw"].lower()), junk=True))
             continue
         name = name.lower()
-        _, container, junk, inside = stack[-1]
+        _, container, junk, inside, bare = stack[-1]
         block = name not in INLINE
         if m["close"]:
             for k in range(len(stack) - 1, 0, -1):     # the nearest open element of that name, if there is one
@@ -118,30 +124,36 @@ def tokens(page: str) -> list[Token]:
             while len(stack) > 1 and stack[-1][0] not in CONTAINERS and any(
                     x[0] == "p" for x in stack[-8:]) and stack[-1][0] not in ("td", "th", "li", "blockquote"):
                 stack.pop()
-            _, container, junk, inside = stack[-1]
+            _, container, junk, inside, bare = stack[-1]
         names = _names(m["attrs"])
         if name in CONTENT and not NEGATIVE_NAMES.search(names):
-            container, inside = "content", True
+            container, inside, bare = "content", True, "content" if POSITIVE_NAMES.search(names) else bare
         elif name == "header" and inside and not NEGATIVE_NAMES.search(names):
             pass                                       # an article's own head: its title belongs to it
         elif name in BOILERPLATE or (names and block and NEGATIVE_NAMES.search(names) and name not in ("body", "html")):
-            container, junk = "boilerplate", True
-        elif names and block and not junk and container != "content" and POSITIVE_NAMES.search(names):
-            container = "content"
+            container, junk, bare = "boilerplate", True, "boilerplate"
+        elif names and block and not junk and "plain" in (container, bare) and POSITIVE_NAMES.search(names):
+            container = bare = "content"
         out.append(Token(("tag", name), block=block, junk=junk, named=inside and not junk))
         if name not in VOID and not m["attrs"].rstrip().endswith("/"):
-            stack.append((name, container, junk, inside))
+            stack.append((name, container, junk, inside, bare))
+    if any(t.named and t.words for t in out):
+        for t in out:
+            if t.key == ("word", "plain"):
+                t.key = ("word", "beside")
     return out
 
 
 def count_labelled(page: str) -> Counter:
-    """(key, inside) -> count over one labelled page; empty if the page names no content."""
+    """(key, inside) -> count over one labelled page; empty if the page names no words as content."""
     seen = tokens(page)
     counts: Counter = Counter()
-    if any(t.named for t in seen):
+    if any(t.named and t.words for t in seen):
         for t in seen:
             if t.key[0] == "word":
                 counts[t.key, t.named] += t.words
+                if t.key[1] != t.bare:
+                    counts[("word", t.bare), t.named] += t.words
             elif not t.junk:             # tags inside boilerplate say nothing about the same tags in a text
                 counts[t.key, t.named] += 1
     return counts

@@ -40,6 +40,18 @@ def test_learned_weights_find_content_without_an_article_element(spark):
         assert hx.extract(hidden, weights) == by_markup(r.html)
 
 
+def test_unnamed_text_beside_labelled_articles_does_not_empty_pages_without_article(spark):
+    words = "some words of the text that stand here and go on for a while"
+    labelled = [(i, "u", f"<body><div>Accept all of this {i}</div><article><p>{words}</p><p>{words}</p></article><p>Bare line {i}</p></body>")
+                for i in range(50)]
+    rows = labelled + [(50, "u", f"<body><div><div>{words}</div><div>{words} {words}</div></div></body>"),
+                       (51, "u", f"<body><p>{words}</p><p>{words}</p></body>"),
+                       (52, "u", f"<body><main></main><div><p>{words}</p></div></body>")]
+    got = {r.page_id: r.text for r in hx.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got.pop(50) == f"{words}\n{words} {words}" and got.pop(51) == f"{words}\n{words}" and got.pop(52) == words
+    assert set(got.values()) == {f"{words}\n{words}"}
+
+
 def test_boilerplate_of_many_kinds_is_left_out():
     weights = hx.weights_of({})
     for opening, closing in (('<div class="content">', "</div>"), ("<main>", "</main>"), ("<article>", "</article>")):
