@@ -16,13 +16,16 @@ from . import (
     simhash,
     token_counts,
     toxicity,
+    va_file,
     warc,
+    whitening,
 )
 from .common import importable, table
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 BYTE_RANKS = "byte_bpe_50k.tiktoken"
 MAX_TOKENS = 2048
+SEARCH_EVERY, SEARCH_K = 50, 5
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +84,16 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
+    return va_file.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % SEARCH_EVERY == 0, k=SEARCH_K)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
     "op2_token_counts": op2_token_counts,
@@ -92,6 +105,8 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_warc": op9_warc,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_exact_topk": op11_exact_topk,
+    "op13_whitening": op13_whitening,
 }
 
 OP6_SQL = r"""
@@ -143,4 +158,16 @@ SELECT page_id, payload_bytes,
 FROM b
 """
 
-ORACLES = {"op6_quality_rules": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op9_warc": OP9_SQL}
+OP11_SQL = f"""
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS x
+           FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT a.r AS q, a.vec_id AS query_id, b.r, b.vec_id,
+             coalesce(list_sum(list_transform(list_zip(a.x, b.x), lambda z: z[1] * z[2])), 0)::BIGINT AS score
+      FROM v a JOIN v b ON a.vec_id % {SEARCH_EVERY} = 0 AND a.r <> b.r),
+p AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id NULLS LAST, r)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM p WHERE rank <= {SEARCH_K}
+"""
+
+ORACLES = {"op6_quality_rules": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op9_warc": OP9_SQL,
+           "op11_exact_topk": OP11_SQL}
