@@ -11,6 +11,7 @@ from . import (
     exact_dedup,
     html_extract,
     mixing,
+    prefix_trie,
     quality_classifier,
     quality_rules,
     simhash,
@@ -89,6 +90,11 @@ def op11_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return va_file.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % SEARCH_EVERY == 0, k=SEARCH_K)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     importable(spark)
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
@@ -106,6 +112,7 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_exact_topk": op11_exact_topk,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_whitening": op13_whitening,
 }
 
@@ -169,5 +176,37 @@ p AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id NU
 SELECT query_id, rank, vec_id, score FROM p WHERE rank <= {SEARCH_K}
 """
 
+# CRC-32 is not a DuckDB function: ``bits`` runs its register over the bits of the decimal id.
+OP12_SQL = """
+WITH RECURSIVE
+k AS (SELECT conv_id AS c, turn, sha256(length(r)::VARCHAR || ':' || r || x) AS k, length(x)::BIGINT AS n
+      FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL)),
+t AS (SELECT c, k, n, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, k) AS pos FROM k),
+bits(c, s, i, crc) AS (
+    SELECT DISTINCT c, c::VARCHAR, 0, 4294967295::BIGINT FROM t
+    UNION ALL
+    SELECT c, s, i + 1, CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END
+    FROM (SELECT c, s, i, CASE WHEN i % 8 = 0 THEN xor(crc, ascii(substr(s, i // 8 + 1, 1))::BIGINT) ELSE crc END AS y
+          FROM bits WHERE i < 8 * length(s))),
+h AS (SELECT c, c - c % 100 AS base, xor(crc, 4294967295) % 6 AS h FROM bits WHERE i = 8 * length(s)),
+rb AS (SELECT h.c, 0 AS own, b.pos, b.k, b.n FROM h JOIN t b ON b.c = h.base AND b.pos <= h.h
+       UNION ALL SELECT t.c, 1, t.pos, t.k, t.n FROM t JOIN h ON t.c = h.c AND t.pos > h.h),
+p AS (SELECT c, list(k ORDER BY own, pos) AS ks, list(n ORDER BY own, pos) AS ns FROM rb GROUP BY c),
+u AS (SELECT h.c, coalesce(ks, []) AS ks, ns, unnest(range(0, coalesce(len(ks), 0) + 1)) AS d FROM h LEFT JOIN p ON p.c = h.c),
+pre AS (SELECT c, d, array_to_string(ks[1:d], '/') AS s, CASE WHEN d = 0 THEN 0 ELSE ns[d] END AS n, d = len(ks) AS ends FROM u),
+node AS (SELECT s, d, min(c) AS m, count(*) AS n_convs, any_value(n) AS n, list(c ORDER BY c) FILTER (WHERE ends) AS ended
+         FROM pre GROUP BY s, d),
+par AS (SELECT node.s, node.d, p.s AS ps FROM node JOIN pre p ON p.c = node.m AND p.d = node.d - 1),
+kids AS (SELECT ps AS s, d - 1 AS d, count(*) AS n_children FROM par GROUP BY 1, 2),
+sub AS (SELECT p.s, p.d, sum((x.n_convs - 1) * x.n)::BIGINT AS saved, count(*) FILTER (WHERE kids.n_children IS NULL) AS leaves
+        FROM node x LEFT JOIN kids ON kids.s = x.s AND kids.d = x.d JOIN pre p ON p.c = x.m AND p.d <= x.d GROUP BY 1, 2)
+SELECT node.m AS conv_id, node.d AS depth, up.m AS parent_conv_id, node.n_convs, coalesce(kids.n_children, 0) AS n_children,
+       sub.leaves AS n_leaves, sub.saved AS saved_tokens, sha256(coalesce(array_to_string(node.ended, ','), '')) AS ends_sha256
+FROM node JOIN sub ON sub.s = node.s AND sub.d = node.d
+LEFT JOIN kids ON kids.s = node.s AND kids.d = node.d
+LEFT JOIN par ON par.s = node.s AND par.d = node.d
+LEFT JOIN node up ON up.s = par.ps AND up.d = node.d - 1
+"""
+
 ORACLES = {"op6_quality_rules": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op9_warc": OP9_SQL,
-           "op11_exact_topk": OP11_SQL}
+           "op11_exact_topk": OP11_SQL, "op12_prefix_trie": OP12_SQL}
