@@ -4,22 +4,26 @@
    Bayes model over hashed words and a few shape words (symbol, repetition and
    line-length classes of the text) gives every document a posterior over the
    domains.  It is fitted from at most ``max_labelled`` labelled rows (the
-   documented bound); ``BUCKETS`` numbers per domain reach the driver.
+   documented bound).  Only buckets with evidence reach the driver and the plan
+   (a few hundred; BUCKETS bounds them).
 2. *Rates.*  Each document gets a nonnegative rate, its expected number of
    copies.  With p the posteriors and n the tokens, the expected total of domain
-   d is sum(rate * n * p_d).  The rates nearest to 1 (squared, each token
-   counted) whose totals are the targets are
-
-       rate = max(0, 1 - sum_d m_d * p_d)
-
-   with one dual number m_d per domain.  Newton steps on the dual, halved until
-   it falls, are repeated until every total is within ``TOLERANCE`` of its
-   target.  A step is one aggregation over the narrow table of tokens and
-   posteriors (totals, their derivatives and the dual); only these few numbers
-   reach the driver, and the rates are an expression, never a collected table.
-   Targets that no rates reach, or that ``STEPS`` aggregations do not, are
-   reported by a ``MixingResidual`` warning with the totals left; the rates are
-   the nearest that were found.
+   d is sum(rate * n * p_d).  From rates of 1, projected gradient steps lower
+   the squared distance of the totals from their targets:
+
+       rate = max(0, rate - sum_d m_d * p_d),   m = W * (totals - targets)
+
+   which is the gradient scaled by 1/n (documents of equal posteriors keep
+   equal rates) for residuals weighted by W, the inverse of the products
+   sum(n * p_d * p_e) over the documents that are free to move (rate above 0).
+   A step that does not lower the residual is halved.  Steps are repeated until
+   every total is within ``TOLERANCE`` of its target.  A step is one
+   aggregation over the narrow table of tokens and posteriors (totals and
+   products); only these few numbers reach the driver, and the rates are an
+   expression of the steps, never a collected table.  Targets that no rates
+   reach, or that ``STEPS`` aggregations do not, are reported: a
+   ``MixingResidual`` warning, and ``document_rates`` carries the largest
+   relative miss as a column; the rates are the best that were found.
 3. *Targets.*  The anchor domain keeps ``headroom`` times its own expected
    tokens; the other domains get what their weights imply beside it.  So the
    anchor's documents have rates of at least about 1, and the mix is reached by
@@ -27,19 +31,25 @@
 
 The main path is DataFrame functions only.
 
+A domain that no bucket speaks for cannot be told from the anchor: it has no
+members (posterior 0) and no target.
+
 Defined cases: a null or empty text has no tokens (its rate cannot change the
 mix; it is kept as its posterior says); null labels are not used; without any
-label all posteriors are equal; a domain without any mass is left out of the
-targets; repeated rows get the same rate and number of copies; an empty table
-gives an empty result; other columns are passed through by ``resample`` and
-ignored by ``document_rates``.
+label every document is the anchor's; a domain without any mass is left out of the
+targets; repeated rows, and texts with equal posteriors, get the same rate, and
+repeated rows the same number of copies; a very long text is one row with
+distinct buckets, however often its words repeat; labelled documents that the
+bound cuts off are chosen by a hash, ties by id; an empty table gives an empty
+result; other columns are passed through by ``resample`` and ignored by
+``document_rates``.
 """
 
 from __future__ import annotations
 
 import math
 import warnings
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -100,49 +110,53 @@ def _tokenised(docs: DataFrame, text_col: str, names: dict) -> DataFrame:
 
 
 def fit_posteriors(docs: DataFrame, domains: DataFrame, names: list[str], id_col: str, text_col: str,
-                   max_labelled: int = MAX_LABELLED, seed: int = SEED, anchor: str = ANCHOR) -> tuple[list[float], list[list[float]]]:
-    """(log prior, log ratio per bucket) of each domain, from a bounded sample of labelled rows."""
+                   max_labelled: int = MAX_LABELLED, seed: int = SEED, anchor: str = ANCHOR) -> tuple[list[float], list[dict[int, float]]]:
+    """(log prior, log ratio of the buckets with evidence) of each domain, from a bounded sample of labelled rows."""
     chosen = labelled_sample(domains, F.col("domain").isNotNull(), [F.min("domain").alias("domain")], max_labelled, seed)
     narrow = docs.select(q(id_col).alias("doc_id"), q(text_col).alias("text"))
     inner = {"words": "_words", "text": "_text", "buckets": "_buckets", "tokens": "_tokens"}
     used = _tokenised(narrow.join(F.broadcast(chosen), "doc_id"), "text", inner).select("domain", "_buckets")
     totals = {r["domain"]: r["n"] for r in used.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
-    cells = used.select("domain", F.explode(F.array_distinct("_buckets")).alias("bucket")).groupBy("bucket", "domain").agg(
-        F.count(F.lit(1)).alias("n")).groupBy("bucket").pivot("domain", names).agg(F.first("n")).fillna(0)
     n_all = sum(totals.get(d, 0) for d in names)
     prior = [math.log((totals.get(d, 0) + 1) / (n_all + len(names))) for d in names]
-    weights = [[0.0] * BUCKETS for _ in names]
-    for r in cells.collect():                       # at most BUCKETS rows
-        seen = sum(r[d] for d in names)
-        if seen < MIN_COUNT:
-            continue
-        for k, d in enumerate(names):
-            share = totals.get(d, 0) / n_all
-            spread = math.sqrt(seen * share * (1 - share))
-            if spread and abs(r[d] - seen * share) >= MIN_ERRORS * spread:
-                inside = (r[d] + PSEUDO) / (totals.get(d, 0) + 2 * PSEUDO)
-                outside = (seen - r[d] + PSEUDO) / (n_all - totals.get(d, 0) + 2 * PSEUDO)
-                ratio = math.log(inside / outside)
-                if abs(ratio) >= MIN_RATIO:      # weaker ones mostly tell long texts from short ones
-                    weights[k][r["bucket"]] = ratio
+    seen, counts = sum((F.col(f"n{k}") for k in range(len(names))), F.lit(0)), []
+    for k, d in enumerate(names):
+        mine, n = totals.get(d, 0), F.col(f"n{k}")
+        share = mine / n_all if n_all else 0.0
+        spread = F.sqrt(seen * F.lit(share * (1 - share)))
+        ratio = F.log(((n + PSEUDO) / F.lit(mine + 2 * PSEUDO)) / ((seen - n + PSEUDO) / F.lit(n_all - mine + 2 * PSEUDO)))
+        # weaker ones mostly tell long texts from short ones
+        evidence = (seen >= MIN_COUNT) & (spread > 0) & (F.abs(n - seen * F.lit(share)) >= MIN_ERRORS * spread) & (
+            F.abs(ratio) >= MIN_RATIO)
+        counts.append(F.when(evidence, ratio).otherwise(0.0).alias(f"w{k}"))
+    cells = used.select("domain", F.explode(F.array_distinct("_buckets")).alias("bucket")).groupBy("bucket").agg(
+        *[F.count_if(F.col("domain") == d).alias(f"n{k}") for k, d in enumerate(names)]).select("bucket", *counts)
+    weights: list[dict[int, float]] = [{} for _ in names]
+    for r in cells.where(" OR ".join(f"w{k} <> 0" for k in range(len(names)))).collect():     # the buckets with evidence
+        for k in range(len(names)):
+            if r[f"w{k}"]:
+                weights[k][r["bucket"]] = r[f"w{k}"]
     # offsets: all but CLEAN_SHARE of the labelled anchor texts must lean to the anchor, however long they are
     base = names.index(anchor) if anchor in names else 0
-    sums = [F.aggregate("_buckets", F.lit(0.0).cast("double"), _adder(_table(w))) if any(w) else F.lit(0.0) for w in weights]
+    sums = [_evidence(F.col("_buckets"), w) for w in weights]
     tails = used.where(F.col("domain") == names[base]).agg(*[
         F.percentile_approx(sums[k] - sums[base], 1 - CLEAN_SHARE, 10_000).alias(f"q{k}") for k in range(len(names))]).first()
     for k in range(len(names)):
-        if k != base and tails[f"q{k}"] is not None:
+        if k != base and not any(w > 0 for w in weights[k].values()):
+            prior[k] = -math.inf
+        elif k != base and tails[f"q{k}"] is not None:
             prior[k] = min(prior[k], prior[base] - tails[f"q{k}"] - MARGIN)
     return prior, weights
 
 
-def _table(values: list[float]) -> Column:
-    """An array literal: a constant expression, evaluated once per plan."""
-    return F.split(F.lit(",".join(f"{v:.4g}" for v in values)), ",").cast("array<float>")
-
-
-def _adder(table: Column):
-    return lambda total, bucket: total + F.get(table, bucket).cast("double")
+def _evidence(buckets: Column, weights: Mapping[int, float]) -> Column:
+    """Sum of the weights of the buckets that have one: a hash set picks them, a small constant map weighs them."""
+    if not weights:
+        return F.lit(0.0)
+    table = F.str_to_map(F.lit(",".join(f"{b}:{w:.6g}" for b, w in sorted(weights.items()))), F.lit(","), F.lit(":")).cast(
+        "map<int,double>")
+    hits = F.filter(buckets, lambda b: b.isin(sorted(weights)))
+    return F.aggregate(hits, F.lit(0.0).cast("double"), lambda total, b: total + F.element_at(table, b))
 
 
 def with_posteriors(docs: DataFrame, model: tuple, domains: list[str], text_col: str, names: dict) -> DataFrame:
@@ -150,13 +164,7 @@ def with_posteriors(docs: DataFrame, model: tuple, domains: list[str], text_col:
     prior, weights = model
     df = _tokenised(docs, text_col, names)
     keep = [q(c) for c in docs.columns] + [F.col(names["tokens"])]
-    logits = []
-    for k, d in enumerate(domains):
-        used = [w for w in weights[k] if w]
-        table = _table(weights[k])
-        total = F.aggregate(F.col(names["buckets"]), F.lit(0.0).cast("double"),
-                            _adder(table)) if used else F.lit(0.0)
-        logits.append((F.lit(prior[k]) + total).alias(names[d]))
+    logits = [(F.lit(prior[k]) + _evidence(F.col(names["buckets"]), weights[k])).alias(names[d]) for k, d in enumerate(domains)]
     df = df.select(*keep, *logits)
     top = F.greatest(*[F.col(names[d]) for d in domains]) if len(domains) > 1 else F.col(names[domains[0]])
     df = df.select(*keep, *[F.exp(F.col(names[d]) - top).alias(names[d]) for d in domains])
@@ -171,9 +179,12 @@ def targets_for(mass: Mapping[str, float], weights: Mapping[str, float], anchor:
     return {d: mass[base] * headroom * w / live[base] for d, w in live.items()} if base else {}
 
 
-def rate_column(dual: Mapping[str, float], names: dict) -> Column:
-    """Rates of the dual numbers, from a document's posteriors."""
-    return F.greatest(F.lit(0.0), F.lit(1.0) - sum((F.lit(m) * F.col(names[d]) for d, m in dual.items()), F.lit(0.0)))
+def rate_column(steps: Sequence[Mapping[str, float]], names: dict) -> Column:
+    """Rates after the projected steps, from a document's posteriors."""
+    rate = F.lit(1.0)
+    for m in steps:
+        rate = F.greatest(F.lit(0.0), rate - sum((F.lit(x) * F.col(names[d]) for d, x in m.items()), F.lit(0.0)))
+    return rate
 
 
 class MixingResidual(UserWarning):
@@ -181,8 +192,8 @@ class MixingResidual(UserWarning):
 
 
 def fit_rates(posteriors: DataFrame, weights: Mapping[str, float], anchor: str, headroom: float, names: dict,
-              steps: int = STEPS, tolerance: float = TOLERANCE) -> tuple[dict[str, float], dict[str, float]]:
-    """(dual numbers, targets); each of at most ``steps`` steps is one aggregation to a few numbers per domain."""
+              steps: int = STEPS, tolerance: float = TOLERANCE) -> tuple[list[dict[str, float]], dict[str, float], float]:
+    """(projected steps, targets, largest relative miss); each step is one aggregation to a few numbers per domain."""
     tokens, p = F.col(names["tokens"]), {d: F.col(names[d]) for d in weights}
 
     def sums(**columns: Column) -> dict[str, float]:
@@ -192,40 +203,38 @@ def fit_rates(posteriors: DataFrame, weights: Mapping[str, float], anchor: str,
     mass = sums(**{f"d{k}": tokens * p[d] for k, d in enumerate(weights)})
     targets = targets_for({d: mass[f"d{k}"] for k, d in enumerate(weights)}, weights, anchor, headroom)
     if not targets:
-        return {}, {}
+        return [], {}, 0.0
     domains, target = list(targets), np.array(list(targets.values()))
-
-    def at(dual: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        """Totals, their derivatives (negative) and the dual function."""
-        rate = rate_column(dict(zip(domains, dual.tolist())), names)
-        slope = F.when(rate > 0, tokens).otherwise(0)
-        pairs = [(i, j) for i in range(len(domains)) for j in range(i, len(domains))]
-        row = sums(dual=tokens * rate * rate / 2, **{f"t{i}": rate * tokens * p[d] for i, d in enumerate(domains)},
-                   **{f"h{i}_{j}": slope * p[domains[i]] * p[domains[j]] for i, j in pairs})
-        curve = np.zeros((len(domains), len(domains)))
+    pairs = [(i, j) for i in range(len(domains)) for j in range(i, len(domains))]
+
+    def at(taken: list) -> tuple[np.ndarray, np.ndarray]:
+        """Totals, and the products of posteriors over the free documents."""
+        rate = rate_column([dict(zip(domains, m.tolist())) for m in taken], names)
+        free = F.when(rate > 0, tokens).otherwise(0)
+        row = sums(**{f"t{i}": rate * tokens * p[d] for i, d in enumerate(domains)},
+                   **{f"g{i}_{j}": free * p[domains[i]] * p[domains[j]] for i, j in pairs})
+        gram = np.zeros((len(domains), len(domains)))
         for i, j in pairs:
-            curve[i, j] = curve[j, i] = row[f"h{i}_{j}"]
-        return np.array([row[f"t{i}"] for i in range(len(domains))]), curve, row["dual"] + float(target @ dual)
+            gram[i, j] = gram[j, i] = row[f"g{i}_{j}"]
+        return np.array([row[f"t{i}"] for i in range(len(domains))]), gram
 
-    best = np.zeros(len(domains))
-    now, curve, value = at(best)
-    step, size = None, 1.0
+    miss = lambda totals: float(np.abs(totals / target - 1).max())
+    taken: list[np.ndarray] = []
+    now, gram = at(taken)
+    size, best = 1.0, (miss(now), [])
     for _ in range(steps):
-        if (np.abs(now - target) <= tolerance * target).all():
+        if best[0] <= tolerance:
             break
-        if step is None:
-            ridge = 1e-9 * max(np.trace(curve), target.max())
-            step, size = np.linalg.solve(curve + ridge * np.eye(len(domains)), now - target), 1.0
-        found = at(best + size * step)
-        if found[2] <= value + 1e-4 * size * float((target - now) @ step):
-            best = best + size * step
-            (now, curve, value), step = found, None
+        weigh = np.linalg.inv(gram + 1e-9 * np.diag(np.maximum(np.diag(gram), target)))
+        found = at([*taken, size * weigh @ (now - target)])
+        if np.linalg.norm(found[0] / target - 1) < np.linalg.norm(now / target - 1) or size < 1 / 64:
+            taken, (now, gram), size = [*taken, size * weigh @ (now - target)], found, 1.0
+            best = min(best, (miss(now), taken), key=lambda b: b[0])
         else:
             size /= 2
-    left = {d: float(x / t - 1) for d, x, t in zip(domains, now, target) if abs(x - t) > tolerance * t}
-    if left:
-        warnings.warn(f"mixing totals miss their targets by {left} after {steps} steps", MixingResidual, stacklevel=2)
-    return dict(zip(domains, best.tolist())), targets
+    if best[0] > tolerance:
+        warnings.warn(f"mixing totals miss their targets by up to {best[0]:.3g} after {steps} steps", MixingResidual, stacklevel=2)
+    return [dict(zip(domains, m.tolist())) for m in best[1]], targets, best[0]
 
 
 def _names(columns: list[str], domains: list[str]) -> dict:
@@ -241,24 +250,24 @@ def _rated(docs: DataFrame, domains: DataFrame, weights: Mapping[str, float], an
     model = fit_posteriors(docs, domains, list(weights), id_col, text_col, max_labelled, anchor=anchor)
     table = written(with_posteriors(docs, model, list(weights), text_col, names), label)
     narrow = table.select(names["tokens"], *[names[d] for d in weights])
-    dual, _ = fit_rates(narrow, weights, anchor, headroom, names)
-    return table.withColumn(names["rate"], rate_column(dual, names)), names
+    steps, _, _ = fit_rates(narrow, weights, anchor, headroom, names)
+    return table.withColumn(names["rate"], rate_column(steps, names)), names
 
 
 def document_rates(docs: DataFrame, domains: DataFrame, weights: Mapping[str, float] = TARGETS, anchor: str = ANCHOR,
                    headroom: float = HEADROOM, id_col: str = "doc_id", text_col: str = "text",
                    max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """One row per document: doc_id, n_tokens, p_<domain>, rate, copies."""
+    """One row per document: doc_id, n_tokens, p_<domain>, rate, copies, miss (largest relative miss of a target)."""
     narrow = docs.select(q(id_col).alias("doc_id"), q(text_col).alias("text"))
     slim = _names(narrow.columns, list(weights))
     model = fit_posteriors(narrow, domains, list(weights), "doc_id", "text", max_labelled, anchor=anchor)
     scored = with_posteriors(narrow, model, list(weights), "text", slim)
     digest = F.xxhash64(F.lit(SEED), F.col("doc_id"), F.col("text"))
     table = written(scored.withColumn("_draw", digest).drop("text"), "mixing_rates")
-    dual, _ = fit_rates(table, weights, anchor, headroom, slim)
-    rated = table.withColumn("rate", rate_column(dual, slim))
+    steps, _, miss = fit_rates(table, weights, anchor, headroom, slim)
+    rated = table.withColumn("rate", rate_column(steps, slim))
     return rated.select("doc_id", F.col(slim["tokens"]).alias("n_tokens"), *[F.col(slim[d]).alias(f"p_{d}") for d in weights],
-                        "rate", copies(F.col("rate"), F.col("_draw")).alias("copies"))
+                        "rate", copies(F.col("rate"), F.col("_draw")).alias("copies"), F.lit(miss).alias("miss"))
 
 
 def copies(rate: Column, draw: Column) -> Column:
