@@ -1,7 +1,15 @@
 """Byte-level BPE by monoid tree reduction.
 
-A text's encoding is a tree: leaves are encoded directly, a node joins the
-encodings of its two halves.  Joining happens on two levels.
+A text's encoding is a tree: leaves of at most LEAF_CHARS characters are encoded
+directly, a node joins the encodings of its two halves.  Joining happens on
+three levels.
+
+*Between spaces.*  In a text whose white space is single spaces and line feeds
+no match runs over a space into the text before it, and none looks further than
+the space behind it.  So what a space begins is stable as soon as the next
+space is known: a node holds the open text before its first space, the ids
+between, and the open text from its last space on, and a join encodes only the
+window from the last space of the left half to the first space of the right.
 
 *Between pieces* (matches of the pattern).  A match depends on the text from
 its start to at most ``LOOKAHEAD`` characters behind its start or one behind
@@ -18,16 +26,19 @@ window begins with the first token and ends with the last token of the window
 before; then every pair on either side is one that was already proven, so the
 tokens outside cannot change.
 
-Decoding concatenates byte strings up the same kind of tree.
+Decoding concatenates byte strings up the same kind of tree; a leaf gathers the
+bytes of its tokens in one pass over an array.
 
 Defined cases: a null text counts as empty; the empty text has no tokens;
 special strings inside a text are ordinary text; repeated rows are encoded one
-by one; an empty table gives an empty result; other columns are ignored.
+by one; a very long text, with or without spaces, is one row whose joins look at
+windows only; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -41,7 +52,7 @@ from pyspark.sql import types as T
 
 from .common import q, slices, texts_of
 
-LEAF_CHARS = 1 << 15      # a text up to this length is matched in one go
+LEAF_CHARS = 1 << 8       # a text up to this length is encoded in one go
 LEAF_BYTES = 1 << 10      # a piece up to this length is merged in one go
 LOOKAHEAD = 3             # the longest alternative of fixed length in the pattern ('re)
 CACHED_PIECES = 50_000    # pieces whose ids are remembered per worker; then the memory starts anew
@@ -72,6 +83,12 @@ class Codec:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bytes_of = {i: b for b, i in ranks.items()}
+        self.n_joins = 0
+        sizes = np.zeros(max(self.bytes_of, default=-1) + 1, np.int64)
+        for i, b in self.bytes_of.items():
+            sizes[i] = len(b)
+        self._sizes, self._starts = sizes, np.cumsum(sizes) - sizes
+        self._all_bytes = np.frombuffer(b"".join(self.bytes_of[i] for i in sorted(self.bytes_of)), np.uint8)
         self.pattern = regex.compile(pattern)
         self._merge = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
         self._known: dict[str, list[int]] = {}
@@ -121,6 +138,7 @@ class Codec:
         return self._join(self._node(text[:half]), self._node(text[half:]))
 
     def _join(self, a: tuple, b: tuple) -> tuple[list[str], list[list[int]]]:
+        self.n_joins += 1
         (ap, ai), (bp, bi) = a, b
         keep, open_chars = len(ap), 0
         while keep and open_chars <= LOOKAHEAD:      # pieces ending within LOOKAHEAD of the cut are not final
@@ -168,23 +186,53 @@ class Codec:
 
     def packed(self, text: str) -> bytes:
         """Ids of a text as 4-byte numbers."""
+        if len(text) <= LEAF_CHARS:
+            known = self._known.get
+            return array("i", [i for p in self.pattern.findall(text) for i in known(p) or self._ids(p)]).tobytes()
         return np.array([i for ids in self._node(text)[1] for i in ids], np.int32).tobytes()
 
+    # -- between spaces
+    def _spaced(self, text: str) -> tuple[str, list[bytes] | None, str]:
+        """(text before the first space, ids between, text behind the last space); without a space only the first."""
+        if len(text) <= LEAF_CHARS:
+            head, *rest = text.split(" ")
+            if not rest:
+                return head, None, ""
+            return head, list(map(self._chunks.__getitem__, rest[:-1])), rest[-1]
+        half = len(text) // 2
+        return self._join_spaced(self._spaced(text[:half]), self._spaced(text[half:]))
+
+    def _join_spaced(self, a: tuple, b: tuple) -> tuple[str, list[bytes] | None, str]:
+        self.n_joins += 1
+        (a_head, a_ids, a_tail), (b_head, b_ids, b_tail) = a, b
+        if a_ids is None:
+            return a_head + b_head, b_ids, b_tail
+        if b_ids is None:
+            return a_head, a_ids, a_tail + b_head
+        a_ids.append(self._chunks[a_tail + b_head])
+        a_ids += b_ids
+        return a_head, a_ids, b_tail
+
     def encode(self, text: str) -> np.ndarray:
-        """Token ids of a whole text.
-
-        In a leaf whose white space is single spaces and line feeds, no match
-        runs over a space into the text before it, and none looks further than
-        the space behind it, so the text between two spaces is one unit.
-        """
-        if len(text) <= LEAF_CHARS and " ".join(text.split()) == text.replace("\n", " "):
-            first, *rest = text.split(" ")
-            return np.frombuffer(self.packed(first) + b"".join(map(self._chunks.__getitem__, rest)), np.int32)
+        """Token ids of a whole text."""
+        if " ".join(text.split()) == text.replace("\n", " "):
+            head, ids, tail = self._spaced(text)
+            whole = self.packed(head) if ids is None else b"".join([self.packed(head), *ids, self._chunks[tail]])
+            return np.frombuffer(whole, np.int32)
         return np.frombuffer(self.packed(text), np.int32)
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode_leaf(self, ids: np.ndarray) -> bytes:
+        """The bytes of the tokens, one gather."""
+        sizes = self._sizes[ids]
+        ends = np.cumsum(sizes)
+        if not len(ends):
+            return b""
+        return self._all_bytes[np.repeat(self._starts[ids] - ends + sizes, sizes) + np.arange(ends[-1])].tobytes()
+
+    def decode(self, ids: np.ndarray | list[int]) -> bytes:
+        ids = np.asarray(ids, dtype=np.int64)
         if len(ids) <= LEAF_IDS:
-            return b"".join(map(self.bytes_of.__getitem__, ids))
+            return self.decode_leaf(ids)
         half = len(ids) // 2
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
@@ -219,7 +267,9 @@ def decode(encoded: DataFrame, path: str, pattern: str, keep: list[str] | None =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for b in slices(batches, 512):
-            out = [c.decode(ids or []) for ids in b.column(at).to_pylist()]
+            ids = b.column(at)
+            values, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
+            out = [c.decode(values[i:j]) for i, j in zip(ends[:-1], ends[1:])]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=schema.names)
 
     return chosen.mapInArrow(run, schema)

@@ -106,3 +106,19 @@ def test_encode_and_decode_of_a_table(spark):
         ids = lib.encode_ordinary(s or "")
         want.append((str(i), len(ids), sha(" ".join(map(str, ids)).encode()), sha((s or "").encode())))
     assert sorted((str(r[0]), *r[1:]) for r in out) == sorted(want)
+
+
+def test_ordinary_documents_are_joined_from_their_halves(spark):
+    lib, c = encoding(), byte_bpe.Codec(RANKS, P.PATTERN)
+    docs = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    joined = 0
+    for s in docs:
+        before = c.n_joins
+        assert c.encode(s).tolist() == lib.encode_ordinary(s)
+        joined += c.n_joins > before
+    assert joined >= 0.9 * sum(len(s.split()) > 50 for s in docs) > 100
+
+
+def test_empty_table_of_bpe(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(none, RANKS, P.PATTERN), RANKS, P.PATTERN)).count() == 0
