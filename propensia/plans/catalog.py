@@ -17,6 +17,7 @@ from ..functions.numeric import round_to
 
 from .. import schema as S
 from ..operators import features as FE
+from ..operators import quarantine as QU
 from ..operators import views as V
 from ..sources import tables as TB
 from ..sources.files import BAD_LINE
@@ -197,6 +198,25 @@ def q_dirty_validation_report(spark, sf_dir):
     return VA.validation_report(TB.dirty_leads(spark, sf_dir).drop("wishlist_count", "has_career_goals"), require_target=True)
 
 
+def _dirty(spark, sf_dir):
+    return TB.dirty_leads(spark, sf_dir).drop("wishlist_count", "has_career_goals")
+
+
+def q_quarantine_leads(spark, sf_dir):
+    """The rows that break a rule, with the rules."""
+    return QU.quarantine(_dirty(spark, sf_dir)).select(ID, F.array_join("rules", ",").alias("rules"))
+
+
+def q_quarantine_counts(spark, sf_dir):
+    """Rows and keys per broken rule."""
+    return QU.quarantine_counts(QU.quarantine(_dirty(spark, sf_dir)))
+
+
+def q_clean_leads(spark, sf_dir):
+    """What is left of the leads when every id with a broken rule is held back."""
+    return QU.split_clean(_dirty(spark, sf_dir))[0]
+
+
 def q_tier_counts(spark, sf_dir):
     return V.tier_counts(_scored(spark, sf_dir), SCORE, VIEW_HIGH, VIEW_OUTREACH)
 
@@ -344,6 +364,9 @@ QUERIES.update({
     "policy_high_below_outreach": q_policy_high_below_outreach,
     "one_class_metrics": q_one_class_metrics,
     "dirty_validation_report": q_dirty_validation_report,
+    "quarantine_leads": q_quarantine_leads,
+    "quarantine_counts": q_quarantine_counts,
+    "clean_leads": q_clean_leads,
     "holdout_deciles": q_holdout_deciles,
     "holdout_metrics": q_holdout_metrics,
     "predictions_all": _filtered("All", ("HIGH", "MID")),
@@ -679,7 +702,33 @@ def q_dirty_csv_report(spark, sf_dir):
     return report.select("rule", "column", "bad_rows", "failed")
 
 
+#: Byte ranges of ``csv_one_file``: the one file is read by many tasks even at the smallest scale.
+SMALL_RANGE = 16 << 10
+
+
+def q_csv_one_file(spark, sf_dir):
+    """One CSV file (written by one task on purpose) read in byte ranges; quoted line breaks and ragged rows cross their borders."""
+    import uuid
+
+    from ..session import shared_scratch
+    from ..sources.files import read_csv_raw
+
+    m = F.col(ID).cast("long") % 12
+    note = F.when(m == 0, '"a ""quoted"" word"').when(m == 1, '"one, two"').when(
+        m == 2, F.concat(F.lit('"'), F.repeat(F.lit("line\nbreak, "), 40), F.lit('""end"""'))).when(m == 3, "").when(
+        m == 4, 'five" pipe').when(m == 6, F.concat(F.lit('"'), F.repeat(F.lit("\n"), 9), F.lit('"'))).otherwise(
+        F.concat(F.lit("t"), F.col(ID)))
+    tail = F.when(m == 5, "").when(m == 7, ",1,2,3").otherwise(F.concat(F.lit(","), F.col(ID), F.lit(",0")))
+    lines = TB.leads(spark, sf_dir).select(F.concat(F.col(ID), F.lit(","), note, tail).alias("value"))
+    path = shared_scratch(spark, f"csv_one/{uuid.uuid4().hex}")
+    header = spark.createDataFrame([("student_id,ai_mentor_topic,session_depth,coupon_code_applied",)], "value string")
+    header.union(lines).coalesce(1).write.text(path)
+    raw = read_csv_raw(spark, path, range_bytes=SMALL_RANGE)
+    return raw.select(ID, "ai_mentor_topic", "session_depth", "coupon_code_applied", F.col(BAD_LINE).isNotNull().alias("bad_line"))
+
+
 QUERIES.update({
+    "csv_one_file": q_csv_one_file,
     "csv_roundtrip": q_csv_roundtrip,
     "csv_validation_report": q_csv_validation_report,
     "dirty_csv": q_dirty_csv,

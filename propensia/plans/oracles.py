@@ -62,7 +62,8 @@ def dbl(x: float) -> str:
     return f"{float(x)!r}::DOUBLE"
 
 
-def _validation_sql(raw_text: bool = False, src: str = "leads", absent: tuple[str, ...] = (), extra_ctes: str = "") -> str:
+def _row_rules(raw_text: bool, absent: tuple[str, ...]) -> list[tuple[str, str, str, str]]:
+    """(rule, column, predicate, message) of the row rules."""
     rules = [("V5", "student_id", "student_id IS NULL OR trim(student_id) = ''",
               "Blank or missing student_id values detected.")]
     rules.append(("V7", S.TARGET_COLUMN, f"{S.TARGET_COLUMN} IS NOT NULL AND {S.TARGET_COLUMN} NOT IN (0, 1)",
@@ -79,7 +80,11 @@ def _validation_sql(raw_text: bool = False, src: str = "leads", absent: tuple[st
             if c not in S.STRING_COLUMNS:
                 rules.append(("V16", c, f"{c} IS NOT NULL AND TRY_CAST(CAST({c} AS VARCHAR) AS DOUBLE) IS NULL",
                               f"Column '{c}' contains values that are not numbers."))
-    rules = [r for r in rules if r[1] not in absent]
+    return [r for r in rules if r[1] not in absent]
+
+
+def _validation_sql(raw_text: bool = False, src: str = "leads", absent: tuple[str, ...] = (), extra_ctes: str = "") -> str:
+    rules = _row_rules(raw_text, absent)
     counts = ",\n    ".join(f"count(*) FILTER (WHERE {pred}) AS r{i}" for i, (_, _, pred, _) in enumerate(rules))
     gone = f"'Missing required columns: {', '.join(absent)}'" if absent else "CAST(NULL AS VARCHAR)"
     parts = [
@@ -542,6 +547,19 @@ _HOLD = _SPLIT_CTE + """,
 hold AS (SELECT s.* FROM scored2 s JOIN sp USING (student_id) WHERE sp.split = 'holdout')"""
 
 
+_ABSENT = ("wishlist_count", "has_career_goals")
+
+
+def _quarantine_sql(select: str) -> str:
+    rules = _row_rules(False, _ABSENT)
+    broken = ", ".join(["CASE WHEN count(*) OVER (PARTITION BY student_id) > 1 THEN 'V4:student_id' END",
+                        *(f"CASE WHEN {bad} THEN '{rule}:{column}' END" for rule, column, bad, _ in rules)])
+    return with_leads(select, _dirty_cte().rstrip().rstrip(",") + f""",
+dirty0 AS (SELECT * EXCLUDE (m, {', '.join(_ABSENT)}) FROM dirty),
+held AS (SELECT student_id, rules FROM (
+  SELECT student_id, list_filter([{broken}], lambda x: x IS NOT NULL) AS rules FROM dirty0) WHERE len(rules) > 0)""")
+
+
 def _predictions_sql(show: str, tiers: str) -> str:
     return with_leads(f"""
 SELECT student_id, purchase_probability, predicted_tier, actual_purchased, correct FROM (
@@ -689,6 +707,20 @@ SELECT "check", CAST(v AS BIGINT) AS expected, CAST(v AS BIGINT) AS actual FROM
   UNION ALL SELECT 'holdout_rows_in_saved_order', count(*) FROM sp WHERE split = 'holdout'
   UNION ALL SELECT 'calibration_rows', count(*) FROM sp WHERE split = 'calibration'
   UNION ALL SELECT 'all_trees_of_the_chosen_candidate', 1)""", _SPLIT_CTE),
+    "quarantine_leads": _quarantine_sql("SELECT student_id, array_to_string(rules, ',') AS rules FROM held"),
+    "quarantine_counts": _quarantine_sql("""
+SELECT split_part(r, ':', 1) AS rule, split_part(r, ':', 2) AS "column", count(*) AS bad_rows,
+  count(DISTINCT coalesce(student_id, chr(0))) AS bad_keys
+FROM (SELECT student_id, unnest(rules) AS r FROM held) GROUP BY r"""),
+    "clean_leads": _quarantine_sql("SELECT * FROM dirty0 WHERE coalesce(student_id, chr(0)) NOT IN (SELECT coalesce(student_id, chr(0)) FROM held)"),
+    "csv_one_file": with_leads("""
+SELECT student_id,
+  CASE m WHEN 0 THEN 'a "quoted" word' WHEN 1 THEN 'one, two' WHEN 2 THEN repeat('line' || chr(10) || 'break, ', 40) || '"end"'
+    WHEN 3 THEN NULL WHEN 4 THEN 'five" pipe' WHEN 6 THEN repeat(chr(10), 9) ELSE 't' || student_id END AS ai_mentor_topic,
+  CASE m WHEN 5 THEN NULL WHEN 7 THEN '1' ELSE student_id END AS session_depth,
+  CASE m WHEN 5 THEN NULL WHEN 7 THEN '2' ELSE '0' END AS coupon_code_applied,
+  m IN (5, 7) AS bad_line
+FROM (SELECT student_id, CAST(student_id AS BIGINT) % 12 AS m FROM leads)"""),
     "dirty_csv": with_leads("""
 SELECT student_id,
   CASE m WHEN 0 THEN 'a "quoted" word' WHEN 1 THEN 'one, two' WHEN 2 THEN 'line' || chr(10) || 'break' WHEN 3 THEN NULL ELSE 't' || student_id END AS ai_mentor_topic,

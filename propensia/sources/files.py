@@ -13,29 +13,30 @@ from pyspark.sql import types as T
 
 from .. import schema as S
 from ..functions.numeric import is_na_token, parse_binary, parse_number
-
+from ..session import importable
+from .csv_ranges import RANGE_BYTES, records
 
 #: Column of a raw frame that holds the text of a line with too many or too few fields.
 BAD_LINE = "_bad_line"
 
 
-def read_csv_raw(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+def read_csv_raw(spark: SparkSession, path: str, columns: list[str] | None = None,
+                 range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Header row, all columns STRING, empty fields NULL; columns go by the file's own header names.
 
-    Quotes are doubled inside quoted fields, which may hold line breaks; for
-    that the file is read whole by one task, which is what one upload is
-    (``columns`` of a directory of part files are taken from its first header).
+    Quotes are doubled inside quoted fields, which may hold line breaks; files
+    of any size are still read in byte ranges by many tasks (``csv_ranges``).
+    Columns of a directory of part files are taken from its first header.
     A line with too many or too few fields is kept in ``_bad_line`` for the
     validation to report.
     """
     names = columns or csv_header(spark, path)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, BAD_LINE]])
-    return (
-        spark.read.schema(schema).option("header", True).option("enforceSchema", True)
-        .option("quote", '"').option("escape", '"').option("multiLine", True)
-        .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD_LINE)
-        .csv(path)
-    )
+    options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD_LINE,
+               "maxCharsPerColumn": "-1", "multiLine": "true"}
+    importable(spark)
+    parsed = records(spark, path, range_bytes=range_bytes).select(F.from_csv("record", schema.simpleString(), options).alias("r"))
+    return parsed.select("r.*")
 
 
 def csv_header(spark: SparkSession, path: str) -> list[str]:
