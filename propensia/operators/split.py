@@ -1,29 +1,78 @@
 """Deterministic stratified splits.
 
-A row's position in its class is its rank under ``md5(seed|split|id)``, from
-one distributed sort.  The first ``round(0.15 * n_class)`` rows of each class
-are the holdout, the next ``round(0.18 * rest)`` the calibration split, the
-remainder trains and is dealt into 3 folds round-robin.  Deterministic,
-disjoint, exhaustive, stratified within one row per class -- and the same
-recipe is plain SQL, so it is checked exactly.
+A row's position in its class is its rank under ``md5(seed|split|id)``.  The
+first ``round(0.15 * n_class)`` rows of each class are the holdout, the next
+``round(0.18 * rest)`` the calibration split, the remainder trains and is dealt
+into 3 folds round-robin.  Deterministic, disjoint, exhaustive, stratified
+within one row per class -- and the same recipe is plain SQL, so it is checked
+exactly.
+
+The two border keys of each class are selected by refined histograms
+(``select``), without a sort; the split of a row is then an expression of its
+own id and label, so no id is exchanged and no join is needed.  Only the folds
+depend on exact ranks: where they are asked for, the training rows' ids (and no
+others) are ranked by a distributed sort.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..session import ensure_checkpoint_dir
 from .rank import rank_within_groups
+from .select import at_most, group_sizes, kth_keys
 
 
 def split_hash(id_col: str = S.ID_COLUMN, seed: int = S.RANDOM_STATE):
     return F.md5(F.concat(F.lit(f"{seed}|split|"), F.col(id_col).cast("string")))
 
 
-def _quota(n, fraction: float):
+def _rounded(n: int, fraction: float) -> int:
     """round-half-up(fraction * n) in double arithmetic."""
-    return F.floor(n * F.lit(float(fraction)) + F.lit(0.5)).cast("long")
+    return math.floor(n * float(fraction) + 0.5)
+
+
+def _hash_text(id_col: str, seed: int):
+    return F.coalesce(split_hash(id_col, seed), F.lit(""))
+
+
+def split_column(
+    df: DataFrame,
+    label_col: str = S.TARGET_COLUMN,
+    id_col: str = S.ID_COLUMN,
+    test_size: float = S.TEST_SIZE,
+    calibration_size: float = S.CALIBRATION_SIZE,
+    seed: int = S.RANDOM_STATE,
+) -> Column:
+    """``holdout`` / ``calibration`` / ``train`` as an expression of a row's id and label.
+
+    ``df`` is read a few times by narrow aggregations to find two border keys per class.
+    """
+    narrow = df.select(F.col(label_col).alias("_y"), F.col(id_col).cast("string").alias("_i"), _hash_text(id_col, seed).alias("_h"))
+    sizes = group_sizes(narrow, "_y")
+    borders = {}
+    for y, n in sizes.items():
+        hold = _rounded(n, test_size)
+        borders[y] = (hold, hold + _rounded(n - hold, calibration_size))
+    keys = kth_keys(narrow, "_y", "_h", "_i", {y: sorted(set(b)) for y, b in borders.items()})
+    h, i = _hash_text(id_col, seed), F.col(id_col).cast("string")
+    split = F.lit("train")
+    for y, (hold, upto) in borders.items():
+        mine = F.when(at_most(h, i, keys.get((y, hold))), "holdout").when(
+            at_most(h, i, keys.get((y, upto))), "calibration").otherwise("train")
+        split = F.when(F.col(label_col).eqNullSafe(F.lit(y)), mine).otherwise(split)
+    return split
+
+
+def with_split(df: DataFrame, **kwargs) -> DataFrame:
+    """``df`` with its ``split`` column: a projection."""
+    ensure_checkpoint_dir(df.sparkSession)
+    id_col, label_col = kwargs.get("id_col", S.ID_COLUMN), kwargs.get("label_col", S.TARGET_COLUMN)
+    return df.withColumn("split", split_column(df.select(id_col, label_col).checkpoint(), **kwargs))
 
 
 def split_table(
@@ -32,22 +81,21 @@ def split_table(
     id_col: str = S.ID_COLUMN,
     test_size: float = S.TEST_SIZE,
     calibration_size: float = S.CALIBRATION_SIZE,
-    folds: int = S.CV_FOLDS,
+    folds: int | None = S.CV_FOLDS,
     seed: int = S.RANDOM_STATE,
     num_partitions: int | None = None,
 ) -> DataFrame:
-    """(id, label, split_hash, split, fold) of every row: nothing else is ranked and checkpointed."""
-    narrow = df.select(F.col(id_col), F.col(label_col), split_hash(id_col, seed).alias("_h"))
-    ranked = rank_within_groups(
-        narrow, label_col, [F.col("_h").asc(), F.col(id_col).asc()], rank_col="_pos", num_partitions=num_partitions
-    )
-    n = F.col("_g_n")
-    q_hold = _quota(n, test_size)
-    q_cal = _quota(n - q_hold, calibration_size)
-    pos = F.col("_pos")
-    split = F.when(pos <= q_hold, "holdout").when(pos <= q_hold + q_cal, "calibration").otherwise("train")
-    fold = F.when(split == "train", ((pos - q_hold - q_cal - 1) % folds).cast("int"))
-    return ranked.select(id_col, label_col, F.col("_h").alias("split_hash"), split.alias("split"), fold.alias("fold"))
+    """(id, label, split_hash, split, fold) of every row; only (id, hash) of the training rows is ranked (``folds`` None: nothing)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    narrow = df.select(F.col(id_col), F.col(label_col)).checkpoint()
+    split = split_column(narrow, label_col, id_col, test_size, calibration_size, seed)
+    tagged = narrow.select(id_col, label_col, split_hash(id_col, seed).alias("split_hash"), split.alias("split"))
+    if folds is None:
+        return tagged.withColumn("fold", F.lit(None).cast("int"))
+    ranked = rank_within_groups(tagged.where(F.col("split") == "train"), label_col, [F.col("split_hash").asc(), F.col(id_col).asc()],
+                                rank_col="_pos", num_partitions=num_partitions)
+    dealt = ranked.select(id_col, label_col, "split_hash", "split", ((F.col("_pos") - 1) % folds).cast("int").alias("fold"))
+    return dealt.unionByName(tagged.where(F.col("split") != "train").withColumn("fold", F.lit(None).cast("int")))
 
 
 def assign_splits(df: DataFrame, id_col: str = S.ID_COLUMN, **kwargs) -> DataFrame:

@@ -232,7 +232,7 @@ def q_tier_actions(spark, sf_dir):
 def _holdout(spark, sf_dir):
     """The saved holdout rows of the scored leads, by id."""
     scored = _scored(spark, sf_dir)
-    return scored.join(SP.split_table(scored).where(F.col("split") == "holdout").select(ID), ID, "left_semi")
+    return SP.with_split(scored).where(F.col("split") == "holdout").drop("split")
 
 
 def q_prediction_table(spark, sf_dir):
@@ -391,7 +391,7 @@ def _tags(spark, sf_dir):
 
 def _training_rows(spark, sf_dir):
     df = FE.engineer(TB.leads(spark, sf_dir))
-    return df.join(SP.split_table(df).where(F.col("split") == "train").select(ID), ID, "left_semi")
+    return SP.with_split(df).where(F.col("split") == "train").drop("split")
 
 
 def q_split_assignment(spark, sf_dir):
@@ -401,12 +401,12 @@ def q_split_assignment(spark, sf_dir):
 
 def q_split_counts(spark, sf_dir):
     """Students per split and class."""
-    return SP.class_counts(_tags(spark, sf_dir))
+    return SP.class_counts(SP.split_table(TB.leads(spark, sf_dir), folds=None))
 
 
 def q_scale_pos_weight(spark, sf_dir):
     """Negatives / positives on the training split."""
-    return SP.scale_pos_weight(_tags(spark, sf_dir).where(F.col("split") == "train")).select(
+    return SP.scale_pos_weight(SP.split_table(TB.leads(spark, sf_dir), folds=None).where(F.col("split") == "train")).select(
         round_to("scale_pos_weight", 6).alias("scale_pos_weight")
     )
 
@@ -419,7 +419,7 @@ def q_holdout_lookup(spark, sf_dir):
     from ..sources.files import load_split_ids, save_split_ids
 
     path = shared_scratch(spark, f"split_ids/{uuid.uuid4().hex}")
-    save_split_ids(SP.saved_positions(_tags(spark, sf_dir)), path)
+    save_split_ids(SP.saved_positions(SP.split_table(TB.leads(spark, sf_dir), folds=None)), path)
     ids = load_split_ids(spark, path, "holdout")
     return SP.select_ids(TB.leads(spark, sf_dir), ids).select("position", ID, Y, "course_interest")
 
@@ -488,7 +488,7 @@ def q_isotonic_calibration(spark, sf_dir):
     from ..operators import model as MD
 
     scored = _scored(spark, sf_dir).select(ID, Y, TIED)
-    cal = scored.join(SP.split_table(scored).where(F.col("split") == "calibration").select(ID), ID, "left_semi")
+    cal = SP.with_split(scored).where(F.col("split") == "calibration").drop("split")
     fitted = MD.fit_calibrator(cal, TIED, Y)
     return MD.calibrate(scored, fitted, TIED, "calibrated").select(ID, TIED, round_to("calibrated", 6).alias("calibrated"))
 
@@ -620,7 +620,7 @@ def q_holdout_policy_card(spark, sf_dir):
     """B7 with T1-T6 and D1-D2: thresholds learned on the calibration split,
     both evaluated on the holdout (precision / recall / profit per policy)."""
     scored = TB.scored_leads(spark, sf_dir).select(ID, Y, SCORE)
-    assigned = scored.join(SP.split_table(scored).select(ID, "split"), ID)
+    assigned = SP.with_split(scored)
     cal = assigned.where(F.col("split") == "calibration")
     hold = assigned.where(F.col("split") == "holdout")
     policy = {r["policy"]: r["threshold"] for r in TH.learn_policy(cal, SCORE, Y).collect()}  # two rows
