@@ -1,7 +1,7 @@
 """Model operators (M1-M8): class weights, calibration, importances, candidate choice.
 
-The trees themselves are in ``boost``; calibration is MLlib's isotonic
-regression on distinct scores with their counts.
+The trees themselves are in ``boost``; calibration is isotonic regression:
+adjacent violators are pooled in ``pooling``, MLlib's model applies the result.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import round_to
 from . import boost
+from .pooling import pooled_blocks
 
 
 def class_weight(label_col: str, scale_pos_weight: float) -> F.Column:
@@ -22,14 +23,15 @@ def class_weight(label_col: str, scale_pos_weight: float) -> F.Column:
 def fit_calibrator(cal: DataFrame, raw_col: str = "raw_score", label_col: str = "label") -> IsotonicRegressionModel:
     """M5: increasing isotonic map fitted on the calibration split only.
 
-    Equal scores are pooled first (mean label, weight = rows), which is what
-    the fit does with ties, so its input is one row per distinct score.
+    Violators are pooled in a tree of tasks (``pooling``); MLlib's fit gets both
+    ends of the few blocks that are left, which already rise.
     """
-    pooled = cal.groupBy(F.col(raw_col).cast("double").alias(raw_col)).agg(
-        F.avg(F.col(label_col).cast("double")).alias(label_col), F.count(F.lit(1)).cast("double").alias("_rows"))
+    ends = pooled_blocks(cal, raw_col, label_col).select(
+        F.explode(F.when(F.col("lo") < F.col("hi"), F.array("lo", "hi")).otherwise(F.array("lo"))).alias(raw_col),
+        F.col("mean").alias(label_col), F.col("weight").alias("_rows"))
     iso = IsotonicRegression(featuresCol=raw_col, labelCol=label_col, weightCol="_rows", predictionCol="calibrated",
                              isotonic=True)
-    return iso.fit(pooled)
+    return iso.fit(ends)
 
 
 def calibrate(df: DataFrame, calibrator: IsotonicRegressionModel, raw_col: str = "raw_score",

@@ -2,12 +2,16 @@
 
 Fitted state: one median or mode per column (bounded, literal expressions at
 transform time) and the category codes, which may be as many as there are
-rows and therefore stay a DataFrame: codes are looked up by an equi-join whose
-strategy is left to the engine's size estimate.
+rows and therefore stay a DataFrame.
 
-Medians are exact without sorting a column: one scan builds a quantile sketch
-per column that brackets the middle, a second one counts the values below the
-bracket and keeps only those inside it.
+Codes are looked up by a hybrid join.  Values that hold at least ``HOT_SHARE``
+of a column's rows -- no more than 1 / HOT_SHARE of them -- are a constant map,
+so a value with a third of all rows is never exchanged.  The other values of
+all columns are melted to (row, column, value) and looked up by one join
+whatever the number of columns; the codes found come back by row number.
+Where every value is hot nothing is exchanged at all.
+
+Medians (``medians``) are exact from two scans, or approximate from one.
 """
 
 from __future__ import annotations
@@ -16,14 +20,16 @@ import json
 from dataclasses import dataclass, field
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .rank import global_rank, rank_within_groups
+from ..session import ensure_checkpoint_dir
+from .medians import SKETCH_ACCURACY, approx_medians, exact_medians, number  # noqa: F401
+from .rank import rank_within_groups
 
 CODES_SCHEMA = "c int, v string, code double"
-SKETCH_ACCURACY = 2_000     # a rank in the sketch is off by at most n / SKETCH_ACCURACY
+HOT_SHARE = 0.01            # of a column's rows, which make a value part of the constant map
 
 
 def split_column_kinds(df: DataFrame, exclude: list[str]) -> tuple[list[str], list[str]]:
@@ -36,70 +42,6 @@ def split_column_kinds(df: DataFrame, exclude: list[str]) -> tuple[list[str], li
     return cat, num
 
 
-def _number(name: str) -> F.Column:
-    v = F.col(name).cast("double")
-    return F.when(~F.isnan(v), v)
-
-
-def exact_medians(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(column index, median) for every column with at least one number.
-
-    Three scans: a quantile sketch per column brackets the middle; the values
-    below and inside each bracket are counted; only values inside a bracket
-    that is not a single value are kept, and their exact ranks decide.  Ranks,
-    not the sketch, are what the result rests on: a bracket that misses the
-    middle is opened to the whole column.
-    """
-    spark = df.sparkSession
-    empty = spark.createDataFrame([], "c int, median double")
-    if not cols:
-        return empty
-    numbers = df.select(*[_number(c).alias(f"v{i}") for i, c in enumerate(cols)])
-    around = [0.5 - 2 / SKETCH_ACCURACY, 0.5 + 2 / SKETCH_ACCURACY]
-    sketch = numbers.agg(*[F.percentile_approx(f"v{i}", around, SKETCH_ACCURACY).alias(f"q{i}") for i in range(len(cols))],
-                         *[F.count(f"v{i}").alias(f"n{i}") for i in range(len(cols))]).first()
-    brackets = {i: tuple(map(float, sketch[f"q{i}"])) for i in range(len(cols)) if sketch[f"n{i}"]}
-    if not brackets:
-        return empty
-    seen = numbers.agg(*[F.count_if(F.col(f"v{i}") < lo).alias(f"b{i}") for i, (lo, _) in brackets.items()],
-                       *[F.count_if(F.col(f"v{i}") <= hi).alias(f"e{i}") for i, (_, hi) in brackets.items()]).first()
-    settled, facts = [], []                     # (c, median); (c, lo, hi, numbers, numbers below lo)
-    for i, (lo, hi) in brackets.items():
-        n = int(sketch[f"n{i}"])
-        if not (seen[f"b{i}"] <= (n - 1) // 2 and n // 2 < seen[f"e{i}"]):
-            facts.append((i, float("-inf"), float("inf"), n, 0))
-        elif lo == hi:
-            settled.append((i, lo))
-        else:
-            facts.append((i, lo, hi, n, int(seen[f"b{i}"])))
-    known = spark.createDataFrame(settled, "c int, median double") if settled else empty
-    return known.unionByName(_bracketed_medians(numbers, facts)) if facts else known
-
-
-def _bracketed_medians(numbers: DataFrame, facts: list[tuple[int, float, float, int, int]]) -> DataFrame:
-    """Medians from the values inside each bracket (column, lo, hi, numbers, numbers below lo)."""
-    spark = numbers.sparkSession
-    items = [F.when(F.col(f"v{c}").between(F.lit(lo), F.lit(hi)), F.struct(F.lit(c).alias("c"), F.col(f"v{c}").alias("v")))
-             for c, lo, hi, _, _ in facts]
-    kept = numbers.select(F.explode(F.filter(F.array(*items), lambda s: s.isNotNull())).alias("s")).select("s.c", "s.v")
-    counts = kept.groupBy("c", "v").agg(F.count(F.lit(1)).cast("double").alias("cnt"))
-    ranked = global_rank(counts, [F.col("c").asc(), F.col("v").asc()], rank_col="_k", sums={"cum": "cnt"})
-    before, running = {}, 0.0
-    sizes = {r["c"]: r["m"] for r in ranked.groupBy("c").agg(F.sum("cnt").alias("m")).collect()}   # one row per column
-    for c in sorted(sizes):
-        before[c], running = running, running + sizes[c]
-    offsets = spark.createDataFrame([(c, float(n), float(low), before[c]) for c, _, _, n, low in facts],
-                                    "c int, n double, low double, off double")
-    j = ranked.join(offsets, "c")
-    upto = F.col("cum") - F.col("off") + F.col("low")
-    prev = upto - F.col("cnt")
-    p_lo, p_hi = F.floor((F.col("n") - 1) / 2), F.ceil((F.col("n") - 1) / 2)
-    hit_lo, hit_hi = (prev <= p_lo) & (p_lo < upto), (prev <= p_hi) & (p_hi < upto)
-    picked = j.where(hit_lo | hit_hi).groupBy("c").agg(
-        F.max(F.when(hit_lo, F.col("v"))).alias("lo"), F.max(F.when(hit_hi, F.col("v"))).alias("hi"))
-    return picked.select("c", ((F.col("lo") + F.col("hi")) / F.lit(2.0)).alias("median"))
-
-
 def category_counts(df: DataFrame, cols: list[str]) -> DataFrame:
     """(column index, value, rows) of every distinct category value, partially aggregated before the shuffle."""
     if not cols:
@@ -130,6 +72,8 @@ class LeadEncoderModel:
     medians: dict[str, float] = field(default_factory=dict)
     codes: DataFrame | None = None            # CODES_SCHEMA, c = position in cat_cols
     output_col: str = "features"
+    hot: dict[str, dict[str, float]] = field(default_factory=dict)    # column -> value -> code of the frequent values
+    all_hot: bool = False                     # whether ``hot`` holds every value
 
     @property
     def used_num_cols(self) -> list[str]:
@@ -146,14 +90,38 @@ class LeadEncoderModel:
     def encoded(self, df: DataFrame, keep: list[str]) -> DataFrame:
         """``keep`` columns and one column per feature; a value that was not fitted gets -1."""
         values = [F.coalesce(F.col(c).cast("string"), F.lit(self.modes[c])).alias(f"cat__{c}") for c in self.used_cat_cols]
-        numbers = [F.coalesce(_number(c), F.lit(float(self.medians[c]))).alias(f"num__{c}") for c in self.used_num_cols]
-        out = df.select(*keep, *values, *numbers)
-        for c in self.used_cat_cols:
-            own = self.codes.where(F.col("c") == self.cat_cols.index(c)).select(
-                F.col("v").alias(f"cat__{c}"), F.col("code").alias(f"_code_{c}"))
-            out = out.join(own, f"cat__{c}", "left").withColumn(
-                f"cat__{c}", F.coalesce(F.col(f"_code_{c}"), F.lit(-1.0))).drop(f"_code_{c}")
-        return out.select(*keep, *self.feature_names())
+        numbers = [F.coalesce(number(c), F.lit(float(self.medians[c]))).alias(f"num__{c}") for c in self.used_num_cols]
+        rows = df.select(*keep, *values, *numbers)
+        found = {c: self._hot_code(c) for c in self.used_cat_cols}
+        if not self.all_hot and self.used_cat_cols:
+            rows, cold = self._cold_codes(rows, found)
+            found = {c: F.coalesce(f, F.get(cold, F.lit(i))) for i, (c, f) in enumerate(found.items())}
+        codes = [F.coalesce(found[c], F.lit(-1.0)).alias(f"cat__{c}") for c in self.used_cat_cols]
+        return rows.select(*keep, *codes, *[f"num__{c}" for c in self.used_num_cols])
+
+    def _hot_code(self, c: str) -> Column:
+        """Code of a frequent value from a constant map, else null."""
+        hot = self.hot.get(c)
+        if not hot:
+            return F.lit(None).cast("double")
+        table = F.from_json(F.lit(json.dumps(hot)), "map<string,double>")
+        return F.element_at(table, F.col(f"cat__{c}"))
+
+    def _cold_codes(self, rows: DataFrame, found: dict[str, Column]) -> tuple[DataFrame, Column]:
+        """``rows`` with the codes of their other values (array by position in ``used_cat_cols``) joined by row number.
+
+        The rows are checkpointed, so that numbers and rows stay together if
+        an executor is lost.
+        """
+        ensure_checkpoint_dir(rows.sparkSession)
+        rows = rows.withColumn("_row", F.monotonically_increasing_id()).checkpoint()
+        items = [F.when(f.isNull(), F.struct(F.lit(self.cat_cols.index(c)).alias("c"), F.col(f"cat__{c}").alias("v"),
+                                             F.lit(i).alias("i"))) for i, (c, f) in enumerate(found.items())]
+        melted = rows.select("_row", F.explode(F.array_compact(F.array(*items))).alias("s")).select("_row", "s.*")
+        pairs = melted.join(self.codes, ["c", "v"]).groupBy("_row").agg(
+            F.map_from_entries(F.collect_list(F.struct("i", "code"))).alias("_m"))      # at most one entry per column
+        codes = F.array(*[F.element_at("_m", F.lit(i)) for i in range(len(found))])
+        return rows.join(pairs.select("_row", codes.alias("_codes")), "_row", "left"), F.col("_codes")
 
     def transform(self, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
         """Imputed, encoded columns assembled into one vector."""
@@ -164,7 +132,7 @@ class LeadEncoderModel:
     def to_json(self) -> str:
         """Everything but the codes, which are saved as a table."""
         return json.dumps({"cat_cols": self.cat_cols, "num_cols": self.num_cols, "modes": self.modes,
-                           "medians": self.medians, "output_col": self.output_col})
+                           "medians": self.medians, "output_col": self.output_col, "hot": self.hot, "all_hot": self.all_hot})
 
     @classmethod
     def from_json(cls, text: str, codes: DataFrame) -> "LeadEncoderModel":
@@ -174,13 +142,24 @@ class LeadEncoderModel:
 class LeadEncoder:
     """P2-P4 estimator: most-frequent / median imputation and ordinal codes."""
 
-    def __init__(self, cat_cols: list[str], num_cols: list[str], output_col: str = "features"):
+    def __init__(self, cat_cols: list[str], num_cols: list[str], output_col: str = "features", approx: bool = False):
         self.cat_cols = list(cat_cols)
         self.num_cols = list(num_cols)
         self.output_col = output_col
+        self.approx = approx          # medians from the sketch alone
 
     def fit(self, df: DataFrame) -> LeadEncoderModel:
-        medians = {self.num_cols[r["c"]]: r["median"] for r in exact_medians(df, self.num_cols).collect()}
-        counts = category_counts(df, self.cat_cols)
+        middle = approx_medians if self.approx else exact_medians
+        medians = {self.num_cols[r["c"]]: r["median"] for r in middle(df, self.num_cols).collect()}
+        ensure_checkpoint_dir(df.sparkSession)
+        counts = category_counts(df, self.cat_cols).checkpoint()
         modes = {self.cat_cols[r["c"]]: r["mode"] for r in most_frequent(counts).collect()}    # one row per column
-        return LeadEncoderModel(self.cat_cols, self.num_cols, modes, medians, category_codes(counts), self.output_col)
+        codes = category_codes(counts).checkpoint()
+        sizes = counts.groupBy("c").agg(F.sum("cnt").alias("n"), F.count(F.lit(1)).alias("k"))
+        common = counts.join(sizes, "c").where(F.col("cnt") >= F.col("n") * HOT_SHARE).select("c", "v")
+        hot: dict[str, dict[str, float]] = {}
+        for r in codes.join(common, ["c", "v"]).collect():         # at most 1 / HOT_SHARE values per column
+            hot.setdefault(self.cat_cols[r["c"]], {})[r["v"]] = r["code"]
+        n_values = sizes.agg(F.sum("k")).first()[0] or 0
+        return LeadEncoderModel(self.cat_cols, self.num_cols, modes, medians, codes, self.output_col, hot,
+                                n_values == sum(map(len, hot.values())))
