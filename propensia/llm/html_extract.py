@@ -20,11 +20,17 @@ Blocks: text between block tags is one block; white space inside it becomes one
 space, blocks are trimmed, empty ones left out, the rest joined by a line feed.
 A ``br`` is white space.  Character references are decoded.
 
+Names (class, id, role) make an element boilerplate for its words' scores until
+an element names content inside it; names of comments, and elements that HTML
+defines as boilerplate, do so for good.  A page that would be left without any
+text is scored again without the name that took most of its words.
+
 Defined cases: null html counts as empty and gives an empty text; a page
 without words gives an empty text; unclosed elements end with the element
 around them or the page; markup inside scripts, styles and comments is not
-read; repeated rows are extracted one by one; ties go to the first region; an
-empty table gives an empty result; other columns are ignored.
+read; a very long page is one linear scan; an svg that closes itself ends there;
+repeated rows are extracted one by one; ties go to the first region; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +40,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -55,18 +62,51 @@ CONTAINERS = BOILERPLATE | CONTENT | frozenset("body section div ul ol table fig
 ENDS_P = frozenset("p div ul ol dl table section article main nav header footer aside form h1 h2 h3 h4 h5 h6 pre "
                    "blockquote hr figure".split())
 
-# FIXED VALUES: parts of class and id names that announce boilerplate or content
-NEGATIVE_NAMES = re.compile(r"(?:^|[-_ ])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|disclaimer|"
-                            r"footer|header|masthead|menu|modal|nav\w*|newsletter|notice|pagination|pager|popup|promo\w*|"
-                            r"recommend\w*|related|reply|replies|respond|share|sharing|sidebar|signup|social|sponsor\w*|"
-                            r"subscribe|tags|toolbar|widget)(?:$|[-_ \d])", re.I)
+# FIXED VALUES: parts of class and id names that announce boilerplate, by how sure they are
+COMMENT_PARTS = frozenset("comment comments disqus respond replies".split())
+JUNK_PARTS = re.compile(r"(?:ads?|advert\w*|banner|breadcrumbs?|cookies?|consent|disclaimer|footer|header|masthead|menu|modal|"
+                        r"nav\w*|newsletter|pagination|pager|popup|promo\w*|recommend\w*|sidebar|signup|sponsor\w*|subscribe|"
+                        r"toolbar|widget)\d*")
+TOPIC_PARTS = frozenset("notice related reply share sharing social tags".split())     # ordinary words, too
+STATE_PREFIX = re.compile(r"(?:has|have|no|not|with|without|is|show|hide)[-_]")       # what a page has, not what an element is
+# FIXED VALUES: parts of class and id names that announce content
 POSITIVE_NAMES = re.compile(r"(?:^|[-_ ])(?:article|body|content|entry|main|post|story|text)(?:$|[-_ \d])", re.I)
 
+# Quotes count behind an equals sign only: an unquoted value may hold an apostrophe.
+_ATTRS = r"(?:[^>\"'=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=|[\"'])*+"
 _TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*)|<(?P<raw>" + "|".join(sorted(RAW)) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>(?:.*?</(?P=raw)\s*>|.*)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>|(?P<text>[^<]+|<)",
+    r"<!--(?:.*?-->|.*)|<svg\b" + _ATTRS + r"(?<=/)>"
+    r"|<(?P<raw>" + "|".join(sorted(RAW)) + r")\b" + _ATTRS + r">(?:.*?</(?P=raw)\s*>|.*)"
+    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>" + _ATTRS + r")>|<[!?/][^>]*>|(?P<text>[^<]+|<)",
     re.S | re.I)
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']\S*))", re.I)
+CLEAR, LIKELY, SURE = 0, 1, 2     # how junk a name makes an element: not, until an element names content, for good
+
+
+@lru_cache(maxsize=65_536)
+def name_kind(names: str) -> int:
+    """What the class, id and role names of an element say about it.
+
+    Names of a state (``has-sidebar``) say nothing.  An ordinary word such as
+    ``social`` counts inside a longer name (``social-links``) or where no other
+    name stands beside it.
+    """
+    kind, topics, others = CLEAR, 0, 0
+    for name in names.lower().split():
+        if STATE_PREFIX.match(name):
+            others += 1
+            continue
+        parts = [p for p in re.split(r"[-_]+", name) if p]
+        if any(p in COMMENT_PARTS for p in parts):
+            kind = SURE
+        elif any(JUNK_PARTS.fullmatch(p) for p in parts) or (len(parts) > 1 and any(p in TOPIC_PARTS for p in parts)):
+            kind = max(kind, LIKELY)
+        elif name in TOPIC_PARTS:
+            topics += 1
+        else:
+            others += 1
+    return kind or (LIKELY if topics and not others else CLEAR)
+
 
 # Pseudo-counts (inside the content, outside it) of words by container and of tags by name.
 SEEDS = {("word", "content"): (200, 1), ("word", "boilerplate"): (1, 200), ("word", "plain"): (4, 1),
@@ -81,27 +121,32 @@ SEEDS = {("word", "content"): (200, 1), ("word", "boilerplate"): (1, 200), ("wor
 class Token:
     """One token: its score key, word count, text, and whether its text is boilerplate."""
 
-    __slots__ = ("key", "words", "text", "junk", "block", "named", "bare")
+    __slots__ = ("key", "words", "text", "junk", "block", "named", "bare", "owner")
 
-    def __init__(self, key, words=0, text="", junk=False, block=False, named=False, bare=None):
+    def __init__(self, key, words=0, text="", junk=False, block=False, named=False, bare=None, owner=-1):
         self.key, self.words, self.text, self.junk, self.block, self.named = key, words, text, junk, block, named
         self.bare = bare                               # container of a word if article and main named nothing
+        self.owner = owner                             # the element whose mere name makes a word boilerplate
 
 
 def _names(attrs: str) -> str:
     return " ".join(a or b or c for a, b, c in _NAMES.findall(attrs)) if "=" in attrs else ""
 
 
-def tokens(page: str) -> list[Token]:
-    """The token sequence of a page; an open-element stack gives each word its container."""
+def tokens(page: str, pardoned: int = -1) -> list[Token]:
+    """The token sequence of a page; an open-element stack gives each word its container.
+
+    The name of the element number ``pardoned`` (by its tag's place) makes it no boilerplate.
+    """
     out: list[Token] = []
-    # stack entries: (name, container key, junk, inside article or main, container key without article and main)
-    stack: list[tuple[str, str, bool, bool, str]] = [("", "plain", False, False, "plain")]
+    # stack entries: (name, container key, junk, inside article or main, container key without article and main,
+    # place of the outermost element that a mere name made boilerplate)
+    stack: list[tuple[str, str, int, bool, str, int]] = [("", "plain", CLEAR, False, "plain", -1)]
     for m in _TOKEN.finditer(page):
         if m.lastgroup == "text":
             text = entities.unescape(m["text"]) if "&" in m["text"] else m["text"]
-            _, container, junk, inside, bare = stack[-1]
-            out.append(Token(("word", container), len(text.split()), text, junk, False, inside and not junk, bare))
+            _, container, junk, inside, bare, owner = stack[-1]
+            out.append(Token(("word", container), len(text.split()), text, bool(junk), False, inside and not junk, bare, owner))
             continue
         name = m["name"]
         if name is None:                               # comment, raw element or declaration
@@ -109,7 +154,7 @@ def tokens(page: str) -> list[Token]:
                 out.append(Token(("tag", m["raw"].lower()), junk=True))
             continue
         name = name.lower()
-        _, container, junk, inside, bare = stack[-1]
+        _, container, junk, inside, bare, owner = stack[-1]
         block = name not in INLINE
         if m["close"]:
             for k in range(len(stack) - 1, 0, -1):     # the nearest open element of that name, if there is one
@@ -118,25 +163,31 @@ def tokens(page: str) -> list[Token]:
                     break
                 if stack[k][0] in CONTAINERS and name not in CONTAINERS:
                     break
-            out.append(Token(("tag", name), block=block, junk=junk, named=stack[-1][3]))
+            out.append(Token(("tag", name), block=block, junk=bool(junk), named=stack[-1][3]))
             continue
         if name in ENDS_P:                             # an open p ends before a block
             while len(stack) > 1 and stack[-1][0] not in CONTAINERS and any(
                     x[0] == "p" for x in stack[-8:]) and stack[-1][0] not in ("td", "th", "li", "blockquote"):
                 stack.pop()
-            _, container, junk, inside, bare = stack[-1]
+            _, container, junk, inside, bare, owner = stack[-1]
         names = _names(m["attrs"])
-        if name in CONTENT and not NEGATIVE_NAMES.search(names):
-            container, inside, bare = "content", True, "content" if POSITIVE_NAMES.search(names) else bare
-        elif name == "header" and inside and not NEGATIVE_NAMES.search(names):
+        kind = name_kind(names) if names and block and name not in ("body", "html") else CLEAR
+        if kind == LIKELY and m.start() == pardoned:
+            kind = CLEAR
+        if name in CONTENT and kind == CLEAR and junk != SURE:
+            # an element that names content ends the junk of a mere name around it
+            container, junk, inside, owner = "content", CLEAR, True, -1
+            bare = "content" if POSITIVE_NAMES.search(names) else bare
+        elif name == "header" and inside and kind == CLEAR:
             pass                                       # an article's own head: its title belongs to it
-        elif name in BOILERPLATE or (names and block and NEGATIVE_NAMES.search(names) and name not in ("body", "html")):
-            container, junk, bare = "boilerplate", True, "boilerplate"
+        elif name in BOILERPLATE or kind:
+            owner = -1 if name in BOILERPLATE or max(junk, kind) == SURE else owner if junk else m.start()
+            container, junk, bare = "boilerplate", SURE if name in BOILERPLATE else max(junk, kind), "boilerplate"
         elif names and block and not junk and "plain" in (container, bare) and POSITIVE_NAMES.search(names):
             container = bare = "content"
-        out.append(Token(("tag", name), block=block, junk=junk, named=inside and not junk))
+        out.append(Token(("tag", name), block=block, junk=bool(junk), named=inside and not junk))
         if name not in VOID and not m["attrs"].rstrip().endswith("/"):
-            stack.append((name, container, junk, inside, bare))
+            stack.append((name, container, junk, inside, bare, owner))
     if any(t.named and t.words for t in out):
         for t in out:
             if t.key == ("word", "plain"):
@@ -196,8 +247,20 @@ def region(seen: list[Token], weights: dict) -> tuple[int, int]:
 
 
 def extract(page: str, weights: dict) -> str:
-    """Main text of one page."""
+    """Main text of one page; where names leave nothing, the one that took most words is not believed."""
     seen = tokens(page)
+    text = _text(seen, weights)
+    if not text:
+        taken: Counter = Counter()
+        for t in seen:
+            if t.owner >= 0:
+                taken[t.owner] += t.words
+        if taken:
+            text = _text(tokens(page, taken.most_common(1)[0][0]), weights)
+    return text
+
+
+def _text(seen: list[Token], weights: dict) -> str:
     first, last = region(seen, weights)
     blocks, parts = [], []
     for t in seen[first:last]:

@@ -79,3 +79,45 @@ def test_defined_cases(spark):
     assert got == {(1, ""): 0, (2, ""): 0, (3, ""): 0, (None, "just text < 5 < 6 & "): 24, (5, "a"): 1, (6, "word here\nword here\n"): 199_999,
                    (6, ""): 0, (7, "kept words"): 10, (8, "x"): 1}
     assert hx.extract_pages(df.limit(0)).count() == 0
+
+
+BODY = "<h1>The title</h1><p>%s</p><p>%s</p>" % ("words of the first paragraph go on " * 6, "and of the second one, too " * 6)
+
+
+def body_text():
+    return "\n".join(" ".join(x.split()) for x in re.findall(r">([^<]+)</", BODY))
+
+
+def test_names_never_empty_an_article(spark):
+    trained = hx.learn_weights(spark.read.parquet(f"{SF001}/pages.parquet"))
+    side = '<div class="sidebar"><p>Side words here</p></div><footer>&copy; x</footer>'
+    for weights in (hx.weights_of({}), trained):
+        for opening in ('<div class="page has-sidebar"><article>', '<div id="content" class="no-comments"><article>',
+                        '<div class="topic social science"><article>', '<div><article class="post social">',
+                        '<div class="with-nav layout"><article>', '<div class="widget"><main>', '<div class="header-fixed page"><article>',
+                        '<svg class=a/><div><article>'):
+            named = opening.rsplit("<", 1)[1].split(">")[0].split()[0]
+            page = f"<body>{opening}{BODY}</{named}></div>{side}<svg><path d='x'/></svg></body>"
+            assert hx.extract(page, weights) == body_text(), opening
+            hidden = page.replace(f"<{named}", "<div").replace(f"</{named}>", "</div>")
+            assert hx.extract(hidden, weights) == body_text(), opening
+
+
+def test_an_article_of_comments_stays_out():
+    page = f"<body><article>{BODY}</article><section id=comments><article><p>Great text, I love it so much</p></article></section></body>"
+    assert hx.extract(page, hx.weights_of({})) == body_text()
+
+
+def test_apostrophes_and_unclosed_quotes_in_attributes():
+    weights = hx.weights_of({})
+    words = "some words that stand in a paragraph of their own"
+    for tag in ("<a title=it's>", "<a title=it's href='x'>", '<a data-x="a>b">', "<a title='it\"s'>", "<b \"odd>"):
+        assert hx.extract(f"<article><p>{words} {tag}link</a> {words}</p></article>", weights) == f"{words} link {words}"
+
+
+def test_names_of_elements():
+    clear = ("has-sidebar page", "no-comments", "topic social science", "post social", "content", "tagsoup", "address", "shadow")
+    assert [n for n in clear if hx.name_kind(n)] == []
+    junk = ("sidebar", "social-links", "share tags", "related", "ad-box", "cookie-notice", "site-header", "nav1", "main-menu")
+    assert [n for n in junk if hx.name_kind(n) != hx.LIKELY] == []
+    assert hx.name_kind("comments") == hx.name_kind("post-comments big") == hx.SURE
