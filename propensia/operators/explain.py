@@ -22,7 +22,35 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import importable
-from . import boost
+
+NODE_FIELDS = ("feature", "threshold", "left", "right", "value")
+
+
+def _matrix(pdf: pd.DataFrame, n_features: int) -> np.ndarray:
+    return np.vstack(pdf["_x"].to_numpy()) if len(pdf) else np.zeros((0, n_features))
+
+
+def margins(trees: dict, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Margin of each row and its path attribution (rows, features), from the arrays of ``gbt.flat_trees``."""
+    total, parts = np.zeros(len(x)), np.zeros((len(x), trees["n_features"]))
+    feature, threshold, left, right, value = (trees[k] for k in NODE_FIELDS)
+    for start in trees["starts"].tolist():
+        node = np.full(len(x), start, np.int64)
+        while True:
+            inner = np.flatnonzero(feature[node] >= 0)
+            if not len(inner):
+                break
+            at = node[inner]
+            child = np.where(x[inner, feature[at]] <= threshold[at], left[at], right[at])
+            np.add.at(parts, (inner, feature[at]), value[child] - value[at])
+            node[inner] = child
+        total += value[node]
+    return total, parts
+
+
+def base_margin(trees: dict) -> float:
+    """Sum of the trees' root values: the margin before any split is followed."""
+    return float(trees["value"][trees["starts"]].sum())
 
 
 def path_contributions(encoded: DataFrame, model: dict, id_col: str, features_col: str = "features") -> DataFrame:
@@ -32,9 +60,9 @@ def path_contributions(encoded: DataFrame, model: dict, id_col: str, features_co
 
     def run(batches):
         trees = shared.value
-        base = boost.base_margin(trees)
+        base = base_margin(trees)
         for pdf in batches:
-            margin, parts = boost.margins(trees, boost._matrix(pdf, trees["n_features"]), contributions=True)
+            margin, parts = margins(trees, _matrix(pdf, trees["n_features"]))
             yield pd.DataFrame({id_col: pdf[id_col].to_numpy(), "base": np.full(len(pdf), base), "margin": margin,
                                 "contributions": list(parts)})
 

@@ -1,17 +1,18 @@
 """Model operators (M1-M8): class weights, calibration, importances, candidate choice.
 
-The trees themselves are in ``boost``; calibration is isotonic regression:
+The trees themselves are in ``gbt``; calibration is isotonic regression:
 adjacent violators are pooled in ``pooling``, MLlib's model applies the result.
 """
 
 from __future__ import annotations
 
+from pyspark.ml.classification import GBTClassificationModel
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import round_to
-from . import boost
+from . import gbt
 from .pooling import pooled_blocks
 
 
@@ -45,18 +46,18 @@ def calibrate(df: DataFrame, calibrator: IsotonicRegressionModel, raw_col: str =
     )
 
 
-def feature_importance(model: dict, names: list[str], spark, top: int = 15) -> DataFrame:
+def feature_importance(model: GBTClassificationModel, names: list[str], spark, top: int = 15) -> DataFrame:
     """M8: the ``top`` largest importances, rounded to 6 places (bounded: one row per feature)."""
-    values = boost.importances(model).tolist()
+    values = model.featureImportances.toArray().tolist()
     df = spark.createDataFrame([(n, float(v)) for n, v in zip(names, values)], "feature string, importance double")
     return df.orderBy(F.col("importance").desc(), F.col("feature")).limit(top).select(
         "feature", round_to(F.col("importance"), 6).alias("importance")
     )
 
 
-def score_with(encoded: DataFrame, model: dict, calibrator: IsotonicRegressionModel, keep: list[str]) -> DataFrame:
+def score_with(encoded: DataFrame, model: GBTClassificationModel, calibrator: IsotonicRegressionModel, keep: list[str]) -> DataFrame:
     """M7: encoded features -> raw probability -> calibrated, clipped score."""
-    return calibrate(boost.score_rows(encoded, model, keep), calibrator)
+    return calibrate(gbt.raw_scores(encoded, model, keep), calibrator)
 
 
 def candidate_order() -> list[F.Column]:

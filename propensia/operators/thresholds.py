@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..session import ensure_checkpoint_dir
 from .metrics import summary_columns
 from .rank import attach_scalars
 
@@ -39,8 +40,11 @@ def grid_floor(s: Column) -> Column:
 
 def candidates(df: DataFrame, score_col: str) -> DataFrame:
     """Distinct 4-dp scores plus anchors, clipped to [0.001, 0.999], distinct."""
-    spark = df.sparkSession
-    grid = df.select(rounded4(F.col(score_col)).alias("threshold"))
+    return _with_anchors(df.select(rounded4(F.col(score_col)).alias("threshold")))
+
+
+def _with_anchors(grid: DataFrame) -> DataFrame:
+    spark = grid.sparkSession
     anchors = spark.createDataFrame([(float(a),) for a in S.THRESHOLD_ANCHORS], "threshold double")
     clipped = grid.unionByName(anchors).select(
         F.least(F.greatest(F.col("threshold"), F.lit(LO)), F.lit(HI)).alias("threshold")
@@ -49,14 +53,15 @@ def candidates(df: DataFrame, score_col: str) -> DataFrame:
 
 
 def sweep(df: DataFrame, score_col: str, label_col: str) -> DataFrame:
-    """E9 at every candidate (one pass over the scores, bounded histogram)."""
+    """E9 at every candidate: the scores are read once, into a bounded histogram that also holds the candidates."""
+    ensure_checkpoint_dir(df.sparkSession)
     s = F.col(score_col)
     y = F.col(label_col).cast("long")
     k = F.least(F.greatest(grid_floor(s), F.lit(K_LO - 1)), F.lit(K_HI))
     off = [(s >= F.lit(a)).cast("int") for a in OFF_GRID]
-    keys = [k.alias("k")] + [o.alias(f"_ge{i}") for i, o in enumerate(off)]
-    hist = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("pos"))
-    # at most (K_HI - K_LO + 2) * 2^len(OFF_GRID) rows: bounded, independent of data size
+    keys = [k.alias("k"), rounded4(s).alias("_t4")] + [o.alias(f"_ge{i}") for i, o in enumerate(off)]
+    # at most 2 * (K_HI - K_LO + 2) * 2^len(OFF_GRID) rows for scores in [0, 1]: bounded, independent of data size
+    hist = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("pos")).checkpoint()
     per_k = hist.groupBy("k").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
     # suffix sums over the dense bucket range (<= 9,982 rows, one partition)
     suffix = Window.orderBy(F.col("k").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -70,7 +75,7 @@ def sweep(df: DataFrame, score_col: str, label_col: str) -> DataFrame:
         ]
     off_tot = hist.agg(*off_aggs) if off_aggs else None
 
-    cand = candidates(df, score_col)
+    cand = _with_anchors(hist.select(F.col("_t4").alias("threshold")))
     on_grid = cand.withColumn("k", F.rint(F.col("threshold") * F.lit(GRID)).cast("long"))
     # every bucket index exists in the dense range, so an equi-join finds it
     dense = df.sparkSession.range(K_LO - 1, K_HI + 1).select(F.col("id").alias("k"))

@@ -171,6 +171,12 @@ def validation_report(df: DataFrame, require_target: bool = True, expected_colum
     return row.select(F.explode(F.array(*items)).alias("r")).select("r.*")
 
 
+def report_text(report: DataFrame) -> DataFrame:
+    """V13 as a table: (severity, text) with one ``- msg`` line per failed rule, in report order (under 200 lines)."""
+    lines = F.sort_array(F.collect_list(F.struct("seq", F.concat(F.lit("- "), F.col("message")).alias("line"))))
+    return report.where("failed").groupBy("severity").agg(lines.alias("l")).select("severity", F.array_join("l.line", "\n").alias("text"))
+
+
 def validate(df: DataFrame, expected_columns: list[str], require_target: bool) -> ValidationResult:
     """Driver summary in the application's message order.
 

@@ -171,11 +171,11 @@ def q_policy_without_valid_cut(spark, sf_dir):
 
 
 def _easy(df):
-    """Nearly all buyers at the top, a few among the sampled non-buyers at the bottom."""
+    """Nearly all buyers at the top, a few below them among some of the non-buyers, the other non-buyers at zero."""
     n = F.col(ID).cast("long")
     top = (F.col(Y) == 1) & (n % 500 != 0)
-    return df.where((F.col(Y) == 1) | (n % 16 == 0)).withColumn(
-        "easy", F.when(top, F.lit(0.8) + F.col(SCORE) / F.lit(10.0)).otherwise(F.lit(0.2)))
+    return df.withColumn("easy", F.when(top, F.lit(0.8) + F.col(SCORE) / F.lit(10.0)).when(
+        (F.col(Y) == 1) | (n % 16 == 0), F.lit(0.2)).otherwise(F.lit(0.0)))
 
 
 def q_policy_high_below_outreach(spark, sf_dir):
@@ -217,6 +217,65 @@ def q_clean_leads(spark, sf_dir):
     return QU.split_clean(_dirty(spark, sf_dir))[0]
 
 
+#: A table without its id, target and twelve more columns.
+GONE = [ID, Y, *[c for c in S.MODEL_SCHEMA_COLUMNS if c not in (ID, Y)][::7]]
+
+
+def q_early_return_report(spark, sf_dir):
+    """V1, V2, V6: without an id nothing else is checked; the message lists the first missing columns."""
+    dirty = TB.dirty_leads(spark, sf_dir)
+    report = VA.validation_report(dirty.drop(*GONE)).drop("seq")
+    return R.attach_scalars(report, dirty.agg(F.count(F.lit(1)).alias("rows_seen")))
+
+
+def q_empty_report(spark, sf_dir):
+    """V3: no row is left of the leads; rules over no rows do not fail."""
+    none = TB.leads(spark, sf_dir).where(F.col("session_depth") < 0)
+    return VA.validation_report(none).where(F.col("rule").isin("V3", "V4", "V5", "V7")).select("rule", "bad_rows", "failed", "message")
+
+
+def q_validation_messages(spark, sf_dir):
+    """The report of the dirty leads as text."""
+    return VA.report_text(VA.validation_report(_dirty(spark, sf_dir)))
+
+
+def _refusal(gate, run):
+    try:
+        run()
+    except ValueError as e:
+        return gate, str(e)
+    return gate, None
+
+
+def q_scoring_gates(spark, sf_dir):
+    """What each gate says to leads that lack columns, to dirty leads, and to good ones."""
+    leads = TB.leads(spark, sf_dir)
+    inputs = model_columns(leads)
+    gone = inputs[::6]
+    rows = [
+        _refusal("reindex", lambda: FE.model_inputs(leads.drop(*gone), inputs, [])),
+        _refusal("reindex_good", lambda: FE.model_inputs(leads, inputs, [])),
+        _refusal("fail_fast", lambda: VA.require_valid(_dirty(spark, sf_dir).drop(*S.BINARY_COLUMNS, *S.NON_NEGATIVE_COLUMNS), [ID], False, "Upload")),
+        _refusal("fail_fast_good", lambda: VA.require_valid(leads, [ID], True, "Training data")),
+        ("missing", ", ".join(S.missing_columns(leads.drop(*gone).columns, inputs))),
+    ]
+    counted = leads.agg(F.count(F.lit(1)).alias("rows_seen"))
+    return R.attach_scalars(spark.createDataFrame(rows, "gate string, message string"), counted)
+
+
+def q_assembled_features(spark, sf_dir):
+    """Every position of the assembled vector of the training rows, with its name and total."""
+    from pyspark.ml.functions import vector_to_array
+
+    train = _training_rows(spark, sf_dir)
+    cat, num = P.split_column_kinds(train.select(*model_columns(train)), exclude=[])
+    enc = P.LeadEncoder(cat, num).fit(train)
+    names = F.array(*[F.lit(n) for n in enc.feature_names()])
+    each = enc.transform(train, keep=[ID]).select(F.posexplode(vector_to_array("features")).alias("position", "v"))
+    return each.groupBy("position").agg(F.count("v").alias("students"), F.sum(F.rint(F.col("v") * 1000.0).cast("decimal(38,0)")).alias("t")).select(
+        "position", names[F.col("position")].alias("feature"), "students", F.col("t").cast("double").alias("thousandths"))
+
+
 def q_tier_counts(spark, sf_dir):
     return V.tier_counts(_scored(spark, sf_dir), SCORE, VIEW_HIGH, VIEW_OUTREACH)
 
@@ -364,6 +423,11 @@ QUERIES.update({
     "policy_high_below_outreach": q_policy_high_below_outreach,
     "one_class_metrics": q_one_class_metrics,
     "dirty_validation_report": q_dirty_validation_report,
+    "early_return_report": q_early_return_report,
+    "empty_report": q_empty_report,
+    "validation_messages": q_validation_messages,
+    "scoring_gates": q_scoring_gates,
+    "assembled_features": q_assembled_features,
     "quarantine_leads": q_quarantine_leads,
     "quarantine_counts": q_quarantine_counts,
     "clean_leads": q_clean_leads,
@@ -371,7 +435,7 @@ QUERIES.update({
     "holdout_metrics": q_holdout_metrics,
     "predictions_all": _filtered("All", ("HIGH", "MID")),
     "predictions_correct": _filtered("Correct only", ("HIGH", "MID", "LOW")),
-    "predictions_buyers": _filtered("Buyers only", ("LOW",)),
+    "predictions_buyers": _filtered("Buyers only", ("MID",)),
     "predictions_non_buyers": _filtered("Non-buyers only", ("HIGH", "LOW")),
     "search_by_course": _searched("course_interest", False),
     "search_by_tier": _searched("tier", True),
@@ -525,25 +589,23 @@ def q_candidate_choice(spark, sf_dir):
     return MD.choose_candidate(means).select("candidate", "position", round_to("average_precision", 6).alias("average_precision"))
 
 
-_TRAINED: dict = {}
+#: The model queries grow this share of each candidate's trees (rates scaled inversely): see ``operators.gbt``.
+TREE_SHARE = 0.05
 
 
-def _trained(spark, sf_dir):
-    """One full training run (all candidates, real folds) per session and data folder, shared by the model queries."""
-    from .training import train
+def _trained(spark, sf_dir, choose=True):
+    """One training run: the candidates on real folds and the best one (else the first) on the training split."""
+    from .training import TrainConfig, train
 
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _TRAINED:
-        _TRAINED.clear()
-        _TRAINED[key] = train(spark, TB.leads(spark, sf_dir))
-    return _TRAINED[key]
+    cfg = TrainConfig(tree_share=TREE_SHARE, cv_folds=S.CV_FOLDS if choose else 0)
+    return train(spark, TB.leads(spark, sf_dir), cfg)
 
 
 def q_model_holdout_report(spark, sf_dir):
     """M1-M8 end to end (no oracle: a trained model): holdout metrics and policy.
 
-    Cross-validates every candidate with its own number of trees on every
-    fold, fits the best one on the training split, calibrates on the
+    Cross-validates every candidate on every fold (distributed fits, several in
+    flight), fits the best one on the training split, calibrates on the
     calibration split, learns thresholds there, and reports the holdout.
     """
     c = _trained(spark, sf_dir).config
@@ -555,24 +617,26 @@ def q_model_holdout_report(spark, sf_dir):
     return spark.createDataFrame([row])
 
 
-def _drivers(spark, sf_dir):
+def _drivers(spark, sf_dir, choose=True):
     from ..operators.explain import path_contributions
+    from ..operators.gbt import flat_trees
 
-    art, leads = _trained(spark, sf_dir), TB.leads(spark, sf_dir)
-    return art, path_contributions(art.encoder.transform(FE.engineer(leads), keep=[ID]), art.model, ID)
+    art, leads = _trained(spark, sf_dir, choose), TB.leads(spark, sf_dir)
+    return art, path_contributions(art.encoder.transform(FE.engineer(leads), keep=[ID]), flat_trees(art.model, spark), ID)
 
 
 def q_top_drivers(spark, sf_dir):
-    """M9 (no oracle: a trained model): top-10 path-attribution drivers of every student."""
+    """M9 (no oracle: a trained model): top-10 path-attribution drivers of every student, under the first candidate."""
     from ..operators.explain import top_drivers
 
-    art, contribs = _drivers(spark, sf_dir)
+    art, contribs = _drivers(spark, sf_dir, choose=False)
     return top_drivers(contribs, art.encoder.feature_names(), ID, k=10)
 
 
 def q_model_invariants(spark, sf_dir):
     """What must hold for any trained model, as (check, expected, actual) rows."""
     from ..operators.explain import top_drivers
+    from ..operators.gbt import n_trees
 
     art, contribs = _drivers(spark, sf_dir)
     scored = art.scored
@@ -583,7 +647,7 @@ def q_model_invariants(spark, sf_dir):
     nxt = falls.select((F.col("k") - 1).alias("k"), F.col("hi").alias("next_hi"))
     leads = TB.leads(spark, sf_dir)
     folds = art.cv_scores.agg(F.count(F.lit(1)).alias("actual"))
-    trees = sum(c["params"]["n_estimators"] for c in S.MODEL_CANDIDATES if c["name"] == art.config["selected_candidate"]["name"])
+    trees = sum(n_trees(c["params"], TREE_SHARE) for c in S.MODEL_CANDIDATES if c["name"] == art.config["selected_candidate"]["name"])
     checks = [
         ("rows_scored", leads.count(), n),
         ("scores_outside_unit_interval", 0, scored.agg(F.count_if((F.col("score") < 0) | (F.col("score") > 1)).alias("actual"))),
@@ -604,7 +668,26 @@ def q_model_invariants(spark, sf_dir):
     return out
 
 
+def q_artifact_roundtrip(spark, sf_dir):
+    """A trained model is saved and loaded; both score every student alike."""
+    import uuid
+
+    from ..session import shared_scratch
+    from .training import holdout_bundle, load, save, score
+
+    art, leads = _trained(spark, sf_dir, choose=False), TB.leads(spark, sf_dir)
+    path = shared_scratch(spark, f"artifacts/{uuid.uuid4().hex}")
+    save(art, path)
+    again = load(spark, path)
+    both = score(leads, art).select(ID, "score").join(score(leads, again).select(ID, F.col("score").alias("again")), ID).agg(
+        F.count(F.lit(1)).alias("scored_twice"), F.count_if(F.col("score") != F.col("again")).alias("unequal"))
+    kept = holdout_bundle(leads, again).agg(F.count(F.lit(1)).alias("holdout_rows"), F.max("position").alias("last_position"))
+    codes = again.encoder.codes.agg(F.count(F.lit(1)).alias("codes"))
+    return R.attach_scalars(R.attach_scalars(both, kept), codes)
+
+
 QUERIES.update({
+    "artifact_roundtrip": q_artifact_roundtrip,
     "sparse_profiles": q_sparse_profiles,
     "isotonic_calibration": q_isotonic_calibration,
     "fold_metrics": q_fold_metrics,
@@ -702,6 +785,43 @@ def q_dirty_csv_report(spark, sf_dir):
     return report.select("rule", "column", "bad_rows", "failed")
 
 
+#: Tiers of the upload query's deterministic score (0.55 of a hash of the id: uploads have no label).
+UPLOAD_HIGH, UPLOAD_OUTREACH = 0.4, 0.2
+
+
+def q_upload_ledger(spark, sf_dir):
+    """A stream over an inbox of five uploads -- good, another column order, a bad flag, a missing column, and the
+    first one again -- with the ledger's outcome of each and the tiers of what was scored."""
+    import uuid
+
+    from ..functions.labels import tier_by_threshold
+    from ..session import shared_scratch
+    from ..sources.files import write_csv
+    from ..streaming.uploads import read_ledger, start_with
+
+    base = shared_scratch(spark, f"uploads/{uuid.uuid4().hex}")
+    leads = TB.leads(spark, sf_dir).drop(Y).checkpoint()
+    part = lambda k: leads.where(F.col(ID).cast("long") % 4 == k)
+    first = part(0).orderBy(ID)
+    uploads = {"a_good": first, "b_order": part(1).select(*reversed(leads.columns)),
+               "c_flag": part(2).withColumn("coupon_code_applied", F.lit(7)), "d_missing": part(3).drop("session_depth"), "e_again": first}
+    for name, df in uploads.items():
+        write_csv(df.coalesce(1), f"{base}/inbox/{name}")          # an upload is one file
+
+    def sheet(df):
+        s = TB.score_expr(label_col="_none")
+        return df.withColumn("_none", F.lit(0)).select(ID, tier_by_threshold(s, UPLOAD_HIGH, UPLOAD_OUTREACH).alias("tier"))
+
+    stream = start_with(spark, f"{base}/inbox/*", f"{base}/out", f"{base}/offsets", leads.columns, sheet)
+    stream.awaitTermination()
+    tiers = spark.read.schema(f"{ID} string, tier string, batch_id long").option("header", True).csv(f"{base}/out/scored").groupBy("batch_id").agg(
+        *[F.count_if(F.col("tier") == t).alias(t.lower()) for t in ("HIGH", "MID", "LOW")])
+    upload = F.regexp_extract("path", "/inbox/([^/]+)/", 1)
+    return read_ledger(spark, f"{base}/out").join(tiers, "batch_id", "left").select(
+        upload.alias("upload"), "outcome", "rows", F.array_join("messages", "; ").alias("messages"),
+        *[F.coalesce(t, F.lit(0)).alias(t) for t in ("high", "mid", "low")])
+
+
 #: Byte ranges of ``csv_one_file``: the one file is read by many tasks even at the smallest scale.
 SMALL_RANGE = 16 << 10
 
@@ -728,6 +848,7 @@ def q_csv_one_file(spark, sf_dir):
 
 
 QUERIES.update({
+    "upload_ledger": q_upload_ledger,
     "csv_one_file": q_csv_one_file,
     "csv_roundtrip": q_csv_roundtrip,
     "csv_validation_report": q_csv_validation_report,

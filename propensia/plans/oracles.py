@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from .. import schema as S
-from .catalog import SALES_CAPACITY, SALES_MAX_DAYS
-from .oracle_sql import TOP_SIGNAL_SQL, pct_sql, with_leads
+from .catalog import GONE, SALES_CAPACITY, SALES_MAX_DAYS
+from .oracle_sql import TOP_SIGNAL_SQL, pct_sql, with_leads, tier_sql
 
 
 def _features_sql() -> str:
@@ -535,6 +535,51 @@ hold AS (SELECT s.* FROM scored2 s JOIN sp USING (student_id) WHERE sp.split = '
 ORACLES["holdout_policy_card"] = _CARD_SQL
 
 
+def _text(value: str | None) -> str:
+    return "CAST(NULL AS VARCHAR)" if value is None else "'" + value.replace("'", "''") + "'"
+
+
+def _gates_sql() -> str:
+    inputs = [c for c in S.MODEL_SCHEMA_COLUMNS if c not in {S.ID_COLUMN, S.TARGET_COLUMN, *S.LEAKY_COLUMNS}]
+    ranged = [(c, lo, hi) for c, (lo, hi) in S.RANGE_RULES.items() if c not in S.BINARY_COLUMNS and c not in S.NON_NEGATIVE_COLUMNS]
+    refused = ["Duplicate student_id values detected.", "Blank or missing student_id values detected.",
+               *(f"Column '{c}' must stay between {lo} and {hi}." for c, lo, hi in ranged)]
+    rows = [("reindex", "Missing model columns after feature engineering: " + ", ".join(inputs[::6][:10])), ("reindex_good", None),
+            ("fail_fast", "Upload validation failed:\n" + "\n".join(f"- {m}" for m in refused)), ("fail_fast_good", None),
+            ("missing", ", ".join(inputs[::6]))]
+    return with_leads("SELECT gate, message, rows_seen FROM (" + " UNION ALL ".join(
+        f"SELECT '{g}' AS gate, {_text(m)} AS message" for g, m in rows) + "), (SELECT count(*) AS rows_seen FROM leads)")
+
+
+def _early_return_sql() -> str:
+    gone = [c for c in S.MODEL_SCHEMA_COLUMNS if c in GONE]
+    rows = [("V1", None, len(gone), "Missing required columns: " + ", ".join(gone[:15])),
+            ("V2", S.ID_COLUMN, 1, f"Missing id column: {S.ID_COLUMN}."),
+            ("V6", S.TARGET_COLUMN, 1, f"Missing target column: {S.TARGET_COLUMN}.")]
+    return with_leads("SELECT *, true AS failed, 'error' AS severity FROM (" + " UNION ALL ".join(
+        f"SELECT '{r}' AS rule, {_text(c)} AS \"column\", {n}::BIGINT AS bad_rows, {_text(m)} AS message" for r, c, n, m in rows) +
+        "), (SELECT count(*) AS rows_seen FROM leads)")
+
+
+ORACLES["scoring_gates"] = _gates_sql()
+ORACLES["early_return_report"] = _early_return_sql()
+ORACLES["empty_report"] = with_leads("""
+SELECT rule, (CASE WHEN rule = 'V3' AND n = 0 THEN 1 ELSE 0 END)::BIGINT AS bad_rows, rule = 'V3' AND n = 0 AS failed, message
+FROM (VALUES ('V3', 'Dataset is empty.'), ('V4', 'Duplicate student_id values detected.'),
+  ('V5', 'Blank or missing student_id values detected.'), ('V7', 'Target column must contain only 0/1 values.')) v(rule, message),
+  (SELECT count(*) AS n FROM leads WHERE session_depth < 0)""")
+ORACLES["assembled_features"] = with_leads(f"""
+SELECT CAST(row_number() OVER (ORDER BY kind, idx) - 1 AS INTEGER) AS position, kind || '__' || name AS feature, n AS students,
+  CAST(t AS DOUBLE) AS thousandths
+FROM (
+  SELECT 'num' AS kind, name, sum(CAST(round_even(v * 1000.0::DOUBLE, 0) AS HUGEINT))
+      + (any_value(n) - count(*)) * CAST(round_even(median(v) * 1000.0::DOUBLE, 0) AS HUGEINT) AS t, any_value(n) AS n
+  FROM {_UNPIVOT_NUM}, (SELECT count(*) AS n FROM tr) GROUP BY name
+  UNION ALL
+  SELECT 'cat', name, 1000 * (sum(code * cnt) + (any_value(n) - sum(cnt)) * arg_max(code, cnt * 1000000 - code)), any_value(n)
+  FROM (SELECT name, v, count(*) AS cnt, dense_rank() OVER (PARTITION BY name ORDER BY v) - 1 AS code FROM {_UNPIVOT_CAT} GROUP BY name, v),
+    (SELECT count(*) AS n FROM tr) GROUP BY name) x
+JOIN (VALUES {', '.join(f"('{c}', {i})" for i, c in enumerate(_CAT + _NUM))}) o(name, idx) USING (name)""", _SPLIT_CTE)
 ORACLES["csv_roundtrip"] = with_leads("SELECT * FROM leads")
 ORACLES["csv_validation_report"] = _validation_sql(raw_text=True)
 
@@ -652,7 +697,7 @@ ORACLES.update({
     "prediction_table": _predictions_sql("correct = 0", "'HIGH', 'MID', 'LOW'"),
     "predictions_all": _predictions_sql("true", "'HIGH', 'MID'"),
     "predictions_correct": _predictions_sql("correct = 1", "'HIGH', 'MID', 'LOW'"),
-    "predictions_buyers": _predictions_sql("actual_purchased = 1", "'LOW'"),
+    "predictions_buyers": _predictions_sql("actual_purchased = 1", "'MID'"),
     "predictions_non_buyers": _predictions_sql("actual_purchased = 0", "'HIGH', 'LOW'"),
     "holdout_histogram": _hist_sql(30, False, "hold", _HOLD),
     "holdout_deciles": with_leads("\nSELECT CAST(g.decile" + _DECILES_OF.replace("FROM scored2", "FROM hold"),
@@ -670,8 +715,8 @@ FROM lagged""", _HOLD + ",\n" + _curve_ctes("score").replace("FROM scored2", "FR
     "policy_without_valid_cut": _src_policy(
         "round_even(((score - 0.45::DOUBLE * CAST(purchased_paid_course AS DOUBLE)) / 0.55::DOUBLE) * 5.0::DOUBLE, 0) / 10.0::DOUBLE", "true"),
     "policy_high_below_outreach": _src_policy(
-        "CASE WHEN purchased_paid_course = 1 AND CAST(student_id AS BIGINT) % 500 <> 0 THEN 0.8::DOUBLE + score / 10.0::DOUBLE ELSE 0.2::DOUBLE END",
-        "purchased_paid_course = 1 OR CAST(student_id AS BIGINT) % 16 = 0"),
+        "CASE WHEN purchased_paid_course = 1 AND CAST(student_id AS BIGINT) % 500 <> 0 THEN 0.8::DOUBLE + score / 10.0::DOUBLE "
+        "WHEN purchased_paid_course = 1 OR CAST(student_id AS BIGINT) % 16 = 0 THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END", "true"),
     "one_class_metrics": with_leads(f"""
 SELECT CAST(NULL AS DOUBLE) AS roc_auc, 1.0::DOUBLE AS average_precision, 1.0::DOUBLE AS pr_auc,
   (SELECT {r6('avg(pow(score_tied - 1, 2))')} FROM scored2 WHERE purchased_paid_course = 1) AS brier_score,
@@ -707,12 +752,31 @@ SELECT "check", CAST(v AS BIGINT) AS expected, CAST(v AS BIGINT) AS actual FROM
   UNION ALL SELECT 'holdout_rows_in_saved_order', count(*) FROM sp WHERE split = 'holdout'
   UNION ALL SELECT 'calibration_rows', count(*) FROM sp WHERE split = 'calibration'
   UNION ALL SELECT 'all_trees_of_the_chosen_candidate', 1)""", _SPLIT_CTE),
+    "validation_messages": "SELECT severity, string_agg('- ' || message, chr(10) ORDER BY seq) AS text FROM ("
+    + _validation_sql(src="dirty", absent=_ABSENT, extra_ctes=_dirty_cte()) + ") WHERE failed GROUP BY severity",
     "quarantine_leads": _quarantine_sql("SELECT student_id, array_to_string(rules, ',') AS rules FROM held"),
     "quarantine_counts": _quarantine_sql("""
 SELECT split_part(r, ':', 1) AS rule, split_part(r, ':', 2) AS "column", count(*) AS bad_rows,
   count(DISTINCT coalesce(student_id, chr(0))) AS bad_keys
 FROM (SELECT student_id, unnest(rules) AS r FROM held) GROUP BY r"""),
     "clean_leads": _quarantine_sql("SELECT * FROM dirty0 WHERE coalesce(student_id, chr(0)) NOT IN (SELECT coalesce(student_id, chr(0)) FROM held)"),
+    "artifact_roundtrip": with_leads(f"""
+SELECT (SELECT count(*) FROM leads) AS scored_twice, 0::BIGINT AS unequal,
+  (SELECT count(*) FROM sp WHERE split = 'holdout') AS holdout_rows,
+  (SELECT count(*) - 1 FROM sp WHERE split = 'holdout') AS last_position,
+  (SELECT count(*) FROM (SELECT DISTINCT name, v FROM {_UNPIVOT_CAT})) AS codes""", _SPLIT_CTE),
+    "upload_ledger": with_leads(f"""
+SELECT upload, outcome, CAST(CASE WHEN outcome = 'replayed' THEN 0 ELSE n END AS BIGINT) AS rows, messages,
+  CASE WHEN outcome = 'scored' THEN h ELSE 0 END AS high, CASE WHEN outcome = 'scored' THEN m ELSE 0 END AS mid,
+  CASE WHEN outcome = 'scored' THEN l ELSE 0 END AS low
+FROM (VALUES ('a_good', 0, 'scored', ''), ('b_order', 1, 'scored', ''),
+  ('c_flag', 2, 'rejected', 'Column ''coupon_code_applied'' must contain only 0/1 values.'),
+  ('d_missing', 3, 'rejected', 'Missing required columns: session_depth'), ('e_again', 0, 'replayed', '')) v(upload, k, outcome, messages)
+JOIN (SELECT k, count(*) AS n, count(*) FILTER (WHERE t = 'HIGH') AS h, count(*) FILTER (WHERE t = 'MID') AS m,
+        count(*) FILTER (WHERE t = 'LOW') AS l
+      FROM (SELECT CAST(student_id AS BIGINT) % 4 AS k, {tier_sql('s', 0.4, 0.2)} AS t FROM (
+        SELECT student_id, least(1.0::DOUBLE, 0.55::DOUBLE * ((('0x' || substr(md5('42|' || student_id), 1, 8))::BIGINT)::DOUBLE
+          / 4294967296::DOUBLE) + 0.45::DOUBLE * 0.0::DOUBLE) AS s FROM leads)) GROUP BY k) USING (k)"""),
     "csv_one_file": with_leads("""
 SELECT student_id,
   CASE m WHEN 0 THEN 'a "quoted" word' WHEN 1 THEN 'one, two' WHEN 2 THEN repeat('line' || chr(10) || 'break, ', 40) || '"end"'

@@ -3,10 +3,9 @@
 ``train``: validate -> features -> stratified splits -> cross-validated
 candidate choice -> fit on the training split -> isotonic calibration on the
 calibration split -> thresholds learned on calibrated calibration scores ->
-holdout evaluation -> artifacts.  Statistics, encoding, scoring and metrics are
-Spark jobs over the whole table; trees are grown on at most ``max_fit_rows``
-labelled rows, every (candidate, fold) in a task of its own.  Only bounded
-summaries (one row per metric, candidate or rule) reach the driver.
+holdout evaluation -> artifacts.  Everything is Spark jobs over the whole table:
+trees grow on all training rows, several fits of the grid in flight (``gbt``).
+Only bounded summaries (one row per metric, candidate or rule) reach the driver.
 
 ``holdout_bundle``: the saved holdout rows, re-selected by id in saved order
 and scored: what every evaluation page starts from.
@@ -21,14 +20,15 @@ import json
 from dataclasses import dataclass, field
 from datetime import datetime
 
+from pyspark.ml.classification import GBTClassificationModel
 from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.labels import probability_pct, tier_by_threshold, top_signal
-from ..operators import boost
 from ..operators import features as FE
+from ..operators import gbt
 from ..operators import metrics as M
 from ..operators import model as MD
 from ..operators import rank as R
@@ -49,8 +49,9 @@ SHEET_INPUTS = ["ai_mentor_recency_weight", "pricing_page_visits", "cart_items_c
 @dataclass
 class TrainConfig:
     candidates: list[dict] = field(default_factory=lambda: list(S.MODEL_CANDIDATES))
-    max_fit_rows: int = 100_000      # labelled rows that trees are grown on: the one bound on the training cost
-    cv_folds: int = S.CV_FOLDS
+    tree_share: float = 1.0          # of each candidate's trees; its rate grows inversely
+    fits_in_flight: int = gbt.IN_FLIGHT
+    cv_folds: int = S.CV_FOLDS       # 0: the first candidate is taken as it is
     min_precision: float = S.HIGH_PRECISION_TARGET
     seed: int = S.RANDOM_STATE
     expected_columns: list[str] = field(default_factory=lambda: list(S.MODEL_SCHEMA_COLUMNS))
@@ -59,7 +60,7 @@ class TrainConfig:
 @dataclass
 class Artifacts:
     encoder: LeadEncoderModel
-    model: dict                        # flat tree arrays, see operators.boost
+    model: GBTClassificationModel
     calibrator: IsotonicRegressionModel
     config: dict
     saved_ids: DataFrame               # (position, student_id, split) of the calibration and holdout rows
@@ -82,34 +83,32 @@ def _fit_encoder(rows: DataFrame, cols: list[str]) -> LeadEncoderModel:
     return LeadEncoder(cat, num).fit(rows)
 
 
-def _fit_rows(enc: LeadEncoderModel, rows: DataFrame, fold: int, cfg: TrainConfig) -> DataFrame:
-    """(fold, id, features, label, weight) of at most ``max_fit_rows`` rows, picked by the split hash of the id."""
-    spw = _spw(rows)
-    picked = rows.orderBy(SP.split_hash(ID, cfg.seed), ID).limit(cfg.max_fit_rows)
-    out = enc.transform(picked, keep=[ID, Y])
-    label = F.col(Y).cast("double")
-    return out.select(F.lit(fold).alias("fold"), F.col(ID).alias("_id"), "features", label.alias("label"),
-                      MD.class_weight(Y, spw).alias("weight"))
+def _fit_rows(enc: LeadEncoderModel, rows: DataFrame) -> DataFrame:
+    """(features, label, weight) of the given training rows, all of them."""
+    out = enc.transform(rows, keep=[Y])
+    return out.select("features", F.col(Y).cast("double").alias("label"), MD.class_weight(Y, _spw(rows)).alias("weight"))
 
 
 def cross_validate(train_rows: DataFrame, cols: list[str], cfg: TrainConfig) -> tuple[DataFrame, DataFrame]:
     """M3: (validation scores, metrics) of every candidate and fold.
 
-    One encoder per fold; all fits are groups of one job; the metrics of all
-    candidates and folds come from one pass over the scores.
+    One encoder per fold; the fits of the grid run side by side; the metrics of
+    all candidates and folds come from one pass over the scores.
     """
+    spark = train_rows.sparkSession
     encoders = {f: _fit_encoder(train_rows.where(F.col("fold") != f), cols) for f in range(cfg.cv_folds)}
-    jobs = None
-    for f, enc in encoders.items():
-        part = _fit_rows(enc, train_rows.where(F.col("fold") != f), f, cfg)
-        jobs = part if jobs is None else jobs.unionByName(part)
-    models = boost.fit_grid(jobs, cfg.candidates, cfg.seed)
+    parts = {f: _fit_rows(enc, train_rows.where(F.col("fold") != f)).persist() for f, enc in encoders.items()}
+    models = gbt.fit_grid(spark, parts, cfg.candidates, cfg.seed, cfg.tree_share, cfg.fits_in_flight)
     scores = None
     for f, enc in encoders.items():
-        encoded = enc.transform(train_rows.where(F.col("fold") == f), keep=[Y])
-        part = boost.score_grid(encoded, {c["name"]: models[c["name"], f] for c in cfg.candidates}, [Y]).withColumn("fold", F.lit(f))
-        scores = part if scores is None else scores.unionByName(part)
-    scores = scores.select("candidate", "fold", F.col(Y).cast("int").alias("label"), "raw_score").checkpoint(eager=True)
+        encoded = enc.transform(train_rows.where(F.col("fold") == f), keep=[Y]).persist()
+        for c in cfg.candidates:
+            part = gbt.raw_scores(encoded, models[c["name"], f], [Y]).select(
+                F.lit(c["name"]).alias("candidate"), F.lit(f).alias("fold"), F.col(Y).cast("int").alias("label"), "raw_score")
+            scores = part if scores is None else scores.unionByName(part)
+    scores = scores.checkpoint(eager=True)
+    for part in parts.values():
+        part.unpersist()
     return scores, M.ranking_metrics(scores, "raw_score", "label", keys=("candidate", "fold"))
 
 
@@ -129,25 +128,27 @@ def train(spark: SparkSession, raw: DataFrame, cfg: TrainConfig | None = None) -
     warnings = VA.require_valid(raw, cfg.expected_columns, True, "Training data").warnings
     df = FE.engineer(raw)
     dropped = S.leak_columns(df.columns)
-    tags = SP.split_table(df, seed=cfg.seed, folds=cfg.cv_folds)        # narrow, checkpointed
+    tags = SP.split_table(df, seed=cfg.seed, folds=cfg.cv_folds or None)        # narrow, checkpointed
     saved_ids = SP.saved_positions(tags)
     assigned = df.join(tags.select(ID, *SPLIT_COLS), ID).persist()
     cols = _frame_columns(assigned, dropped)
     train_rows = assigned.where(F.col("split") == "train")
 
-    cv_scores, fold_metrics = cross_validate(train_rows, cols, cfg)
-    folds = [r.asDict() for r in fold_metrics.collect()]                 # candidates x folds rows
-    means = candidate_means(fold_metrics, cfg.candidates)
-    mean_of = {r["candidate"]: {m: r[m] for m in METRICS} for r in means.collect()}
-    best = cfg.candidates[MD.choose_candidate(means).first()["position"]]
+    cv_scores, folds, mean_of, best = None, [], {c["name"]: None for c in cfg.candidates}, cfg.candidates[0]
+    if cfg.cv_folds:
+        cv_scores, fold_metrics = cross_validate(train_rows, cols, cfg)
+        folds = [r.asDict() for r in fold_metrics.collect()]             # candidates x folds rows
+        means = candidate_means(fold_metrics, cfg.candidates)
+        mean_of = {r["candidate"]: {m: r[m] for m in METRICS} for r in means.collect()}
+        best = cfg.candidates[MD.choose_candidate(means).first()["position"]]
     cv_results = [{"name": c["name"], "params": c["params"], "mean_metrics": mean_of[c["name"]],
                    "fold_metrics": [{m: r[m] for m in METRICS} for r in sorted(folds, key=lambda r: r["fold"])
                                     if r["candidate"] == c["name"]]} for c in cfg.candidates]
 
     enc = _fit_encoder(train_rows, cols)
     spw = _spw(train_rows)
-    model = boost.fit_grid(_fit_rows(enc, train_rows, -1, cfg), [best], cfg.seed)[best["name"], -1]
-    raw_all = boost.score_rows(enc.transform(assigned, keep=[ID, Y, "split"]), model, [ID, Y, "split"])
+    model = gbt.classifier(best["params"], cfg.tree_share, cfg.seed).fit(_fit_rows(enc, train_rows))
+    raw_all = gbt.raw_scores(enc.transform(assigned, keep=[ID, Y, "split"]), model, [ID, Y, "split"])
     raw_all = raw_all.withColumn("label", F.col(Y).cast("double")).checkpoint(eager=True)
     calibrator = MD.fit_calibrator(raw_all.where(F.col("split") == "calibration"))
     scored = MD.calibrate(raw_all, calibrator).select(ID, Y, "split", "raw_score", "score").checkpoint(eager=True)
@@ -172,7 +173,7 @@ def train(spark: SparkSession, raw: DataFrame, cfg: TrainConfig | None = None) -
     test_metrics = _metrics_row(hold, "score")
     test_profit = int(test_summ[out_t]["profit"]) if out_t in test_summ else None
     config = {
-        "model_version": "spark_boost_calibrated_v2",
+        "model_version": "spark_gbt_calibrated_v3",
         "trained_at": datetime.now().strftime("%Y-%m-%d %H:%M"),
         "random_state": cfg.seed,
         "test_size": S.TEST_SIZE,
@@ -207,8 +208,8 @@ def train(spark: SparkSession, raw: DataFrame, cfg: TrainConfig | None = None) -
         "top_features": top,
         "candidate_results": cv_results,
         "selected_candidate": {"name": best["name"], "params": best["params"], "mean_metrics": mean_of[best["name"]]},
-        "trees_fitted": int(len(model["starts"])),
-        "max_fit_rows": cfg.max_fit_rows,
+        "trees_fitted": int(model.getNumTrees),
+        "tree_share": cfg.tree_share,
         "raw_test_metrics": _metrics_row(hold, "raw_score"),
         "calibration_metrics": _metrics_row(cal, "score"),
         "test_metrics": test_metrics,
@@ -234,12 +235,11 @@ def train(spark: SparkSession, raw: DataFrame, cfg: TrainConfig | None = None) -
 # ---------------------------------------------------------------------------
 
 def save(art: Artifacts, path: str) -> None:
-    """Trees, encoder and config as one JSON row; calibrator by its own writer; codes and ids as Parquet."""
+    """Encoder and config as one JSON row; trees and calibrator by their own writers; codes and ids as Parquet."""
     spark = art.saved_ids.sparkSession
-    meta = spark.createDataFrame(
-        [(art.encoder.to_json(), boost.to_json(art.model), json.dumps(art.config, default=float))],
-        "encoder string, trees string, config string")
+    meta = spark.createDataFrame([(art.encoder.to_json(), json.dumps(art.config, default=float))], "encoder string, config string")
     meta.coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+    art.model.write().overwrite().save(f"{path}/trees")
     art.calibrator.write().overwrite().save(f"{path}/calibrator")
     art.encoder.codes.write.mode("overwrite").parquet(f"{path}/codes")
     save_split_ids(art.saved_ids, f"{path}/split_ids")
@@ -250,7 +250,7 @@ def load(spark: SparkSession, path: str) -> Artifacts:
     meta = spark.read.parquet(f"{path}/meta").first()
     return Artifacts(
         encoder=LeadEncoderModel.from_json(meta["encoder"], spark.read.schema(CODES_SCHEMA).parquet(f"{path}/codes")),
-        model=boost.from_json(meta["trees"]),
+        model=GBTClassificationModel.load(f"{path}/trees"),
         calibrator=IsotonicRegressionModel.load(f"{path}/calibrator"),
         config=json.loads(meta["config"]),
         saved_ids=load_split_ids(spark, f"{path}/split_ids"),

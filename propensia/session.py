@@ -14,6 +14,8 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # fits of a model grid run side by side, each in a pool of its own
+    "spark.scheduler.mode": "FAIR",
     "spark.ui.showConsoleProgress": "false",
     # Call-site capture costs several py4j round-trips per Column call while
     # plans are built; error messages still name the failing expression.

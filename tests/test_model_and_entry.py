@@ -15,7 +15,7 @@ def trained(spark):
     from propensia.sources.tables import leads
 
     raw = leads(spark, SF001)
-    small = [{"name": c["name"], "params": {**c["params"], "n_estimators": 8}} for c in S.MODEL_CANDIDATES[:2]]
+    small = [{"name": c["name"], "params": {**c["params"], "n_estimators": 8, "max_depth": 3}} for c in S.MODEL_CANDIDATES[:2]]
     return raw, train(spark, raw, TrainConfig(candidates=small))
 
 
@@ -116,15 +116,15 @@ def test_upload_stream_scores_valid_and_rejects_invalid(spark, trained):
 def test_path_contributions_add_up_to_margin(spark, trained):
     import math
 
-    from propensia.operators import boost
+    from propensia.operators import gbt
     from propensia.operators.explain import path_contributions, top_drivers
     from propensia.operators.features import engineer
 
     raw, art = trained
     enc = art.encoder.transform(engineer(raw), keep=["student_id"])
-    contrib = path_contributions(enc, art.model, "student_id")
+    contrib = path_contributions(enc, gbt.flat_trees(art.model, spark), "student_id")
     rows = {r["student_id"]: r for r in contrib.collect()}
-    probs = {r["student_id"]: r["raw_score"] for r in boost.score_rows(enc, art.model, ["student_id"]).collect()}
+    probs = {r["student_id"]: r["raw_score"] for r in gbt.raw_scores(enc, art.model, ["student_id"]).collect()}
     for sid, r in rows.items():
         assert r["base"] + sum(r["contributions"]) == pytest.approx(r["margin"], abs=1e-9)
         assert 1 / (1 + math.exp(-r["margin"])) == pytest.approx(probs[sid], abs=1e-9)
@@ -140,42 +140,58 @@ def test_path_contributions_add_up_to_margin(spark, trained):
         assert ranked[0]["abs_contribution"] == pytest.approx(best)
 
 
-def test_boosted_trees_learn_and_respect_their_limits():
-    import numpy as np
-
-    from propensia.operators import boost
-
-    rng = np.random.default_rng(0)
-    x = rng.normal(size=(1500, 6))
-    x[:, 5] = 1.0                                         # a constant column is never split
-    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.5)).astype(float)
-    params = {**S.MODEL_CANDIDATES[0]["params"], "n_estimators": 60, "learning_rate": 0.1}
-    model = boost.fit_trees(x, y, np.ones(len(y)), params)
-    margin, parts = boost.margins(model, x, contributions=True)
-    assert ((margin > 0) == (y > 0)).mean() > 0.95
-    assert np.allclose(boost.base_margin(model) + parts.sum(axis=1), margin)
-    assert len(model["starts"]) == 60 and not (model["feature"] == 5).any()
-    assert boost.importances(model)[:2].sum() > 0.8
-    again = boost.from_json(boost.to_json(model))
-    assert np.array_equal(boost.margins(again, x)[0], margin)
-    stump = boost.fit_trees(x, y, np.ones(len(y)), {**params, "min_child_weight": 1e9, "n_estimators": 3})
-    assert (stump["feature"] < 0).all()
-    assert len(boost.fit_trees(np.ones((5, 2)), np.ones(5), np.ones(5), params)["starts"]) == 60
-
-
-def test_first_split_is_the_best_by_brute_force():
-    import numpy as np
-
-    from propensia.operators import boost
-
-    rng = np.random.default_rng(1)
-    x, y = rng.integers(0, 9, size=(200, 3)).astype(float), rng.integers(0, 2, 200).astype(float)
-    params = {"max_depth": 1, "learning_rate": 1.0, "n_estimators": 1, "reg_lambda": 1.0, "min_child_weight": 3, "subsample": 1.0,
-              "colsample_bytree": 1.0}
-    model = boost.fit_trees(x, y, np.ones(200), params)
-    g, h = 0.5 - y, np.full(200, 0.25)
-    best = max(((g[m].sum() ** 2 / (h[m].sum() + 1) + g[~m].sum() ** 2 / (h[~m].sum() + 1), f, c) for f in range(3)
-                for c in np.arange(0.5, 8.5) for m in [x[:, f] <= c] if h[m].sum() >= 3 and h[~m].sum() >= 3))
-    got = x[:, model["feature"][0]] <= model["threshold"][0]
-    gain = g[got].sum() ** 2 / (h[got].sum() + 1) + g[~got].sum() ** 2 / (h[~got].sum() + 1)
-    assert gain == pytest.approx(best[0])
+def test_trees_learn_and_scale_their_number(spark):
+    import random
+
+    from pyspark.ml.linalg import Vectors
+
+    from propensia.operators import gbt
+
+    rng = random.Random(0)
+    rows = []
+    for _ in range(800):
+        x = [rng.gauss(0, 1) for _ in range(5)] + [1.0]
+        rows.append((Vectors.dense(x), float((x[0] > 0) != (x[1] > 0.5)), 1.0))
+    df = spark.createDataFrame(rows, ["features", "label", "weight"]).repartition(3).persist()
+    params = {**S.MODEL_CANDIDATES[0]["params"], "n_estimators": 400}
+    est = gbt.classifier(params, 0.05)
+    assert (est.getMaxIter(), round(est.getStepSize(), 9)) == (20, 0.6) and gbt.n_trees(params) == 400
+    assert gbt.classifier(params).getStepSize() == pytest.approx(0.03)
+    model = est.fit(df)
+    scored = gbt.raw_scores(df, model, ["label"]).collect()
+    assert sum((r["raw_score"] > 0.5) == (r["label"] > 0) for r in scored) > 0.9 * len(rows)
+    trees = gbt.flat_trees(model, spark)
+    assert len(trees["starts"]) == 20 and not (trees["feature"] == 5).any()      # a constant column is never split
+    df.unpersist()
+
+
+def test_fits_run_side_by_side_and_are_tried_again(spark):
+    import threading
+    import time
+
+    from propensia.operators.gbt import fit_all
+
+    lock, running, most, calls = threading.Lock(), [0], [0], []
+
+    def fit(key, fails):
+        def run():
+            with lock:
+                running[0] += 1
+                most[0] = max(most[0], running[0])
+                calls.append(key)
+                bad = calls.count(key) <= fails
+            time.sleep(0.2)
+            n = spark.range(key).count()
+            pool = spark.sparkContext.getLocalProperty("spark.scheduler.pool")
+            with lock:
+                running[0] -= 1
+            if bad:
+                raise RuntimeError(f"lost {key}")
+            return n, pool
+        return run
+
+    got = fit_all(spark, {k: fit(k, 2 if k == 3 else 0) for k in range(6)}, in_flight=3, attempts=3)
+    assert got == {k: (k, f"fit-{k}") for k in range(6)}
+    assert 2 <= most[0] <= 3 and calls.count(3) == 3 and calls.count(4) == 1
+    with pytest.raises(RuntimeError, match="lost 1"):
+        fit_all(spark, {0: fit(0, 0), 1: fit(1, 9)}, in_flight=2, attempts=2)
