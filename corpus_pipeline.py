@@ -1,7 +1,18 @@
 """The corpus pipeline: documents through five operators, each stage written and read again.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
-return the columns of ``documents``.
+return the columns of ``documents``, extra ones included, whatever their names.
+
+Defined cases, the same in every stage: a null text counts as empty; empty
+texts are equal to each other, so one of them at most is left; a very long text
+is one document like any other, read whole; of repeated or tied rows the
+operators' own rules keep one (the longest original, then the smallest id, then
+the first row); a null doc_id is kept like any other row but loses ties; rows
+without labels are judged by the models of the labelled ones; an empty table,
+or one that a stage leaves empty, gives an empty result.
+
+The tables between the stages stay in the shared folder until its owner clears
+it: a lost driver can go on from the last whole one.
 """
 
 from __future__ import annotations
@@ -21,25 +32,28 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn by importance resampling; the others go."""
+    """Documents drawn by importance resampling; the others go.  Each row is drawn by itself, repeated ones alike."""
     importable(spark)
     return quality_classifier.select_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, one document stays."""
+    """Of texts equal but for white space, the row with the most characters (then the smallest doc_id) stays."""
     importable(spark)
     return exact_dedup.dedup(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component, one document stays."""
+    """Of each SimHash component, the document with the smallest doc_id stays; empty texts are one component."""
     importable(spark)
     return simhash.dedup(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their rates say; clean ones stay at least once, the rest is thinned out."""
+    """Documents as often as their rates say; clean ones stay at least once, the rest is thinned out.
+
+    Equal rows come out equally often; a text without words changes no total.
+    """
     return mixing.resample(docs, mixing.label_domains(table(spark, sf_dir, "labels")))
 
 

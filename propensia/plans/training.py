@@ -96,7 +96,8 @@ def cross_validate(train_rows: DataFrame, cols: list[str], cfg: TrainConfig) ->
     all candidates and folds come from one pass over the scores.
     """
     spark = train_rows.sparkSession
-    encoders = {f: _fit_encoder(train_rows.where(F.col("fold") != f), cols) for f in range(cfg.cv_folds)}
+    encoders = gbt.fit_all(spark, {f: lambda f=f: _fit_encoder(train_rows.where(F.col("fold") != f), cols) for f in range(cfg.cv_folds)},
+                           cfg.fits_in_flight)
     parts = {f: _fit_rows(enc, train_rows.where(F.col("fold") != f)).persist() for f, enc in encoders.items()}
     models = gbt.fit_grid(spark, parts, cfg.candidates, cfg.seed, cfg.tree_share, cfg.fits_in_flight)
     scores = None
