@@ -18,7 +18,8 @@
 
 Defined cases: a null text counts as empty; texts without any visible
 character are equal to each other; a null doc_id loses against any other;
-rows repeated with one doc_id are rows of their own (one of them stays); an
+rows repeated with one doc_id are rows of their own (one of them stays); a very
+long text is one entry, compared byte by byte; an
 empty table gives an empty result; other columns, whatever their names, are
 passed through by ``dedup`` and ignored by ``classes``.
 """

@@ -5,8 +5,10 @@ runs.  ``RULES`` names a measure and the closed interval it must lie in; the
 table is compiled to one boolean column per rule plus the verdict.
 
 Defined cases: a null text counts as empty (no words, no lines); a ratio over
-zero words or lines is 0; repeated rows are judged one by one; an empty table
-gives an empty result; other columns of the input are ignored, whatever their
+zero words or lines is 0; a very long text is judged whole, in one row; a text
+in a language other than English, German, French and Spanish has no stop words
+of the list and is not kept; repeated rows are judged one by one; an empty
+table gives an empty result; other columns of the input are ignored, whatever their
 names are.
 """
 

@@ -23,7 +23,7 @@
 
 Defined cases: a null, empty or white-space text has fingerprint zero and is
 linked like any other; fewer words than the shingle length make one shingle;
-repeated rows share a fingerprint, hence a component; a null doc_id never is a
+a very long text is read whole; repeated rows share a fingerprint, hence a component; a null doc_id never is a
 component's id unless all are null; an empty table gives an empty result;
 other columns are ignored by ``components`` and passed through by ``dedup``.
 """

@@ -30,8 +30,10 @@ screen: an index from subsequences to the landmarks that hold them gives the sum
 
 Defined cases: a null or empty text has no sentence and gets the score of a
 text without any match; rows with a null label are not used for fitting;
-without both labels every text scores 0; repeated rows get the same score; an
-empty table gives an empty result; other columns are ignored.
+without both labels every text scores 0; repeated rows get the same score; a
+very long text is scored whole, string by string (only fitting leaves texts
+over MAX_FIT_CHARS out); labelled rows beyond the bound are chosen by a hash,
+ties by id; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -18,8 +18,8 @@ long, the largest page_id is the response, the others are revisits of it.
 Defined cases: null html counts as an empty payload; a null url is left out of
 the record; a null page_id loses against any other (a group of nulls only are
 all responses); rows repeated with the winning page_id are all responses; line
-breaks in a url are percent-encoded; an empty table gives no archive and an
-empty result; other columns are ignored.
+breaks in a url are percent-encoded; a very long payload is one member like any
+other; an empty table gives no archive and an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
