@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions.numeric import round_to
 from .rank import attach_scalars, global_rank
+from .rank_table import RankTable
 
 
 RANK_BLOCK = 100_000      # distinct scores per window partition when neighbours are looked up
@@ -33,13 +34,15 @@ def score_counts(df: DataFrame, score_col: str, label_col: str, keys: tuple[str,
     )
 
 
-def score_curve(df: DataFrame, score_col: str, label_col: str, num_partitions: int | None = None,
+def score_curve(df: DataFrame | RankTable, score_col: str, label_col: str, num_partitions: int | None = None,
                 keys: tuple[str, ...] = ()) -> DataFrame:
     """Distinct scores, descending, with cumulative tp / fp and totals P / N (per ``keys``, if given).
 
     One pass over the input: totals and group offsets come from the ranked,
-    checkpointed table of distinct scores.
+    checkpointed table of distinct scores, or from a rank table.
     """
+    if isinstance(df, RankTable):
+        return df.curve()
     counts = score_counts(df, score_col, label_col, keys)
     order = [*[F.col(k).asc_nulls_first() for k in keys], F.col("score").desc()]
     ranked = global_rank(counts, order, rank_col="k", sums={"tp": "pos", "fp": "neg"}, num_partitions=num_partitions)

@@ -29,6 +29,7 @@ from ..functions.numeric import round_to
 from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
+from .rank_table import RankTable
 
 _PID = "_rk_pid"
 _LOCAL = "_rk_local"
@@ -143,13 +144,18 @@ def decile_index(rank: Column, n: Column) -> Column:
     return F.floor((F.lit(10) * rank - 1) / n).cast("int")
 
 
+def _ranked_rows(df: DataFrame | RankTable, score_col: str, label_col: str, key_col: str, num_partitions: int | None) -> DataFrame:
+    """key, score, label and rank of every row: sorted now, or read from a rank table that was."""
+    if isinstance(df, RankTable):
+        return df.rows().drop("_y", "cum_buyers")
+    return global_rank(df.select(key_col, score_col, label_col), score_order(score_col, key_col), num_partitions=num_partitions)
+
+
 def decile_table(
-    df: DataFrame, score_col: str, label_col: str, key_col: str, num_partitions: int | None = None
+    df: DataFrame | RankTable, score_col: str, label_col: str, key_col: str, num_partitions: int | None = None
 ) -> DataFrame:
     """Students, buyers, conversion, mean score and lift per score decile."""
-    ranked = global_rank(
-        df.select(key_col, score_col, label_col), score_order(score_col, key_col), num_partitions=num_partitions
-    )
+    ranked = _ranked_rows(df, score_col, label_col, key_col, num_partitions)
     totals = ranked.agg(F.count(F.lit(1)).alias("_n"), F.avg(F.col(label_col).cast("double")).alias("_base"))
     tagged = attach_scalars(ranked, totals).withColumn(
         "decile", decile_index(F.col("rank"), F.col("_n")) + 1
@@ -174,7 +180,7 @@ def decile_table(
 
 
 def lift_at(
-    df: DataFrame,
+    df: DataFrame | RankTable,
     score_col: str,
     label_col: str,
     key_col: str,
@@ -185,9 +191,7 @@ def lift_at(
 
     One pass over the ranked rows: every fraction is a conditional sum.
     """
-    ranked = global_rank(
-        df.select(key_col, score_col, label_col), score_order(score_col, key_col), num_partitions=num_partitions
-    )
+    ranked = _ranked_rows(df, score_col, label_col, key_col, num_partitions)
     totals = ranked.agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(label_col).cast("double")).alias("_pos"))
     y = F.col(label_col).cast("double")
     ntop = {
@@ -220,10 +224,10 @@ def lift_at(
 
 
 def gains_curve(
-    df: DataFrame, score_col: str, label_col: str, key_col: str, num_partitions: int | None = None
+    df: DataFrame | RankTable, score_col: str, label_col: str, key_col: str, num_partitions: int | None = None
 ) -> DataFrame:
     """Per-row cumulative capture: % contacted vs % buyers captured (R2)."""
-    ranked = global_rank(
+    ranked = df.rows() if isinstance(df, RankTable) else global_rank(
         df.select(key_col, score_col, F.col(label_col).cast("double").alias("_y")),
         score_order(score_col, key_col),
         sums={"cum_buyers": "_y"},

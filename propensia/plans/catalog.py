@@ -103,6 +103,26 @@ def q_global_rank(spark, sf_dir):
     return R.global_rank(df, R.score_order(TIED, ID))
 
 
+def q_rank_table_report(spark, sf_dir):
+    """R1-R5 and E1-E6 from one persisted rank table: the scored leads are sorted once."""
+    import uuid
+
+    from ..operators.rank_table import write_rank_table
+    from ..session import shared_scratch
+
+    t = write_rank_table(_scored(spark, sf_dir), TIED, Y, ID, shared_scratch(spark, f"ranks/{uuid.uuid4().hex}"))
+    part = lambda df, name, x, y: df.select(F.lit(name).alias("section"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    metrics = M.ranking_metrics(t, TIED, Y)
+    return (part(R.decile_table(t, TIED, Y, ID), "decile", "decile", "lift")
+            .unionByName(part(R.lift_at(t, TIED, Y, ID, (0.10, 0.20)), "lift", "fraction", "lift"))
+            .unionByName(part(R.gains_curve(t, TIED, Y, ID), "gains", "rank", "cum_buyers"))
+            .unionByName(part(M.roc_points(t, TIED, Y), "roc", "fpr", "tpr"))
+            .unionByName(part(M.pr_points(t, TIED, Y), "pr", "recall", "precision"))
+            .unionByName(part(metrics, "auc_ap", "roc_auc", "average_precision"))
+            .unionByName(part(metrics, "pr_brier", "pr_auc", "brier_score"))
+            .unionByName(part(t.top(50), "top", "rank", TIED)))
+
+
 def q_ranking_metrics(spark, sf_dir):
     return M.ranking_metrics(_scored(spark, sf_dir), TIED, Y)
 
@@ -394,6 +414,7 @@ QUERIES.update({
     "decile_table": q_decile_table,
     "lift": q_lift,
     "gains_curve": q_gains_curve,
+    "rank_table_report": q_rank_table_report,
     "ranking_metrics": q_ranking_metrics,
     "ranking_metrics_raw": q_ranking_metrics_raw,
     "roc_points": q_roc_points,

@@ -561,6 +561,13 @@ def _early_return_sql() -> str:
         "), (SELECT count(*) AS rows_seen FROM leads)")
 
 
+_REPORT = [("decile", "decile", "lift", _DECILE_SQL), ("lift", "fraction", "lift", _LIFT_SQL), ("gains", "rank", "cum_buyers", _GAINS_SQL),
+           ("roc", "fpr", "tpr", _ROC_SQL), ("pr", "recall", "precision", _PR_SQL),
+           ("auc_ap", "roc_auc", "average_precision", _metrics_sql("score_tied")), ("pr_brier", "pr_auc", "brier_score", _metrics_sql("score_tied")),
+           ("top", "rank", "score_tied", with_leads("""SELECT score_tied, row_number() OVER (ORDER BY score_tied DESC, student_id) AS rank
+FROM scored2 QUALIFY rank <= 50"""))]
+ORACLES["rank_table_report"] = " UNION ALL ".join(
+    f"SELECT '{name}' AS section, CAST({x} AS DOUBLE) AS x, CAST({y} AS DOUBLE) AS y FROM ({sql})" for name, x, y, sql in _REPORT)
 ORACLES["scoring_gates"] = _gates_sql()
 ORACLES["early_return_report"] = _early_return_sql()
 ORACLES["empty_report"] = with_leads("""
