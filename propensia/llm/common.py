@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import shared_scratch
+from ..session import importable, shared_scratch  # noqa: F401
 
 #: The white space of the word patterns: space and tab to carriage return.
 SPACES = " \t\n\x0b\x0c\r"
@@ -22,14 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def importable(spark: SparkSession) -> None:
-    """Let Python workers import this package where the driver's checkout is visible to them."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH", ""), root) if x)
-
-
 def fresh(columns: list[str], base: str) -> str:
     """A column name that does not clash (case-insensitively) with ``columns``."""
     taken = {c.lower() for c in columns}
@@ -53,10 +44,15 @@ def q(name: str) -> Column:
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of at most ``rows`` rows: few texts are Python objects at a time."""
+    """The batches in parts of at most ``rows`` rows: few texts are Python objects at a time.
+
+    Behind the last one Arrow's freed memory goes back to the system, since the
+    worker process stays for the stages to come.
+    """
     for b in batches:
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def append_columns(df: DataFrame, new: list[T.StructField], fn: Callable[[pa.RecordBatch], list],
