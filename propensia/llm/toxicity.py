@@ -44,6 +44,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache
 from itertools import combinations
+from string import ascii_lowercase, digits
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -61,7 +63,7 @@ FLOOR = 0.4
 WINDOW = 24
 ROUNDS = 4
 SURE_Z = 4.0
-FILLER = "x"              # the character that disguised examples insert
+INSERTIONS = 3            # characters that disguised examples insert at a place, drawn from all letters and digits
 DISGUISE_COST = 0.2       # of a disguised example, in plain ones
 RIDGE = 0.05
 MAX_LABELLED = 4_000
@@ -73,6 +75,7 @@ TABLE = 1 << 22           # largest table of subsequence numbers; beyond it they
 MAX_WORDS = 600_000       # strings whose matches a worker keeps; then the table starts anew
 _PART = re.compile(r"[^\W_]+")
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+_ALPHABET = ascii_lowercase + digits
 _PAD = -1
 
 
@@ -291,8 +294,14 @@ class Model:
 
 # -- training
 def disguises(string: str) -> list[str]:
-    """A string with one character inserted, and with one letter drawn out, at each inner place."""
-    return [string[:i] + c + string[i:] for i in range(1, len(string)) for c in (FILLER, string[i - 1] * 2)]
+    """A string with one character inserted, and with one letter drawn out, at each inner place.
+
+    A hash of string and place draws the characters, so no one character is
+    learned as the sign of a disguise.
+    """
+    drawn = lambda i, k: _ALPHABET[crc32(f"{string} {i} {k}".encode()) % len(_ALPHABET)]
+    return [string[:i] + c + string[i:] for i in range(1, len(string))
+            for c in (*(drawn(i, k) for k in range(INSERTIONS)), string[i - 1] * 2)]
 
 
 def associations(bags: list[frozenset[str]], toxic: list[int]) -> dict[str, float]:

@@ -102,6 +102,20 @@ def test_insults_with_gaps_and_insertions(spark):
         assert model.scores([f"{clean} {insult} {clean}"])[0] > model.scores([f"{clean} {clean}"])[0] + 0.2, insult
 
 
+def test_any_inserted_character(spark):
+    """Recall over all letters and digits, none of which the code names; the figures are in the README."""
+    docs, labels = (spark.read.parquet(f"{SF01}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    clean = "the thing is on it and of that for was"
+    words = ["idiot", "moron", "trash", "scum", "loser", "stupid", "worthless", "clown", "pathetic"]
+    caught = lambda forms: np.mean(np.array(model.scores([f"{clean} {f} {clean}" for f in forms])) >= 0.5)
+    assert caught(words) == 1.0
+    by = {c: caught([w[:i] + c + w[i:] for w in words for i in range(1, len(w))]) for c in "abcdefghijklmnopqrstuvwxyz0123456789"}
+    assert np.mean(list(by.values())) > 0.7 and min(by.values()) > 0.55 and max(by.values()) - min(by.values()) < 0.35
+    drawn = {c for w in words for d in toxicity.disguises(w) for c in d if c not in w}
+    assert len(drawn) > 20                               # many characters, not one
+
+
 def test_toxicity_defined_cases(spark):
     docs = spark.createDataFrame([(1, "you idiot"), (2, "fine day today"), (3, None), (4, ""), (None, "idiot"), (2, "fine day today"),
                                   (6, "word " * 100_000), (7, "q" * 50_000)], "doc_id long, text string").selectExpr("*", "1 AS score", "2 AS `a.b`")
