@@ -18,7 +18,6 @@ moves every row into one task.  Here the order is computed the way a sort is:
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import pandas as pd
@@ -243,11 +242,6 @@ def gains_curve(
     )
 
 
-def ceil_fraction(n: int, f: float) -> int:
-    """Python twin of ``max(1, ceil(n*f))`` for tests."""
-    return max(1, int(math.ceil(n * f)))
-
-
 def rank_within_groups(
     df: DataFrame,
     group_col: str,
