@@ -517,7 +517,7 @@ def model_columns(df):
 
 def q_impute_stats(spark, sf_dir):
     """P2 + P3: training-split median of every numeric and mode of every categorical column."""
-    train = _training_rows(spark, sf_dir)
+    train = _training_rows(spark, sf_dir).checkpoint()       # derived from three tables once, read three times
     cat, num = P.split_column_kinds(train.select(*model_columns(train)), exclude=[])
     names = lambda cols: F.array(*[F.lit(c) for c in cols])
     medians = P.exact_medians(train, num).select(
