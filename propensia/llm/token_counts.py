@@ -47,8 +47,8 @@ from pyspark.sql import functions as F
 from .common import q, slices
 
 CHUNK_CHARS = 1 << 16
-MAX_STATES = 200_000      # states kept by a worker; then the table starts anew
-MAX_WORDS = 400_000       # whole words kept by a worker
+MAX_STATES = 120_000      # states kept by a worker; then the table starts anew
+MAX_WORDS = 300_000       # whole words kept by a worker
 BLOCK = 64                # chunks composed per task and level of the scan
 
 # FIXED VALUES: the contractions of the tokenizer's split pattern
