@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import importable, shared_scratch  # noqa: F401
+from ..session import importable, shared_scratch, written  # noqa: F401
 
 #: The white space of the word patterns: space and tab to carriage return.
 SPACES = " \t\n\x0b\x0c\r"
@@ -30,14 +29,6 @@ def fresh(columns: list[str], base: str) -> str:
     return name
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a table in the cluster's shared folder and read it back (cuts the lineage)."""
-    spark = df.sparkSession
-    path = shared_scratch(spark, f"{label}/{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def q(name: str) -> Column:
     """The column called exactly ``name``, dots included."""
     return F.col("`" + name.replace("`", "``") + "`")

@@ -195,3 +195,15 @@ def test_fits_run_side_by_side_and_are_tried_again(spark):
     assert 2 <= most[0] <= 3 and calls.count(3) == 3 and calls.count(4) == 1
     with pytest.raises(RuntimeError, match="lost 1"):
         fit_all(spark, {0: fit(0, 0), 1: fit(1, 9)}, in_flight=2, attempts=2)
+
+
+def test_wide_rows_run_compiled(spark):
+    from propensia.sources.tables import leads
+
+    spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+    leads(spark, SF001)
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) == 8000
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "5000")
+    leads(spark, SF001)
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) == 5000        # a lower one stays
+    spark.conf.unset("spark.sql.codegen.hugeMethodLimit")

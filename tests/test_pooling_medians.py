@@ -113,6 +113,42 @@ def test_values_are_handed_on_in_parts(spark, monkeypatch):
     assert ME.exact_medians(df, ["a"]).first()["median"] == float(np.median([i % 977 for i in range(5000)]))
 
 
+def test_points_of_chunks_bracket_the_middle(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    for most in (2, 7, 30):
+        for values in (rng.normal(size=501), rng.integers(0, 20, 400).astype(float), np.array([4.0])):
+            v, n, left = ME._points(values, most)
+            assert len(v) <= most or len(v) == len(set(values)) <= most
+            upto, true = np.cumsum(n), np.searchsorted(np.sort(values), v, "right")
+            assert (upto == true).all() and upto[-1] == len(values)
+            between = np.searchsorted(np.sort(values), values, "right") - np.r_[0, upto][np.searchsorted(v, values, "right")]
+            assert 0 <= between.min() and between.max() <= left
+    columns = [rng.normal(size=3000), rng.integers(0, 9, 3000).astype(float), np.full(3000, np.inf), np.full(3000, np.nan)]
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(*columns)], "a double, b double, c double, d double").repartition(4)
+    numbers = ME._numbers(df, df.columns)
+    brackets, sizes = ME._brackets(numbers, 4, chunk_rows=200, most=16)
+    assert sizes == {0: 3000, 1: 3000, 2: 3000}
+    for c, (lo, hi) in brackets.items():
+        middle = np.sort(columns[c])[[1499, 1500]]
+        assert lo <= middle[0] and middle[1] <= hi
+    lo, hi = brackets[0]
+    assert ((columns[0] >= lo) & (columns[0] <= hi)).sum() < 3000 * 4 / 16      # a narrow part is read again
+    monkeypatch.setattr(ME, "CHUNK_ROWS", 100)
+    monkeypatch.setattr(ME, "CHUNK_POINTS", 5)
+    got = {r["c"]: r["median"] for r in ME.exact_medians(df, df.columns).collect()}
+    assert got == {c: float(np.median(columns[c])) for c in range(3)}
+
+
+def test_no_task_merges_the_points_of_all_columns(spark, monkeypatch):
+    sizes = []
+    plain = type(spark.range(0)).collect
+    monkeypatch.setattr(type(spark.range(0)), "first", lambda self: pytest.fail("one row of all columns"))
+    monkeypatch.setattr(type(spark.range(0)), "collect", lambda self: sizes.append(len(out := plain(self))) or out)
+    df = spark.range(60).select(*[(F.col("id") * i).cast("double").alias(f"x{i}") for i in range(5)])
+    ME._brackets(ME._numbers(df, df.columns), 5)
+    assert sizes == [5]                                # a row per column, each column's points ranked by itself
+
+
 # ------------------------------------------------------------------ encoding
 def plain_codes(train, rows):
     out = []
