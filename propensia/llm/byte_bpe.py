@@ -39,8 +39,8 @@ from __future__ import annotations
 
 import base64
 from array import array
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -90,10 +90,15 @@ class Codec:
         self._sizes, self._starts = sizes, np.cumsum(sizes) - sizes
         self._all_bytes = np.frombuffer(b"".join(self.bytes_of[i] for i in sorted(self.bytes_of)), np.uint8)
         self.pattern = regex.compile(pattern)
-        self._merge = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
         self._known: dict[str, list[int]] = {}
         self._chunks = Chunks(self)
 
+    @cached_property
+    def _merge(self) -> Callable[[bytes], list[int]]:
+        """BPE of a short piece; a worker that only decodes never builds the tables."""
+        ranks = {b: i for i, b in self.bytes_of.items()}
+        return tiktoken.Encoding("ranks", pat_str=self.pattern.pattern, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+
     # -- inside a piece
     def merge(self, data: bytes) -> list[int]:
         """BPE of one piece: halves, then the growing boundary window."""

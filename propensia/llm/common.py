@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -34,16 +35,24 @@ def q(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def give_back() -> None:
+    """Return freed memory to the system; texts that were Python objects otherwise stay with the process."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)      # of glibc
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """The batches in parts of at most ``rows`` rows: few texts are Python objects at a time.
 
-    Behind the last one Arrow's freed memory goes back to the system, since the
-    worker process stays for the stages to come.
+    Behind the last one freed memory, Arrow's and the C library's, goes back to
+    the system, since the worker process stays for the stages to come.
     """
     for b in batches:
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def append_columns(df: DataFrame, new: list[T.StructField], fn: Callable[[pa.RecordBatch], list],

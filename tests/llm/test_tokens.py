@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import public_tokenizers as P
+import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import functions as F
@@ -122,3 +123,22 @@ def test_ordinary_documents_are_joined_from_their_halves(spark):
 def test_empty_table_of_bpe(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(none, RANKS, P.PATTERN), RANKS, P.PATTERN)).count() == 0
+
+
+def test_a_decoding_worker_builds_no_merge_table():
+    c = byte_bpe.Codec(RANKS, P.PATTERN)
+    assert c.decode(list(range(300))) == b"".join(c.bytes_of[i] for i in range(300))
+    assert "_merge" not in c.__dict__
+    assert c.decode(c.encode("two  words")) == b"two  words" and "_merge" in c.__dict__
+
+
+def test_slices_give_memory_back_behind_the_last_batch(monkeypatch):
+    from propensia.llm import common
+
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(1))
+    parts = common.slices(iter([pa.RecordBatch.from_arrays([pa.array(range(5))], names=["a"])]), 2)
+    assert [next(parts).num_rows for _ in range(3)] == [2, 2, 1] and not calls
+    assert list(parts) == [] and calls == [1]
+    monkeypatch.undo()
+    common.give_back()
