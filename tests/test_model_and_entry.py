@@ -207,3 +207,12 @@ def test_wide_rows_run_compiled(spark):
     leads(spark, SF001)
     assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) == 5000        # a lower one stays
     spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+
+
+def test_students_are_derived_once_for_training_and_scoring(spark, monkeypatch):
+    from propensia.plans import catalog, training
+
+    monkeypatch.setattr(training, "train", lambda spark, raw, cfg: raw)
+    read, leads = catalog._trained(spark, SF001, choose=False)
+    assert read is leads and "Join" not in leads._jdf.queryExecution().logical().toString()
+    assert leads.dtypes == catalog.TB.leads(spark, SF001).dtypes
