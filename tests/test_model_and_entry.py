@@ -216,3 +216,31 @@ def test_students_are_derived_once_for_training_and_scoring(spark, monkeypatch):
     read, leads = catalog._trained(spark, SF001, choose=False)
     assert read is leads and "Join" not in leads._jdf.queryExecution().logical().toString()
     assert leads.dtypes == catalog.TB.leads(spark, SF001).dtypes
+
+
+@pytest.fixture
+def fits(monkeypatch):
+    """Three small candidates in place of the real ones, and the (trees, rate) of every fit."""
+    from propensia.operators import gbt
+
+    small = [{"name": f"c{n}", "params": {**S.MODEL_CANDIDATES[0]["params"], "n_estimators": n, "max_depth": 2, "learning_rate": 0.1}}
+             for n in (6, 7, 8)]
+    monkeypatch.setattr(S, "MODEL_CANDIDATES", small)
+    made, classifier = [], gbt.classifier
+
+    def recorded(*args, **kwargs):
+        est = classifier(*args, **kwargs)
+        made.append((est.getMaxIter(), round(est.getStepSize(), 9)))
+        return est
+
+    monkeypatch.setattr(gbt, "classifier", recorded)
+    return made
+
+
+def test_holdout_report_grows_all_trees(spark, fits):
+    from propensia.plans import catalog
+
+    row = catalog.q_model_holdout_report(spark, SF001).first()
+    grid = [(6, 0.1), (7, 0.1), (8, 0.1)]
+    assert sorted(fits[:-1]) == sorted(grid * S.CV_FOLDS) and fits[-1] in grid
+    assert row["trees_fitted"] == fits[-1][0] == int(row["selected"][1:])
