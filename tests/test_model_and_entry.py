@@ -244,3 +244,11 @@ def test_holdout_report_grows_all_trees(spark, fits):
     grid = [(6, 0.1), (7, 0.1), (8, 0.1)]
     assert sorted(fits[:-1]) == sorted(grid * S.CV_FOLDS) and fits[-1] in grid
     assert row["trees_fitted"] == fits[-1][0] == int(row["selected"][1:])
+
+
+def test_invariants_hold_for_all_trees(spark, fits):
+    from propensia.plans import catalog
+
+    rows = {r["check"]: (r["expected"], r["actual"]) for r in catalog.q_model_invariants(spark, SF001).collect()}
+    assert len(rows) == 9 and all(expected == actual for expected, actual in rows.values()), rows
+    assert sorted(fits[:-1]) == sorted([(6, 0.1), (7, 0.1), (8, 0.1)] * S.CV_FOLDS) and fits[-1] in fits[:-1]
