@@ -252,3 +252,11 @@ def test_invariants_hold_for_all_trees(spark, fits):
     rows = {r["check"]: (r["expected"], r["actual"]) for r in catalog.q_model_invariants(spark, SF001).collect()}
     assert len(rows) == 9 and all(expected == actual for expected, actual in rows.values()), rows
     assert sorted(fits[:-1]) == sorted([(6, 0.1), (7, 0.1), (8, 0.1)] * S.CV_FOLDS) and fits[-1] in fits[:-1]
+
+
+def test_drivers_explain_the_chosen_candidate(spark, fits):
+    from propensia.plans import catalog
+
+    rows = catalog.q_top_drivers(spark, SF001).groupBy("student_id").count().collect()
+    assert len(rows) == catalog.TB.leads(spark, SF001).count() and {r["count"] for r in rows} == {10}
+    assert sorted(fits[:-1]) == sorted([(6, 0.1), (7, 0.1), (8, 0.1)] * S.CV_FOLDS) and fits[-1] in fits[:-1]
