@@ -260,3 +260,8 @@ def test_drivers_explain_the_chosen_candidate(spark, fits):
     rows = catalog.q_top_drivers(spark, SF001).groupBy("student_id").count().collect()
     assert len(rows) == catalog.TB.leads(spark, SF001).count() and {r["count"] for r in rows} == {10}
     assert sorted(fits[:-1]) == sorted([(6, 0.1), (7, 0.1), (8, 0.1)] * S.CV_FOLDS) and fits[-1] in fits[:-1]
+
+
+def test_validation_scores_are_written_model_by_model(trained):
+    _, art = trained
+    assert art.cv_scores._jdf.queryExecution().analyzed().collectLeaves().size() == 2 * S.CV_FOLDS
